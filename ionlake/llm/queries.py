@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .lm_score import lm_score
 from .packing import pack_documents
 from .quality_rules import quality_rules
+from .secret_scan import secret_scan
 from .sharding import shard_by_bytes
 
 
@@ -27,6 +28,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), keep="largest")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
@@ -39,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
     "op8_sharding": op8_sharding,
 }
