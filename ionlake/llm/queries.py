@@ -15,6 +15,7 @@ from .packing import pack_documents
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
+from .sentence_pieces import encode_pieces
 from .sharding import shard_by_bytes
 
 
@@ -42,6 +43,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(documents(spark, sf_dir), shards=8)
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op7_sentence_pieces": op7_sentence_pieces,
     "op8_sharding": op8_sharding,
     "op9_language_id": op9_language_id,
 }
