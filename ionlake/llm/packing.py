@@ -9,6 +9,8 @@ of a few numbers, never text.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -26,43 +28,86 @@ SEPARATOR = 1
 GROUP_PIECES = 200_000
 MAX_ROUNDS = 6
 #: Entries of a worker's cache from white-space chunks to ids; renewed when full.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 500_000
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ž]+)([.,;:!?|*$%&#()]*)")
 
 
 class ChunkEncoder:
     """Token ids (little-endian uint32 bytes) of whole texts by a cache of blank-separated chunks.
 
-    Right for tokenizers whose normaliser and pre-tokeniser never join or look across a blank or
-    a line feed, such as ``word_bpe_49k.json``, which drops white space.
+    Right for tokenizers that lower-case, drop white space, and pre-tokenise letters and other
+    symbols apart, never across a blank or a line feed, such as ``word_bpe_49k.json``. A chunk of
+    letters and a plain tail is the ids of the letters and those of the tail; new letter words are
+    encoded many at a time as one text, all others each by itself.
     """
 
     def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {"": b""}
 
+    def _one(self, chunks: list[str]) -> dict[str, bytes]:
+        got = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, got)}
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of lower-case words of composed Latin letters, each of which is one pre-token."""
+        out = {}
+        for k in range(0, len(words), 4000):
+            part = words[k : k + 4000]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            ends = np.searchsorted(np.array(e.word_ids), np.arange(len(part)), side="right").tolist()
+            data, at = ids.tobytes(), 0
+            for w, end in zip(part, ends):
+                out[w] = data[4 * at : 4 * end]
+                at = end
+        return out
+
+    def _fill(self, chunks: list[str]) -> None:
+        plain, other = [], []
+        for c in chunks:
+            m = PLAIN.fullmatch(c)
+            if m and m[1].lower().isalpha():
+                plain.append((c, m[1].lower(), m[2]))
+            else:
+                other.append(c)
+        words = self._words(list({w for _, w, _ in plain}))
+        tails = self._one(list({t for _, _, t in plain}))
+        self.cache.update((c, words[w] + tails[t]) for c, w, t in plain)
+        for k in range(0, len(other), 5000):
+            self.cache.update(self._one(other[k : k + 5000]))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         cache = self.cache
-        missing = list(set().union(*split) - cache.keys())
+        missing = set().union(*split).difference(cache)
         if len(cache) + len(missing) > CACHE_CHUNKS:
             cache.clear()
-            missing = list(set().union(*split, [""]))
-        for k in range(0, len(missing), 5000):
-            part = missing[k : k + 5000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cache[chunk] = np.array(e.ids, "<u4").tobytes()
+            missing = set().union(*split, [""])
+        self._fill(list(missing))
         get = cache.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
+_encoders: dict[str, ChunkEncoder] = {}
+
+
+def _encoder(vocabulary: str) -> ChunkEncoder:
+    """One for each Python worker, so that tasks share its cache."""
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = ChunkEncoder(vocabulary)
+    return _encoders[vocabulary]
+
+
 def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int, id_col: str, text_col: str) -> DataFrame:
     """Pieces of each document: its ids, then the separator, cut every ``capacity`` tokens."""
 
     def cut(batches):
-        encoder = ChunkEncoder(vocabulary)
+        encoder = _encoder(vocabulary)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)

@@ -11,6 +11,7 @@ from .common import documents
 from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .lm_score import lm_score
+from .near_dedup import near_dedup
 from .packing import pack_documents
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
@@ -55,6 +56,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sentence_pieces": op7_sentence_pieces,
     "op8_sharding": op8_sharding,
     "op9_language_id": op9_language_id,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
