@@ -1,12 +1,81 @@
-"""The corpus pipeline: five stages from raw documents to packed sequences."""
+"""The corpus pipeline: five stages from raw documents to packed sequences.
+
+Each stage gets what its predecessor kept and hands on the columns of ``documents``; the last one
+returns the packed pieces. Rows are told apart by id and text, so an id that occurs with two texts
+is two documents; rows that repeat both are one document once the duplicate stages have run.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ionlake.llm.common import documents, shared_table
+from ionlake.llm.exact_dedup import exact_dedup
+from ionlake.llm.near_dedup import near_dedup
+from ionlake.llm.packing import pack_documents
+from ionlake.llm.quality_rules import quality_rules
+from ionlake.llm.secret_scan import redact_secrets
+
+ID, TEXT, ROW = "doc_id", "text", "_row"
+
+
+def _row() -> Column:
+    return F.struct(F.col(ID).alias("id"), F.xxhash64(F.coalesce(F.col(TEXT), F.lit(""))).alias("hash"))
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``kept`` (a column of id and text hash) names."""
+    wanted = kept.select(F.col(f"{ROW}.id").alias("_kept_id"), F.col(f"{ROW}.hash").alias("_kept_hash"))
+    keyed = docs.withColumn("_hash", _row()["hash"])
+    same = keyed[ID].eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash"))
+    return keyed.join(wanted, same, "left_semi")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the rules, or whose host does, go."""
+    verdicts = quality_rules(docs.withColumn(ROW, _row()), ROW).where("kept")
+    return _only(docs, verdicts.select(ROW).distinct()).select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest id stays."""
+    verdicts = exact_dedup(docs.withColumn(ROW, _row()), ROW, keep="largest").where("kept")
+    return _only(docs, verdicts.select(ROW)).dropDuplicates([ID, "_hash"]).select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the one with the smallest id stays."""
+    verdicts = near_dedup(docs.withColumn(ROW, _row()), ROW).where("kept")
+    return _only(docs, verdicts.select(ROW)).dropDuplicates([ID, "_hash"]).select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; every document stays."""
+    masked = redact_secrets(docs)
+    return masked.withColumn("n_chars", F.length(TEXT).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("secret_scan", secrets),
+    ("best_fit_packing", packing),
+]
 
-STAGES: list = []
+#: Packing and the Markov models have no SQL form; the tests compare run() with a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = shared_table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

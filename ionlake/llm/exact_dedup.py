@@ -56,13 +56,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     light = shared_checkpoint(grouped)
 
     group = Window.partitionBy("digest")
-    winner = F.struct(F.col("part_keep").isNull(), F.col("part_keep") * (-1 if keep == "largest" else 1), F.col("salt"))
+    first = F.col("part_keep").desc_nulls_last() if keep == "largest" else F.col("part_keep").asc_nulls_last()
     parts = light.where("place = 1").select(
         "digest",
         "salt",
         best("part_keep").over(group).alias("keep_id"),
         F.sum("part_size").over(group).alias("group_size"),
-        (winner == F.min(winner).over(group)).alias("wins"),
+        (F.row_number().over(group.orderBy(first, "salt")) == 1).alias("wins"),
     )
     return light.join(parts, ["digest", "salt"]).select(
         F.col("id").alias(id_col),

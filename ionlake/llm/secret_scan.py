@@ -170,3 +170,29 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = ["id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans"]
     kind = f"id {rows.schema['id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string"
     return rows.mapInArrow(scan, kind).withColumnRenamed("id", id_col)
+
+
+def redact_secrets(docs: DataFrame, text_col: str = "text", table: np.ndarray | None = None, mask: str = "[secret]") -> DataFrame:
+    """``docs`` with every found span of the text replaced by ``mask``; all columns stay.
+
+    Overlapping spans are replaced as one. Null texts stay null.
+    """
+    table = train_models(docs, text_col) if table is None else table
+
+    def clean(data: bytes) -> bytes:
+        text = data.decode()
+        out, at = [], 0
+        for a, _, b in find_secrets(text, data, table)[1]:
+            if a >= at:
+                out += [text[at:a], mask]
+            at = max(at, b)
+        return data if not out else "".join([*out, text[at:]]).encode()
+
+    def redact(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                own = batch.slice(k, 500)
+                texts = [None if t is None else clean(t.encode()).decode() for t in own.column(text_col).to_pylist()]
+                yield own.set_column(own.schema.get_field_index(text_col), own.schema.field(text_col), pa.array(texts, pa.string()))
+
+    return docs.mapInArrow(redact, docs.schema)

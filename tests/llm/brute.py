@@ -51,3 +51,37 @@ def base_spans(text):
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
     found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
     return sorted(found)
+
+
+def near_classes(rows, similarity=0.8):
+    """rows: (id, text). {id: smallest id of its class}, from all pairs that share a shingle."""
+    bags, where = {}, defaultdict(set)
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        bags[i] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
+        for s in bags[i] or [None]:
+            where[s].add(i)
+    root = {i: i for i in bags}
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    tried = set()
+    for ids in where.values():
+        ids = sorted(ids)
+        for a in range(len(ids)):
+            for b in range(a + 1, len(ids)):
+                pair = (ids[a], ids[b])
+                if pair in tried or find(pair[0]) == find(pair[1]):
+                    continue
+                tried.add(pair)
+                x, y = bags[pair[0]], bags[pair[1]]
+                both = sum((x & y).values())
+                total = x.total() + y.total() - both
+                if total == 0 or both >= similarity * total:
+                    a0, b0 = find(pair[0]), find(pair[1])
+                    root[max(a0, b0)] = min(a0, b0)
+    return {i: find(i) for i in bags}
