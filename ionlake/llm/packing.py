@@ -27,8 +27,8 @@ SEPARATOR = 1
 #: Pieces a group packs at once (about 60 bytes each).
 GROUP_PIECES = 200_000
 MAX_ROUNDS = 6
-#: Entries of a worker's cache from white-space chunks to ids; renewed when full.
-CACHE_CHUNKS = 500_000
+#: Entries of a worker's cache from white-space chunks to ids; the older half goes when full.
+CACHE_CHUNKS = 1_200_000
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ž]+)([.,;:!?|*$%&#()]*)")
 
 
@@ -68,28 +68,28 @@ class ChunkEncoder:
         return out
 
     def _fill(self, chunks: list[str]) -> None:
-        plain, other = [], []
+        cache, plain, other = self.cache, [], []
         for c in chunks:
             m = PLAIN.fullmatch(c)
             if m and m[1].lower().isalpha():
                 plain.append((c, m[1].lower(), m[2]))
             else:
                 other.append(c)
-        words = self._words(list({w for _, w, _ in plain}))
-        tails = self._one(list({t for _, _, t in plain}))
-        self.cache.update((c, words[w] + tails[t]) for c, w, t in plain)
+        cache.update(self._words(list({w for _, w, _ in plain}.difference(cache))))
+        cache.update(self._one(list({t for _, _, t in plain}.difference(cache))))
+        cache.update([(c, cache[w] + cache[t]) for c, w, t in plain])
         for k in range(0, len(other), 5000):
-            self.cache.update(self._one(other[k : k + 5000]))
+            cache.update(self._one(other[k : k + 5000]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        cache = self.cache
-        missing = set().union(*split).difference(cache)
-        if len(cache) + len(missing) > CACHE_CHUNKS:
-            cache.clear()
-            missing = set().union(*split, [""])
-        self._fill(list(missing))
-        get = cache.__getitem__
+        # A-Z alone are lowered here; the tokenizer lowers the rest its own way
+        split = [t.encode().lower().decode().replace("\n", " ").split(" ") for t in texts]
+        if len(self.cache) > CACHE_CHUNKS:  # the newer half stays
+            items = list(self.cache.items())
+            self.cache = dict(items[len(items) // 2 :])
+            self.cache[""] = b""
+        self._fill(list(set().union(*split).difference(self.cache)))
+        get = self.cache.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
