@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .residues import FRAGMENT_MASS
 
-MOD_STRING = r"^(([0-9]+|-1)\|[A-Za-z][A-Za-z0-9_\->:() ]*)(\|([0-9]+|-1)\|[A-Za-z][A-Za-z0-9_\->:() ]*)*$"
+_ONE = r"(-1|[0-9]{1,2})\|[^|\s]+"
+#: Blank, ``-``, or position|name pairs; a bar may end the string.
+MOD_STRING = rf"^(-|({_ONE}(\|{_ONE})*\|?)?)$"
 SEQUENCE = r"^[ACDEFGHIKLMNPQRSTVWY]{3,99}$"
 
 

@@ -58,7 +58,7 @@ ISOELECTRIC = [32, 23, 0, 4, 27, 32, 48, 32, 69, 29, 26, 35, 28, 79, 29, 28, 31,
 PROPERTIES = {"basicity": BASICITY, "helicity": HELICITY, "hydrophobicity": HYDROPHOBICITY, "pI": ISOELECTRIC}
 INVALID_RESIDUES = "BJOUXZ"
 WATER = 2 * 1.00782503207 + 15.99491461956
-HYDROGEN = 1.00782503
+HYDROGEN = 1.007825032070059
 PROTON = 1.007236
 # Mass added to the prefix (b-like) or suffix (y-like) residue sum, and the charge.
 ION_SERIES = {

@@ -123,6 +123,8 @@ def load_config(path: str) -> PredictionConfig:
         raise UnsupportedConfig(f"{path}: configuration files end in .txt, .config, .cfg, .toml or .json")
     if len(values) == 1 and isinstance(next(iter(values.values())), dict):
         values = next(iter(values.values()))
+    if "frag_method" in values:  # an older name of the key
+        values.setdefault("model", values.pop("frag_method"))
     known = {f.name for f in fields(PredictionConfig)}
     if unknown := set(values) - known:
         raise UnsupportedConfig(f"{path}: unknown keys {sorted(unknown)}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import safe_corr, unlog
-from ..functions.mods import SEQUENCE, Catalogue, parse_mods
+from ..functions.mods import MOD_STRING, SEQUENCE, Catalogue, parse_mods
 from ..functions.residues import PSEUDO
 from ..operators.digest import digest, peptidoforms, unique_peptides, with_decoys
 from ..operators.features import site_features
@@ -149,11 +150,11 @@ def build_library(proteins: DataFrame, nodes: pd.DataFrame, config: LibraryConfi
 
 def predict_one(spark, peptide: str, modifications: str, charge: int, nodes: pd.DataFrame, catalogue: Catalogue | None = None, version: str = "general") -> DataFrame:
     """(ion annotation, mz, intensity) of one peptide, TIC shares: the same plan over one row."""
-    import re
-
     if not re.match(SEQUENCE, peptide):
         raise InvalidPeptide(f"not a sequence of 3 to 99 residues: {peptide!r}")
-    rows = spark.createDataFrame([("one", peptide, modifications or "-", charge)], "spec_id string, peptide string, modifications string, charge int")
+    if not re.match(MOD_STRING, modifications):
+        raise InvalidPeptide(f"not a modification string: {modifications!r}")
+    rows = spark.createDataFrame([("one", peptide, modifications.removesuffix("|") or "-", charge)], "spec_id string, peptide string, modifications string, charge int")
     values = predict(rows, nodes, catalogue, version, strict=True)
     linear = values.withColumn("prediction", unlog(F.col("prediction"), clip=False))
     return normalise(linear, "tic").select(F.concat(F.lower("ion"), F.col("ionnumber").cast("string")).alias("annotation"), "mz", F.col("prediction").alias("intensity"))

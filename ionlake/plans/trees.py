@@ -112,7 +112,7 @@ def site_predictions(scored: DataFrame, keep: tuple[str, ...], lengths: Column)
 
 def importance(nodes: DataFrame) -> DataFrame:
     """How many tests use each feature."""
-    return nodes.where("leaf is null").groupBy("model", "ion", "feature").agg(F.count(F.lit(1)).alias("n_tests"))
+    return nodes.where("leaf is null or isnan(leaf)").groupBy("model", "ion", "feature").agg(F.count(F.lit(1)).alias("n_tests"))
 
 
 def toy_nodes(ions: tuple[str, ...] = ("B", "Y"), model: str = "toy") -> pd.DataFrame:

@@ -146,7 +146,7 @@ def csv_rows(predictions: DataFrame, log_space: bool = True) -> DataFrame:
 
 
 def _six_digits(x: Column) -> Column:
-    """C's %.6g: six significant digits, trailing zeros cut, exponents for very small and large values."""
+    """C's %.6g: six significant digits, trailing zeros cut, exponents for very small and large values; decimal ties go up."""
     power = F.floor(F.log10(F.abs(x))).cast("int")
     plain = F.regexp_replace(F.regexp_replace(F.format_string("%.12f", x), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
     rounded = F.regexp_replace(F.format_string("%.5e", x), r"\.?0*e", "e")
