@@ -686,3 +686,105 @@ def stream_events(spark, sf_dir):
     q = windowed_events(stream, "1 hour", "36500 days").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("mod_counts", f"WITH {MOD_ROWS} SELECT name, count(*) AS n, count(DISTINCT spec_id) AS n_peptides FROM mod WHERE name IS NOT NULL GROUP BY name")
+def mod_counts(spark, sf_dir):
+    rows = peptides(spark, sf_dir).select("spec_id", F.explode(parse_mods(F.col("modifications"))).alias("m"))
+    return rows.groupBy(F.col("m.name").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("spec_id").alias("n_peptides"))
+
+
+@query(
+    "fasta_charges",
+    f"""WITH {PROTEIN}, cut AS (SELECT doc_id, unnest(string_split(regexp_replace(seq, '([KR])', '\\1,', 'g'), ',')) AS p FROM protein)
+SELECT z AS charge, length(p) AS n_residues, count(*) AS n FROM cut, (VALUES (1), (2), (3)) t(z) WHERE length(p) BETWEEN 4 AND 40 GROUP BY 1, 2""",
+)
+def fasta_charges(spark, sf_dir):
+    rows = converters.fasta_peprec(digest(proteins(spark, sf_dir), "trypsin_simple", 0, 4, 40))
+    return _wide(rows.groupBy("charge", F.char_length("peptide").alias("n_residues")).agg(F.count(F.lit(1)).alias("n")))
+
+
+@query(
+    "common_mods",
+    f"""WITH {MOD_ROWS}, m AS (SELECT spec_id, any_value(n) AS n, bool_and(name IS NULL OR name = 'Oxidation') AS good FROM mod GROUP BY spec_id) SELECT spec_id FROM m WHERE good AND n >= 8""",
+)
+def common_mods(spark, sf_dir):
+    rows = peptides(spark, sf_dir)
+    return rows.where(converters.only_common_mods(F.col("modifications"), ("Oxidation",)) & (F.char_length("peptide") >= 8)).select("spec_id")
+
+
+@query("library_mods", f"WITH {MOD_ROWS} SELECT spec_id, coalesce(string_agg(pos || '|' || name, '|' ORDER BY pos), '-') AS modifications FROM mod GROUP BY spec_id")
+def library_mods(spark, sf_dir):
+    """Library notation and back."""
+    notation = msp_mods(F.col("peptide"), parse_mods(F.col("modifications")))
+    rows = peptides(spark, sf_dir).select("spec_id", notation.alias("mods"))
+    return rows.select("spec_id", format_mods(converters.msp_to_pairs(F.col("mods"))).alias("modifications"))
+
+
+@query("accession_mods", f"WITH {RESIDUE} SELECT spec_id, coalesce(string_agg(pos || '|Oxidation', '|' ORDER BY pos) FILTER (a = 'M'), '-') AS modifications FROM aa GROUP BY spec_id")
+def accession_mods(spark, sf_dir):
+    cells = F.filter(F.split("peptide", ""), lambda c: c != "")
+    places = F.filter(F.transform(cells, lambda c, i: F.when(c == "M", F.concat(i.cast("string"), F.lit("-MOD:00719")))), lambda x: x.isNotNull())
+    rows = peptides(spark, sf_dir).select("spec_id", F.array_join(places, ",").alias("mods"))
+    return rows.select("spec_id", format_mods(converters.mztab_mods(F.col("mods"), {"MOD:00719": "Oxidation"})).alias("modifications"))
+
+
+@query("mass_check", f"WITH {PRECURSOR} SELECT charge, count(*) AS n, count(*) FILTER (abs(mass - round(mass / 10) * 10) <= 0.5) AS n_good FROM prec GROUP BY charge")
+def mass_check_query(spark, sf_dir):
+    reported = F.round(precursor_mass(F.col("peptide")) / 10) * 10
+    rows = peptides(spark, sf_dir).withColumn("good", converters.mass_check(F.col("peptide"), F.lit(0.0), reported))
+    return _wide(rows.groupBy("charge").agg(F.count(F.lit(1)).alias("n"), F.count_if("good").alias("n_good")))
+
+
+@query("matrix_triangle", "SELECT a.l_returnflag AS flag_1, b.l_returnflag AS flag_2, round(a.m - b.m, 6) AS gap FROM (SELECT l_returnflag, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1) a JOIN (SELECT l_returnflag, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1) b ON a.l_returnflag >= b.l_returnflag")
+def matrix_triangle(spark, sf_dir):
+    """Every pair of groups once, the diagonal included: three flags, so both sides are a few rows."""
+    means = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.avg("l_extendedprice").alias("m"))
+    one, two = means.toDF("flag_1", "m1"), means.toDF("flag_2", "m2")
+    return one.join(two, F.col("flag_1") >= F.col("flag_2")).select("flag_1", "flag_2", F.round(F.col("m1") - F.col("m2"), 6).alias("gap"))
+
+
+@query("scan_mgf_semi", "SELECT event_id FROM events WHERE EXISTS (SELECT 1 FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey = user_id) AND event_type = 'view'")
+def scan_mgf_semi(spark, sf_dir):
+    spectra = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("source_file"), F.col("user_id").alias("title"))
+    wanted = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.lit("view").alias("source_file"), F.col("c_custkey").alias("title"))
+    return converters.select_spectra(spectra, wanted).select("event_id")
+
+
+@query(
+    "psm_percentiles",
+    f"""WITH c AS (SELECT l_linestatus AS status, l_orderkey AS s, {R_SQL} AS r FROM lineitem GROUP BY 1, 2)
+{' UNION ALL '.join(f"SELECT status, CAST({p} AS DOUBLE) AS point, round(quantile_cont(r, {p}), 6) AS value FROM c WHERE r IS NOT NULL GROUP BY status" for p in (0.1, 0.3, 0.5, 0.7, 0.9))}""",
+)
+def psm_percentiles_query(spark, sf_dir):
+    from .plans.training import psm_percentiles
+
+    points = (0.1, 0.3, 0.5, 0.7, 0.9)
+    own = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("status"), F.col("l_orderkey").alias("psmid"), F.col("l_extendedprice").alias("prediction"), (F.col("l_quantity") * F.col("l_discount")).alias("target"))
+    got = psm_percentiles(own, ["status"], points)
+    pairs = F.arrays_zip(F.array(*[F.lit(p) for p in points]).alias("point"), F.col("percentiles").alias("value"))
+    return got.select("status", F.explode(pairs).alias("e")).select("status", "e.point", F.round("e.value", 6).alias("value"))
+
+
+@query(
+    "unlogged_angle",
+    """SELECT l_returnflag AS ion, round(1 - 2 * acos(greatest(-1.0, least(1.0, sum(x * y) / (greatest(sqrt(sum(x * x)), 1e-7) * greatest(sqrt(sum(y * y)), 1e-7))))) / pi(), 6) AS angle
+FROM (SELECT l_returnflag, greatest(pow(2, -l_quantity / 5) - 0.001, 0) AS x, greatest(pow(2, -l_discount * 100) - 0.001, 0) AS y FROM lineitem) GROUP BY 1""",
+)
+def unlogged_angle(spark, sf_dir):
+    x, y = metrics.unlog(-F.col("l_quantity") / 5), metrics.unlog(-F.col("l_discount") * 100)
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("ion"), x.alias("x"), y.alias("y"))
+    return rows.groupBy("ion").agg(F.round(metrics.spectral_angle(F.col("x"), F.col("y")), 6).alias("angle"))
+
+
+@query(
+    "store_modifications",
+    """WITH m AS (SELECT l_orderkey AS s, CAST(l_linenumber + 1 AS INT) AS pos, 'R' || l_returnflag AS name FROM lineitem WHERE l_returnflag <> 'A' UNION ALL SELECT o_orderkey, 0, 'RA' FROM orders WHERE o_orderstatus = 'F')
+SELECT s AS "PeptideID", string_agg(pos || '|' || name, '|' ORDER BY pos, name) AS modifications FROM m GROUP BY s""",
+)
+def store_modifications_query(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'A'")
+    side = lines.select(F.col("l_orderkey").alias("PeptideID"), F.col("l_returnflag").alias("AminoAcidModificationID"), F.col("l_linenumber").alias("Position"))
+    ends = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("PeptideID"), F.lit("A").alias("TerminalModificationID"))
+    names = spark.createDataFrame([(x, "R" + x) for x in "ANR"], "AminoAcidModificationID string, ModificationName string")
+    return converters.store_modifications(side, ends, names)
