@@ -53,7 +53,7 @@ def feature_names(version: str = "general") -> list[str]:
     return names
 
 
-def site_features(peptides: DataFrame, version: str = "general", keep: tuple[str, ...] = ("peptide", "charge")) -> DataFrame:
+def site_features(peptides: DataFrame, version: str = "general", keep: tuple[str, ...] = ("peptide", "charge"), only: set[int] | None = None) -> DataFrame:
     """(keep..., site, features array<int>), one row per site 0 to n-2.
 
     Site i lies behind residue i+1 (1-based): its row predicts ion i+1 of the prefix series and
@@ -63,6 +63,7 @@ def site_features(peptides: DataFrame, version: str = "general", keep: tuple[str
     as alanine; and two places before it as 0. ``ce`` needs a column ce and appends it;
     ``catboost`` puts four residue codes in front.
 
+    With ``only`` the other columns are 0 and cost nothing: a model's tests name what it reads.
     Arrays shared by all sites are columns made before the sites are exploded.
     """
     if version not in N_FEATURES:
@@ -107,4 +108,5 @@ def site_features(peptides: DataFrame, version: str = "general", keep: tuple[str
     if version == "catboost":
         at = F.when(i == 0, 0).otherwise(F.get("r", i - 1))
         out = [F.get("r", F.lit(0)), F.element_at("r", -1), at, F.get("r", i), *out]
-    return ordered.select(*keep, "site", F.array(*[c.cast("int") for c in out]).alias("features"))
+    wanted = [c if only is None or k in only else F.lit(0) for k, c in enumerate(out)]
+    return ordered.select(*keep, "site", F.array(*[c.cast("int") for c in wanted]).alias("features"))

@@ -59,23 +59,32 @@ def _shifted(values: Column, by: float) -> Column:
 
 
 def fragment_ions(
-    peprec: DataFrame, version: str = "general", catalogue: Catalogue | None = None, single: bool = False, keep: tuple[str, ...] = ("spec_id", "charge")
+    peprec: DataFrame, version: str = "general", catalogue: Catalogue | None = None, single: bool = False, keep: tuple[str, ...] = ("spec_id", "charge"), values: dict[str, Column] | None = None
 ) -> DataFrame:
-    """Long table (keep..., ion, ionnumber, mz), one row per ion of each peptide.
+    """Long table (keep..., ion, ionnumber, mz[, prediction]), one row per ion of each peptide.
 
     ``version`` names the ion types: general, etd, ch2 or all (with neutral losses). A null
-    modification string means none. Everything is computed in the row; nothing is shuffled.
+    modification string means none. ``values`` gives, for the ion types it names, array columns
+    with one prediction for each ion; other types are left out then. Everything is computed in the
+    row; nothing is shuffled.
     """
-    kept = [F.col(c) for c in keep]
-    parsed = peprec.select(*kept, residue_masses(F.col("peptide"), FRAGMENT_MASS).alias("masses"), (parse_mods(F.col("modifications")) if "modifications" in peprec.columns else F.array().cast("array<struct<pos:int,name:string>>")).alias("pairs"))
+    carried = {} if values is None else {f"_v{k}": v for k, v in enumerate(values.values())}
+    pairs = parse_mods(F.col("modifications")) if "modifications" in peprec.columns else F.array().cast("array<struct<pos:int,name:string>>")
+    parsed = peprec.select(*keep, residue_masses(F.col("peptide"), FRAGMENT_MASS).alias("masses"), pairs.alias("pairs"), *[v.alias(n) for n, v in carried.items()])
     masses, n_term, c_term = modified_masses(F.col("masses"), F.col("pairs"), catalogue or Catalogue())
-    placed = parsed.select(*keep, masses.alias("masses"), n_term.alias("n_term"), c_term.alias("c_term"))
+    placed = parsed.select(*keep, masses.alias("masses"), n_term.alias("n_term"), c_term.alias("c_term"), *carried)
+    ladder = lambda s: _ladder(F.col("masses"), F.col("n_term"), F.col("c_term"), s, single)
     names = ["B", "Y", "B2", "Y2"] if version == "all" else PEAK_VERSIONS[version]
-    series = [F.struct(F.lit(s).alias("ion"), _ladder(F.col("masses"), F.col("n_term"), F.col("c_term"), s, single).alias("mz")) for s in names]
+    made = {s: ladder(s) for s in names}
     if version == "all":
         for name, (base, offset) in SIDE_SERIES.items():
-            for z in (1, 2):
-                own = _ladder(F.col("masses"), F.col("n_term"), F.col("c_term"), base if z == 1 else base + "2", single)
-                series.append(F.struct(F.lit(name + "2" * (z == 2)).alias("ion"), _shifted(own, offset / z).alias("mz")))
-    long = placed.select(*keep, F.explode(F.array(*series)).alias("s")).select(*keep, F.col("s.ion").alias("ion"), F.posexplode("s.mz").alias("k", "mz"))
-    return long.select(*keep, "ion", (F.col("k") + 1).cast("int").alias("ionnumber"), "mz")
+            made[name], made[name + "2"] = _shifted(ladder(base), offset), _shifted(ladder(base + "2"), offset / 2)
+    if values is None:
+        series = [F.struct(F.lit(s).alias("ion"), mz.alias("mz")) for s, mz in made.items()]
+        cells, columns = F.posexplode("s.mz").alias("k", "mz"), ["mz"]
+    else:
+        held = dict(zip(values, carried))
+        series = [F.struct(F.lit(s).alias("ion"), F.arrays_zip(mz.alias("mz"), F.col(held[s]).alias("prediction")).alias("pairs")) for s, mz in made.items() if s in held]
+        cells, columns = F.posexplode("s.pairs").alias("k", "p"), ["p.mz", "p.prediction"]
+    long = placed.select(*keep, F.explode(F.array(*series)).alias("s")).select(*keep, F.col("s.ion").alias("ion"), cells)
+    return long.select(*keep, "ion", (F.col("k") + 1).cast("int").alias("ionnumber"), *columns)

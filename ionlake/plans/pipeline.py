@@ -20,7 +20,7 @@ from ..operators.windows import match_spectra as match_tables
 from ..operators.windows import stable_split, top_peaks
 from ..sinks.libraries import write_results
 from .config import LABELS, LibraryConfig, model
-from .trees import score_sites, site_predictions
+from .trees import peptide_predictions, score_sites
 
 #: A retention-time predictor: records in, records with a column rt out.
 RetentionPredictor = Callable[[DataFrame], DataFrame]
@@ -57,12 +57,14 @@ def predict(peprec: DataFrame, nodes: pd.DataFrame, catalogue: Catalogue | None
     if features == "ce":
         rows = rows.withColumn("ce", F.coalesce(F.col("ce"), F.lit(30)) if "ce" in rows.columns else F.lit(30))
     rows = rows.withColumn("scored", F.translate("peptide", "L", "I"))
-    distinct = rows.select(*key).distinct().withColumn("peptide", F.col("scored"))
-    scored = score_sites(site_features(distinct, features, tuple(key)), nodes, tuple(key))
-    values = site_predictions(scored, tuple(key), F.char_length("scored"))
-    ions = fragment_ions(rows, version, catalogue, keep=("spec_id", *key))
-    joined = ions.join(values, [*key, "ion", "ionnumber"])
-    return joined.select("spec_id", "charge", "ion", "ionnumber", "mz", "prediction")
+    # few bytes but much work a row: dealt to a fixed number of tasks, which small results are not merged into
+    tasks = int(peprec.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = rows.select(*key).distinct().repartition(tasks, *key).withColumn("peptide", F.col("scored"))
+    read = {int(k) for k in nodes["feature"].dropna()}
+    scored = score_sites(site_features(distinct, features, tuple(key), read), nodes, tuple(key))
+    joined = rows.join(peptide_predictions(scored, tuple(key)), key)
+    ions = {c[2:]: F.col(c) for c in scored.columns if c.startswith("p_")}
+    return fragment_ions(joined, version, catalogue, values=ions)
 
 
 def with_targets(

@@ -100,14 +100,15 @@ def score_sites(sites: DataFrame, nodes: pd.DataFrame, keep: tuple[str, ...]) ->
     return sites.select(*keep, "site", "features").mapInArrow(score, kind)
 
 
-def site_predictions(scored: DataFrame, keep: tuple[str, ...], lengths: Column) -> DataFrame:
-    """(keep..., ion, ionnumber, prediction): prefix ions count from the start, suffix ions from the end."""
-    ions = [c[2:] for c in scored.columns if c.startswith("p_")]
-    i = F.col("site")
-    rows = F.array(
-        *[F.struct(F.lit(ion).alias("ion"), (i + 1 if ion[0] in "ABC" else lengths - 1 - i).cast("int").alias("ionnumber"), F.col(f"p_{ion}").alias("prediction")) for ion in ions]
-    )
-    return scored.select(*keep, F.explode(rows).alias("e")).select(*keep, "e.ion", "e.ionnumber", "e.prediction")
+def peptide_predictions(scored: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """(keep..., an array p_<ion> for each ion type): one row per peptide, values in ion order.
+
+    Prefix ions count from the first site, suffix ions from the last.
+    """
+    names = [c for c in scored.columns if c.startswith("p_")]
+    gathered = scored.groupBy(*keep).agg(F.sort_array(F.collect_list(F.struct("site", *names))).alias("s"))
+    own = lambda c: F.col(f"s.{c}") if c[2] in "ABC" else F.reverse(F.col(f"s.{c}"))
+    return gathered.select(*keep, *[own(c).alias(c) for c in names])
 
 
 def importance(nodes: DataFrame) -> DataFrame:
