@@ -54,3 +54,21 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def slices(batch, column: str, rows: int = 1000, size: int = 2 << 20):
+    """Consecutive parts of an Arrow batch with at most ``rows`` rows and about ``size`` bytes of ``column``.
+
+    A single longer value is a part of its own, so memory follows the longest text and no more.
+    """
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    start, held = 0, 0
+    for k, n in enumerate(lengths):
+        if k > start and (k - start >= rows or held + n > size):
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
