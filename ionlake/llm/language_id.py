@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, text_or_empty
+from .common import fold, slices, text_or_empty
 
 #: Documented bound of the training sample: documents of each language, windows of each, words of those.
 SAMPLE_DOCS, WINDOWS, WINDOW_WORDS = 800, 6, 16
@@ -233,8 +233,7 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         known: dict[str, int] = {}
         table = np.zeros((0, len(languages)), np.float32)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                own = batch.slice(k, 1000)
+            for own in slices(batch, "text"):
                 n = own.num_rows
                 words = [[w for w in words_of(t)] for t in own.column("text").to_pylist()]
                 words = [ws if any(c.isalpha() for w in ws for c in w) else [] for ws in words]

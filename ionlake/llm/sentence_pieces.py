@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_or_empty
+from .common import slices, text_or_empty
 
 MARK = "▁"
 #: Shift of the rank law, and what an uncovered character costs below the worst piece.
@@ -284,8 +284,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         is_byte = np.zeros(len(encoder.pieces.text), bool)
         is_byte[encoder.pieces.byte_ids] = True
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                own = batch.slice(k, 500)
+            for own in slices(batch, "text", 500):
                 texts = own.column("text").to_pylist()
                 rows = []
                 for t, (ids, score) in zip(texts, encoder.encode(texts)):
