@@ -59,7 +59,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens."""
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # a small cache: the workers have served the stages before
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cache_chunks=250_000)
 
 
 STAGES = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -72,3 +73,19 @@ def slices(batch, column: str, rows: int = 1000, size: int = 2 << 20):
         held += n
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+_state: dict = {}
+
+
+def worker_state(owner: str, make):
+    """What ``make`` gives, kept in this Python worker for later tasks of the same owner.
+
+    A worker holds one owner's state: tasks of another operator drop it, so caches that tasks
+    share do not add up over the operators that a worker serves.
+    """
+    if owner not in _state:
+        _state.clear()
+        gc.collect()
+        _state[owner] = make()
+    return _state[owner]

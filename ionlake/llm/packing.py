@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_checkpoint, text_or_empty
+from .common import shared_checkpoint, slices, text_or_empty, worker_state
 
 CAPACITY = 4096
 SEPARATOR = 1
@@ -41,13 +41,14 @@ class ChunkEncoder:
     encoded many at a time as one text, all others each by itself.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, cache_chunks: int = CACHE_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {"": b""}
+        self.most = cache_chunks
 
     def _one(self, chunks: list[str]) -> dict[str, bytes]:
         got = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
@@ -84,7 +85,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         # A-Z alone are lowered here; the tokenizer lowers the rest its own way
         split = [t.encode().lower().decode().replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHE_CHUNKS:  # the newer half stays
+        if len(self.cache) > self.most:  # the newer half stays
             items = list(self.cache.items())
             self.cache = dict(items[len(items) // 2 :])
             self.cache[""] = b""
@@ -93,24 +94,13 @@ class ChunkEncoder:
         return [b"".join(map(get, words)) for words in split]
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
-def _encoder(vocabulary: str) -> ChunkEncoder:
-    """One for each Python worker, so that tasks share its cache."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = ChunkEncoder(vocabulary)
-    return _encoders[vocabulary]
-
-
-def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int, id_col: str, text_col: str) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int, id_col: str, text_col: str, cache_chunks: int) -> DataFrame:
     """Pieces of each document: its ids, then the separator, cut every ``capacity`` tokens."""
 
     def cut(batches):
-        encoder = _encoder(vocabulary)
+        encoder = worker_state(f"{cache_chunks} chunks of {vocabulary}", lambda: ChunkEncoder(vocabulary, cache_chunks))  # tasks share its cache
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
+            for part in slices(batch, "text", 500):
                 ids, rows = part.column("id").to_pylist(), []
                 for doc, data in zip(ids, encoder.encode(part.column("text").to_pylist())):
                     data += SEPARATOR.to_bytes(4, "little")
@@ -194,15 +184,16 @@ def _pack_group(capacity: int, round_no: int):
 
 
 def pack_documents(
-    docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES
+    docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES, cache_chunks: int = CACHE_CHUNKS
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are a separator alone. Only a document of more than ``capacity`` tokens
     is cut. Rows that repeat an id are packed each by itself; an empty table gives an empty
-    result. ``vocabulary`` is the tokenizer's file, which every machine must have.
+    result. ``vocabulary`` is the tokenizer's file, which every machine must have; a worker's
+    cache holds ``cache_chunks`` entries of about 200 bytes and trades memory for time alone.
     """
-    pieces = shared_checkpoint(tokenized_pieces(docs, vocabulary, capacity, id_col, text_col))
+    pieces = shared_checkpoint(tokenized_pieces(docs, vocabulary, capacity, id_col, text_col, cache_chunks))
     by_length = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in by_length.items():

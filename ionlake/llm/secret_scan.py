@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import slices, text_or_empty, worker_state
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(
@@ -71,11 +71,12 @@ def _pairs(tokens: list[bytes]) -> np.ndarray:
 
 def _count_pairs(batches):
     """Per partition: symbol pairs of ordinary tokens (label 0) and of the patterns' values (1)."""
+    worker_state("symbol pairs", dict)  # drops what other operators kept in this worker
     counts = [np.zeros(SYMBOLS * SYMBOLS, np.int64), np.zeros(SYMBOLS * SYMBOLS, np.int64)]
     for batch in batches:
-        for k in range(0, batch.num_rows, 500):
+        for part in slices(batch, "text", 500):
             ordinary, values = [], []
-            for data in batch.slice(k, 500).column("text").to_pylist():
+            for data in part.column("text").to_pylist():
                 tokens = data.translate(_blank_others).split()
                 text = data.decode() if len(data) else ""
                 spans = base_spans(text, data, tokens)
@@ -155,8 +156,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def scan(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                own = batch.slice(k, 500)
+            for own in slices(batch, "text", 500):
                 counts, digests, lists = [], [], []
                 for data in own.column("text").to_pylist():
                     base, spans = find_secrets(data.decode(), data, table)
@@ -190,8 +190,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", table: np.ndarray |
 
     def redact(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                own = batch.slice(k, 500)
+            for own in slices(batch, text_col, 500):
                 texts = [None if t is None else clean(t.encode()).decode() for t in own.column(text_col).to_pylist()]
                 yield own.set_column(own.schema.get_field_index(text_col), own.schema.field(text_col), pa.array(texts, pa.string()))
 
