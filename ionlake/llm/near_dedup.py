@@ -11,9 +11,9 @@ is worst off, so long documents cost little more than their first points.
 Candidates: BANDS bands of the signature are bucket keys. Texts with equal words are one node
 before that. A bucket links its members to its smallest node; links are verified on the true
 multisets, one link a node first, then the others of nodes that this one did not take. In buckets
-that hold several components after that, all likely pairs across them are verified inside the
-bucket's task, large buckets being refined by further bands first; what comes out is links, fewer
-than members. No pair is left out for the size of its bucket.
+that hold several components after that, all likely pairs across them are verified inside tasks, a
+bucket each or, of large buckets, a pair of blocks each; what comes out is links, fewer than
+members. No pair is left out for the size of its bucket.
 """
 
 from __future__ import annotations
@@ -31,10 +31,10 @@ from .common import shared_checkpoint, shared_table, slices, text_or_empty, work
 
 SHINGLE, SIMILARITY = 5, 0.8
 M, BANDS = 64, 16
-#: A candidate pair is dropped unverified when under M * ESTIMATE components agree: four deviations below 0.8.
-ESTIMATE = 0.6
-#: Buckets of more members are refined by further bands before their pairs are formed, up to REFINED times.
-FEW, REFINED = 2048, 4
+#: A candidate pair is dropped unverified when under M * ESTIMATE components agree: six deviations below 0.8.
+ESTIMATE = 0.5
+#: A task compares at most FEW members. Larger buckets are cut into blocks of FEW // 2, compared pair by pair.
+FEW = 2048
 #: Members verified against one copy of a leader's text.
 MEMBERS = 2000
 CACHE_WORDS = 300_000
@@ -309,18 +309,19 @@ def _groups(batches, columns: list[str]):
 
 
 def _likely_pairs(rows: list[list], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, agreeing components) of a bucket's (comp, key, size, sig, ...) rows in different components.
+    """(i, j, agreeing components) of a task's (side, comp, key, size, sig, ...) rows in different components.
 
-    A block of members is compared with the bucket at a time.
+    Rows of two blocks have sides 1 and 2 and meet across these only.
     """
-    n, sizes = len(rows), np.array([r[2] for r in rows], np.float64)
-    comp = np.unique([r[0] for r in rows], return_inverse=True)[1]
-    signature = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(n, M)
+    n, sizes = len(rows), np.array([r[3] for r in rows], np.float64)
+    side = np.array([r[0] for r in rows])
+    comp = np.unique([r[1] for r in rows], return_inverse=True)[1]
+    signature = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(n, M)
     found = [np.zeros((3, 0), np.int64)]
     for k in range(0, n, 256):
         own = np.arange(k, min(k + 256, n))
         near = np.minimum(sizes[own, None], sizes) >= similarity * np.maximum(sizes[own, None], sizes)
-        near &= (comp[own, None] != comp) & (own[:, None] < np.arange(n))
+        near &= (comp[own, None] != comp) & (own[:, None] < np.arange(n)) & ((side == 0) | (side[own, None] != side))
         i, j = np.nonzero(near)
         for c in range(0, len(i), 1 << 17):
             x, y = i[c : c + (1 << 17)] + k, j[c : c + (1 << 17)]
@@ -331,37 +332,37 @@ def _likely_pairs(rows: list[list], similarity: float) -> tuple[np.ndarray, np.n
 
 
 def _likely_members(similarity: float):
-    """(band, key) of the members of sorted buckets that have a likely partner in another component."""
+    """(task, key) of the members of sorted tasks that have a likely partner in another component."""
 
     def scan(batches):
-        for band, rows in _groups(batches, ["band", "comp", "key", "size", "sig"]):
+        for task, rows in _groups(batches, ["task", "side", "comp", "key", "size", "sig"]):
             i, j, _ = _likely_pairs(rows, similarity)
             own = np.unique(np.concatenate([i, j])).tolist()
             if own:
-                yield pa.RecordBatch.from_arrays([pa.array([band] * len(own), pa.int64()), pa.array([rows[k][1] for k in own], pa.binary())], names=["band", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array([task] * len(own), pa.int64()), pa.array([rows[k][2] for k in own], pa.binary())], names=["task", "key"])
 
     return scan
 
 
 def _bucket_links(similarity: float):
-    """Verified links that join the components of sorted buckets, likeliest pairs first.
+    """Verified links that join the components of sorted tasks, likeliest pairs first.
 
-    A pair whose components earlier links of its bucket have joined is skipped, so a bucket gives
+    A pair whose components earlier links of its task have joined is skipped, so a task gives
     fewer links than it has members.
     """
 
     def verify(batches):
-        for _, rows in _groups(batches, ["band", "comp", "key", "size", "sig", "text"]):
+        for _, rows in _groups(batches, ["task", "side", "comp", "key", "size", "sig", "text"]):
             i, j, agree = _likely_pairs(rows, similarity)
             if not len(i):
                 continue
             bags = []
             for k in range(0, len(rows), 200):
-                part = [_words(r[4]) for r in rows[k : k + 200]]
+                part = [_words(r[5]) for r in rows[k : k + 200]]
                 doc, shingle, weight = shingle_multisets(part)
                 cut = np.searchsorted(doc, np.arange(len(part) + 1))
                 bags += [(shingle[x:y], weight[x:y]) for x, y in zip(cut[:-1], cut[1:])]
-            root = {r[0]: r[0] for r in rows}
+            root = {r[1]: r[1] for r in rows}
 
             def find(c):
                 while root[c] != c:
@@ -372,10 +373,10 @@ def _bucket_links(similarity: float):
             found = []
             order = np.argsort(-agree, kind="stable")
             for x, y in zip(i[order].tolist(), j[order].tolist()):
-                a, b = find(rows[x][0]), find(rows[y][0])
+                a, b = find(rows[x][1]), find(rows[y][1])
                 if a != b and multiset_similarity(bags[x], bags[y]) >= similarity:
                     root[max(a, b)] = min(a, b)
-                    found.append((rows[x][1], rows[y][1]))
+                    found.append((rows[x][2], rows[y][2]))
             if found:
                 a, b = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["leader", "key"])
@@ -383,31 +384,55 @@ def _bucket_links(similarity: float):
     return verify
 
 
+def _cut(members: int):
+    """Sorted rows with the number of their block: consecutive rows of a bucket, at most ``members``."""
+
+    def cut(batches):
+        block, name, held = TaskContext.get().partitionId() << 33, None, 0
+        for batch in batches:
+            numbers = []
+            for own in batch.column("band").to_pylist():
+                if own != name or held >= members:
+                    block, name, held = block + 1, own, 0
+                held += 1
+                numbers.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, "block"])
+
+    return cut
+
+
+def _block_tasks(large: DataFrame, similarity: float) -> DataFrame:
+    """The rows of large buckets in tasks, one for each pair of a bucket's blocks (and each block alone).
+
+    Blocks follow the sizes, so pairs of blocks whose sizes are too far apart are left out.
+    """
+    order = ["band", "size", "key"]
+    kind = large.schema.simpleString()[len("struct<") : -1] + ",block:bigint"
+    blocks = shared_table(large.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_cut(max(1, FEW // 2)), kind), "blocks")
+    spans = blocks.groupBy("band", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    other = spans.select("band", F.col("block").alias("then"), F.col("low").alias("then_low"), F.col("high").alias("then_high"))
+    pairs = spans.join(other, "band").where((F.col("block") <= F.col("then")) & (F.col("high") >= similarity * F.col("then_low")) & (F.col("then_high") >= similarity * F.col("low")))
+    one, two = F.struct(F.col("block"), F.lit(1).alias("side")), F.struct(F.col("then").alias("block"), F.lit(2).alias("side"))
+    alone = F.struct(F.col("block"), F.lit(0).alias("side"))
+    dealt = pairs.select(F.xxhash64("block", "then").alias("task"), F.explode(F.when(F.col("block") == F.col("then"), F.array(alone)).otherwise(F.array(one, two))).alias("own")).select("task", "own.block", "own.side")
+    return blocks.join(dealt, "block").select("task", "side", "comp", "key", "size", "sig")
+
+
 def _crossing_links(members: DataFrame, nodes: DataFrame, components: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Verified links between members of one bucket in different components, stored.
 
     Members of buckets with several components meet inside a task: first their signatures, to find
     the members that have a likely partner, then those members' texts. All likely pairs across
     components are verified there; only links come out. A bucket of more than FEW members, such as
-    the texts that share a long passage, is refined first: its members are dealt to sub-buckets by
-    each later band, so a pair has to share one more band there (of 6.5 it shares on average at
-    similarity 0.8), up to REFINED times. Rows grow with the members, never with pairs.
+    the texts that share a long passage, is cut into blocks and every pair of blocks is a task.
     """
-    rest = _with_component(members.select("band", "at", "key", "size"), "key", components, "comp")
-    bands, signatures = nodes.select("key", "bands"), nodes.select("key", "sig")
-    links = None
-    for depth in range(REFINED + 1):
-        parts = rest.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        mixed = shared_checkpoint(rest.join(parts.select("band", "n"), "band"))
-        few = mixed if depth == REFINED else mixed.where(F.col("n") <= FEW)
-        signed = few.join(signatures, "key").select("band", "comp", "key", "size", "sig")
-        likely = signed.repartition("band").sortWithinPartitions("band").mapInArrow(_likely_members(similarity), "band long, key binary")
-        full = signed.join(likely, ["band", "key"]).join(texts, "key").select("band", "comp", "key", "size", "sig", "text")
-        own = shared_checkpoint(full.repartition("band").sortWithinPartitions("band").mapInArrow(_bucket_links(similarity), "leader binary, key binary"))
-        links = own if links is None else links.union(own)
-        many = mixed.where(F.col("n") > FEW)
-        if depth == REFINED or many.isEmpty():
-            break
-        dealt = many.join(bands, "key").select("band", "at", "key", "size", "comp", F.posexplode("bands").alias("then", "other")).where("then > at")
-        rest = shared_checkpoint(dealt.select(F.xxhash64("band", "other").alias("band"), F.col("then").alias("at"), "key", "size", "comp"))
-    return links
+    rest = _with_component(members.select("band", "key", "size"), "key", components, "comp")
+    parts = rest.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    mixed = shared_table(rest.join(parts.select("band", "n"), "band").join(nodes.select("key", "sig"), "key"), "mixed")
+    tasks = mixed.where(F.col("n") <= FEW).select(F.col("band").alias("task"), F.lit(0).alias("side"), "comp", "key", "size", "sig")
+    large = mixed.where(F.col("n") > FEW)
+    if not large.isEmpty():
+        tasks = tasks.union(_block_tasks(large, similarity))
+    likely = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_likely_members(similarity), "task long, key binary")
+    full = tasks.join(likely, ["task", "key"]).join(texts, "key").select("task", "side", "comp", "key", "size", "sig", "text")
+    return shared_checkpoint(full.repartition("task").sortWithinPartitions("task").mapInArrow(_bucket_links(similarity), "leader binary, key binary"))

@@ -313,6 +313,26 @@ def test_near_dedup(docs, rows):
     assert sum(kept.values()) == len(classes)
 
 
+def test_near_dedup_compares_all_of_a_large_bucket(spark, monkeypatch):
+    """Near pairs among texts on one shared passage are found with buckets far larger than a task."""
+    import random
+
+    from ionlake.llm import near_dedup as module
+
+    monkeypatch.setattr(module, "FEW", 8)
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage, made = fresh(90), []
+    for k in range(150):
+        own = fresh(25)
+        changed = list(own)
+        for at in (4, 12, 23):  # twelve of 111 shingles: similarity 99 / 123
+            changed[at] = "other"
+        made += [(2 * k, " ".join(passage + own)), (2 * k + 1, " ".join(passage + changed))]
+    got = {r.doc_id: r.class_id for r in near_dedup(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == brute.near_classes(made)
+
+
 def test_bag_min_hash_is_unbiased():
     rng = np.random.default_rng(2)
     base = [b"w%d" % k for k in rng.integers(0, 40, 300)]
