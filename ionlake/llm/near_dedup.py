@@ -33,8 +33,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 M, BANDS = 64, 16
 #: A candidate pair is dropped unverified when under M * ESTIMATE components agree: six deviations below 0.8.
 ESTIMATE = 0.5
-#: A task compares at most FEW members. Larger buckets are cut into blocks of FEW // 2, compared pair by pair.
-FEW = 2048
+#: A task compares at most FEW members of at most TASK_BYTES of text. Larger buckets are cut into blocks of half of that, compared pair by pair.
+FEW, TASK_BYTES = 2048, 8 << 20
 #: Members verified against one copy of a leader's text.
 MEMBERS = 2000
 CACHE_WORDS = 300_000
@@ -146,11 +146,13 @@ def _sign(batches):
             doc, shingle, weight = shingle_multisets(words)
             signature = bag_min_hash(doc, shingle, weight, len(words))
             size = np.bincount(doc, weight, len(words)).astype(np.int64)
-            bands = band_keys(signature)
+            # of the bits that are kept, so that equal ones tell that two texts share a band
+            bands = band_keys(signature >> np.uint64(48))
             short = (signature >> np.uint64(48)).astype(np.uint16)
+            length = [sum(map(len, w)) + len(w) for w in words]
             yield pa.RecordBatch.from_arrays(
-                [own.column("id"), pa.array(keys, pa.binary()), pa.array(size), pa.ListArray.from_arrays(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32), pa.array(bands.ravel())), pa.array([x.tobytes() for x in short], pa.binary()), pa.array(range(row, row + len(words)), pa.int64())],
-                names=["id", "key", "size", "bands", "sig", "row"],
+                [own.column("id"), pa.array(keys, pa.binary()), pa.array(size), pa.ListArray.from_arrays(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32), pa.array(bands.ravel())), pa.array([x.tobytes() for x in short], pa.binary()), pa.array(range(row, row + len(words)), pa.int64()), pa.array(length, pa.int64())],
+                names=["id", "key", "size", "bands", "sig", "row", "bytes"],
             )
             row += len(words)
 
@@ -247,12 +249,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].alias("id"), text_or_empty(docs[text_col]).cast("binary").alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    signed = shared_table(rows.mapInArrow(_sign, f"id {id_type}, key binary, size long, bands array<long>, sig binary, row long"), "signed")
-    nodes = shared_table(signed.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
+    signed = shared_table(rows.mapInArrow(_sign, f"id {id_type}, key binary, size long, bands array<long>, sig binary, row long, bytes long"), "signed")
+    nodes = shared_table(signed.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("bytes").alias("bytes")), "nodes")
 
-    banded = nodes.where("size > 0").select("key", "size", F.posexplode("bands").alias("at", "band"))
+    banded = nodes.where("size > 0").select("key", "size", "bytes", F.posexplode("bands").alias("at", "band"))
     heads = banded.groupBy("band").agg(F.min(F.struct("key", "size")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = shared_table(banded.join(heads, "band").select("band", "at", "key", "size", F.col("head.key").alias("leader"), F.col("head.size").alias("leader_size")), "members")
+    members = shared_table(banded.join(heads, "band").select("band", "at", "key", "size", "bytes", F.col("head.key").alias("leader"), F.col("head.size").alias("leader_size")), "members")
     # the overlap is at most the smaller size, so sizes too far apart cannot be similar
     near = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b)
     links = shared_checkpoint(members.where((F.col("key") != F.col("leader")) & near(F.col("size"), F.col("leader_size"))).select("leader", "key").distinct())
@@ -282,13 +284,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _node_texts(rows: DataFrame, picked: DataFrame) -> DataFrame:
-    """(key, text) of the picked nodes, from one row each, stored."""
+    """(key, text) of the picked nodes, from one row each with single blanks, stored."""
 
     def match(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            own = [hashlib.blake2b(b" ".join(_words(t)), digest_size=16).digest() == k for t, k in zip(texts, batch.column("key").to_pylist())]
-            yield batch.select(["key", "text"]).filter(pa.array(own, pa.bool_()))
+            for part in slices(batch, "text", 500, 1 << 20):
+                texts = [b" ".join(_words(t)) for t in part.column("text").to_pylist()]
+                own = [hashlib.blake2b(t, digest_size=16).digest() == k for t, k in zip(texts, part.column("key").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(texts, pa.binary())], names=["key", "text"]).filter(pa.array(own, pa.bool_()))
 
     met = rows.join(picked.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("node_id"))).select("key", "text")
     return shared_table(met.mapInArrow(match, "key binary, text binary").dropDuplicates(["key"]), "texts")
@@ -309,11 +312,12 @@ def _groups(batches, columns: list[str]):
 
 
 def _likely_pairs(rows: list[list], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, agreeing components) of a task's (side, comp, key, size, sig, ...) rows in different components.
+    """(i, j, agreeing components) of a task's (side, comp, key, size, sig, at, ...) rows in different components.
 
-    Rows of two blocks have sides 1 and 2 and meet across these only.
+    Rows of two blocks have sides 1 and 2 and meet across these only. A pair that shares an
+    earlier band than the task's is left to that one.
     """
-    n, sizes = len(rows), np.array([r[3] for r in rows], np.float64)
+    n, sizes, at = len(rows), np.array([r[3] for r in rows], np.float64), rows[0][5]
     side = np.array([r[0] for r in rows])
     comp = np.unique([r[1] for r in rows], return_inverse=True)[1]
     signature = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(n, M)
@@ -325,8 +329,9 @@ def _likely_pairs(rows: list[list], similarity: float) -> tuple[np.ndarray, np.n
         i, j = np.nonzero(near)
         for c in range(0, len(i), 1 << 17):
             x, y = i[c : c + (1 << 17)] + k, j[c : c + (1 << 17)]
-            agree = (signature[x] == signature[y]).sum(1)
-            hit = agree >= M * ESTIMATE
+            same = signature[x] == signature[y]
+            agree = same.sum(1)
+            hit = (agree >= M * ESTIMATE) & ~same.reshape(len(x), BANDS, M // BANDS)[:, :at].all(2).any(1)
             found.append(np.stack([x[hit], y[hit], agree[hit]]))
     return tuple(np.concatenate(found, 1))
 
@@ -335,7 +340,7 @@ def _likely_members(similarity: float):
     """(task, key) of the members of sorted tasks that have a likely partner in another component."""
 
     def scan(batches):
-        for task, rows in _groups(batches, ["task", "side", "comp", "key", "size", "sig"]):
+        for task, rows in _groups(batches, ["task", "side", "comp", "key", "size", "sig", "at"]):
             i, j, _ = _likely_pairs(rows, similarity)
             own = np.unique(np.concatenate([i, j])).tolist()
             if own:
@@ -352,13 +357,13 @@ def _bucket_links(similarity: float):
     """
 
     def verify(batches):
-        for _, rows in _groups(batches, ["task", "side", "comp", "key", "size", "sig", "text"]):
+        for _, rows in _groups(batches, ["task", "side", "comp", "key", "size", "sig", "at", "text"]):
             i, j, agree = _likely_pairs(rows, similarity)
             if not len(i):
                 continue
             bags = []
             for k in range(0, len(rows), 200):
-                part = [_words(r[5]) for r in rows[k : k + 200]]
+                part = [_words(r[6]) for r in rows[k : k + 200]]
                 doc, shingle, weight = shingle_multisets(part)
                 cut = np.searchsorted(doc, np.arange(len(part) + 1))
                 bags += [(shingle[x:y], weight[x:y]) for x, y in zip(cut[:-1], cut[1:])]
@@ -384,17 +389,20 @@ def _bucket_links(similarity: float):
     return verify
 
 
-def _cut(members: int):
-    """Sorted rows with the number of their block: consecutive rows of a bucket, at most ``members``."""
+def _cut(members: int, size: int):
+    """Sorted rows with the number of their block: consecutive rows of a bucket, alike in ``main``.
+
+    A block has at most ``members`` rows and ``size`` bytes of text; a longer text is one alone.
+    """
 
     def cut(batches):
-        block, name, held = TaskContext.get().partitionId() << 33, None, 0
+        block, name, rows, held = TaskContext.get().partitionId() << 33, None, 0, 0
         for batch in batches:
             numbers = []
-            for own in batch.column("band").to_pylist():
-                if own != name or held >= members:
-                    block, name, held = block + 1, own, 0
-                held += 1
+            for *own, n in zip(*(batch.column(c).to_pylist() for c in ("band", "main", "bytes"))):
+                if own != name or rows >= members or held + n > size:
+                    block, name, rows, held = block + 1, own, 0, 0
+                rows, held = rows + 1, held + n
                 numbers.append(block)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, "block"])
 
@@ -404,18 +412,25 @@ def _cut(members: int):
 def _block_tasks(large: DataFrame, similarity: float) -> DataFrame:
     """The rows of large buckets in tasks, one for each pair of a bucket's blocks (and each block alone).
 
-    Blocks follow the sizes, so pairs of blocks whose sizes are too far apart are left out.
+    The members of a bucket's largest component have blocks of their own, which never meet each
+    other: of a family of near copies with few outsiders each member travels once for each block
+    of outsiders. Blocks follow the sizes, so pairs whose sizes are too far apart are left out.
     """
-    order = ["band", "size", "key"]
+    counts = large.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.groupBy("band").agg(F.max(F.struct("n", "comp"))["comp"].alias("most"))
+    large = large.join(most, "band").select("band", (F.col("comp") == F.col("most")).alias("main"), "at", "comp", "key", "size", "bytes", "sig")
+    order = ["band", "main", "size", "key"]
     kind = large.schema.simpleString()[len("struct<") : -1] + ",block:bigint"
-    blocks = shared_table(large.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_cut(max(1, FEW // 2)), kind), "blocks")
-    spans = blocks.groupBy("band", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    other = spans.select("band", F.col("block").alias("then"), F.col("low").alias("then_low"), F.col("high").alias("then_high"))
-    pairs = spans.join(other, "band").where((F.col("block") <= F.col("then")) & (F.col("high") >= similarity * F.col("then_low")) & (F.col("then_high") >= similarity * F.col("low")))
+    blocks = shared_table(large.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_cut(max(1, FEW // 2), TASK_BYTES // 2), kind), "blocks")
+    spans = blocks.groupBy("band", "main", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    other = spans.select("band", F.col("main").alias("then_main"), F.col("block").alias("then"), F.col("low").alias("then_low"), F.col("high").alias("then_high"))
+    pairs = spans.join(other, "band").where(
+        (F.col("block") <= F.col("then")) & ~(F.col("main") & F.col("then_main")) & (F.col("high") >= similarity * F.col("then_low")) & (F.col("then_high") >= similarity * F.col("low"))
+    )
     one, two = F.struct(F.col("block"), F.lit(1).alias("side")), F.struct(F.col("then").alias("block"), F.lit(2).alias("side"))
     alone = F.struct(F.col("block"), F.lit(0).alias("side"))
     dealt = pairs.select(F.xxhash64("block", "then").alias("task"), F.explode(F.when(F.col("block") == F.col("then"), F.array(alone)).otherwise(F.array(one, two))).alias("own")).select("task", "own.block", "own.side")
-    return blocks.join(dealt, "block").select("task", "side", "comp", "key", "size", "sig")
+    return blocks.join(dealt, "block").select("task", "side", "comp", "key", "size", "sig", "at", "bytes")
 
 
 def _crossing_links(members: DataFrame, nodes: DataFrame, components: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -423,16 +438,19 @@ def _crossing_links(members: DataFrame, nodes: DataFrame, components: DataFrame,
 
     Members of buckets with several components meet inside a task: first their signatures, to find
     the members that have a likely partner, then those members' texts. All likely pairs across
-    components are verified there; only links come out. A bucket of more than FEW members, such as
-    the texts that share a long passage, is cut into blocks and every pair of blocks is a task.
+    components are verified there; only links come out. A bucket of more than FEW members or
+    TASK_BYTES, such as the texts that share a long passage, is cut into blocks and every pair of
+    blocks is a task, so no task holds more. The leaders, tried before, stand for their components:
+    what they joined does not come here.
     """
-    rest = _with_component(members.select("band", "key", "size"), "key", components, "comp")
-    parts = rest.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    mixed = shared_table(rest.join(parts.select("band", "n"), "band").join(nodes.select("key", "sig"), "key"), "mixed")
-    tasks = mixed.where(F.col("n") <= FEW).select(F.col("band").alias("task"), F.lit(0).alias("side"), "comp", "key", "size", "sig")
-    large = mixed.where(F.col("n") > FEW)
+    rest = _with_component(members.select("band", "at", "key", "size", "bytes"), "key", components, "comp")
+    parts = rest.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    mixed = shared_table(rest.join(parts.select("band", "n", "held"), "band").join(nodes.select("key", "sig"), "key"), "mixed")
+    small = (F.col("n") <= FEW) & (F.col("held") <= TASK_BYTES)
+    tasks = mixed.where(small).select(F.col("band").alias("task"), F.lit(0).alias("side"), "comp", "key", "size", "sig", "at", "bytes")
+    large = mixed.where(~small)
     if not large.isEmpty():
         tasks = tasks.union(_block_tasks(large, similarity))
     likely = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_likely_members(similarity), "task long, key binary")
-    full = tasks.join(likely, ["task", "key"]).join(texts, "key").select("task", "side", "comp", "key", "size", "sig", "text")
+    full = tasks.join(likely, ["task", "key"]).join(texts, "key").select("task", "side", "comp", "key", "size", "sig", "at", "text")
     return shared_checkpoint(full.repartition("task").sortWithinPartitions("task").mapInArrow(_bucket_links(similarity), "leader binary, key binary"))

@@ -333,6 +333,22 @@ def test_near_dedup_compares_all_of_a_large_bucket(spark, monkeypatch):
     assert got == brute.near_classes(made)
 
 
+def test_near_dedup_tasks_are_bounded(spark, monkeypatch):
+    """A family of near copies with an outsider: no task has more than its rows and bytes, none compares the family."""
+    from ionlake.llm import near_dedup as module
+
+    monkeypatch.setattr(module, "FEW", 8)
+    monkeypatch.setattr(module, "TASK_BYTES", 1000)
+    made = [(1, 3, b"a", b"%03d" % k, 100, 180, b"s") for k in range(200)] + [(1, 3, b"b", b"out", 100, 400, b"s"), (1, 3, b"b2", b"far", 300, 400, b"s")]
+    large = spark.createDataFrame([tuple(bytearray(x) if isinstance(x, bytes) else x for x in r) for r in made], "band long, at int, comp binary, key binary, size long, bytes long, sig binary")
+    tasks = defaultdict(list)
+    for r in module._block_tasks(large, 0.8).collect():
+        tasks[r.task].append((r.side, bytes(r.key), bytes(r.comp), r.bytes))
+    assert all(len(x) <= 8 and sum(r[3] for r in x) <= 1000 for x in tasks.values())
+    met = [{p[1], q[1]} for x in tasks.values() for p in x for q in x if p[0] < q[0]]
+    assert sorted(min(p) for p in met) == [b"%03d" % k for k in range(200)] and all(b"out" in p for p in met)
+
+
 def test_bag_min_hash_is_unbiased():
     rng = np.random.default_rng(2)
     base = [b"w%d" % k for k in rng.integers(0, 40, 300)]
