@@ -2,9 +2,11 @@
 
 Pieces are dealt to groups of bounded size by hash. Each group packs its pieces best-fit
 decreasing and computes a lower bound on its bin count from dual feasible functions. Full bins
-are final. While the total is above the bound of all pieces together, the pieces of bins with
-gaps are exchanged: pooled, dealt anew to fewer groups and packed again. Every step moves rows
-of a few numbers, never text.
+are final. A group whose count meets its bound is certified: no packing of its pieces is better,
+so all its bins are final but the emptiest, which another group's pieces may yet fill. While the
+total is above the bound of all pieces together, the pieces of the other bins with gaps are
+exchanged: pooled, dealt anew to fewer groups and packed again. Every step moves rows of a few
+numbers, never text.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ CAPACITY = 4096
 SEPARATOR = 1
 #: Pieces a group packs at once (about 60 bytes each).
 GROUP_PIECES = 200_000
+#: Rounds of exchange at most; the result states the count that was reached beside the bound.
 MAX_ROUNDS = 6
 #: Entries of a worker's cache from white-space chunks to ids; the older half goes when full.
 CACHE_CHUNKS = 1_200_000
@@ -35,7 +38,8 @@ PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ž]+)([.,;:!?|*$%&#()]*)")
 class ChunkEncoder:
     """Token ids (little-endian uint32 bytes) of whole texts by a cache of blank-separated chunks.
 
-    Right for tokenizers that lower-case, drop white space, and pre-tokenise letters and other
+    A text is cut at the vocabulary's special tokens first, as they stand in it, and each is its own
+    id. Right for tokenizers that lower-case, drop white space, and pre-tokenise letters and other
     symbols apart, never across a blank or a line feed, such as ``word_bpe_49k.json``. A chunk of
     letters and a plain tail is the ids of the letters and those of the tail; new letter words are
     encoded many at a time as one text, all others each by itself.
@@ -46,6 +50,11 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        special = {t.content: np.uint32(k).tobytes() for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = special
+        longest_first = sorted(special, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if special else None
+        # special tokens are cut out before; what looks like one after lower-casing is plain text
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {"": b""}
         self.most = cache_chunks
@@ -83,6 +92,13 @@ class ChunkEncoder:
             cache.update(self._one(other[k : k + 5000]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.cut is None:
+            return self._encode(texts)
+        parts = [self.cut.split(t) for t in texts]  # plain, special, plain, ...
+        plain = iter(self._encode([x for own in parts for x in own[::2]]))
+        return [b"".join(self.special[x] if k % 2 else next(plain) for k, x in enumerate(own)) for own in parts]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         # A-Z alone are lowered here; the tokenizer lowers the rest its own way
         split = [t.encode().lower().decode().replace("\n", " ").split(" ") for t in texts]
         if len(self.cache) > self.most:  # the newer half stays
@@ -95,9 +111,13 @@ class ChunkEncoder:
 
 
 def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int, id_col: str, text_col: str, cache_chunks: int) -> DataFrame:
-    """Pieces of each document: its ids, then the separator, cut every ``capacity`` tokens."""
+    """Pieces of each document: its ids, then the separator, cut every ``capacity`` tokens.
+
+    ``row`` numbers the input rows, so that rows that repeat each other can be told apart.
+    """
 
     def cut(batches):
+        row = TaskContext.get().partitionId() << 33
         encoder = worker_state(f"{cache_chunks} chunks of {vocabulary}", lambda: ChunkEncoder(vocabulary, cache_chunks))  # tasks share its cache
         for batch in batches:
             for part in slices(batch, "text", 500):
@@ -106,13 +126,14 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int, id_col: st
                     data += SEPARATOR.to_bytes(4, "little")
                     for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                         own = data[at : at + 4 * capacity]
-                        rows.append((doc, piece, at // 4, len(own) // 4, zlib.crc32(own)))
-                names = ["id", "piece", "start", "length", "crc"]
-                kinds = [batch.schema.field("id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                        rows.append((doc, piece, at // 4, len(own) // 4, zlib.crc32(own), row))
+                    row += 1
+                names = ["id", "piece", "start", "length", "crc", "row"]
+                kinds = [batch.schema.field("id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     rows = docs.select(docs[id_col].alias("id"), text_or_empty(docs[text_col]).alias("text"))
-    return rows.mapInArrow(cut, f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, crc long")
+    return rows.mapInArrow(cut, f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, crc long, row long")
 
 
 def bin_lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -167,31 +188,34 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def _pack_group(capacity: int, round_no: int):
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "crc", "id", "piece"], ascending=False, kind="stable", ignore_index=True)
-        lengths = pdf["length"].to_numpy()
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        lengths, rows, piece = (table.column(c).to_numpy() for c in ("length", "row", "piece"))
+        order = np.lexsort((piece, rows, -lengths))
+        table, lengths = table.take(pa.array(order)), lengths[order]
         bins, offsets, used = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(bins, weights=lengths, minlength=used)
-        certified = used == bin_lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        return pdf.drop(columns="g").assign(
-            bin=(round_no << 56) + (int(key[0]) << 24) + bins,
-            offset=offsets,
-            fill=fill[bins].astype(np.int64),
-            certified=certified,
-        )
+        final = fill == capacity
+        if used == bin_lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity):
+            # certified, no packing of these pieces has fewer bins: only the emptiest takes part again
+            final[np.arange(used) != fill.argmin()] = True
+        number = (round_no << 56) + (key[0].as_py() << 24) + bins
+        return table.drop_columns("g").append_column("bin", pa.array(number)).append_column("offset", pa.array(offsets)).append_column("final", pa.array(final[bins]))
 
     return pack
 
 
 def pack_documents(
-    docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES, cache_chunks: int = CACHE_CHUNKS
+    docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES, cache_chunks: int = CACHE_CHUNKS, max_rounds: int = MAX_ROUNDS
 ) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, sequences, lower_bound.
 
-    Null and empty texts are a separator alone. Only a document of more than ``capacity`` tokens
-    is cut. Rows that repeat an id are packed each by itself; an empty table gives an empty
-    result. ``vocabulary`` is the tokenizer's file, which every machine must have; a worker's
-    cache holds ``cache_chunks`` entries of about 200 bytes and trades memory for time alone.
+    ``sequences`` is their number in all and ``lower_bound`` a number that no packing can go below;
+    the exchange ends when they meet, when one group holds all open pieces, or after ``max_rounds``.
+    Null and empty texts are a separator alone. Only a document of more than ``capacity`` tokens is
+    cut, however long. Rows that repeat each other are packed each by itself; extra columns are
+    ignored and an empty table gives an empty result. ``vocabulary`` is the tokenizer's file, which
+    every machine must have; a worker's cache holds ``cache_chunks`` entries of about 200 bytes and
+    trades memory for time alone.
     """
     pieces = shared_checkpoint(tokenized_pieces(docs, vocabulary, capacity, id_col, text_col, cache_chunks))
     by_length = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
@@ -200,26 +224,27 @@ def pack_documents(
         counts[length] = n
     bound = bin_lower_bound(counts, capacity)
     full = pieces.where(F.col("length") == capacity)
-    kind = pieces.schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", bin long, offset long, fill long, certified boolean"
+    kind = pieces.schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", bin long, offset long, final boolean"
     part = pieces.where(F.col("length") < capacity)
     count = sum(n for length, n in by_length.items() if length < capacity)
-    done, total, rounds = [], 0, 0
-    whole = by_length.get(capacity, 0)
+    total = settled = by_length.get(capacity, 0)
+    done, rounds = [], 0
     while count:
         groups = -(-count // group_pieces)
-        # the round takes part in the deal, so that every round brings other documents together
-        dealt = part.withColumn("g", F.pmod(F.xxhash64("id", "piece", "crc", F.lit(rounds)), F.lit(groups)))
-        packed = shared_checkpoint(dealt.groupBy("g").applyInPandas(_pack_group(capacity, rounds), kind))
-        closed = F.col("fill") == capacity
-        stats = packed.agg(F.countDistinct("bin").alias("bins"), F.countDistinct(F.when(closed, F.col("bin"))).alias("closed"), F.sum((~closed).cast("int")).alias("open")).first()
-        total = whole + stats["bins"]
+        # by row, so copies of a row spread; the round takes part, so every round brings other documents together
+        dealt = part.withColumn("g", F.pmod(F.xxhash64("row", "piece", F.lit(rounds)), F.lit(groups)))
+        packed = shared_checkpoint(dealt.groupBy("g").applyInArrow(_pack_group(capacity, rounds), kind))
+        # a bin's first piece stands for it
+        starts = F.col("offset") == 0
+        stats = packed.agg(F.sum(starts.cast("int")).alias("bins"), F.sum((starts & F.col("final")).cast("int")).alias("final"), F.sum((~F.col("final")).cast("int")).alias("open")).first()
+        total = settled + stats["bins"]
         rounds += 1
-        if total <= bound or groups == 1 or rounds == MAX_ROUNDS:
+        if total <= bound or groups == 1 or rounds == max_rounds:
             done.append(packed)
             break
-        done.append(packed.where(closed))
-        whole, count = whole + stats["closed"], stats["open"]
-        part = packed.where(~closed).select(*pieces.columns)
+        done.append(packed.where("final"))
+        settled, count = settled + stats["final"], stats["open"]
+        part = packed.where(~F.col("final")).select(*pieces.columns)
     packed_all = None
     for d in done:
         own = d.select(*pieces.columns, F.col("bin").alias("sequence_id"), "offset")
@@ -228,6 +253,6 @@ def pack_documents(
     alone = full.select(*pieces.columns, (-F.abs(F.monotonically_increasing_id()) - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     packed_all = alone if packed_all is None else packed_all.unionByName(alone)
     return packed_all.select(
-        F.col("id").alias(id_col), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset", F.lit(bound).cast("long").alias("lower_bound")
+        F.col("id").alias(id_col), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset", F.lit(total).cast("long").alias("sequences"), F.lit(bound).cast("long").alias("lower_bound")
     )
 

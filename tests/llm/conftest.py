@@ -29,6 +29,7 @@ def make_rows():
         rows.append((200 + k, base[7].upper() if k == 3 else base[7], "y", "s1"))
     rows += [(300, None, None, None), (301, "", "x", "s2"), (302, " \n\t ", "x", None), (303, _words(rng, 30_000), "x", "s3")]
     rows += [(304, "the same line\nthe same line\n" * 20, "y", "s3"), (305, "ÄÖÜ é 😀 ▁ token = \"04dbebab91ab85687d33eeaa\"", "y", "s3")]
+    rows += [(306, "one <|endoftext|> two<|startoftext|>three <|ENDOFTEXT|>", "x", "s3")]
     rows += [rows[0], rows[0], (None, "a row without an id", "x", "s0"), (None, None, "x", "s0")]
     return rows
 
