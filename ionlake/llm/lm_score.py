@@ -3,91 +3,158 @@
 The model reads lower-cased UTF-8 bytes, each decomposed into eight binary decisions. Every
 decision has a context tree over the preceding bytes: a node of depth d keeps the zeros and ones
 seen after d given bytes, estimates by Krichevsky-Trofimov, and is weighted half and half against
-the product of its children. Trained nodes give fixed predictions, so the mixture over all depths
-of a path collapses to one table row per context: log10 P(byte | context).
-
-Tree: depths 0 to 2 hold every context that occurs. Deeper contexts are nodes if they make up
-``1 / CONTEXTS`` of all training bytes, a proven bound of ``CONTEXTS`` nodes a depth whatever the
-input's size; positions in rarer contexts count, together, as their parent's one further child.
-Each depth beyond 2 is counted in one more pass over all training documents.
-
-Word counts grow with the corpus and stay distributed. Only words that make up ``1 / HOT_WORDS``
-of all tokens (at most ``HOT_WORDS``) are broadcast; postings of the others, one row per word and
-block of documents, meet their counts in a join.
+the product of its children; nodes of the full depth have no children. All contexts of the
+training texts are nodes. A context that training never met predicts as the longest one that it met.
+
+How it is spread: texts are taken in blocks of about BLOCK_BYTES. A block gives its distinct
+(context, byte) pairs and their training counts, sorted with the nearest context byte first, so a
+subtree is a run of rows. The runs are cut into units, sets of neighbouring subtrees below one
+parent, whose borders come from a sample of positions. One task adds a unit's pairs up over all
+blocks and weights its subtrees; what their parents need is one short row a unit, so the trunk above
+the units is settled on the driver from sums alone. A second look at each unit mixes the trunk's
+share in and gives every block the log probabilities of its own pairs, in its own order; the block
+adds them up by text. Words go the same way, dealt by hash: a block asks for the counts of its
+distinct words. Nothing holds more than a unit or a block, and all counts grow with the corpus.
 """
 
 from __future__ import annotations
 
-from array import array
+import io
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, shared_table, slices, text_or_empty
+from .common import fold, shared_checkpoint, text_or_empty
 
-DEPTH = 4
-CONTEXTS = 1 << 15
-HOT_WORDS = 1 << 16
+DEPTH = 8
 FOLDS, HELD_OUT = 5, 1
-PAD = b"\0" * DEPTH
-END = b"\0"
-SEGMENT = 1 << 20
-BLOCK_BYTES = 24 << 20
-FLUSH_WORDS = 200_000
+#: Text of a block; a longer text is a block alone.
+BLOCK_BYTES = 16 << 20
+#: Positions whose pairs are sorted at once.
+CHUNK = 4 << 20
+#: Training text behind a unit; from MAX_UNITS units on they grow instead.
+UNIT_BYTES, MAX_UNITS = 8 << 20, 1 << 14
+#: Sampled positions a unit, for the borders of units alone; borders lie within BORDER bytes of context.
+SAMPLED, BORDER = 400, 6
 END_TOKEN = b" "  # holds white space, so no word is equal to it
+LN2, LN_PI = np.log(2.0), np.log(np.pi)
+BITS = 8
+DECISIONS = 255
+
+
+# Rows: a (context, byte) pair is the byte string c1 c2 ... cD b, nearest context byte first, held
+# right-aligned in one or more 64-bit words, the most significant word first.
+
+
+def pair_rows(data: np.ndarray, first: int, depth: int) -> list[np.ndarray]:
+    """The pairs at ``data[first:]``; at least max(depth, 8) bytes lie before ``first``."""
+    n = len(data) - first
+    byte = data[first:].astype(np.uint64)
+    # eight bytes before the position, read little-endian: the nearest is the most significant
+    near = np.ndarray(n, "<u8", data, first - 8, (1,)).astype(np.uint64)
+    eight = np.uint64(8)
+    if depth <= 7:
+        return [(near >> np.uint64(8 * (8 - depth)) << eight) | byte]
+    if depth == 8:
+        return [near >> np.uint64(56), (near << eight) | byte]
+    text = [data[first - j : len(data) - j] for j in range(1, depth + 1)] + [data[first:]]
+    words = []
+    for end in range(len(text), 0, -8):
+        word = np.zeros(n, np.uint64)
+        for own in text[max(0, end - 8) : end]:
+            word = (word << eight) | own
+        words.append(word)
+    return words[::-1]
+
+
+def _order(words: list[np.ndarray]) -> np.ndarray:
+    if len(words) == 1:
+        return np.argsort(words[0])
+    if len(words) == 2 and len(words[0]) and words[0].max() < 256:
+        head = words[0].astype(np.uint8)
+        order = np.argsort(head, kind="stable")
+        ends = np.cumsum(np.bincount(head, minlength=256))
+        low = words[1][order]
+        for a, b in zip(np.r_[0, ends[:-1]], ends):
+            if b - a > 1:
+                order[a:b] = order[a:b][np.argsort(low[a:b])]
+        return order
+    return np.lexsort(words[::-1])
+
+
+def _sorted(words: list[np.ndarray]) -> list[np.ndarray]:
+    if len(words) == 1:
+        return [np.sort(words[0])]
+    if len(words) == 2 and len(words[0]) and words[0].max() < 256:
+        head = words[0].astype(np.uint8)
+        sizes = np.bincount(head, minlength=256)
+        low, ends = words[1][np.argsort(head, kind="stable")], np.cumsum(sizes)
+        for a, b in zip(np.r_[0, ends[:-1]], ends):
+            low[a:b].sort()
+        return [np.repeat(np.arange(256, dtype=np.uint64), sizes), low]
+    order = np.lexsort(words[::-1])
+    return [w[order] for w in words]
+
+
+def _changes(words: list[np.ndarray]) -> np.ndarray:
+    new = np.ones(len(words[0]), bool)
+    new[1:] = words[-1][1:] != words[-1][:-1]
+    for w in words[:-1]:
+        new[1:] |= w[1:] != w[:-1]
+    return new
+
+
+def distinct(words: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows, sorted, and how often each occurs."""
+    words = _sorted(words)
+    at = np.flatnonzero(_changes(words))
+    return [w[at] for w in words], np.diff(np.r_[at, len(words[0])])
+
+
+def merged(parts: list[tuple[list[np.ndarray], np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Rows of several parts added up: (distinct rows, sums, the place of each input row)."""
+    words = [np.concatenate(w) for w in zip(*(p[0] for p in parts))]
+    n = np.concatenate([p[1] for p in parts])
+    order = _order(words)
+    words = [w[order] for w in words]
+    new = _changes(words)
+    at = np.flatnonzero(new)
+    place = np.empty(len(n), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return [w[at] for w in words], np.add.reduceat(n[order], at) if len(at) else n, place
+
+
+def _without_farthest(words: list[np.ndarray], depth: int) -> list[np.ndarray]:
+    """c1 ... c(d-1) b from c1 ... cd b."""
+    last = (words[-1] >> np.uint64(16) << np.uint64(8)) | (words[-1] & np.uint64(255))
+    out = [last]
+    for k in range(len(words) - 2, -1, -1):
+        out[0] = out[0] | ((words[k] & np.uint64(255)) << np.uint64(56))
+        out.insert(0, words[k] >> np.uint64(8))
+    return out[1:] if depth % 8 == 0 and len(out) > 1 else out
+
+
+def _byte(words: list[np.ndarray], depth: int, j: int) -> np.ndarray:
+    """Byte j of each row's string."""
+    from_end = depth - j
+    return (words[len(words) - 1 - from_end // 8] >> np.uint64(8 * (from_end % 8))).astype(np.uint8)
+
+
+def border_number(words: list[np.ndarray], depth: int, width: int) -> np.ndarray:
+    """The first ``width`` bytes of each row as a number."""
+    out = np.zeros(len(words[0]), np.int64)
+    for j in range(width):
+        out = (out << 8) | _byte(words, depth, j)
+    return out
 
 
-def _segments(texts: list[bytes]):
-    """Groups of pieces of about SEGMENT bytes: (doc numbers, piece lengths, joined bytes).
-
-    Every piece is preceded by DEPTH bytes of context, which are not positions of its own.
-    """
-    docs, sizes, parts, total = [], [], [], 0
-    for k, t in enumerate(texts):
-        data = PAD + t + END
-        for at in range(DEPTH, len(data), SEGMENT):
-            own = data[at - DEPTH : at + SEGMENT]
-            docs.append(k)
-            sizes.append(len(own))
-            parts.append(own)
-            total += len(own)
-            if total >= SEGMENT:
-                yield docs, np.array(sizes), np.frombuffer(b"".join(parts), np.uint8)
-                docs, sizes, parts, total = [], [], [], 0
-    if parts:
-        yield docs, np.array(sizes), np.frombuffer(b"".join(parts), np.uint8)
-
-
-def _own_positions(sizes: np.ndarray, n: int) -> np.ndarray:
-    own = np.ones(n, bool)
-    starts = np.cumsum(sizes) - sizes
-    own[(starts[:, None] + np.arange(DEPTH)).ravel()] = False
-    return own
-
-
-class Tree:
-    """Rows of contexts by depth. ``row2`` maps the last two bytes to a row; ``deeper`` maps
-    (row, byte), flattened, to the row of the context one byte longer (0: none)."""
-
-    def __init__(self):
-        self.contexts: list[bytes] = []
-        self.row2 = np.zeros(1 << 16, np.int32)
-        self.deeper = np.zeros(0, np.int32)
-
-    def rows(self, data: np.ndarray, depth: int) -> list[np.ndarray]:
-        """For depths 2 to ``depth``: each position's row of that depth, 0 if it has none."""
-        last = np.zeros(len(data), np.int32)
-        last[2:] = (data[:-2].astype(np.int32) << 8) | data[1:-1]
-        out = [self.row2[last]]
-        for _ in range(3, depth + 1):
-            here = np.zeros(len(data), np.int32)
-            here[1:] = self.deeper[(out[-1][:-1] << 8) + data[:-1]]
-            out.append(here)
-        return out
+# Weights.
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -100,296 +167,511 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return series - np.log(shift)
 
 
-def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return np.where(zeros + ones > 0, _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - 1.1447298858494002, 0.0)
+_SMALL = np.arange(1 << 15, dtype=np.float64)
+_HALF, _WHOLE = _log_gamma(_SMALL + 0.5) - LN_PI / 2, _log_gamma(_SMALL + 1.0)
+
 
+def _from(table: np.ndarray, n: np.ndarray, add: float, less: float) -> np.ndarray:
+    if not len(n) or n.max() < len(table):
+        return table[n]
+    large = n >= len(table)
+    out = table[np.where(large, 0, n)]
+    out[large] = _log_gamma(n[large] + add) - less
+    return out
 
-def _nodes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at the 255 binary decisions of a byte, from its 256 counts."""
-    zeros, ones, level = [], [], counts.astype(np.float64)
-    while level.shape[1] > 1:
-        pair = level.reshape(len(level), level.shape[1] // 2, 2)
-        zeros.append(pair[:, :, 0])
-        ones.append(pair[:, :, 1])
-        level = pair.sum(2)
-    return np.concatenate(zeros[::-1], 1), np.concatenate(ones[::-1], 1)
 
+def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """ln of the Krichevsky-Trofimov probability of a sequence with these counts."""
+    return _from(_HALF, zeros, 0.5, LN_PI / 2) + _from(_HALF, ones, 0.5, LN_PI / 2) - _from(_WHOLE, zeros + ones, 1.0, 0.0)
 
-def byte_log10(p_one: np.ndarray) -> np.ndarray:
-    """log10 of each byte's probability from the probabilities of a one at its 255 decisions."""
-    out = np.zeros((len(p_one), 1))
-    at = 0
-    for bit in range(8):
-        own = p_one[:, at : at + (1 << bit)]
-        out = np.stack([out + np.log10(1 - own), out + np.log10(own)], 2).reshape(len(p_one), 2 << bit)
-        at += 1 << bit
-    return out
+
+def weighted(kt: np.ndarray, below: np.ndarray, total: np.ndarray) -> np.ndarray:
+    high = np.maximum(kt, below)
+    return np.where(total > 0, high + np.log(1.0 + np.exp(np.minimum(kt, below) - high)) - LN2, 0.0)
 
 
-def weighted_tables(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """log10 P(byte) for the contexts of each level.
+def visit(state, total: np.ndarray, ones: np.ndarray, stop: np.ndarray | float):
+    """(mixed, left, last) after a node on the way down.
 
-    ``levels[d]``: byte counts (contexts x 256) and each context's row in level d - 1.
-    The table of a context holds for positions whose longest node it is.
+    ``mixed``: probability of a one gathered so far; ``left``: weight not yet spent; ``last``: the
+    estimate of the deepest node met, which what is left goes to where the way ends.
     """
-    kt, pw, rest, top = [], [None] * len(levels), [None] * len(levels), len(levels) - 1
-    counts = [_nodes(c) for c, _ in levels]
-    for zeros, ones in counts:
-        kt.append(_log_kt(zeros, ones))
-    pw[top] = kt[top]
-    for d in range(top - 1, -1, -1):
-        zeros, ones = (x.copy() for x in counts[d])
-        below = np.zeros_like(kt[d])
-        np.add.at(below, levels[d + 1][1], pw[d + 1])
-        np.subtract.at(zeros, levels[d + 1][1], counts[d + 1][0])
-        np.subtract.at(ones, levels[d + 1][1], counts[d + 1][1])
-        rest[d] = (zeros, ones)
-        below += _log_kt(zeros, ones)
-        pw[d] = np.where(counts[d][0] + counts[d][1] > 0, np.logaddexp(kt[d], below) - np.log(2), 0.0)
-    tables, mixed, left = [], None, None
-    for d, (_, parent) in enumerate(levels):
-        zeros, ones = counts[d]
-        own = (ones + 0.5) / (zeros + ones + 1.0)
-        if d:
-            # a decision that this context never met: the parent's estimate goes on
-            own = np.where(zeros + ones > 0, own, last[parent])
-        before, weight = (np.zeros_like(own), np.ones_like(own)) if d == 0 else (mixed[parent], left[parent])
-        if d == top:
-            tables.append(byte_log10(before + weight * own).astype(np.float32))
-            break
-        stop = np.where(zeros + ones > 0, np.exp(np.minimum(0.0, kt[d] - np.log(2) - pw[d])), 1.0)
-        z, o = rest[d]
-        other = np.where(z + o > 0, (o + 0.5) / (z + o + 1.0), own)
-        mixed, left, last = before + weight * stop * own, weight * (1 - stop), own
-        tables.append(byte_log10(mixed + left * other).astype(np.float32))
-    return tables
-
-
-def _count_grams(tree_var, depth: int, with_words: bool):
-    """Counts (row of the depth's context, byte) over the texts, and words if asked."""
-
-    def count(batches):
-        tree = tree_var.value if tree_var else None
-        cells = 1 << 24 if tree is None else len(tree.contexts) << 8
-        grams, words, one = np.zeros(cells, np.int32), Counter(), np.int32(1)
-
-        def rows(w: Counter):
-            return pa.RecordBatch.from_arrays([pa.array(list(w), pa.binary()), pa.array([None] * len(w), pa.int64()), pa.array(list(w.values()), pa.int64())], names=["word", "gram", "n"])
+    mixed, left, last = state
+    seen = total > 0
+    own = (ones + 0.5) / (total + 1.0)
+    share = np.where(seen, left * stop, 0.0)
+    return mixed + share * own, left - share, np.where(seen, own, last)
+
+
+class Level:
+    """Rows of one depth: their bytes, where contexts begin, counts, and the place of each in the level above."""
+
+    def __init__(self, words: list[np.ndarray], n: np.ndarray):
+        self.byte, self.n, self.up = (words[-1] & np.uint64(255)).astype(np.uint8), n, None
+        self.fresh = _changes([*words[:-1], words[-1] >> np.uint64(8)])
+
+    def decisions(self, bit: int):
+        """Nodes of a binary decision: (their first rows, node of each row, totals, ones)."""
+        first = self.fresh
+        if bit:
+            prefix = self.byte >> np.uint8(BITS - bit)
+            first = first.copy()
+            first[1:] |= prefix[1:] != prefix[:-1]
+        starts = np.flatnonzero(first)
+        is_one = (self.byte >> np.uint8(BITS - 1 - bit)) & np.uint8(1)
+        return starts, np.cumsum(first) - 1, np.add.reduceat(self.n, starts), np.add.reduceat(self.n * is_one, starts)
+
+
+def levels_of(words: list[np.ndarray], n: np.ndarray, depth: int, top: int) -> list[Level]:
+    """Levels from ``depth`` up to ``top``."""
+    out = [Level(words, n)]
+    for d in range(depth, top, -1):
+        words, n, out[-1].up = merged([(_without_farthest(words, d), n)])
+        out.append(Level(words, n))
+    return out
 
-        for batch in batches:
-            texts = [t.lower() for t in batch.column("text").to_pylist()]
-            if with_words:
-                for t in texts:
-                    words.update(t.split())
-                words[END_TOKEN] += len(texts)
-                if len(words) >= FLUSH_WORDS:
-                    yield rows(words)
-                    words = Counter()
-            for _, sizes, data in _segments(texts):
-                if tree is None:
-                    at = np.zeros(len(data), np.int32)
-                    at[2:] = (data[:-2].astype(np.int32) << 16) | (data[1:-1].astype(np.int32) << 8) | data[2:]
-                    own = _own_positions(sizes, len(data))
-                else:
-                    row = tree.rows(data, depth)[-1]
-                    own = _own_positions(sizes, len(data)) & (row > 0)
-                    at = (row << 8) + data
-                np.add.at(grams, at[own], one)
-            if len(texts) and grams.max() > 1 << 29:
-                yield from sparse(grams)
-        if words:
-            yield rows(words)
-        yield from sparse(grams)
-
-    def sparse(grams):
-        found = np.flatnonzero(grams)
-        if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array([None] * len(found), pa.binary()), pa.array(found, pa.int64()), pa.array(grams[found], pa.int64())], names=["word", "gram", "n"])
-            grams[found] = 0
-
-    return count
-
-
-def _gather(df: DataFrame, cells: int) -> np.ndarray:
-    """Dense counts from (gram, n) rows; at most ``cells`` rows, a fixed bound."""
-    table = df.toArrow()
-    out = np.zeros(cells, np.int64)
-    out[table.column("gram").to_numpy()] = table.column("n").to_numpy()
+
+def _weights(levels: list[Level], bit: int):
+    """Bottom-up: for each level (starts, node of each row, totals, ones, kt, weighted, node in the level above of each node)."""
+    out, below, up = [], None, None
+    for k, level in enumerate(levels):
+        starts, node, total, ones = level.decisions(bit)
+        kt = log_kt(total - ones, ones)
+        if k:
+            up = node[levels[k - 1].up[out[-1][0]]]
+            out[-1][6] = up
+            below = np.bincount(up, out[-1][5], len(starts))
+        out.append([starts, node, total, ones, kt, weighted(kt, below, total) if k else kt, None])
     return out
 
 
-def train(docs: DataFrame, text_col: str, depth: int = DEPTH):
-    """The tree, its table and the word counts (a stored DataFrame word, n)."""
-    spark = docs.sparkSession
-    texts = docs.select(text_or_empty(docs[text_col]).cast("binary").alias("text"))
-    kind = "word binary, gram long, n long"
-    counted = shared_table(texts.mapInArrow(_count_grams(None, 2, True), kind).groupBy("word", "gram").agg(F.sum("n").alias("n")), "counts")
-    words = counted.where("word is not null").select("word", "n")
-    three = _gather(counted.where("word is null").select("gram", "n"), 1 << 24).reshape(256, 256, 256)
-    total = int(three.sum())
-
-    tree = Tree()
-    pairs = np.flatnonzero(three.sum(2).ravel())
-    counts = [three.sum((0, 1))[None], three.sum(0), three.reshape(-1, 256)[pairs]]
-    levels = [(counts[0], None), (counts[1], np.zeros(256, np.int64)), (counts[2], pairs & 255)]
-    # rows: 0 is none, then depth 0's fallback rows of depth 1, then depth 2 and deeper
-    tree.contexts = [b""] + [bytes([k]) for k in range(256)] + [bytes([k >> 8, k & 255]) for k in pairs.tolist()]
-    tree.row2 = (np.arange(1 << 16) & 255).astype(np.int32) + 1
-    tree.row2[pairs] = 257 + np.arange(len(pairs), dtype=np.int32)
-    first, index = 257, {c: k for k, c in enumerate(tree.contexts[257:])}
-    grams = counts[2]
-    for d in range(3, depth + 1):
-        keep = np.argwhere(grams * CONTEXTS >= max(1, total))
-        names = [tree.contexts[first + r] + bytes([b]) for r, b in keep.tolist()]
-        named = [k for k, c in enumerate(names) if c[1:] in index]
-        keep, names = keep[named], [names[k] for k in named]
-        start = len(tree.contexts)
-        deeper = np.zeros((start + len(names)) << 8, np.int32)
-        deeper[: len(tree.deeper)] = tree.deeper
-        if len(names):
-            deeper[((first + keep[:, 0]) << 8) + keep[:, 1]] = start + np.arange(len(names), dtype=np.int32)
-        tree.deeper = deeper
-        parents = np.array([index[c[1:]] for c in names], np.int64)
-        tree.contexts = tree.contexts + names
-        if names:
-            found = texts.mapInArrow(_count_grams(spark.sparkContext.broadcast(tree), d, False), kind).groupBy("gram").agg(F.sum("n").alias("n"))
-            grams = _gather(found, len(tree.contexts) << 8).reshape(-1, 256)[start:]
-        else:
-            grams = np.zeros((0, 256), np.int64)
-        levels.append((grams, parents))
-        first, index = start, {c: k for k, c in enumerate(names)}
-    if not len(tree.deeper):
-        tree.deeper = np.zeros(len(tree.contexts) << 8, np.int32)
-    tables = weighted_tables(levels)
-    table = np.concatenate([tables[0], *tables[1:]])
-    return tree, table, words
-
-
-def _score(model_var, hot_var, depth: int):
-    """A row for each document, and rows of postings (word, block, places, counts) for words that are not hot."""
-
-    def score(batches):
-        (tree, table), (hot, hot_known) = model_var.value, hot_var.value
-        flat = table.ravel()
-        part, number, ids, kinds = TaskContext.get().partitionId(), 0, None, None
-        postings: dict[bytes, array] = {}
-        place, held = 0, 0
-
-        def flush():
-            block = (part << 24) + number
-            names = list(postings)
-            lists = [postings[w].tobytes() for w in names]
-            for k in range(0, len(names), 20_000):
-                n = len(names[k : k + 20_000])
-                nothing = pa.nulls(n, pa.float64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(n, kinds), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), nothing, nothing, pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(names[k : k + n], pa.binary()), pa.array(lists[k : k + n], pa.binary())],
-                    names=columns,
-                )
-
-        columns = ["id", "held_out", "n_tokens", "n_known", "base", "score", "block", "place", "word", "postings"]
-        for batch in batches:
-            kinds = batch.schema.field("id").type
-            for own in slices(batch, "text", 256):
-                texts = [t.lower() for t in own.column("text").to_pylist()]
-                sums = np.zeros(len(texts))
-                for docs, sizes, data in _segments(texts):
-                    rows = tree.rows(data, depth)
-                    at = rows[0]
-                    for deeper in rows[1:]:
-                        at = np.where(deeper > 0, deeper, at)
-                    got = flat[(at << 8) + data].astype(np.float64)
-                    got[~_own_positions(sizes, len(data))] = 0
-                    np.add.at(sums, docs, np.add.reduceat(got, np.cumsum(sizes) - sizes))
-                n_tokens, known, base, first = [], [], [], place
-                for t in texts:
-                    words = Counter(t.split())
-                    words[END_TOKEN] = 1
-                    n_tokens.append(words.total())
-                    sum_, seen = 0.0, 0
-                    for w, tf in words.items():
-                        value = hot.get(w)
-                        if value is None:
-                            if w in postings:
-                                postings[w].extend((place, tf))
-                            else:
-                                postings[w] = array("I", (place, tf))
-                        else:
-                            sum_ += tf * value
-                            seen += tf
-                    known.append(seen)
-                    base.append(sum_)
-                    place += 1
-                    held += len(t)
-                n = len(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [own.column("id"), own.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(sums, pa.float64()), pa.array([(part << 24) + number] * n, pa.int64()), pa.array(range(first, place), pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
-                    names=columns,
-                )
-                if held >= BLOCK_BYTES:
-                    yield from flush()
-                    postings, place, held, number = {}, 0, 0, number + 1
-        if postings:
-            yield from flush()
+def subtree_sums(levels: list[Level]) -> np.ndarray:
+    """(3, DECISIONS): zeros and ones seen, and the sum of ln weighted probabilities, over the top nodes."""
+    out = np.zeros((3, DECISIONS))
+    for bit in range(BITS):
+        starts, _, total, ones, _, pw, _ = _weights(levels, bit)[-1]
+        decision = (1 << bit) - 1 + (levels[-1].byte[starts].astype(np.int64) >> (BITS - bit))
+        for k, values in enumerate((total - ones, ones, pw)):
+            out[k] += np.bincount(decision, values, DECISIONS)
+    return out
+
+
+def log_probabilities(levels: list[Level], state: np.ndarray) -> np.ndarray:
+    """log10 P(byte | context) of the deepest level's rows; ``state`` (3, DECISIONS) is that of the parent."""
+    out = np.zeros(len(levels[0].n))
+    for bit in range(BITS):
+        own = _weights(levels, bit)
+        decision = (1 << bit) - 1 + (levels[-1].byte[own[-1][0]].astype(np.int64) >> (BITS - bit))
+        now = tuple(state[:, decision])
+        for k in range(len(own) - 1, -1, -1):
+            starts, node, total, ones, kt, pw, up = own[k]
+            if k < len(own) - 1:
+                now = tuple(x[up] for x in now)
+            now = visit(now, total, ones, np.exp(np.minimum(0.0, kt - LN2 - pw)) if k else 1.0)
+        one = (now[0] + now[1] * now[2])[node]
+        is_one = ((levels[0].byte >> np.uint8(BITS - 1 - bit)) & np.uint8(1)).astype(bool)
+        out += np.log(np.where(is_one, one, 1.0 - one))
+    return out / np.log(10.0)
+
+
+# Units and the trunk above them.
+
+
+class Units:
+    """Sets of neighbouring subtrees: (parent's bytes, first child byte), in the rows' order."""
+
+    def __init__(self, own: list[tuple[bytes, int]], width: int):
+        self.own, self.width = own, width
+        self.starts = np.array([int.from_bytes((p + bytes([b])).ljust(width, b"\0"), "big") for p, b in own], np.int64)
+
+    @staticmethod
+    def plan(rows: np.ndarray, wanted: int, width: int) -> Units:
+        """About ``wanted`` units from the border numbers of sampled positions."""
+        rows, own = np.sort(rows), []
+        most = max(1.0, len(rows) / max(1, wanted))
+
+        def split(prefix: bytes, part: np.ndarray):
+            at = np.searchsorted(part >> (8 * (width - len(prefix) - 1)) & 255, np.arange(257))
+            held = most + 1
+            for b in range(256):
+                n = at[b + 1] - at[b]
+                if n > most and len(prefix) + 1 < width:
+                    split(prefix + bytes([b]), part[at[b] : at[b + 1]])
+                    held = most + 1
+                elif held + n > most:
+                    own.append((prefix, b))
+                    held = n
+                else:
+                    held += n
+
+        split(b"", rows)
+        return Units(own, width)
+
+    def cut(self, words: list[np.ndarray], depth: int) -> np.ndarray:
+        """Where each unit's rows begin among sorted rows, and the end."""
+        return np.r_[np.searchsorted(border_number(words, depth, self.width), self.starts), len(words[0])]
+
+
+def trunk(units: Units, sums: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """The state (3, DECISIONS) above every unit that has rows."""
+    inner = {p[:k] for p, _ in units.own for k in range(len(p) + 1)}
+    total = {p: np.zeros((3, DECISIONS)) for p in inner}
+    for k, own in sums.items():
+        total[units.own[k][0]] += own
+    kt, pw = {}, {}
+    for p in sorted(inner, key=len, reverse=True):
+        zeros, ones, below = total[p]
+        kt[p] = log_kt(zeros.astype(np.int64), ones.astype(np.int64))
+        pw[p] = weighted(kt[p], below, zeros + ones)
+        if p:
+            total[p[:-1]] += np.stack([zeros, ones, pw[p]])
+    state = {}
+    for p in sorted(inner, key=len):
+        before = state[p[:-1]] if p else (np.zeros(DECISIONS), np.ones(DECISIONS), np.full(DECISIONS, 0.5))
+        state[p] = visit(before, total[p][0] + total[p][1], total[p][1], np.exp(np.minimum(0.0, kt[p] - LN2 - pw[p])))
+    return {k: np.stack(state[units.own[k][0]]) for k in sums}
+
+
+# Blobs.
+
+
+def pack_numbers(values: np.ndarray) -> bytes:
+    """A column of numbers by byte planes, compressed."""
+    raw = values.view(f"<u{values.itemsize}")
+    planes = [(raw >> raw.dtype.type(8 * k)).astype(np.uint8).tobytes() for k in range(values.itemsize)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpack_numbers(data: bytes, kind) -> np.ndarray:
+    raw, size = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), np.dtype(kind).itemsize
+    planes, out = raw.reshape(size, -1), np.zeros(len(raw) // size, f"<u{size}")
+    for k in range(size):
+        out |= planes[k].astype(out.dtype) << out.dtype.type(8 * k)
+    return out.view(kind)
+
+
+def pack_pairs(words: list[np.ndarray], n: np.ndarray, depth: int) -> bytes:
+    """Sorted rows as what differs from the row before: the first byte that does, and the bytes from there on."""
+    bytes_of = [_byte(words, depth, j) for j in range(depth + 1)]
+    first = np.zeros(len(n), np.uint8)
+    for j in range(depth, -1, -1):
+        first[1:][bytes_of[j][1:] != bytes_of[j][:-1]] = j
+    large = n >= 255
+    parts = [np.array([len(n)], "<u8"), first, np.where(large, 255, n).astype(np.uint8), n[large].astype("<u8"), *(own[first <= j] for j, own in enumerate(bytes_of))]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts))
+
+
+def unpack_pairs(data: bytes, depth: int) -> tuple[list[np.ndarray], np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    rows = int.from_bytes(raw[:8].tobytes(), "little")
+    first, n = raw[8 : 8 + rows], raw[8 + rows : 8 + 2 * rows].astype(np.int64)
+    large, at = n == 255, 8 + 2 * rows
+    n[large] = raw[at : at + 8 * large.sum()].view("<u8")
+    at += 8 * int(large.sum())
+    words = [np.zeros(rows, np.uint64) for _ in range(-(-(depth + 1) // 8))]
+    for j in range(depth + 1):
+        fresh = first <= j
+        fresh[0] = True
+        place = np.cumsum(fresh) - 1
+        held = int(place[-1]) + 1
+        own, at = raw[at : at + held][place], at + held
+        from_end = depth - j
+        words[len(words) - 1 - from_end // 8] |= own.astype(np.uint64) << np.uint64(8 * (from_end % 8))
+    return words, n
+
+
+def _rounded(values: np.ndarray) -> np.ndarray:
+    """As 32-bit numbers of 15 significant bits, which compress well: a relative error of at most 1 in 32,000."""
+    bits = values.astype(np.float32).view(np.uint32)
+    return (bits + np.uint32(1 << 8)) >> np.uint32(9) << np.uint32(9)
+
+
+# Tasks.
+
+
+def _blocks(batches):
+    """(block, ids, held out, lower-cased texts) of about BLOCK_BYTES; the same for the same rows."""
+    block, ids, held, texts, size = TaskContext.get().partitionId() << 24, [], [], [], 0
+    for batch in batches:
+        kind = batch.schema.field("id").type
+        for i, h, t in zip(*(batch.column(c).to_pylist() for c in ("id", "held_out", "text"))):
+            if texts and size + len(t) > BLOCK_BYTES:
+                yield block, pa.array(ids, kind), held, texts
+                block, ids, held, texts, size = block + 1, [], [], [], 0
+            ids.append(i)
+            held.append(h)
+            texts.append(t.lower())
+            size += len(t) + 1
+    if texts:
+        yield block, pa.array(ids, kind), held, texts
+
+
+def _chunks(texts: list[bytes], depth: int):
+    """(document of each position, pairs) for about CHUNK positions of whole texts or parts of one at a time."""
+    before = max(depth, 8)
+    pad, parts, sizes, docs, total = b"\0" * before, [], [], [], 0
+
+    def made():
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        words = pair_rows(data, before, depth)
+        own = np.repeat(np.array(docs), sizes)[before:]
+        keep = np.ones(len(data), bool)
+        starts = np.cumsum(sizes) - sizes
+        keep[(starts[:, None] + np.arange(before)).ravel()] = False
+        keep = keep[before:]
+        return own[keep], [w[keep] for w in words]
+
+    for k, t in enumerate(texts):
+        data = pad + t + b"\0"
+        for at in range(before, len(data), CHUNK):
+            parts.append(data[at - before : at + CHUNK])
+            sizes.append(len(parts[-1]))
+            docs.append(k)
+            total += sizes[-1]
+            if total >= CHUNK:
+                yield made()
+                parts, sizes, docs, total = [], [], [], 0
+    if parts:
+        yield made()
+
+
+def _block_pairs(texts: list[bytes], held: list[bool], depth: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The block's distinct pairs, sorted, with their training counts."""
+    found = []
+    for own, wanted in (([t for t, h in zip(texts, held) if not h], 1), ([t for t, h in zip(texts, held) if h], 0)):
+        for _, words in _chunks(own, depth):
+            rows, n = distinct(words)
+            found.append((rows, n * wanted))
+    words, n, _ = merged(found)
+    return words, n
+
+
+def _word_group(word: bytes, groups: int) -> int:
+    return zlib.crc32(word) % groups
+
+
+def _block_words(texts: list[bytes], held: list[bool], groups: int) -> dict[int, Counter]:
+    """The block's distinct words by group, with their training counts."""
+    counts: Counter = Counter()
+    for t, h in zip(texts, held):
+        if not h:
+            counts.update(t.split())
+    counts[END_TOKEN] = len(held) - sum(held)
+    for t, h in zip(texts, held):
+        if h:
+            for w in set(t.split()).difference(counts):
+                counts[w] = 0
+    out: dict[int, Counter] = {}
+    for w in sorted(counts):
+        out.setdefault(_word_group(w, groups), {})[w] = counts[w]
+    return out
 
-    return score
 
+def _ask(units: Units, groups: int, depth: int):
+    """Rows (unit, block, data): a block's pairs by unit, and its words by group as units below zero."""
+
+    def ask(batches):
+        for block, _, held, texts in _blocks(batches):
+            words, n = _block_pairs(texts, held, depth)
+            cut = units.cut(words, depth)
+            rows = [(k, pack_pairs([w[a:b] for w in words], n[a:b], depth)) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+            for g, own in _block_words(texts, held, groups).items():
+                names = b"\n".join(own)
+                rows.append((-1 - g, zstandard.ZstdCompressor(level=1).compress(np.array([len(own), *own.values()], "<u8").tobytes() + names)))
+            for k in range(0, len(rows), 64):
+                unit, data = zip(*rows[k : k + 64])
+                yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int32()), pa.array([block] * len(unit), pa.int64()), pa.array(data, pa.binary())], names=["unit", "block", "data"])
+
+    return ask
+
+
+def _asked_words(data: bytes) -> tuple[list[bytes], np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(raw[:8], "little")
+    return raw[8 * n + 8 :].split(b"\n"), np.frombuffer(raw, "<u8", n, 8).astype(np.int64)
+
+
+def _groups(batches, columns: list[str]):
+    """Runs of rows with the same first column: (its value, lists of the others)."""
+    name, held = None, []
+    for batch in batches:
+        for own, *row in zip(*(batch.column(c).to_pylist() for c in columns)):
+            if own != name:
+                if held:
+                    yield name, list(zip(*held))
+                name, held = own, []
+            held.append(row)
+    if held:
+        yield name, list(zip(*held))
+
+
+def _unit_rows(data: list[bytes], depth: int):
+    parts = [unpack_pairs(d, depth) for d in data]
+    return (*merged(parts), [len(p[1]) for p in parts])
+
+
+def _counted_words(data: list[bytes]):
+    counts: dict[bytes, int] = {}
+    asked = []
+    for d in data:
+        names, n = _asked_words(d)
+        asked.append(names)
+        for w, k in zip(names, n.tolist()):
+            counts[w] = counts.get(w, 0) + k
+    return counts, asked
+
+
+def _sum_up(units: Units, depth: int):
+    """One row a unit: what the trunk needs of it; of words, tokens and distinct words of the training texts."""
+
+    def sum_up(batches):
+        for unit, (data,) in _groups(batches, ["unit", "data"]):
+            if unit < 0:
+                n = np.array(list(_counted_words(data)[0].values()))
+                tokens, known, out = int(n.sum()), int((n > 0).sum()), b""
+            else:
+                words, n, _, _ = _unit_rows(data, depth)
+                out = pack_numbers(subtree_sums(levels_of(words, n, depth, len(units.own[unit][0]) + 1)).T.ravel())
+                tokens = known = 0
+            yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int32()), pa.array([tokens]), pa.array([known]), pa.array([out], pa.binary())], names=["unit", "tokens", "known", "sums"])
+
+    return sum_up
+
+
+def _answer(units: Units, depth: int):
+    """Rows (block, unit, data) that answer what the blocks asked, from rows sorted by unit."""
+
+    def answer(batches):
+        for unit, (block, data, state) in _groups(batches, ["unit", "block", "data", "state"]):
+            if unit < 0:
+                counts, asked = _counted_words(data)
+                out = [pack_numbers(np.array([counts[w] for w in own], np.int64)) for own in asked]
+            else:
+                above = np.frombuffer(state[0], np.float64).reshape(DECISIONS, 3).T
+                words, n, place, sizes = _unit_rows(data, depth)
+                value = _rounded(log_probabilities(levels_of(words, n, depth, len(units.own[unit][0]) + 1), above))[place]
+                ends = np.cumsum(sizes)
+                out = [pack_numbers(value[a:b]) for a, b in zip(ends - sizes, ends)]
+            for k in range(0, len(out), 64):
+                m = len(out[k : k + 64])
+                yield pa.RecordBatch.from_arrays([pa.array(block[k : k + m], pa.int64()), pa.array([unit] * m, pa.int32()), pa.array(out[k : k + m], pa.binary())], names=["block", "unit", "data"])
+
+    return answer
+
+
+#: The unit number of a block's own texts: they come before the answers.
+TEXTS = -(1 << 31)
+
+
+def _text_rows(batches):
+    """A block's texts, compressed."""
+    for block, ids, held, texts in _blocks(batches):
+        rows = pa.RecordBatch.from_arrays([ids, pa.array(held, pa.bool_()), pa.array(texts, pa.binary())], names=["id", "held_out", "text"])
+        out = io.BytesIO()
+        with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_batch(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([TEXTS], pa.int32()), pa.array([out.getvalue()], pa.binary())], names=["block", "unit", "data"])
+
+
+def _add_up(units: Units, groups: int, depth: int, tokens: int, distinct_words: int):
+    """A row for each text, from rows sorted by block: its texts, then the answers."""
+
+    def add_up(batches):
+        total = np.log10(tokens + 0.5 * (distinct_words + 1))
+        for block, (unit, data) in _groups(batches, ["block", "unit", "data"]):
+            rows = pa.ipc.open_stream(data[0]).read_all().combine_chunks()
+            held, texts = rows.column("held_out").to_pylist(), rows.column("text").to_pylist()
+            answers = dict(zip(unit[1:], data[1:]))
+            value = np.concatenate([unpack_numbers(answers[k], np.float32) for k in sorted(answers) if k >= 0]).astype(np.float64)
+            score = _scores(texts, depth, value)
+            index: dict[bytes, int] = {}
+            counts = []
+            for g, own in _block_words(texts, held, groups).items():
+                index.update(zip(own, range(len(index), len(index) + len(own))))
+                counts.append(unpack_numbers(answers[-1 - g], np.int64))
+            count = np.concatenate(counts)
+            each = [t.split() for t in texts]
+            lengths = np.array([len(w) for w in each])
+            ids = np.fromiter((i for w in each for i in map(index.__getitem__, w)), np.int64, int(lengths.sum()))
+            worth = np.log10(count + 0.5) - total
+            doc = np.repeat(np.arange(len(texts)), lengths)
+            end = index[END_TOKEN]
+            base = np.bincount(doc, worth[ids], len(texts)) + worth[end]
+            known = np.bincount(doc, count[ids] > 0, len(texts)).astype(np.int64) + int(count[end] > 0)
+            yield from pa.Table.from_arrays(
+                [rows.column("id"), rows.column("held_out"), pa.array(lengths + 1), pa.array(known), pa.array(base), pa.array(score)], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+            ).to_batches(max_chunksize=10_000)
+
+    return add_up
+
+
+def _scores(texts: list[bytes], depth: int, value: np.ndarray) -> np.ndarray:
+    """The sum of the values of each text's pairs; ``value`` follows the sorted distinct pairs of all."""
+    found, spread = [], []
+    for doc, words in _chunks(texts, depth):
+        order = _order(words)
+        words = [w[order] for w in words]
+        at = np.flatnonzero(_changes(words))
+        found.append(([w[at] for w in words], np.zeros(len(at), np.int8)))
+        spread.append((doc[order].astype(np.int32), np.diff(np.r_[at, len(order)]).astype(np.int32)))
+    rows, _, place = merged(found)
+    if len(rows[0]) != len(value):
+        raise RuntimeError("the documents came in another order when read again; checkpoint them first")
+    score, at = np.zeros(len(texts)), 0
+    for doc, times in spread:
+        score += np.bincount(doc, np.repeat(value[place[at : at + len(times)]], times), len(texts))
+        at += len(times)
+    return score
 
-def _add_up(base_unknown: float, total: float):
-    """Sums of the postings' scores and known tokens by (block, place), for words with their counts."""
 
-    def add(batches):
+def _sample_borders(depth: int, width: int):
+    def sample(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column("postings").to_pylist()
-            pairs = np.frombuffer(b"".join(lists), np.uint32).reshape(-1, 2)
-            each = np.array([len(x) >> 3 for x in lists])
-            n = batch.column("n").to_numpy(zero_copy_only=False).astype(np.float64)
-            value = np.where(n > 0, np.log10(n + 0.5) - total, base_unknown)
-            block = np.repeat(batch.column("block").to_numpy(), each)
-            tf = pairs[:, 1].astype(np.float64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block, pa.int64()), pa.array(pairs[:, 0], pa.int32()), pa.array(tf * np.repeat(value, each)), pa.array(np.where(np.repeat(n, each) > 0, pairs[:, 1], 0), pa.int64())],
-                names=["block", "place", "base", "n_known"],
-            )
-
-    return add
-
-
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, folds: int = FOLDS, held_fold: int = HELD_OUT) -> DataFrame:
+            texts = [t.lower() for t in batch.column("text").to_pylist()]
+            for _, words in _chunks(texts, depth):
+                yield pa.RecordBatch.from_arrays([pa.array(border_number(words, depth, width))], names=["border"])
+
+    return sample
+
+
+def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, folds: int = FOLDS, held_fold: int = HELD_OUT, unit_bytes: int = UNIT_BYTES) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose crc32(id as text) mod ``folds`` is not ``held_fold``; scores all.
-    A-Z are lower-cased. ``score`` is log10 of the probability of the bytes and an end mark,
-    ``base_score`` that of the add-half word unigram. Null text is empty: an end alone. With no
-    training rows every token is unknown and all bytes are equally likely. Repeated rows are
-    scored each; an empty table gives an empty result.
+    A-Z are lower-cased. ``score`` is log10 of the probability of the bytes and an end mark under
+    trees of ``depth`` bytes of context, any number from 1; ``base_score`` is that of the add-half
+    word unigram. Null text is empty: an end alone. With no training rows every token is unknown and
+    all bytes are equally likely. A text of any length is scored whole; rows that repeat each other
+    are scored each; extra columns are ignored; an empty table gives an empty result. ``docs`` is read
+    twice and has to give its rows in the same order both times, as files do; it is an error if not.
     """
-    if not 2 <= depth <= DEPTH:
-        raise ValueError(f"depth must be from 2 to {DEPTH}")
+    if depth < 1:
+        raise ValueError("depth must be positive")
     spark = docs.sparkSession
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("held_out", fold("id", folds) == held_fold)
-    tree, table, words = train(rows.where(~F.col("held_out")), "text", depth)
-    sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("distinct")).first()
-    tokens, distinct = sums["tokens"], sums["distinct"]
-    total = float(np.log10(tokens + 0.5 * (distinct + 1)))
-    unknown = float(np.log10(0.5)) - total
-    hot = {bytes(r["word"]): float(np.log10(r["n"] + 0.5)) - total for r in words.where(F.col("n") * HOT_WORDS >= tokens).collect()}  # at most HOT_WORDS rows
-    model = spark.sparkContext.broadcast((tree, table))
-    texts = rows.select("id", "held_out", text_or_empty("text").cast("binary").alias("text"))
-    id_type = rows.schema["id"].dataType.simpleString()
-    kind = f"id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, block long, place int, word binary, postings binary"
-    scored = shared_table(texts.mapInArrow(_score(model, spark.sparkContext.broadcast((hot, None)), depth), kind), "scored")
-    rare = words.where(F.col("n") * HOT_WORDS < tokens)
-    met = scored.where("word is not null").select("word", "block", "postings").join(rare, "word", "left").select("block", "postings", F.coalesce("n", F.lit(0)).alias("n"))
-    added = met.mapInArrow(_add_up(unknown, total), "block long, place int, base double, n_known long").groupBy("block", "place").agg(F.sum("base").alias("more"), F.sum("n_known").alias("more_known"))
-    return scored.where("word is null").join(added, ["block", "place"], "left").select(
-        F.col("id").alias(id_col),
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+    rows = docs.select(docs[id_col].alias("id"), (fold(id_col, folds) == held_fold).alias("held_out"), text_or_empty(docs[text_col]).cast("binary").alias("text"))
+    size, count, held = rows.agg(F.sum(F.octet_length("text") + F.lit(1)).cast("long"), F.count(F.lit(1)), F.sum(F.col("held_out").cast("long"))).first()
+    wanted = int(min(MAX_UNITS, max(1, -(-(size or 0) // unit_bytes))))
+    width = min(BORDER, depth)
+    # the sample settles borders of units only: the result is the same for any borders
+    share = min(1.0, SAMPLED * wanted / max(1, size or 0))
+    sample = rows.where(F.pmod(F.xxhash64("text", "id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))) if share < 1 else rows
+    borders = sample.mapInArrow(_sample_borders(depth, width), "border long").toArrow().column("border").to_numpy() if wanted > 1 else np.zeros(0, np.int64)
+    units = Units.plan(borders, wanted, width)
+    groups = wanted
+    parts = min(len(units.own) + groups, 20_000)
+
+    asked = rows.mapInArrow(_ask(units, groups, depth), "unit int, block long, data binary")
+    pairs = shared_checkpoint(asked.withColumn("part", F.pmod("unit", F.lit(parts)).cast("int")).repartitionById(parts, "part").sortWithinPartitions("unit", "block").drop("part"))
+    got = pairs.mapInArrow(_sum_up(units, depth), "unit int, tokens long, known long, sums binary").collect()  # one short row a unit
+    tokens, known = sum(r["tokens"] for r in got), sum(r["known"] for r in got)
+    sums = {r["unit"]: unpack_numbers(bytes(r["sums"]), np.float64).reshape(DECISIONS, 3).T for r in got if r["unit"] >= 0}
+    states = trunk(units, sums)
+    # at most MAX_UNITS rows of 6 KB
+    state = F.broadcast(spark.createDataFrame([(k, bytearray(s.T.tobytes())) for k, s in states.items()], "unit int, state binary"))
+    answers = pairs.join(state, "unit", "left").select("unit", "block", "data", "state").mapInArrow(_answer(units, depth), "block long, unit int, data binary")
+    texts = rows.mapInArrow(_text_rows, "block long, unit int, data binary")
+    spread = max(parts, 2 * rows.rdd.getNumPartitions())
+    together = texts.unionByName(answers).repartition(spread, "block").sortWithinPartitions("block", "unit")
+    kind = f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    scored = together.mapInArrow(_add_up(units, groups, depth, tokens, known), kind)
+    return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

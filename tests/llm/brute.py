@@ -1,6 +1,7 @@
 """Plain restatements of what the corpus operators return."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -85,3 +86,58 @@ def near_classes(rows, similarity=0.8):
                     a0, b0 = find(pair[0]), find(pair[1])
                     root[max(a0, b0)] = min(a0, b0)
     return {i: find(i) for i in bags}
+
+
+def context_tree_scores(train, texts, depth):
+    """log10 probabilities of texts by the recursive definition, contexts and decisions in plain dictionaries."""
+    counts, below = defaultdict(lambda: [0, 0]), defaultdict(set)
+
+    def steps(text):
+        data = b"\0" * depth + (text or "").encode().lower() + b"\0"
+        for i in range(depth, len(data)):
+            yield data[i], [data[i - d : i] for d in range(depth + 1)]
+
+    for t in train:
+        for byte, contexts in steps(t):
+            for c in contexts:
+                if c:
+                    below[c[1:]].add(c)
+                for k in range(8):
+                    counts[c, k, byte >> (8 - k)][byte >> (7 - k) & 1] += 1
+
+    def kt(zeros, ones):
+        return math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - math.lgamma(zeros + ones + 1) - math.log(math.pi)
+
+    known = {}
+
+    def weighted(c, k, prefix):
+        node = (c, k, prefix)
+        if node not in counts:
+            return 0.0
+        if node not in known:
+            own = kt(*counts[node])
+            if len(c) < depth:
+                rest = sum(weighted(longer, k, prefix) for longer in below[c])
+                own, rest = max(own, rest), min(own, rest)
+                own += math.log1p(math.exp(rest - own)) - math.log(2)
+            known[node] = own
+        return known[node]
+
+    out = []
+    for t in texts:
+        total = 0.0
+        for byte, contexts in steps(t):
+            for k in range(8):
+                mixed, left, last = 0.0, 1.0, 0.5
+                for c in contexts:
+                    node = (c, k, byte >> (8 - k))
+                    if node not in counts:
+                        break
+                    zeros, ones = counts[node]
+                    last = (ones + 0.5) / (zeros + ones + 1)
+                    stop = 1.0 if len(c) == depth else math.exp(kt(zeros, ones) - math.log(2) - weighted(*node))
+                    mixed, left = mixed + left * stop * last, left * (1 - stop)
+                one = mixed + left * last
+                total += math.log10(one if byte >> (7 - k) & 1 else 1 - one)
+        out.append(total)
+    return out

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ionlake.llm.exact_dedup import exact_dedup
 from ionlake.llm.language_id import language_id, marginals
-from ionlake.llm.lm_score import byte_log10, lm_score, train, weighted_tables
+from ionlake.llm import lm_score as lm
+from ionlake.llm.lm_score import lm_score
 from ionlake.llm.near_dedup import bag_min_hash, connected_components, near_dedup, shingle_multisets
 from ionlake.llm.packing import ChunkEncoder, best_fit_decreasing, bin_lower_bound, pack_documents
 from ionlake.llm.quality_classifier import quality_scores
@@ -170,29 +171,38 @@ def test_lm_score(docs, rows):
         assert r.score < 0
 
 
-def test_context_tree_weighting_is_a_distribution(docs):
-    tree, table, _ = train(docs.where("doc_id < 100"), "text")
-    assert np.allclose((10.0 ** table.astype(float)).sum(1), 1, atol=1e-4)
-    assert len(table) == len(tree.contexts)
-
+def test_lm_score_against_recursion(spark):
+    """The query's scores, through blocks, units and trunk, and the definition, for several depths."""
+    import random
 
-def test_weighting_against_recursion():
-    """One binary decision, contexts of one byte: the mixture by its definition."""
-    rng = np.random.default_rng(0)
-    below = np.zeros((3, 256), np.int64)
-    below[:, [0, 255]] = rng.integers(0, 9, (3, 2))
-    levels = [(below.sum(0)[None], None), (below, np.zeros(3, np.int64))]
-    got = weighted_tables(levels)
-    kt = lambda a, b: math.exp(math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1)) / math.pi
-    root = below.sum(0)
-    a, b = root[:128].sum(), root[128:].sum()
-    inner = math.prod(kt(c[:128].sum(), c[128:].sum()) for c in below)
-    stop = 0.5 * kt(a, b) / (0.5 * kt(a, b) + 0.5 * inner)
-    for k, c in enumerate(below):
-        z, o = c[:128].sum(), c[128:].sum()
-        want = stop * (b + 0.5) / (a + b + 1) + (1 - stop) * (o + 0.5) / (z + o + 1)
-        assert abs((10.0 ** got[1][k].astype(float))[128:].sum() - want) < 1e-5
-    assert np.allclose((10 ** byte_log10(np.full((1, 255), 0.5))).ravel(), 1 / 256)
+    rng = random.Random(4)
+    made = [(k, "".join(rng.choice("abB é\n") for _ in range(rng.randint(0, 40))) * rng.randint(1, 3)) for k in range(40)]
+    made += [(40, None), (41, "zebra not met in training"), (42, made[3][1]), (42, made[3][1])]
+    table = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    for depth, unit_bytes in ((1, 1000), (3, 100), (8, 200), (10, 1 << 20)):
+        want = brute.context_tree_scores([t for i, t in made if crc(i) % 5 != 1], [t for _, t in made], depth)
+        by_text = {t: w for (_, t), w in zip(made, want)}
+        got = lm_score(table, depth=depth, unit_bytes=unit_bytes).collect()
+        texts = dict(made)
+        assert len(got) == len(made) and all(abs(r.score - by_text[texts[r.doc_id]]) < 1e-4 * (1 - r.score) for r in got)
+
+
+def test_lm_units_and_long_counts():
+    rng = np.random.default_rng(3)
+    text = bytes(rng.choice(list(b"abcdefgh "), 30_000)).replace(b"a", b"ab" * 3)
+    for depth in (5, 8, 12):
+        words, n = lm._block_pairs([text, b""], [False, True], depth)
+        back, counts = lm.unpack_pairs(lm.pack_pairs(words, n * 300, depth), depth)
+        assert all((x == y).all() for x, y in zip(words, back)) and (counts == n * 300).all()
+        values = []
+        for wanted in (1, 40):
+            units = lm.Units.plan(lm.border_number(words, depth, 4), wanted, 4)
+            cut = units.cut(words, depth)
+            own = {k: lm.levels_of([w[a:b] for w in words], n[a:b], depth, len(units.own[k][0]) + 1) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a}
+            states = lm.trunk(units, {k: lm.subtree_sums(v) for k, v in own.items()})
+            values.append(np.concatenate([lm.log_probabilities(v, states[k]) for k, v in own.items()]))
+        assert np.allclose(*values) and len(units.own) > 10
+    assert abs(lm.log_kt(np.array([100_000]), np.array([3]))[0] - (math.lgamma(100_000.5) + math.lgamma(3.5) - math.lgamma(100_004) - math.log(math.pi))) < 1e-6
 
 
 def test_secret_scan(docs, rows):
