@@ -1,4 +1,10 @@
-"""The registered queries of this subpackage and their SQL."""
+"""The registered queries of this subpackage and their SQL.
+
+SQL stands for what it can express: all of op4, op6 and op8, and, as queries of their own, the base
+columns of op3 and op5 and the round trip of op7. The rest of op1 (a tokenizer), op2 and op9 (fitted
+models), op3 and op5 (context trees and Markov models), op7 and op10 (optimal splits and signatures)
+has no SQL form; the tests compare those results with brute-force versions.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +12,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents
 from .exact_dedup import exact_dedup
@@ -16,7 +23,7 @@ from .packing import pack_documents
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
-from .sentence_pieces import encode_pieces
+from .sentence_pieces import decode_pieces, encode_pieces
 from .sharding import shard_by_bytes
 
 
@@ -41,11 +48,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(documents(spark, sf_dir))
+    return quality_rules(documents(spark, sf_dir)).withColumn("host_rate", F.round("host_rate", 9))
 
 
 def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_pieces(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    return encode_pieces(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +67,22 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir))
 
 
+def lm_base_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word unigram columns of op3."""
+    return lm_score(documents(spark, sf_dir)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op5's fixed patterns."""
+    return secret_scan(documents(spark, sf_dir)).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def pieces_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of op7's encoding, decoded."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return decode_pieces(encode_pieces(documents(spark, sf_dir), path), path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -71,6 +94,67 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_language_id": op9_language_id,
     "op10_near_dedup": op10_near_dedup,
+    "lm_base_score": lm_base_score,
+    "secret_base_counts": secret_base_counts,
+    "pieces_round_trip": pieces_round_trip,
 }
 
-ORACLES: dict[str, str] = {}
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+CRC_STEPS = "crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps)"
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, a byte at a time over the table of CRC_STEPS."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": f"""WITH own AS (SELECT doc_id, {LOWERED} AS norm FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC) = 1 AS kept, sha256(norm) AS text_sha256
+FROM own WINDOW same AS (PARTITION BY norm)""",
+    "op6_quality_rules": f"""WITH own AS (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS text FROM documents),
+split AS (SELECT *, {WORDS.format("text")} AS words, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines FROM own),
+windows AS (SELECT k, i, array_to_string(words[i:i + 4], ' ') AS w FROM (SELECT k, words, unnest(range(1, len(words) - 3)) AS i FROM split)),
+often AS (SELECT k, i FROM windows QUALIFY count(*) OVER (PARTITION BY k, w) > 1),
+covered AS (SELECT k, count(DISTINCT i + j) AS n FROM often, range(5) AS r(j) GROUP BY k),
+measured AS (SELECT k, doc_id, source, len(words) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM split LEFT JOIN covered USING (k)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured),
+hosts AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(base_failed AS INT)) AS DOUBLE) AS bad FROM judged GROUP BY source),
+moments AS (SELECT sum(bad) / sum(n) AS mean, var_pop(bad / n) AS var FROM hosts),
+prior AS (SELECT mean, CASE WHEN var > 0 THEN least(10000.0, greatest(2.0, mean * (1 - mean) / var - 1)) ELSE 2.0 END AS strength FROM moments),
+rates AS (SELECT source, (bad + mean * strength) / (n + strength) AS host_rate, n + strength + 1 AS weight FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (host_rate - 2 * sqrt(host_rate * (1 - host_rate) / weight) > 0.6) AS kept, round(host_rate, 9) AS host_rate
+FROM judged JOIN rates ON judged.source IS NOT DISTINCT FROM rates.source""",
+    "op8_sharding": f"""WITH {CRC_STEPS},
+own AS (SELECT doc_id, md5(coalesce(text, '')) AS digest, strlen(coalesce(text, '')) + 1 AS size, {_crc32("coalesce(text, '')")} AS text_crc32 FROM documents, crc),
+placed AS (SELECT *, coalesce(sum(size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER o - 1 AS place FROM own WINDOW o AS (ORDER BY digest, doc_id NULLS FIRST)),
+same AS (SELECT digest, min(before) AS low, max(before + size) AS high, min(place) AS first, max(place) + 1 AS after FROM placed GROUP BY digest),
+total AS (SELECT sum(size) AS bytes FROM own),
+targets AS (SELECT k, bytes * k // 8 AS cut, bytes FROM total, range(1, 8) AS r(k)),
+hits AS (SELECT k, cut, bytes, before, size, place, low, high, first, after FROM targets JOIN placed ON before <= cut AND cut < before + size JOIN same USING (digest)),
+cuts AS (SELECT k, CASE WHEN whole AND cut - low <= high - cut THEN low WHEN whole THEN high WHEN cut - before <= before + size - cut THEN before ELSE before + size END AS edge,
+  CASE WHEN whole AND cut - low <= high - cut THEN first WHEN whole THEN after WHEN cut - before <= before + size - cut THEN place ELSE place + 1 END AS rows_before
+  FROM (SELECT *, high - low <= greatest(size, 0.01 * bytes / 8) AS whole FROM hits))
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, CAST((SELECT count(*) FROM cuts WHERE edge <= before) AS INTEGER) AS shard,
+  CAST(place - coalesce((SELECT max(rows_before) FROM cuts WHERE edge <= before), 0) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM placed""",
+    "lm_base_score": f"""WITH {CRC_STEPS},
+own AS (SELECT row_number() OVER () AS k, doc_id, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '')")} % 5 = 1 AS held_out, list_append({WORDS.format(LOWERED)}, ' ') AS tokens FROM documents, crc),
+spread AS (SELECT k, held_out, unnest(tokens) AS token FROM own),
+counts AS (SELECT token, count(*) AS c FROM spread WHERE NOT held_out GROUP BY token),
+totals AS (SELECT sum(c) AS n, count(*) AS v FROM counts),
+scores AS (SELECT k, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 0.5) / (n + 0.5 * (v + 1)))) AS score FROM spread LEFT JOIN counts USING (token), totals GROUP BY k)
+SELECT doc_id, held_out, n_tokens, n_known, CAST(n AS BIGINT) AS train_tokens, round(score, 4) AS base_score FROM own JOIN scores USING (k), totals""",
+    "secret_base_counts": r"""SELECT doc_id,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) AS n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS n_access,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 32)) AS n_hex
+FROM documents""",
+    "pieces_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}
