@@ -32,14 +32,15 @@ from pyspark.sql import functions as F
 
 from .common import fold, shared_checkpoint, text_or_empty
 
-DEPTH = 8
+#: Seven bytes of context and the byte they precede are one 64-bit word; deeper rows sort slower and take more room.
+DEPTH = 7
 FOLDS, HELD_OUT = 5, 1
 #: Text of a block; a longer text is a block alone.
 BLOCK_BYTES = 16 << 20
 #: Positions whose pairs are sorted at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Training text behind a unit; from MAX_UNITS units on they grow instead.
-UNIT_BYTES, MAX_UNITS = 8 << 20, 1 << 14
+UNIT_BYTES, MAX_UNITS = 4 << 20, 1 << 14
 #: Sampled positions a unit, for the borders of units alone; borders lie within BORDER bytes of context.
 SAMPLED, BORDER = 400, 6
 END_TOKEN = b" "  # holds white space, so no word is equal to it
@@ -62,7 +63,7 @@ def pair_rows(data: np.ndarray, first: int, depth: int) -> list[np.ndarray]:
     if depth <= 7:
         return [(near >> np.uint64(8 * (8 - depth)) << eight) | byte]
     if depth == 8:
-        return [near >> np.uint64(56), (near << eight) | byte]
+        return [(near >> np.uint64(56)).astype(np.uint8), (near << eight) | byte]
     text = [data[first - j : len(data) - j] for j in range(1, depth + 1)] + [data[first:]]
     words = []
     for end in range(len(text), 0, -8):
@@ -76,8 +77,8 @@ def pair_rows(data: np.ndarray, first: int, depth: int) -> list[np.ndarray]:
 def _order(words: list[np.ndarray]) -> np.ndarray:
     if len(words) == 1:
         return np.argsort(words[0])
-    if len(words) == 2 and len(words[0]) and words[0].max() < 256:
-        head = words[0].astype(np.uint8)
+    if len(words) == 2 and words[0].dtype == np.uint8:
+        head = words[0]
         order = np.argsort(head, kind="stable")
         ends = np.cumsum(np.bincount(head, minlength=256))
         low = words[1][order]
@@ -91,13 +92,13 @@ def _order(words: list[np.ndarray]) -> np.ndarray:
 def _sorted(words: list[np.ndarray]) -> list[np.ndarray]:
     if len(words) == 1:
         return [np.sort(words[0])]
-    if len(words) == 2 and len(words[0]) and words[0].max() < 256:
-        head = words[0].astype(np.uint8)
+    if len(words) == 2 and words[0].dtype == np.uint8:
+        head = words[0]
         sizes = np.bincount(head, minlength=256)
         low, ends = words[1][np.argsort(head, kind="stable")], np.cumsum(sizes)
         for a, b in zip(np.r_[0, ends[:-1]], ends):
             low[a:b].sort()
-        return [np.repeat(np.arange(256, dtype=np.uint64), sizes), low]
+        return [np.repeat(np.arange(256, dtype=np.uint8), sizes), low]
     order = np.lexsort(words[::-1])
     return [w[order] for w in words]
 
@@ -130,8 +131,21 @@ def merged(parts: list[tuple[list[np.ndarray], np.ndarray]]) -> tuple[list[np.nd
     return [w[at] for w in words], np.add.reduceat(n[order], at) if len(at) else n, place
 
 
+def _by_first_byte(parts: list[tuple[list[np.ndarray], np.ndarray]], depth: int):
+    """``merged`` for parts that are sorted, one nearest context byte after the other, so that little is held twice.
+
+    Yields (rows, sums, place of each of the byte's input rows, [(start, end) of those in each part]).
+    """
+    cuts = [np.searchsorted(_byte(words, depth, 0), np.arange(257)) for words, _ in parts]
+    for b in range(256):
+        own = [(int(c[b]), int(c[b + 1])) for c in cuts]
+        if any(y > x for x, y in own):
+            yield (*merged([([w[x:y] for w in words], n[x:y]) for (words, n), (x, y) in zip(parts, own)]), own)
+
+
 def _without_farthest(words: list[np.ndarray], depth: int) -> list[np.ndarray]:
     """c1 ... c(d-1) b from c1 ... cd b."""
+    words = [w.astype(np.uint64, copy=False) for w in words]
     last = (words[-1] >> np.uint64(16) << np.uint64(8)) | (words[-1] & np.uint64(255))
     out = [last]
     for k in range(len(words) - 2, -1, -1):
@@ -369,6 +383,8 @@ def unpack_pairs(data: bytes, depth: int) -> tuple[list[np.ndarray], np.ndarray]
     n[large] = raw[at : at + 8 * large.sum()].view("<u8")
     at += 8 * int(large.sum())
     words = [np.zeros(rows, np.uint64) for _ in range(-(-(depth + 1) // 8))]
+    if depth == 8:
+        words[0] = words[0].astype(np.uint8)
     for j in range(depth + 1):
         fresh = first <= j
         fresh[0] = True
@@ -376,7 +392,8 @@ def unpack_pairs(data: bytes, depth: int) -> tuple[list[np.ndarray], np.ndarray]
         held = int(place[-1]) + 1
         own, at = raw[at : at + held][place], at + held
         from_end = depth - j
-        words[len(words) - 1 - from_end // 8] |= own.astype(np.uint64) << np.uint64(8 * (from_end % 8))
+        k = len(words) - 1 - from_end // 8
+        words[k] |= own.astype(words[k].dtype) << words[k].dtype.type(8 * (from_end % 8))
     return words, n
 
 
@@ -414,7 +431,7 @@ def _chunks(texts: list[bytes], depth: int):
     def made():
         data = np.frombuffer(b"".join(parts), np.uint8)
         words = pair_rows(data, before, depth)
-        own = np.repeat(np.array(docs), sizes)[before:]
+        own = np.repeat(np.array(docs, np.int32), sizes)[before:]
         keep = np.ones(len(data), bool)
         starts = np.cumsum(sizes) - sizes
         keep[(starts[:, None] + np.arange(before)).ravel()] = False
@@ -441,27 +458,33 @@ def _block_pairs(texts: list[bytes], held: list[bool], depth: int) -> tuple[list
     for own, wanted in (([t for t, h in zip(texts, held) if not h], 1), ([t for t, h in zip(texts, held) if h], 0)):
         for _, words in _chunks(own, depth):
             rows, n = distinct(words)
-            found.append((rows, n * wanted))
-    words, n, _ = merged(found)
-    return words, n
+            found.append((rows, (n * wanted).astype(np.int32)))
+    made = [(words, n) for words, n, _, _ in _by_first_byte(found, depth)]
+    found.clear()
+    n = np.concatenate([n for _, n in made])
+    columns = list(zip(*(words for words, _ in made)))
+    del made
+    return [np.concatenate(columns.pop(0)) for _ in range(len(columns))], n
 
 
 def _word_group(word: bytes, groups: int) -> int:
     return zlib.crc32(word) % groups
 
 
-def _block_words(texts: list[bytes], held: list[bool], groups: int) -> dict[int, Counter]:
+def _block_words(texts: list[bytes], held: list[bool], groups: int) -> dict[int, dict[bytes, int]]:
     """The block's distinct words by group, with their training counts."""
-    counts: Counter = Counter()
+    counts: dict[bytes, int] = Counter()
+    unseen: set[bytes] = set()
     for t, h in zip(texts, held):
-        if not h:
+        if h:
+            unseen.update(t.split())
+        else:
             counts.update(t.split())
     counts[END_TOKEN] = len(held) - sum(held)
-    for t, h in zip(texts, held):
-        if h:
-            for w in set(t.split()).difference(counts):
-                counts[w] = 0
-    out: dict[int, Counter] = {}
+    for w in unseen:
+        if w not in counts:
+            counts[w] = 0
+    out: dict[int, dict[bytes, int]] = {}
     for w in sorted(counts):
         out.setdefault(_word_group(w, groups), {})[w] = counts[w]
     return out
@@ -582,7 +605,7 @@ def _add_up(units: Units, groups: int, depth: int, tokens: int, distinct_words:
             rows = pa.ipc.open_stream(data[0]).read_all().combine_chunks()
             held, texts = rows.column("held_out").to_pylist(), rows.column("text").to_pylist()
             answers = dict(zip(unit[1:], data[1:]))
-            value = np.concatenate([unpack_numbers(answers[k], np.float32) for k in sorted(answers) if k >= 0]).astype(np.float64)
+            value = np.concatenate([unpack_numbers(answers[k], np.float32) for k in sorted(answers) if k >= 0])
             score = _scores(texts, depth, value)
             index: dict[bytes, int] = {}
             counts = []
@@ -590,14 +613,13 @@ def _add_up(units: Units, groups: int, depth: int, tokens: int, distinct_words:
                 index.update(zip(own, range(len(index), len(index) + len(own))))
                 counts.append(unpack_numbers(answers[-1 - g], np.int64))
             count = np.concatenate(counts)
-            each = [t.split() for t in texts]
-            lengths = np.array([len(w) for w in each])
-            ids = np.fromiter((i for w in each for i in map(index.__getitem__, w)), np.int64, int(lengths.sum()))
-            worth = np.log10(count + 0.5) - total
-            doc = np.repeat(np.arange(len(texts)), lengths)
+            worth, found = np.log10(count + 0.5) - total, count > 0
             end = index[END_TOKEN]
-            base = np.bincount(doc, worth[ids], len(texts)) + worth[end]
-            known = np.bincount(doc, count[ids] > 0, len(texts)).astype(np.int64) + int(count[end] > 0)
+            lengths, known, base = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts))
+            for k, t in enumerate(texts):
+                own = t.split()
+                ids = np.fromiter(map(index.__getitem__, own), np.int64, len(own))
+                lengths[k], known[k], base[k] = len(own), found[ids].sum() + found[end], worth[ids].sum() + worth[end]
             yield from pa.Table.from_arrays(
                 [rows.column("id"), rows.column("held_out"), pa.array(lengths + 1), pa.array(known), pa.array(base), pa.array(score)], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"]
             ).to_batches(max_chunksize=10_000)
@@ -608,20 +630,29 @@ def _add_up(units: Units, groups: int, depth: int, tokens: int, distinct_words:
 def _scores(texts: list[bytes], depth: int, value: np.ndarray) -> np.ndarray:
     """The sum of the values of each text's pairs; ``value`` follows the sorted distinct pairs of all."""
     found, spread = [], []
+    kind = np.uint16 if len(texts) < 1 << 16 else np.uint32
     for doc, words in _chunks(texts, depth):
         order = _order(words)
         words = [w[order] for w in words]
         at = np.flatnonzero(_changes(words))
         found.append(([w[at] for w in words], np.zeros(len(at), np.int8)))
-        spread.append((doc[order].astype(np.int32), np.diff(np.r_[at, len(order)]).astype(np.int32)))
-    rows, _, place = merged(found)
-    if len(rows[0]) != len(value):
-        raise RuntimeError("the documents came in another order when read again; checkpoint them first")
-    score, at = np.zeros(len(texts)), 0
-    for doc, times in spread:
-        score += np.bincount(doc, np.repeat(value[place[at : at + len(times)]], times), len(texts))
-        at += len(times)
-    return score
+        spread.append((doc.astype(kind)[order], np.diff(np.r_[at, len(order)]).astype(np.int32), np.empty(len(at), np.float32)))
+    total = 0
+    for words, n, place, spans in _by_first_byte(found, depth):
+        if total + len(n) > len(value):
+            break
+        own, done = value[total : total + len(n)][place], 0
+        for (_, _, worth), (x, y) in zip(spread, spans):
+            worth[x:y] = own[done : done + y - x]
+            done += y - x
+        total += len(n)
+    else:
+        if total == len(value):
+            score = np.zeros(len(texts))
+            for doc, times, worth in spread:
+                score += np.bincount(doc, np.repeat(worth.astype(np.float64), times), len(texts))
+            return score
+    raise RuntimeError("the documents came in another order when read again; checkpoint them first")
 
 
 def _sample_borders(depth: int, width: int):
@@ -657,7 +688,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     sample = rows.where(F.pmod(F.xxhash64("text", "id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))) if share < 1 else rows
     borders = sample.mapInArrow(_sample_borders(depth, width), "border long").toArrow().column("border").to_numpy() if wanted > 1 else np.zeros(0, np.int64)
     units = Units.plan(borders, wanted, width)
-    groups = wanted
+    groups = max(1, wanted // 4)
     parts = min(len(units.own) + groups, 20_000)
 
     asked = rows.mapInArrow(_ask(units, groups, depth), "unit int, block long, data binary")
