@@ -30,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, shared_checkpoint, text_or_empty
+from .common import fold, shared_checkpoint, slices, text_or_empty
 
 #: Seven bytes of context and the byte they precede are one 64-bit word; deeper rows sort slower and take more room.
 DEPTH = 7
 FOLDS, HELD_OUT = 5, 1
 #: Text of a block; a longer text is a block alone.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Positions whose pairs are sorted at once.
 CHUNK = 1 << 20
 #: Training text behind a unit; from MAX_UNITS units on they grow instead.
@@ -409,9 +409,9 @@ def _rounded(values: np.ndarray) -> np.ndarray:
 def _blocks(batches):
     """(block, ids, held out, lower-cased texts) of about BLOCK_BYTES; the same for the same rows."""
     block, ids, held, texts, size = TaskContext.get().partitionId() << 24, [], [], [], 0
-    for batch in batches:
-        kind = batch.schema.field("id").type
-        for i, h, t in zip(*(batch.column(c).to_pylist() for c in ("id", "held_out", "text"))):
+    for part in (x for batch in batches for x in slices(batch, "text", 500)):
+        kind = part.schema.field("id").type
+        for i, h, t in zip(*(part.column(c).to_pylist() for c in ("id", "held_out", "text"))):
             if texts and size + len(t) > BLOCK_BYTES:
                 yield block, pa.array(ids, kind), held, texts
                 block, ids, held, texts, size = block + 1, [], [], [], 0
