@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .residues import PSEUDO
@@ -21,12 +21,22 @@ def safe_corr(x: Column, y: Column) -> Column:
     return F.when((F.count(F.lit(1)) > 1) & varies(x) & varies(y), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
+def share_log_corr(rows: DataFrame, by: list[str], x: str, y: str, out: str = "pearsonr") -> DataFrame:
+    """(by..., out): Pearson's r of log2 of both sides' shares of their group's total, plus the pseudo-count."""
+    own = Window.partitionBy(*by)
+    logged = rows.select(*by, *[to_log(F.try_divide(F.col(c), F.sum(c).over(own))).alias(f"_{k}") for k, c in enumerate((x, y))])
+    return logged.groupBy(*by).agg(safe_corr(F.col("_0"), F.col("_1")).alias(out))
+
+
 def corr_or_zero(x: Column, y: Column) -> Column:
     return F.coalesce(safe_corr(x, y), F.lit(0.0))
 
 
 def upper_median(x: Column) -> Column:
-    """The element at n div 2 (0-based) of the sorted values, as an aggregate."""
+    """The element at n div 2 (0-based) of the sorted values, as an aggregate over small groups.
+
+    It holds a group's values; operators.ranks.upper_medians does not.
+    """
     return F.element_at(F.sort_array(F.collect_list(x)), (F.floor(F.count(x) / 2) + 1).cast("int"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,20 +40,25 @@ def in_window(value: Column, low: float | None, high: float | None) -> Column:
     return F.lit(True) if low is None or high is None else value.between(low, high)
 
 
-def _ladder(masses: Column, n_term: Column, c_term: Column, series: str, single: bool = False) -> Column:
-    """m/z of ions 1 to n-1 of a series.
+def _running_sums(masses: Column, end: Column, single: bool) -> Column:
+    """Sums of the first 1 to n-1 masses and the terminal ``end``, one pass.
 
-    ``single`` adds residue masses up in single precision, constants in double.
+    ``single`` adds in single precision.
     """
+    cast = "float" if single else "double"
+    start = F.struct(end.cast(cast).alias("sum"), F.array().cast(f"array<{cast}>").alias("all"))
+
+    def step(a, x):
+        more = (a["sum"] + x.cast(cast)).cast(cast)
+        return F.struct(more.alias("sum"), F.array_append(a["all"], more).alias("all"))
+
+    return F.aggregate(F.slice(masses, 1, F.greatest(F.size(masses) - 1, F.lit(0))), start, step, lambda a: a["all"])
+
+
+def _ladder(series: str, single: bool = False) -> Column:
+    """m/z of ions 1 to n-1 of a series, from the columns ``prefix`` and ``suffix`` of running sums."""
     side, offset, charge = ION_SERIES[series]
-    zero, cast = (F.lit(0.0).cast("float"), "float") if single else (F.lit(0.0), "double")
-    ordered = masses if side == "prefix" else F.reverse(masses)
-    end = n_term if side == "prefix" else c_term
-    sums = F.transform(
-        F.sequence(F.lit(1), F.size(masses) - 1),
-        lambda i: F.aggregate(F.slice(ordered, 1, i), (end.cast("double") + zero).cast(cast), lambda a, x: (a + x.cast(cast)).cast(cast)),
-    )
-    return F.transform(sums, lambda s: ((s.cast("double") + offset) / charge).cast(cast))
+    return F.transform(F.col(side), lambda s: ((s.cast("double") + offset) / charge).cast("float" if single else "double"))
 
 
 def _shifted(values: Column, by: float) -> Column:
@@ -59,32 +66,41 @@ def _shifted(values: Column, by: float) -> Column:
 
 
 def fragment_ions(
-    peprec: DataFrame, version: str = "general", catalogue: Catalogue | None = None, single: bool = False, keep: tuple[str, ...] = ("spec_id", "charge"), values: dict[str, Column] | None = None
+    peprec: DataFrame,
+    version: str = "general",
+    catalogue: Catalogue | None = None,
+    single: bool = False,
+    keep: tuple[str, ...] = ("spec_id", "charge"),
+    values: dict[str, Column] | None = None,
+    use: tuple[str, ...] = (),
+    found: dict[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
-    """Long table (keep..., ion, ionnumber, mz[, prediction]), one row per ion of each peptide.
+    """Long table (keep..., ion, ionnumber, mz[, prediction][, found...]), one row per ion of each peptide.
 
     ``version`` names the ion types: general, etd, ch2 or all (with neutral losses). A null
     modification string means none. ``values`` gives, for the ion types it names, array columns
-    with one prediction for each ion; other types are left out then. Everything is computed in the
-    row; nothing is shuffled.
+    with one prediction for each ion; other types are left out then. ``found`` makes further columns
+    from the m/z array of an ion type and the columns ``use``, once for each peptide. Everything is
+    computed in the row, masses in one pass for each direction; nothing is shuffled.
     """
     carried = {} if values is None else {f"_v{k}": v for k, v in enumerate(values.values())}
     pairs = parse_mods(F.col("modifications")) if "modifications" in peprec.columns else F.array().cast("array<struct<pos:int,name:string>>")
-    parsed = peprec.select(*keep, residue_masses(F.col("peptide"), FRAGMENT_MASS).alias("masses"), pairs.alias("pairs"), *[v.alias(n) for n, v in carried.items()])
+    own = [*keep, *(c for c in use if c not in keep)]
+    parsed = peprec.select(*own, residue_masses(F.col("peptide"), FRAGMENT_MASS).alias("masses"), pairs.alias("pairs"), *[v.alias(n) for n, v in carried.items()])
     masses, n_term, c_term = modified_masses(F.col("masses"), F.col("pairs"), catalogue or Catalogue())
-    placed = parsed.select(*keep, masses.alias("masses"), n_term.alias("n_term"), c_term.alias("c_term"), *carried)
-    ladder = lambda s: _ladder(F.col("masses"), F.col("n_term"), F.col("c_term"), s, single)
+    placed = parsed.select(*own, masses.alias("masses"), n_term.alias("n_term"), c_term.alias("c_term"), *carried)
+    summed = placed.select(*own, _running_sums(F.col("masses"), F.col("n_term"), single).alias("prefix"), _running_sums(F.reverse("masses"), F.col("c_term"), single).alias("suffix"), *carried)
     names = ["B", "Y", "B2", "Y2"] if version == "all" else PEAK_VERSIONS[version]
-    made = {s: ladder(s) for s in names}
+    made = {s: _ladder(s, single) for s in names}
     if version == "all":
         for name, (base, offset) in SIDE_SERIES.items():
-            made[name], made[name + "2"] = _shifted(ladder(base), offset), _shifted(ladder(base + "2"), offset / 2)
-    if values is None:
-        series = [F.struct(F.lit(s).alias("ion"), mz.alias("mz")) for s, mz in made.items()]
-        cells, columns = F.posexplode("s.mz").alias("k", "mz"), ["mz"]
-    else:
-        held = dict(zip(values, carried))
-        series = [F.struct(F.lit(s).alias("ion"), F.arrays_zip(mz.alias("mz"), F.col(held[s]).alias("prediction")).alias("pairs")) for s, mz in made.items() if s in held]
-        cells, columns = F.posexplode("s.pairs").alias("k", "p"), ["p.mz", "p.prediction"]
-    long = placed.select(*keep, F.explode(F.array(*series)).alias("s")).select(*keep, F.col("s.ion").alias("ion"), cells)
-    return long.select(*keep, "ion", (F.col("k") + 1).cast("int").alias("ionnumber"), *columns)
+            made[name], made[name + "2"] = _shifted(_ladder(base, single), offset), _shifted(_ladder(base + "2", single), offset / 2)
+    held = {} if values is None else dict(zip(values, carried))
+    series = [
+        F.struct(F.lit(s).alias("ion"), F.arrays_zip(mz.alias("mz"), *([F.col(held[s]).alias("prediction")] if held else []), *[f(mz).alias(n) for n, f in (found or {}).items()]).alias("ions"))
+        for s, mz in made.items()
+        if values is None or s in held
+    ]
+    columns = ["mz", *(["prediction"] if held else []), *(found or {})]
+    long = summed.select(*keep, F.explode(F.array(*series)).alias("s")).select(*keep, F.col("s.ion").alias("ion"), F.posexplode("s.ions").alias("k", "own"))
+    return long.select(*keep, "ion", (F.col("k") + 1).cast("int").alias("ionnumber"), *[F.col(f"own.{c}") for c in columns])

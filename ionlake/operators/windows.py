@@ -6,36 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import stored
+from .ranks import quantiles, running_totals
 
 
 def q_values(psms: DataFrame, score: str, is_decoy: str, ties: list[str], partition: list[str] | None = None, out: str = "q_value") -> DataFrame:
     """Decoys over targets among the rows that score as well or better; ``ties`` break equal scores.
 
-    With ``partition`` (a run) it is one window. A global order instead is dealt to score ranges:
-    each range counts its own rows, the ranges' totals give each one its offset, and no task sees
-    more than a range.
+    The order is global or, with ``partition``, that of each run; either is dealt to ranges.
     """
     decoy = F.col(is_decoy).cast("int")
-    order = [F.desc(score), *ties]
-    if partition:
-        w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        bad, good = F.sum(decoy).over(w), F.sum(1 - decoy).over(w)
-        return psms.withColumn(out, F.try_divide(bad.cast("double"), good))
-    edges = psms.select(F.percentile_approx(score, [k / 32 for k in range(1, 32)], 1000)).first()[0] or []
-    edges = sorted(set(edges), reverse=True)
-    number = F.lit(0)
-    for k, e in enumerate(edges, 1):
-        number = F.when(F.col(score) < e, k).otherwise(number)
-    ranged = psms.withColumn("_range", number)
-    totals = ranged.groupBy("_range").agg(F.sum(decoy).alias("bad"), F.sum(1 - decoy).alias("good")).orderBy("_range").collect()  # at most 32 rows
-    before_bad, before_good, bad, good = F.lit(0), F.lit(0), 0, 0
-    for t in totals:
-        before_bad = F.when(F.col("_range") == t["_range"], bad).otherwise(before_bad)
-        before_good = F.when(F.col("_range") == t["_range"], good).otherwise(before_good)
-        bad, good = bad + t["bad"], good + t["good"]
-    w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    value = F.try_divide((F.sum(decoy).over(w) + before_bad).cast("double"), F.sum(1 - decoy).over(w) + before_good)
-    return ranged.withColumn(out, value).drop("_range")
+    summed = running_totals(psms, [F.desc(score), *ties], {"_bad": decoy, "_good": 1 - decoy}, partition)
+    return summed.withColumn(out, F.try_divide(F.col("_bad").cast("double"), F.col("_good"))).drop("_bad", "_good")
 
 
 def best_per_key(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
@@ -52,11 +33,18 @@ def best_in_sequence(rows: DataFrame, key_sets: list[list[str]], order: list[Col
 
 
 def gap_islands(rows: DataFrame, value: str, gap: float, partition: list[str], ties: list[str], out: str = "island") -> DataFrame:
-    """Numbers, from 0, runs of neighbouring values that are less than ``gap`` apart."""
-    w = Window.partitionBy(*partition).orderBy(value, *ties)
-    starts = F.coalesce((F.col(value) - F.lag(value).over(w) >= gap).cast("int"), F.lit(0))
-    marked = rows.withColumn("_new", starts)
-    return marked.withColumn(out, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    """Numbers, from 0, runs of neighbouring values that are less than ``gap`` apart, in each group or over all.
+
+    Neighbours are found by number, so a group may hold any share of the rows.
+    """
+    numbered = stored(running_totals(rows, [value, *ties], {"_place": F.lit(1).cast("long")}, partition))
+    before = numbered.select(*[F.col(p).alias(f"_before{k}") for k, p in enumerate(partition)], (F.col("_place") + 1).alias("_next"), F.col(value).alias("_value"))
+    met = F.col("_place") == F.col("_next")
+    for k, p in enumerate(partition):
+        met = met & F.col(p).eqNullSafe(F.col(f"_before{k}"))
+    marked = numbered.join(before, met, "left").withColumn("_new", F.coalesce((F.col(value) - F.col("_value") >= gap).cast("int"), F.lit(0)))
+    summed = running_totals(marked.select(*rows.columns, "_place", "_new"), ["_place"], {out: F.col("_new")}, partition)
+    return summed.drop("_place", "_new")
 
 
 def having_more_than(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -67,10 +55,9 @@ def having_more_than(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 def quantile_bins(rows: DataFrame, value: str, bins: int = 10, out: str = "bin") -> DataFrame:
     """Equal-frequency bins by value, 0 to bins-1: equal values share a bin, the upper edge is in."""
-    points = [k / bins for k in range(1, bins)]
-    edges = rows.select(F.percentile(value, F.array(*[F.lit(p) for p in points]))).first()[0]
+    found = quantiles(rows, value, [], [k / bins for k in range(1, bins)]).first()
     number = F.lit(0)
-    for k, e in enumerate(edges or [], 1):
+    for k, e in enumerate(found["quantiles"] if found else [], 1):
         number = F.when(F.col(value) > e, k).otherwise(number)
     return rows.withColumn(out, F.when(F.col(value).isNotNull(), number))
 
@@ -90,7 +77,8 @@ def contains_all(observed: Column, predicted: Column, tolerance: float) -> Colum
 def range_match(left: DataFrame, right: DataFrame, left_mz: str, right_mz: str, tolerance: float) -> DataFrame:
     """Pairs whose m/z are strictly less than ``tolerance`` apart, joined by buckets, not nested loops.
 
-    Buckets are as wide as the tolerance; each right row stands in its own and both neighbours'.
+    Buckets are as wide as the tolerance; each right row stands in its own and both neighbours'. A
+    bucket that holds many rows is split over tasks as a skewed join key, by the adaptive planner.
     """
     b = F.floor(F.col(right_mz) / tolerance)
     near = right.withColumn("_b", F.explode(F.array(b - 1, b, b + 1)))
@@ -115,11 +103,5 @@ def stable_split(rows: DataFrame, key: str, fraction: float, salt: str = "split"
 
 
 def global_numbers(rows: DataFrame, order: list[str], start: int = 0, out: str = "scan") -> DataFrame:
-    """Consecutive numbers in a total order, from partition sizes and offsets rather than one task."""
-    # stored, as sampled ranges need not be the same when they are computed again
-    ranged = stored(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    w = Window.partitionBy("_part").orderBy(*order)
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    offsets = sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    return ranged.join(offsets, "_part").withColumn(out, F.row_number().over(w) - 1 + F.col("_before") + start).drop("_part", "_before")
+    """Consecutive numbers in a total order."""
+    return running_totals(rows, order, {out: F.lit(1).cast("long")}).withColumn(out, F.col(out) - 1 + start)

@@ -16,11 +16,12 @@ from ..operators.digest import digest, peptidoforms, unique_peptides, with_decoy
 from ..operators.features import site_features
 from ..operators.peptides import clean_peptides, fragment_ions, in_window, precursor_mass, precursor_mz
 from ..operators.spectra import keyed_interval_max, normalise, preprocess, row_targets, spectrum_id
+from ..operators.ranks import quantiles
 from ..operators.windows import match_spectra as match_tables
 from ..operators.windows import stable_split, top_peaks
 from ..sinks.libraries import write_results
 from .config import LABELS, LibraryConfig, model
-from .trees import peptide_predictions, score_sites
+from .trees import score_peptides
 
 #: A retention-time predictor: records in, records with a column rt out.
 RetentionPredictor = Callable[[DataFrame], DataFrame]
@@ -61,8 +62,8 @@ def predict(peprec: DataFrame, nodes: pd.DataFrame, catalogue: Catalogue | None
     tasks = int(peprec.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = rows.select(*key).distinct().repartition(tasks, *key).withColumn("peptide", F.col("scored"))
     read = {int(k) for k in nodes["feature"].dropna()}
-    scored = score_sites(site_features(distinct, features, tuple(key), read), nodes, tuple(key))
-    joined = rows.join(peptide_predictions(scored, tuple(key)), key)
+    scored = score_peptides(site_features(distinct, features, tuple(key), read), nodes, tuple(key))
+    joined = rows.join(scored, key)
     ions = {c[2:]: F.col(c) for c in scored.columns if c.startswith("p_")}
     return fragment_ions(joined, version, catalogue, values=ions)
 
@@ -73,17 +74,16 @@ def with_targets(
     """(spec_id, charge, ion, ionnumber, mz, target): the best observed peak of each ion, log2 space.
 
     Spectra meet records by the id in their title; unmatched rows of either side go, and so do
-    mutated peptides. A spectrum's charge counts before the record's. Ions and peaks stand in one
-    row by then, so the peak search shuffles nothing.
+    mutated peptides. A spectrum's charge counts before the record's. Each spectrum's ions and peaks
+    stand in one row by then: the peak search shuffles nothing, and only its results are exploded.
     """
     catalogue = catalogue or Catalogue()
     rows = clean_peptides(peprec).where(~F.col("modifications").contains("mut")).where(_known_mods(catalogue))
     held = preprocess(spectra.where(F.size("peaks") > 0), label).withColumn("spec_id", spectrum_id(F.col("title"), pattern))
     met = rows.join(held.select("spec_id", "precursor_charge", "peaks"), "spec_id")
     met = met.withColumn("charge", F.coalesce("precursor_charge", "charge"))
-    ions = fragment_ions(met, version, catalogue, keep=("spec_id", "charge", "peaks"))
-    gathered = ions.withColumn("target", F.get(row_targets(F.array("mz"), F.col("peaks"), tolerance), F.lit(0)))
-    return gathered.drop("peaks")
+    search = lambda mz: row_targets(mz, F.col("peaks"), tolerance)
+    return fragment_ions(met, version, catalogue, use=("peaks",), found={"target": search})
 
 
 def evaluate(predictions: DataFrame, targets: DataFrame) -> DataFrame:
@@ -92,8 +92,9 @@ def evaluate(predictions: DataFrame, targets: DataFrame) -> DataFrame:
     return both.groupBy("spec_id", "ion").agg(safe_corr(F.col("target").cast("double"), F.col("prediction")).alias("pearsonr"))
 
 
-def median_correlations(correlations: DataFrame) -> DataFrame:
-    return correlations.groupBy("ion").agg(F.median("pearsonr").alias("median_r"))
+def median_correlations(correlations: DataFrame, by: tuple[str, ...] = ("ion",)) -> DataFrame:
+    """(by..., n, median_r): the median correlation of each group, such as ion, model, charge or length, with the number behind it."""
+    return quantiles(correlations, "pearsonr", list(by), [0.5]).select(*by, "n", F.get("quantiles", F.lit(0)).alias("median_r"))
 
 
 def feature_vectors(peprec: DataFrame, targets: DataFrame, features: str = "general") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import safe_corr
+from ..operators.ranks import quantiles
 
 
 def grid(values: dict[str, list]) -> list[dict]:
@@ -74,4 +75,4 @@ def best_params(results: DataFrame) -> DataFrame:
 def psm_percentiles(predictions: DataFrame, by: list[str], points: tuple[float, ...] = (0.1, 0.3, 0.5, 0.7, 0.9)) -> DataFrame:
     """Percentiles, by group, of the correlation of each psmid; undefined ones are left out."""
     each = predictions.groupBy(*by, "psmid").agg(safe_corr(F.col("target"), F.col("prediction")).alias("r")).where("r is not null")
-    return each.groupBy(*by).agg(F.percentile("r", F.array(*[F.lit(p) for p in points])).alias("percentiles"))
+    return quantiles(each, "r", by, list(points)).select(*by, F.col("quantiles").alias("percentiles"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: (model, ion, tree, node, feature, threshold, yes, no, leaf, base_score); a node with a leaf value has no test.
@@ -61,6 +63,43 @@ class Forest:
         return total
 
 
+def _node_rows(trees, ion: str, model: str, base_score: float) -> pd.DataFrame:
+    rows = [(model, ion, tree, *node, base_score) for tree, nodes in enumerate(trees) for node in nodes]
+    return pd.DataFrame(rows, columns=["model", "ion", "tree", "node", "feature", "threshold", "yes", "no", "leaf", "base_score"])
+
+
+def read_boosted_json(spark: SparkSession, path: str, ion: str, model: str) -> pd.DataFrame:
+    """The node table of a boosted model saved as JSON: a regression forest for one ion type.
+
+    The file is as large as the model and is read on the driver, as the forest travels with the scorer.
+    """
+    learner = json.loads(spark.read.text(path, wholetext=True).first()[0])["learner"]
+    trees = []
+    for t in learner["gradient_booster"]["model"]["trees"]:
+        own = zip(t["left_children"], t["right_children"], t["split_indices"], t["split_conditions"])
+        trees.append([(k, None, None, None, None, float(c)) if yes < 0 else (k, int(f), float(c), int(yes), int(no), None) for k, (yes, no, f, c) in enumerate(own)])
+    score = learner["learner_model_param"]["base_score"]
+    return _node_rows(trees, ion, model, float(score.strip("[]") if isinstance(score, str) else score))
+
+
+#: Lines of a text dump: a test, or a leaf.
+DUMP_TEST = re.compile(r"\s*(\d+):\[f?(\d+)<([^\]]+)\] yes=(\d+),no=(\d+)")
+DUMP_LEAF = re.compile(r"\s*(\d+):leaf=([^,\s]+)")
+
+
+def read_boosted_dump(spark: SparkSession, path: str, ion: str, model: str, base_score: float = 0.5) -> pd.DataFrame:
+    """The node table of a boosted model's text dump, which does not hold its base score."""
+    trees: list[list[tuple]] = []
+    for line in spark.read.text(path, wholetext=True).first()[0].splitlines():
+        if line.startswith("booster["):
+            trees.append([])
+        elif m := DUMP_TEST.match(line):
+            trees[-1].append((int(m[1]), int(m[2]), float(m[3]), int(m[4]), int(m[5]), None))
+        elif m := DUMP_LEAF.match(line):
+            trees[-1].append((int(m[1]), None, None, None, None, float(m[2])))
+    return _node_rows(trees, ion, model, base_score)
+
+
 def forest_expression(nodes: pd.DataFrame, features: Column) -> Column:
     """A forest as nested CASE expressions over an array column; for small forests."""
     if len(nodes) > EXPRESSION_NODES:
@@ -100,15 +139,48 @@ def score_sites(sites: DataFrame, nodes: pd.DataFrame, keep: tuple[str, ...]) ->
     return sites.select(*keep, "site", "features").mapInArrow(score, kind)
 
 
-def peptide_predictions(scored: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+def score_peptides(sites: DataFrame, nodes: pd.DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """(keep..., an array p_<ion> for each ion type): one row per peptide, values in ion order.
 
-    Prefix ions count from the first site, suffix ions from the last.
+    ``sites`` is what site_features gives: the sites of a peptide lie side by side, in order, so a
+    peptide's row is closed where the next one's first site comes, and nothing is shuffled. Only the
+    features that the model reads leave the JVM. Prefix ions count from the first site, suffix ions
+    from the last.
     """
-    names = [c for c in scored.columns if c.startswith("p_")]
-    gathered = scored.groupBy(*keep).agg(F.sort_array(F.collect_list(F.struct("site", *names))).alias("s"))
-    own = lambda c: F.col(f"s.{c}") if c[2] in "ABC" else F.reverse(F.col(f"s.{c}"))
-    return gathered.select(*keep, *[own(c).alias(c) for c in names])
+    read = sorted({int(k) for k in nodes["feature"].dropna()})
+    place = {k: i for i, k in enumerate(read)}
+    own = nodes.assign(feature=[None if pd.isna(k) else place[int(k)] for k in nodes["feature"]])
+    forests = {ion: Forest.from_nodes(part) for ion, part in own.groupby("ion")}
+    ions = sorted(forests)
+
+    def closed(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        """One row for each peptide of whole peptides' sites."""
+        ends = pa.array(np.r_[starts, rows.num_rows].astype(np.int32))
+        first = rows.take(pa.array(starts))
+        lists = [pa.ListArray.from_arrays(ends, rows.column(f"p_{i}")) for i in ions]
+        return pa.RecordBatch.from_arrays([*(first.column(k) for k in keep), *lists], names=[*keep, *(f"p_{i}" for i in ions)])
+
+    def score(batches):
+        open_rows = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.zeros((batch.num_rows, 0)) if not read else batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(read))
+            rows = pa.RecordBatch.from_arrays([*(batch.column(k) for k in (*keep, "site")), *(pa.array(forests[i].score(x), pa.float64()) for i in ions)], names=[*keep, "site", *(f"p_{i}" for i in ions)])
+            if open_rows is not None:
+                rows = pa.Table.from_batches([open_rows, rows]).combine_chunks().to_batches()[0]
+            starts = np.flatnonzero(rows.column("site").to_numpy() == 0)
+            if len(starts) > 1:
+                yield closed(rows.slice(0, int(starts[-1])), starts[:-1])
+            open_rows = rows.slice(int(starts[-1]))
+        if open_rows is not None:
+            yield closed(open_rows, np.array([0]))
+
+    kinds = dict(sites.dtypes)
+    kind = ", ".join(f"{k} {kinds[k]}" for k in keep) + "".join(f", p_{i} array<double>" for i in ions)
+    wanted = sites.select(*keep, "site", F.array(*[F.get("features", F.lit(k)) for k in read]).cast("array<int>").alias("x"))
+    scored = wanted.mapInArrow(score, kind)
+    return scored.select(*keep, *[(F.col(f"p_{i}") if i[0] in "ABC" else F.reverse(f"p_{i}")).alias(f"p_{i}") for i in ions])
 
 
 def importance(nodes: DataFrame) -> DataFrame:

@@ -19,8 +19,9 @@ from .operators import converters, windows
 from .operators.digest import LibraryModification, digest, modification_versions, unique_peptides, with_decoys
 from .operators.features import site_features
 from .operators.peptides import fragment_ions, in_window, is_predictable, is_tryptic, precursor_mass, precursor_mz
+from .operators.ranks import quantiles, upper_medians
 from .operators.spectra import keyed_interval_max, normalise, preprocess, tic
-from .plans.pipeline import evaluate, predict
+from .plans.pipeline import evaluate, median_correlations, predict
 from .plans.trees import forest_expression, toy_nodes
 from .sinks.libraries import mgf, msp, spectronaut
 
@@ -377,21 +378,22 @@ def corr_by_ion(spark, sf_dir):
 
 @query("median_corr", f"SELECT ion, count(r) AS n, round(median(r), 6) AS median_r FROM ({R_BY_ION}) GROUP BY ion")
 def median_corr(spark, sf_dir):
-    return _correlations(spark, sf_dir).groupBy("ion").agg(F.count("r").alias("n"), F.round(F.median("r"), 6).alias("median_r"))
+    own = _correlations(spark, sf_dir).select("ion", F.col("r").alias("pearsonr"))
+    return median_correlations(own).select("ion", "n", F.round("median_r", 6).alias("median_r"))
 
 
 @query("corr_percentiles", f"""WITH c AS ({R_BY_ION})
 {' UNION ALL '.join(f"SELECT ion, {p}::DOUBLE AS point, round(quantile_cont(r, {p}), 6) AS value FROM c WHERE r IS NOT NULL GROUP BY ion" for p in (0.1, 0.3, 0.5, 0.7, 0.9))}""")
 def corr_percentiles(spark, sf_dir):
     points = (0.1, 0.3, 0.5, 0.7, 0.9)
-    got = _correlations(spark, sf_dir).where("r is not null").groupBy("ion").agg(F.percentile("r", F.array(*[F.lit(p) for p in points])).alias("v"))
+    got = quantiles(_correlations(spark, sf_dir), "r", ["ion"], list(points)).select("ion", F.col("quantiles").alias("v"))
     return got.select("ion", F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in points]).alias("point"), F.col("v").alias("value"))).alias("e")).select("ion", "e.point", F.round("e.value", 6).alias("value"))
 
 
 @query("zero_corr_upper_median", f"WITH c AS (SELECT spec_id, ion, coalesce(r, 0) AS r FROM ({R_BY_ION})) SELECT ion, round(list_sort(list(r))[CAST(count(*) // 2 AS BIGINT) + 1], 6) AS upper_median, count(*) AS n FROM c GROUP BY ion")
 def zero_corr_upper_median(spark, sf_dir):
     rows = _predictions(spark, sf_dir).groupBy("spec_id", "ion").agg(metrics.corr_or_zero(F.col("target"), F.col("prediction")).alias("r"))
-    return rows.groupBy("ion").agg(F.round(metrics.upper_median(F.col("r")), 6).alias("upper_median"), F.count(F.lit(1)).alias("n"))
+    return upper_medians(rows, "r", ["ion"]).select("ion", F.round("upper_median", 6).alias("upper_median"), "n")
 
 
 @query(
@@ -788,3 +790,7 @@ def store_modifications_query(spark, sf_dir):
     ends = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("PeptideID"), F.lit("A").alias("TerminalModificationID"))
     names = spark.createDataFrame([(x, "R" + x) for x in "ANR"], "AminoAcidModificationID string, ModificationName string")
     return converters.store_modifications(side, ends, names)
+
+
+# sources and sinks register theirs when this module is complete
+from . import queries_io  # noqa: E402, F401

@@ -297,3 +297,27 @@ def read_spectrum_store(spark, path: str, low: float | None = None, high: float
     if low is not None and high is not None:
         spec = spec.where(F.col("pepmass").between(low, high))
     return spec.join(spark.read.parquet(f"{path}/specfile"), "file_id").select("title", F.col("filename").alias("source_file"), F.col("pepmass").alias("precursor_mz"), "mzs")
+
+
+def predictions_and_targets(predictions: DataFrame, targets: DataFrame) -> DataFrame:
+    """(spec_id, charge, ion, ionnumber, mz, target, prediction): ions that have both."""
+    return predictions.join(targets.select("spec_id", "ion", "ionnumber", "target"), ["spec_id", "ion", "ionnumber"]).select("spec_id", "charge", "ion", "ionnumber", "mz", "target", "prediction")
+
+
+def write_table(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Correlations, predictions with targets, or matched spectra as CSV with a header."""
+    rows.write.mode(mode).csv(path, header=True)
+
+
+def mgf_spectra(spectra: DataFrame) -> DataFrame:
+    """(title, value): observed spectra as MGF blocks; peaks without intensity are left out."""
+    peak = lambda p: F.concat_ws(" ", p["mz"].cast("string"), p["intensity"].cast("string"))
+    line = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f"{name}="), c.cast("string")))
+    peaks = F.array_join(F.transform(F.filter("peaks", lambda p: p["intensity"] > 0), peak), "\n")
+    charge = F.when(F.col("precursor_charge").isNotNull(), F.concat(F.col("precursor_charge").cast("string"), F.lit("+")))
+    return spectra.select("title", F.concat_ws("\n", F.lit("BEGIN IONS"), line("TITLE", F.col("title")), line("PEPMASS", F.col("precursor_mz")), line("CHARGE", charge), F.when(peaks != "", peaks), F.lit("END IONS\n")).alias("value"))
+
+
+def write_mgf_spectra(spectra: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Selected observed spectra, such as those of a PSM list or of one side of a split, as an MGF folder."""
+    mgf_spectra(spectra).select("value").write.mode(mode).text(path)

@@ -34,8 +34,11 @@ def read_peprec(spark: SparkSession, path: str, limit: int | None = None) -> Dat
 
 
 def read_fasta(spark: SparkSession, path: str, decoys: bool = False) -> DataFrame:
-    """(protein, description, sequence); the protein id is the description up to its first blank."""
-    blocks = spark.read.text(path, lineSep=">").where(F.length(F.trim("value")) > 0)
+    """(protein, description, sequence); the protein id is the description up to its first blank.
+
+    A record begins where a line begins with ``>``; the character may stand inside a description.
+    """
+    blocks = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", r"^(?:>|[^>]*?\n>)", "").alias("value")).where(F.length(F.trim("value")) > 0)
     lines = F.split("value", r"\r?\n")
     rows = blocks.select(F.trim(F.get(lines, F.lit(0))).alias("description"), F.array_join(F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.regexp_replace(x, r"\s", "")), "").alias("sequence"))
     rows = rows.select(F.substring_index("description", " ", 1).alias("protein"), "description", "sequence")
@@ -46,6 +49,29 @@ def count_fasta(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).where(F.col("value").startswith(">")).count()
 
 
+def any_case(pattern: str) -> str:
+    """A path pattern whose file name matches in either case, such as ``*.peprec``."""
+    folder, slash, name = pattern.rpartition("/")
+    return folder + slash + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in name)
+
+
+def with_spectrum_charges(peprec: DataFrame, spectra: DataFrame, overwrite: bool = False) -> DataFrame:
+    """Records with the charge of the spectrum that has their id as title; others get null.
+
+    Records that have charges keep them unless ``overwrite``.
+    """
+    if "charge" in peprec.columns and not overwrite:
+        return peprec
+    charges = spectra.select(F.col("title").alias("spec_id"), F.col("precursor_charge").alias("charge")).dropDuplicates(["spec_id"])
+    return peprec.drop("charge").join(charges, "spec_id", "left")
+
+
+def read_calibration(spark: SparkSession, path: str) -> DataFrame:
+    """(peptide, modifications, rt) of a retention-time calibration CSV with columns seq, modifications and tr."""
+    rows = spark.read.csv(path, header=True)
+    return rows.select(F.col("seq").alias("peptide"), blank_mods(F.col("modifications")).alias("modifications"), F.col("tr").cast("double").alias("rt"))
+
+
 def irt_peptides(spark: SparkSession) -> DataFrame:
     """(peptide, modifications, irt): the built-in retention-time calibration set."""
     return spark.createDataFrame([(p, "-", rt) for p, rt in IRT_PEPTIDES], "peptide string, modifications string, irt double")

@@ -6,7 +6,6 @@ import base64
 import re
 import struct
 import zlib
-from io import BytesIO
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -46,58 +45,55 @@ def mgf_headers(spark: SparkSession, path: str) -> DataFrame:
     return read_mgf(spark, path).select("title", "precursor_charge")
 
 
-def parse_mzml(data: bytes) -> list[tuple[str, float | None, int | None, list[dict]]]:
-    """MS level 2 spectra of one mzML file, streamed through an XML pull parser."""
-    out = []
-    local = lambda e: e.tag.rsplit("}", 1)[-1]
-    for _, element in ElementTree.iterparse(BytesIO(data)):
-        if local(element) != "spectrum":
-            continue
-        level, mz, charge, arrays, own = 1, None, None, {}, None
-        for node in element.iter():
-            name = local(node)
-            if name == "cvParam":
-                accession, value = node.get("accession"), node.get("value")
-                if accession == "MS:1000511":
-                    level = int(value)
-                elif accession == "MS:1000744" and mz is None:
-                    mz = float(value)
-                elif accession == "MS:1000041" and charge is None:
-                    charge = int(float(value))
-                elif own is not None:
-                    own.add(accession)
-            elif name == "binaryDataArray":
-                own = set()
-            elif name == "binary" and own is not None:
-                raw = base64.b64decode(node.text or "")
-                if "MS:1000574" in own:
-                    raw = zlib.decompress(raw)
-                code, width = ("d", 8) if "MS:1000523" in own else ("f", 4)
-                arrays["mz" if "MS:1000514" in own else "intensity"] = struct.unpack(f"<{len(raw) // width}{code}", raw)
-        if level == 2:
-            peaks = [{"mz": float(a), "intensity": float(b)} for a, b in zip(arrays.get("mz", ()), arrays.get("intensity", ()))]
-            out.append((element.get("id", ""), mz, charge, peaks))
-        element.clear()
-    return out
+def _spectrum(element) -> tuple[str, float | None, int | None, list[dict]] | None:
+    """(title, precursor m/z, charge, peaks) of a spectrum element of MS level 2, else nothing."""
+    level, mz, charge, arrays, own = 1, None, None, {}, None
+    for node in element.iter():
+        name = node.tag.rsplit("}", 1)[-1]
+        if name == "cvParam":
+            accession, value = node.get("accession"), node.get("value")
+            if accession == "MS:1000511":
+                level = int(value)
+            elif accession == "MS:1000744" and mz is None:
+                mz = float(value)
+            elif accession == "MS:1000041" and charge is None:
+                charge = int(float(value))
+            elif own is not None:
+                own.add(accession)
+        elif name == "binaryDataArray":
+            own = set()
+        elif name == "binary" and own is not None:
+            raw = base64.b64decode(node.text or "")
+            if "MS:1000574" in own:
+                raw = zlib.decompress(raw)
+            code, width = ("d", 8) if "MS:1000523" in own else ("f", 4)
+            arrays["mz" if "MS:1000514" in own else "intensity"] = struct.unpack(f"<{len(raw) // width}{code}", raw)
+    if level != 2:
+        return None
+    return element.get("id", ""), mz, charge, [{"mz": float(a), "intensity": float(b)} for a, b in zip(arrays.get("mz", ()), arrays.get("intensity", ()))]
 
 
 def read_mzml(spark: SparkSession, path: str) -> DataFrame:
-    """mzML files or a glob, MS level 2 only; files are the unit of work."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """mzML files or a glob, MS level 2 only; a spectrum element is a row, so a file is as splittable as text."""
+    blocks = spark.read.text(path, lineSep="</spectrum>").where(F.col("value").rlike(r"<spectrum\s"))
+    # the part from the element's start; what ended before it, or the list's own start, goes
+    elements = blocks.select(F.concat(F.regexp_extract("value", r"(?s)(<spectrum\s.*)$", 1), F.lit("</spectrum>")).alias("element"), F.col("_metadata.file_path").alias("source_file"))
 
     def parse(batches):
+        kind = pa.list_(pa.struct([("mz", pa.float32()), ("intensity", pa.float32())]))
         for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                found = parse_mzml(data)
-                for k in range(0, len(found), 2000):
-                    titles, mzs, charges, peaks = zip(*found[k : k + 2000])
-                    kind = pa.list_(pa.struct([("mz", pa.float32()), ("intensity", pa.float32())]))
+            for k in range(0, batch.num_rows, 200):
+                part = batch.slice(k, 200)
+                found = [(name, _spectrum(ElementTree.fromstring(x))) for x, name in zip(part.column("element").to_pylist(), part.column("source_file").to_pylist())]
+                held = [(*own, name) for name, own in found if own is not None]
+                if held:
+                    titles, mzs, charges, peaks, names = zip(*held)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(titles), pa.array(mzs, pa.float64()), pa.array(charges, pa.int32()), pa.array(peaks, kind), pa.array([name] * len(titles))],
+                        [pa.array(titles), pa.array(mzs, pa.float64()), pa.array(charges, pa.int32()), pa.array(peaks, kind), pa.array(names)],
                         names=["title", "precursor_mz", "precursor_charge", "peaks", "source_file"],
                     )
 
-    return files.mapInArrow(parse, SPECTRA)
+    return elements.mapInArrow(parse, SPECTRA)
 
 
 READERS = {".mgf": read_mgf, ".mzml": read_mzml}

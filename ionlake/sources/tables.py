@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import sqlite3
 import struct
-import tempfile
 import zlib
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.mods import Catalogue
+
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     """A tab-separated table with a header, all strings; null for empty fields."""
@@ -63,22 +63,38 @@ def read_msp(spark: SparkSession, path: str, sptxt: bool = False) -> DataFrame:
     )
 
 
+def _opened(data: bytes) -> sqlite3.Connection:
+    """A database file's bytes as a connection, in memory."""
+    db = sqlite3.connect(":memory:")
+    db.deserialize(data)
+    return db
+
+
 def read_sqlite(spark: SparkSession, path: str, tables: list[str]) -> dict[str, DataFrame]:
     """Tables of SQLite files (a path or glob), typed by the first file's declarations.
 
-    The files are read as binary and opened on the executors, one file a task; rows of all files
-    are united. A file has to fit an executor's memory and scratch disk.
+    The files are read as binary and opened on the executors, in memory, one file a task; rows of
+    all files are united. Only the declarations reach the driver. A file has to fit an executor's
+    memory.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    one = files.orderBy("path").first()
-    if one is None:
+    first = files.agg(F.min("path")).first()[0]
+    if first is None:
         raise ValueError(f"{path}: no such file")
-    with tempfile.TemporaryDirectory() as folder:
-        local = Path(folder, "first.sqlite")
-        local.write_bytes(one["content"])
-        db = sqlite3.connect(local)
-        columns = {t: [(r[1], _kind(r[2])) for r in db.execute(f'PRAGMA table_info("{t}")')] for t in tables}
-        db.close()
+
+    def declared(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for data in batch.column("content").to_pylist():
+                db = _opened(data)
+                rows = [(t, r[0], r[1], r[2]) for t in tables for r in db.execute(f'PRAGMA table_info("{t}")')]
+                db.close()
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["table", "k", "name", "kind"])
+
+    found = files.where(F.col("path") == first).mapInArrow(declared, "table string, k bigint, name string, kind string").collect()
+    columns = {t: [(r["name"], _kind(r["kind"])) for r in sorted(found, key=lambda r: r["k"]) if r["table"] == t] for t in tables}
     return {t: files.mapInArrow(_table_reader(t, columns[t]), ", ".join(f"`{n}` {k}" for n, k in columns[t])) for t in tables}
 
 
@@ -95,15 +111,12 @@ def _table_reader(table: str, columns: list[tuple[str, str]]):
         casts = {"bigint": int, "double": float, "string": str, "binary": bytes}
         for batch in batches:
             for data in batch.column("content").to_pylist():
-                with tempfile.NamedTemporaryFile() as f:
-                    f.write(data)
-                    f.flush()
-                    db = sqlite3.connect(f"file:{f.name}?mode=ro", uri=True)
-                    rows = db.execute("SELECT " + ", ".join(f'"{n}"' for n, _ in columns) + f' FROM "{table}"')
-                    while part := rows.fetchmany(20_000):
-                        arrays = [pa.array([None if x is None else casts[k](x) for x in c], kinds[k]) for c, (_, k) in zip(zip(*part), columns)]
-                        yield pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in columns])
-                    db.close()
+                db = _opened(data)
+                rows = db.execute("SELECT " + ", ".join(f'"{n}"' for n, _ in columns) + f' FROM "{table}"')
+                while part := rows.fetchmany(20_000):
+                    arrays = [pa.array([None if x is None else casts[k](x) for x in c], kinds[k]) for c, (_, k) in zip(zip(*part), columns)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in columns])
+                db.close()
 
     return read
 
@@ -145,3 +158,46 @@ def blib_spectra(tables: dict[str, DataFrame]) -> DataFrame:
         .join(by_spectrum.withColumnRenamed("RefSpectraID", "_id"), F.col("id") == F.col("_id"), "left")
         .drop("_id")
     )
+
+
+PREDICTION_TYPES = {"spec_id": "string", "charge": "int", "ion": "string", "ionnumber": "int", "mz": "float", "prediction": "double", "target": "double", "rt": "double", "pearsonr": "double"}
+
+
+def read_prediction_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Predictions, predictions with targets, or correlations, as the CSV sinks write them; an unnamed index column goes."""
+    rows = spark.read.csv(path, header=True)
+    return rows.select(*[F.col(f"`{c}`").cast(PREDICTION_TYPES[c]).alias(c) for c in rows.columns if c in PREDICTION_TYPES])
+
+
+def float_list(text: Column) -> Column:
+    """The numbers of a list literal such as ``[1.0, 2.5]``; null where it is none."""
+    return F.from_json(text, "array<double>")
+
+
+def read_list_table(spark: SparkSession, path: str, lists: list[str]) -> DataFrame:
+    """A tab-separated table whose ``lists`` columns hold list literals of numbers."""
+    rows = spark.read.csv(path, header=True, sep="\t")
+    return rows.select(*[float_list(F.col(c)).alias(c) if c in lists else F.col(c) for c in rows.columns])
+
+
+def masses_to_mods(peptide: Column, mods: Column, catalogue: Catalogue, tolerance: float = 1e-6) -> Column:
+    """A modification string for an array of (pos, mass): every catalogue entry of that mass whose site fits.
+
+    A terminal entry fits the first or last residue and takes position 0 or -1.
+    """
+    n = F.char_length(peptide)
+
+    def named(m):
+        found = []
+        for e in catalogue.mods:
+            near = F.abs(m["mass"] - e.mass_shift) <= tolerance
+            if e.site == "N-term":
+                found.append(F.when(near & (m["pos"] == 1), F.lit(f"0|{e.name}")))
+            elif e.site == "C-term":
+                found.append(F.when(near & (m["pos"] == n), F.lit(f"-1|{e.name}")))
+            else:
+                found.append(F.when(near & (F.substring(peptide, m["pos"], F.lit(1)) == e.site), F.concat(m["pos"].cast("string"), F.lit(f"|{e.name}"))))
+        return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+
+    all_named = F.array_join(F.flatten(F.transform(F.coalesce(mods, F.array().cast("array<struct<pos:int,mass:double>>")), named)), "|")
+    return F.when(all_named == "", "-").otherwise(all_named)

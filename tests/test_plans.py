@@ -290,3 +290,46 @@ def test_stream(spark, tmp_path):
     q.stop()
     assert spark.table("tics").first().tic == 4.0
     assert zlib.crc32(b"") == 0
+
+
+def test_boosted_models_are_read(spark, tmp_path):
+    """A text dump and a JSON model of one tree give the same forest."""
+    from ionlake.plans.trees import read_boosted_dump, read_boosted_json
+
+    (tmp_path / "m.txt").write_text("booster[0]:\n0:[f2<1.5] yes=1,no=2,missing=1\n\t1:leaf=0.25\n\t2:[f0<3] yes=3,no=4,missing=3\n\t\t3:leaf=-1\n\t\t4:leaf=2\n")
+    tree = '{"left_children":[1,-1,3,-1,-1],"right_children":[2,-1,4,-1,-1],"split_indices":[2,0,0,0,0],"split_conditions":[1.5,0.25,3,-1,2]}'
+    (tmp_path / "m.json").write_text('{"learner":{"learner_model_param":{"base_score":"[5E-1]"},"gradient_booster":{"model":{"trees":[' + tree + "]}}}}")
+    x = np.array([[0, 0, 1.0], [2, 0, 2.0], [3, 0, 1.5]])
+    for nodes in (read_boosted_dump(spark, str(tmp_path / "m.txt"), "B", "m"), read_boosted_json(spark, str(tmp_path / "m.json"), "B", "m")):
+        assert Forest.from_nodes(nodes).score(x).tolist() == [0.75, -0.5, 2.5]
+
+
+def test_fasta_records_begin_at_lines(spark, tmp_path):
+    from ionlake.sources.peptides import count_fasta, read_fasta
+
+    (tmp_path / "a.fasta").write_text(">P1 kinase 5->3 and <x> y\nACDE\nFGH\n>P2\r\nKLM\r\n\n>P3 >odd\nM")
+    path = str(tmp_path / "a.fasta")
+    assert sorted((r.protein, r.description, r.sequence) for r in read_fasta(spark, path).collect()) == [("P1", "P1 kinase 5->3 and <x> y", "ACDEFGH"), ("P2", "P2", "KLM"), ("P3", "P3 >odd", "M")]
+    assert count_fasta(spark, path) == 3
+
+
+def test_scored_peptides_cross_batches(spark):
+    """Peptides whose sites lie in several Arrow batches keep their order; suffix ions run backwards."""
+    from ionlake.operators.features import site_features
+    from ionlake.plans.trees import score_peptides
+
+    rows = spark.createDataFrame([(f"{'ACDEFGHIKLMNPQRSTVWY' * 2}{'AG' * (k % 9)}K", 2) for k in range(40)], "peptide string, charge int").coalesce(1)
+    nodes = toy_nodes()
+    sites = site_features(rows, keep=("peptide", "charge"))
+    want = {}
+    for r in score_sites(sites, nodes, ("peptide", "charge")).collect():
+        want.setdefault(r.peptide, {})[r.site] = (r.p_B, r.p_Y)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = score_peptides(sites, nodes, ("peptide", "charge")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 40
+    for r in got:
+        own = [want[r.peptide][k] for k in range(len(r.peptide) - 1)]
+        assert r.p_B == [b for b, _ in own] and r.p_Y == [y for _, y in own][::-1]

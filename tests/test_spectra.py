@@ -158,3 +158,30 @@ def test_splits_numbers_and_bins(spark):
     assert sorted((r.bin, r["count"]) for r in bins) == [(0, 250), (1, 250), (2, 250), (3, 250)]
     islands = windows.gap_islands(spark.createDataFrame([(1, v) for v in (1.0, 1.5, 4.0, 4.2, 9.0)], "g int, v double"), "v", 2.0, ["g"], [])
     assert [r.island for r in islands.orderBy("v").collect()] == [0, 0, 1, 1, 2]
+
+
+def test_ranks_by_ranges(spark):
+    """Against plain loops: ties, nulls, a null group and a group that holds most rows."""
+    import statistics
+
+    from ionlake.operators import ranks
+
+    rows = [("a", float(k * 7 % 50)) for k in range(300)] + [("b", 3.0)] * 40 + [("b", 1.0), (None, 5.0), (None, 2.0), ("c", None)]
+    table = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    held = {g: sorted(v for h, v in rows if h == g and v is not None) for g in ("a", "b", None)}
+    got = {r.g: (r.n, r.quantiles) for r in ranks.quantiles(table, "v", ["g"], [0.0, 0.25, 0.5, 1.0]).collect()}
+    assert got.keys() == held.keys()
+    for g, own in held.items():
+        at = [q * (len(own) - 1) for q in (0.0, 0.25, 0.5, 1.0)]
+        want = [own[int(x)] + (own[min(int(x) + 1, len(own) - 1)] - own[int(x)]) * (x - int(x)) for x in at]
+        assert got[g][0] == len(own) and all(abs(x - y) < 1e-12 for x, y in zip(got[g][1], want))
+    assert {r.g: r.upper_median for r in ranks.upper_medians(table, "v", ["g"]).collect()} == {g: statistics.median_high(own) for g, own in held.items()}
+    everything = [v for _, v in rows if v is not None]
+    assert abs(ranks.quantiles(table, "v", [], [0.5]).first().quantiles[0] - statistics.median(everything)) < 1e-12
+    totals = ranks.running_totals(table.where("v is not null"), ["v"], {"n": F.lit(1).cast("long")}, ["g"])
+    assert sorted(r.n for r in totals.where("g = 'a'").collect()) == list(range(1, 301))
+
+
+def test_global_islands(spark):
+    rows = spark.createDataFrame([(v,) for v in (1.0, 1.5, 4.0, 4.2, 9.0)], "v double")
+    assert [r.island for r in windows.gap_islands(rows, "v", 2.0, [], []).orderBy("v").collect()] == [0, 0, 1, 1, 2]
