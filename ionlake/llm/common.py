@@ -13,17 +13,20 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's checkpoint folder and cut its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (a local
-    test) a temporary folder is taken; a cluster has to name a folder that all machines share.
-    """
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which a cluster has to set; a temporary folder only in local mode."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
+        named = context.getConf().get("spark.checkpoint.dir")
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the cluster's checkpoint folder and cut its lineage."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -49,10 +52,7 @@ def fold(id_col: str, modulus: int) -> Column:
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it back; cuts lineage."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

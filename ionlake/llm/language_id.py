@@ -6,8 +6,9 @@ the evidence turns. Forward-backward gives each word's label probabilities; a do
 has the largest mean. The chain runs over the whole text: blocks of words become transfer
 matrices, the blocks of a document are joined exactly, and all blocks of a batch run in step.
 
-Fitting reads windows of at most about ``SAMPLE_DOCS`` documents a language, chosen by hash, and
-splices windows of different languages so that transitions see real switches.
+Fitting reads the whole texts of at most ``SAMPLE_DOCS`` different documents a language, chosen by
+hash, as runs of neighbouring words, and splices runs of different languages so that transitions see
+real switches.
 """
 
 from __future__ import annotations
@@ -18,13 +19,17 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold, slices, text_or_empty
 
-#: Documented bound of the training sample: documents of each language, windows of each, words of those.
-SAMPLE_DOCS, WINDOWS, WINDOW_WORDS = 800, 6, 16
+#: Documented bound of the training sample: documents of each language.
+SAMPLE_DOCS = 400
+#: Words of a training sequence before splicing; a text is as many as it takes.
+RUN_WORDS = 24
+#: Letters of a chain position; a longer run of letters is several, each sharing OVERLAP with the one before.
+LONGEST, OVERLAP = 40, 2
 FOLDS, HELD_OUT = 4, 2
 BUCKETS = 1 << 17
 LEXICON_MIN = 4
@@ -36,12 +41,17 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """The chain's positions: runs of letters, lower-cased, long ones (such as text without blanks) cut in place."""
+    words = WORD.findall(text.lower())
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    step = LONGEST - OVERLAP
+    return [w[k : k + LONGEST] for w in words for k in range(0, max(1, len(w) - OVERLAP), step)]
 
 
 def word_features(word: str, lexicon) -> list[int]:
     """Hashed features: affixes to 4 letters, 2- and 3-grams within marks, and lexicon membership."""
-    w = f"<{word[:40]}>" if len(word) <= 40 else f"<{word[:20]}-{word[-20:]}>"
+    w = f"<{word}>"
     n = len(w)
     names = [f"p{w[:k]}" for k in range(2, min(6, n))] + [f"s{w[-k:]}" for k in range(2, min(6, n))]
     names += [w[k : k + 2] for k in range(n - 1)] + [w[k : k + 3] for k in range(n - 2)]
@@ -171,31 +181,32 @@ def _train_field(sequences: list[tuple[list[str], np.ndarray]], lexicon, labels:
 
 def train(docs: DataFrame, text_col: str, lang_col: str, sample_docs: int = SAMPLE_DOCS):
     """(languages, lexicon, weights, transitions) from labelled rows of ``docs``."""
-    labelled = docs.where(F.col(lang_col).isNotNull())
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), text_or_empty(F.col(text_col)).alias("text"))
+    hashed = labelled.withColumn("deal", F.xxhash64("text", F.lit("sample")))
+    sizes = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("deal").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return [], frozenset(), None, None
-    deal = F.pmod(F.xxhash64(text_col, F.lit("sample")), F.lit(1 << 30))
+    # the hash leaves about twice the bound of each language; copies of a text count once, and the rest is cut at the bound
     picked = F.lit(False)
     for lang, n in sizes.items():
-        picked = picked | ((F.col(lang_col) == lang) & (deal < int(min(1.0, sample_docs / n) * (1 << 30))))
+        picked = picked | ((F.col("lang") == lang) & (F.pmod("deal", F.lit(1 << 30)) < int(min(1.0, 2 * sample_docs / n) * (1 << 30))))
+    ranked = Window.partitionBy("lang").orderBy("deal", "text")
+    sample = hashed.where(picked).dropDuplicates(["lang", "deal", "text"]).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= sample_docs)
 
     def cut(batches):
         for batch in batches:
-            texts, langs, places = [], [], []
+            runs, langs = [], []
             for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 words = words_of(t)
-                step = max(WINDOW_WORDS, (len(words) - WINDOW_WORDS) // (WINDOWS - 1))
-                for k in range(0, len(words), step):
-                    if k // step < WINDOWS:
-                        texts.append(" ".join(words[k : k + WINDOW_WORDS]))
-                        langs.append(lang)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(langs, pa.string())], names=["words", "lang"])
+                for k in range(0, len(words), RUN_WORDS):
+                    runs.append(" ".join(words[k : k + RUN_WORDS]))
+                    langs.append(lang)
+            for k in range(0, len(runs), 5000):
+                yield pa.RecordBatch.from_arrays([pa.array(runs[k : k + 5000], pa.string()), pa.array(langs[k : k + 5000], pa.string())], names=["words", "lang"])
 
-    rows = labelled.where(picked).select(text_or_empty(F.col(text_col)).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    got = sorted((r["lang"], r["words"]) for r in rows.mapInArrow(cut, "words string, lang string").collect())
-    number = {lang: k for k, lang in enumerate(map(str, languages))}
+    got = sorted((r["lang"], r["words"]) for r in sample.select("text", "lang").mapInArrow(cut, "words string, lang string").collect())
+    number = {lang: k for k, lang in enumerate(languages)}
     windows = [(w.split(" "), number[lang]) for lang, w in got if w]
     counts = Counter(w for ws, _ in windows for w in ws)
     lexicon = frozenset(w for w, n in counts.items() if n >= LEXICON_MIN)
@@ -212,7 +223,7 @@ def train(docs: DataFrame, text_col: str, lang_col: str, sample_docs: int = SAMP
         else:
             sequences.append(([w for ws, _ in take for w in ws], np.concatenate([np.full(len(ws), y) for ws, y in take])))
     weights, transitions = _train_field(sequences, lexicon, len(languages))
-    return list(map(str, languages)), lexicon, weights.astype(np.float32), transitions
+    return languages, lexicon, weights.astype(np.float32), transitions
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = FOLDS, held_fold: int = HELD_OUT) -> DataFrame:
@@ -220,9 +231,11 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Learns from rows whose crc32(id as text) mod ``folds`` is not ``held_fold`` and whose language
     is not null. ``score`` is the mean probability of the predicted language over the words;
+    ``n_words`` counts the chain's positions: a run of over ``LONGEST`` letters is several.
     ``n_switches`` counts neighbouring words whose likeliest languages differ. A null text, or one
     without a letter, is ``und`` with score 0, and so is every text where nothing could be learned.
-    Repeated rows get a row each; an empty table gives none.
+    A text of any length is one chain. Repeated rows get a row each; extra columns are ignored; an
+    empty table gives none.
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).withColumn("held_out", fold("id", folds) == held_fold)
     languages, lexicon, weights, transitions = train(rows.where(~F.col("held_out")), "text", "lang")

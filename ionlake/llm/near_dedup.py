@@ -31,7 +31,7 @@ from .common import shared_checkpoint, shared_table, slices, text_or_empty, work
 
 SHINGLE, SIMILARITY = 5, 0.8
 M, BANDS = 64, 16
-#: A candidate pair is dropped unverified when under M * ESTIMATE components agree: six deviations below 0.8.
+#: A candidate pair is dropped unverified when under M * ESTIMATE components agree, six deviations below 0.8; 0 verifies all.
 ESTIMATE = 0.5
 #: A task compares at most FEW members of at most TASK_BYTES of text. Larger buckets are cut into blocks of half of that, compared pair by pair.
 FEW, TASK_BYTES = 2048, 8 << 20
@@ -157,12 +157,16 @@ def _sign(batches):
             row += len(words)
 
 
-def _likely(batches):
-    """Pairs whose signatures agree in M * ESTIMATE components at least."""
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, M) for c in ("sig_a", "sig_b"))
-            yield batch.filter(pa.array((a == b).sum(1) >= M * ESTIMATE)).select(["leader", "key"])
+def _likely(estimate: float):
+    """Pairs whose signatures agree in M * estimate components at least."""
+
+    def likely(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, M) for c in ("sig_a", "sig_b"))
+                yield batch.filter(pa.array((a == b).sum(1) >= M * estimate)).select(["leader", "key"])
+
+    return likely
 
 
 def _verify(similarity: float):
@@ -188,14 +192,14 @@ def _verify(similarity: float):
     return verify
 
 
-def verify_pairs(pairs: DataFrame, texts: DataFrame, signatures: DataFrame, similarity: float) -> DataFrame:
+def verify_pairs(pairs: DataFrame, texts: DataFrame, signatures: DataFrame, similarity: float, estimate: float = ESTIMATE) -> DataFrame:
     """Those of the distinct (leader, key) pairs whose multisets are similar, stored.
 
     Unlikely pairs are dropped before their texts are fetched. A leader's text travels once for every MEMBERS of its members, each member's once a pair.
     """
     sig = signatures.select("key", "sig")
     both = pairs.join(sig.withColumnRenamed("sig", "sig_b"), "key").join(sig.select(F.col("key").alias("leader"), F.col("sig").alias("sig_a")), "leader")
-    likely = shared_checkpoint(both.select("leader", "key", "sig_a", "sig_b").mapInArrow(_likely, "leader binary, key binary"))
+    likely = shared_checkpoint(both.select("leader", "key", "sig_a", "sig_b").mapInArrow(_likely(estimate), "leader binary, key binary"))
     copies = likely.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("copies"))
     members = (
         likely.join(copies, "leader")
@@ -236,15 +240,19 @@ def _with_component(df: DataFrame, column: str, components: DataFrame, name: str
     return df.join(own, column, "left").withColumn(name, F.coalesce("found", column)).drop("found")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, estimate: float = ESTIMATE) -> DataFrame:
     """One row per input row: id, class_id, class_size, n_shingles, kept.
 
     Words are runs without white space, A-Z lower-cased. Two texts are linked when the weighted
     Jaccard similarity of their five-word shingles is at least ``similarity`` and they share a
-    band (at 0.8 missed with a chance of 2 in 10,000); classes are the links' components.
+    band; classes are the links' components. A pair at 0.8 is missed with a chance of 2 in 10,000 for
+    want of a band and of 1 in 10 million for the ``estimate`` from signatures, under which pairs are
+    dropped before their texts are compared (0: none is).
     ``class_id`` is the smallest id in the class, ``kept`` marks one row with it. A text of one to
-    four words is one shingle; texts without words (null, empty, blank) form one class. Repeated
-    rows are members each; an empty table gives an empty result.
+    four words is one shingle; texts without words (null, empty, blank) form one class. Texts of any
+    length are compared whole. Repeated rows are members each, and of ids that occur with several
+    texts each row has its own text's class; extra columns are ignored; an empty table gives an empty
+    result.
     """
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].alias("id"), text_or_empty(docs[text_col]).cast("binary").alias("text"))
@@ -265,12 +273,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         picked = nodes.join(wanted, "key").select("key", F.col("id").alias("node_id"))
         texts = _node_texts(rows, picked)
         first = shared_checkpoint(links.groupBy("key").agg(F.min("leader").alias("leader")).select("leader", "key"))
-        edges = verify_pairs(first, texts, nodes, similarity)
+        edges = verify_pairs(first, texts, nodes, similarity, estimate)
         # nodes that their first leader did not take try all others
         alone = links.join(edges.select("key"), "key", "left_anti").join(first, ["leader", "key"], "left_anti").select("leader", "key")
-        edges = edges.union(verify_pairs(alone, texts, nodes, similarity))
+        edges = edges.union(verify_pairs(alone, texts, nodes, similarity, estimate))
         components = connected_components(edges)
-        crossing = _crossing_links(members, nodes, components, texts, similarity)
+        crossing = _crossing_links(members, nodes, components, texts, similarity, estimate)
         if not crossing.isEmpty():
             components = connected_components(edges.union(crossing))
 
@@ -284,17 +292,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _node_texts(rows: DataFrame, picked: DataFrame) -> DataFrame:
-    """(key, text) of the picked nodes, from one row each with single blanks, stored."""
+    """(key, text) of the picked nodes, from one row each with single blanks, stored.
+
+    Rows are first cut down to the nodes' ids, each staying one row however many nodes have its id
+    (null, or repeated), and then meet the nodes by the key of their own text.
+    """
 
-    def match(batches):
+    def keyed(batches):
         for batch in batches:
             for part in slices(batch, "text", 500, 1 << 20):
                 texts = [b" ".join(_words(t)) for t in part.column("text").to_pylist()]
-                own = [hashlib.blake2b(t, digest_size=16).digest() == k for t, k in zip(texts, part.column("key").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(texts, pa.binary())], names=["key", "text"]).filter(pa.array(own, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in texts], pa.binary()), pa.array(texts, pa.binary())], names=["key", "text"])
 
-    met = rows.join(picked.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("node_id"))).select("key", "text")
-    return shared_table(met.mapInArrow(match, "key binary, text binary").dropDuplicates(["key"]), "texts")
+    near = rows.join(picked.select("node_id").distinct().hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("node_id")), "left_semi").select("text")
+    own = near.mapInArrow(keyed, "key binary, text binary").dropDuplicates(["key"])
+    return shared_table(own.join(picked.select("key"), "key", "left_semi"), "texts")
 
 
 def _groups(batches, columns: list[str]):
@@ -311,7 +323,7 @@ def _groups(batches, columns: list[str]):
         yield name, held
 
 
-def _likely_pairs(rows: list[list], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _likely_pairs(rows: list[list], similarity: float, estimate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, agreeing components) of a task's (side, comp, key, size, sig, at, ...) rows in different components.
 
     Rows of two blocks have sides 1 and 2 and meet across these only. A pair that shares an
@@ -331,17 +343,17 @@ def _likely_pairs(rows: list[list], similarity: float) -> tuple[np.ndarray, np.n
             x, y = i[c : c + (1 << 17)] + k, j[c : c + (1 << 17)]
             same = signature[x] == signature[y]
             agree = same.sum(1)
-            hit = (agree >= M * ESTIMATE) & ~same.reshape(len(x), BANDS, M // BANDS)[:, :at].all(2).any(1)
+            hit = (agree >= M * estimate) & ~same.reshape(len(x), BANDS, M // BANDS)[:, :at].all(2).any(1)
             found.append(np.stack([x[hit], y[hit], agree[hit]]))
     return tuple(np.concatenate(found, 1))
 
 
-def _likely_members(similarity: float):
+def _likely_members(similarity: float, estimate: float):
     """(task, key) of the members of sorted tasks that have a likely partner in another component."""
 
     def scan(batches):
         for task, rows in _groups(batches, ["task", "side", "comp", "key", "size", "sig", "at"]):
-            i, j, _ = _likely_pairs(rows, similarity)
+            i, j, _ = _likely_pairs(rows, similarity, estimate)
             own = np.unique(np.concatenate([i, j])).tolist()
             if own:
                 yield pa.RecordBatch.from_arrays([pa.array([task] * len(own), pa.int64()), pa.array([rows[k][2] for k in own], pa.binary())], names=["task", "key"])
@@ -349,7 +361,7 @@ def _likely_members(similarity: float):
     return scan
 
 
-def _bucket_links(similarity: float):
+def _bucket_links(similarity: float, estimate: float):
     """Verified links that join the components of sorted tasks, likeliest pairs first.
 
     A pair whose components earlier links of its task have joined is skipped, so a task gives
@@ -358,7 +370,7 @@ def _bucket_links(similarity: float):
 
     def verify(batches):
         for _, rows in _groups(batches, ["task", "side", "comp", "key", "size", "sig", "at", "text"]):
-            i, j, agree = _likely_pairs(rows, similarity)
+            i, j, agree = _likely_pairs(rows, similarity, estimate)
             if not len(i):
                 continue
             bags = []
@@ -433,7 +445,7 @@ def _block_tasks(large: DataFrame, similarity: float) -> DataFrame:
     return blocks.join(dealt, "block").select("task", "side", "comp", "key", "size", "sig", "at", "bytes")
 
 
-def _crossing_links(members: DataFrame, nodes: DataFrame, components: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _crossing_links(members: DataFrame, nodes: DataFrame, components: DataFrame, texts: DataFrame, similarity: float, estimate: float) -> DataFrame:
     """Verified links between members of one bucket in different components, stored.
 
     Members of buckets with several components meet inside a task: first their signatures, to find
@@ -451,6 +463,6 @@ def _crossing_links(members: DataFrame, nodes: DataFrame, components: DataFrame,
     large = mixed.where(~small)
     if not large.isEmpty():
         tasks = tasks.union(_block_tasks(large, similarity))
-    likely = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_likely_members(similarity), "task long, key binary")
+    likely = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_likely_members(similarity, estimate), "task long, key binary")
     full = tasks.join(likely, ["task", "key"]).join(texts, "key").select("task", "side", "comp", "key", "size", "sig", "at", "text")
-    return shared_checkpoint(full.repartition("task").sortWithinPartitions("task").mapInArrow(_bucket_links(similarity), "leader binary, key binary"))
+    return shared_checkpoint(full.repartition("task").sortWithinPartitions("task").mapInArrow(_bucket_links(similarity, estimate), "leader binary, key binary"))

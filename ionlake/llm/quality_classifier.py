@@ -1,12 +1,13 @@
 """Text quality from two compressors.
 
 A zstandard dictionary is built from labelled good text and another from labelled bad text. A
-text's score is its compressed size under one less that under the other, a byte of text, with the
-compressed size itself as a second term (text that repeats itself shrinks under either), turned
+text's score is its compressed size under one less that under the other, a byte of text, turned
 into a probability by a logistic curve fitted to labelled documents the dictionaries did not see.
+The curve has the smaller compressed size a byte as a correction: text that repeats itself shrinks
+under either dictionary, and the difference alone calls it neither good nor bad.
 
-Fitting reads a sample of at most about ``SAMPLE_DOCS`` labelled documents a class, chosen by
-hash; scoring reads every whole text once and moves no rows.
+Fitting reads the whole texts of at most ``SAMPLE_DOCS`` labelled documents a class, chosen by hash;
+scoring reads every whole text once and moves no rows.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, text_or_empty
+from .common import fold, shared_checkpoint, slices, text_or_empty
 
-#: Documented bound of the training sample: documents of each class, and what each gives a dictionary.
+#: Documented bound of the training sample: documents of each class, half for the dictionary, half for the curve.
 SAMPLE_DOCS = 6000
-CHUNKS_PER_DOC, CHUNK_BYTES = 6, 1500
+#: Whole texts go to the dictionary builder in pieces of this size, as it learns from many short samples.
+CHUNK_BYTES = 1500
 DICTIONARY_BYTES, LEVEL = 65536, 3
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
@@ -31,23 +33,19 @@ RIDGE = 1e-3
 
 
 def _chunks(data: bytes) -> list[bytes]:
-    """Up to CHUNKS_PER_DOC chunks spread evenly over the whole text."""
-    n = len(data)
-    if n <= CHUNK_BYTES * CHUNKS_PER_DOC:
-        return [data[k : k + CHUNK_BYTES] for k in range(0, n, CHUNK_BYTES)]
-    step = (n - CHUNK_BYTES) / (CHUNKS_PER_DOC - 1)
-    return [data[int(k * step) : int(k * step) + CHUNK_BYTES] for k in range(CHUNKS_PER_DOC)]
+    """The whole text in pieces."""
+    return [data[k : k + CHUNK_BYTES] for k in range(0, len(data), CHUNK_BYTES)]
 
 
 def build_dictionary(chunks: list[bytes]) -> bytes:
-    """A trained dictionary, or where the sample is too small for training the text itself."""
-    total = sum(map(len, chunks))
-    if len(chunks) >= 50 and total >= 20_000:
+    """A trained dictionary; where the text is too little to train even a small one, all of the text itself."""
+    size = min(DICTIONARY_BYTES, sum(map(len, chunks)) // 4)
+    while size >= 512 and len(chunks) >= 8:
         try:
-            return zstandard.train_dictionary(min(DICTIONARY_BYTES, total // 4), chunks).as_bytes()
+            return zstandard.train_dictionary(size, chunks).as_bytes()
         except zstandard.ZstdError:
-            pass
-    return b"".join(chunks)[-DICTIONARY_BYTES:]
+            size //= 2
+    return b"".join(chunks)
 
 
 class Compressors:
@@ -86,39 +84,41 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 40) -> np.ndarray:
     return w
 
 
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held_fold: int, sample_docs: int) -> DataFrame:
+    """(y, part, text) of at most ``sample_docs`` documents a class, outside the held-out fold.
+
+    Ids are chosen by hash and cut at the bound; of an id that several rows have, one row a label
+    counts, so neither repeated labels nor repeated documents can exceed it.
+    """
+    usable = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).where(fold("id", folds) != held_fold)
+    sizes = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.approx_count_distinct("id").alias("n")).collect()}  # two rows
+    picked = usable.where("false")
+    for y, n in sorted(sizes.items()):
+        # the hash leaves about twice the bound to sort
+        few = usable.where(F.col("y") == y).withColumn("deal", F.xxhash64("id", F.lit("sample"))).where(F.pmod("deal", F.lit(1 << 30)) < int(min(1.0, 2 * sample_docs / n) * (1 << 30)))
+        picked = picked.union(few.dropDuplicates(["id"]).orderBy("deal", "id").limit(sample_docs).select("id", "y"))
+    # at most 2 * sample_docs rows
+    chosen = F.broadcast(picked.withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(2)).cast("int")))
+    rows = docs.select(docs[id_col].alias("id"), text_or_empty(docs[text_col]).cast("binary").alias("text")).join(chosen, "id")
+    return rows.groupBy("id", "y", "part").agg(F.min("text").alias("text")).select("y", "part", "text")
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held_fold: int, sample_docs: int = SAMPLE_DOCS):
     """(good dictionary, bad dictionary, weights) from the rows outside the held-out fold."""
-    usable = labels.select(labels[id_col].alias("id"), labels[label_col].alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).where(fold("id", folds) != held_fold)
-    sizes = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    deal = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30))
-    picked = F.lit(False)
-    for y, n in sizes.items():
-        picked = picked | ((F.col("y") == y) & (deal < int(min(1.0, sample_docs / n) * (1 << 30))))
-    # about sample_docs rows a class, so small enough to broadcast
-    sample = F.broadcast(usable.where(picked).withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(2))))
-    rows = docs.select(docs[id_col].alias("id"), text_or_empty(docs[text_col]).cast("binary").alias("text")).join(sample, "id")
-
-    def cut(batches):
-        for batch in batches:
-            found = [(i, y, k, c) for i, y, t in zip(*(batch.column(n).to_pylist() for n in ("id", "y", "text"))) for k, c in enumerate(_chunks(t))]
-            if found:
-                columns = list(zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field("id").type), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary())], names=["id", "y", "k", "chunk"])
-
-    id_type = rows.schema["id"].dataType.simpleString()
-    got = rows.where("part = 0").select("id", F.col("y").cast("int").alias("y"), "text").mapInArrow(cut, f"id {id_type}, y int, k int, chunk binary").collect()
-    got.sort(key=lambda r: (r["id"], r["k"], r["chunk"]))
-    good, bad = (build_dictionary([bytes(r["chunk"]) for r in got if r["y"] == y]) for y in (1, 0))
+    sample = shared_checkpoint(_sample(docs, labels, id_col, text_col, label_col, folds, held_fold, sample_docs))
+    texts: dict[int, list[bytes]] = {0: [], 1: []}
+    for r in sample.where("part = 0").orderBy("y", F.xxhash64("text"), "text").toLocalIterator():
+        texts[r["y"]] += _chunks(bytes(r["text"]))
+    good, bad = build_dictionary(texts[1]), build_dictionary(texts[0])
 
     def measure(batches):
         pair = Compressors(good, bad)
         for batch in batches:
-            found = [pair.features(t) for t in batch.column("text").to_pylist()]
-            if found:
-                difference, ratio = zip(*found)
-                yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(difference, pa.float64()), pa.array(ratio, pa.float64())], names=["y", "difference", "ratio"])
+            for own in slices(batch, "text", 500):
+                difference, ratio = zip(*(pair.features(t) for t in own.column("text").to_pylist()))
+                yield pa.RecordBatch.from_arrays([own.column("y"), pa.array(difference, pa.float64()), pa.array(ratio, pa.float64())], names=["y", "difference", "ratio"])
 
-    held = rows.where("part = 1").select(F.col("y").cast("int").alias("y"), "text").mapInArrow(measure, "y int, difference double, ratio double").toPandas()
+    held = sample.where("part = 1").select("y", "text").mapInArrow(measure, "y int, difference double, ratio double").toPandas()
     if held.empty:
         return good, bad, np.zeros(5)
     held = held.sort_values(["y", "difference", "ratio"])
@@ -130,21 +130,20 @@ def quality_scores(
 ) -> DataFrame:
     """One row per input row: id, held_out, score, predicted.
 
-    Learns from labelled rows whose crc32(id as text) mod ``folds`` is not ``held_fold``; a row
-    labelled twice counts twice. Null text is empty and gets the score of no evidence. Without
-    any labels every score is 0.5. An empty table gives an empty result; extra columns of either
-    table are ignored.
+    Learns from labelled rows whose crc32(id as text) mod ``folds`` is not ``held_fold``; an id that
+    is labelled or stands in the table twice counts once a label. Null text is empty and gets the
+    score of no evidence. A text of any length is compressed whole; rows that repeat each other are
+    scored each. Without any labels every score is 0.5. An empty table gives an empty result; extra
+    columns of either table are ignored.
     """
     good, bad, weights = train(docs, labels, id_col, text_col, label_col, folds, held_fold)
 
     def score(batches):
         pair = Compressors(good, bad)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            found = np.array([pair.features(t) for t in batch.column("text").to_pylist()])
+        for own in (part for batch in batches for part in slices(batch, "text", 500)):
+            found = np.array([pair.features(t) for t in own.column("text").to_pylist()])
             p = 1 / (1 + np.exp(-np.clip(design(found) @ weights, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([own.column("id"), own.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
 
     rows = docs.select(docs[id_col].alias("id"), (fold(id_col, folds) == held_fold).alias("held_out"), text_or_empty(docs[text_col]).cast("binary").alias("text"))
     kind = f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int"

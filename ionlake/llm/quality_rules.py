@@ -87,7 +87,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     windows cover more than ``MAX_REPEAT_PERCENT`` % of them. ``host_rate`` is the host's failure
     rate under the beta prior; a lone host, or hosts that do not differ, get the weakest prior. A
     document is kept when it passes by itself and its host is not rejected. Null texts fail, null
-    hosts are judged together, repeated rows are judged each, an empty table gives no rows.
+    hosts are judged together, a text of any length is measured whole, repeated rows are judged each,
+    other columns are ignored, an empty table gives no rows.
     """
     metrics = rule_metrics(docs, id_col, text_col, host_col)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))

@@ -65,6 +65,8 @@ def base_spans(text: str, data: bytes, tokens: list[bytes]) -> list[tuple[int, i
 
 def _pairs(tokens: list[bytes]) -> np.ndarray:
     """Counts of neighbouring symbols; an edge symbol stands before and after each token."""
+    if not tokens:
+        return np.zeros(SYMBOLS * SYMBOLS, np.int64)
     codes = _code[np.frombuffer(b" " + b" ".join(tokens) + b" ", np.uint8)]
     return np.bincount(codes[:-1] * SYMBOLS + codes[1:], minlength=SYMBOLS * SYMBOLS)
 
@@ -150,7 +152,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: id, n_assign, n_access, n_hex, n_markov, base_sha256, spans.
 
     Offsets are code points, end exclusive. Trains on ``docs`` unless a ratio table is given.
-    Null and empty texts have no spans; repeated rows give a row each; an empty table gives none.
+    Null and empty texts have no spans; a text of any length is scanned whole; repeated rows give a
+    row each; extra columns are ignored; an empty table gives none.
     """
     table = train_models(docs, text_col) if table is None else table
 

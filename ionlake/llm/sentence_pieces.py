@@ -274,8 +274,9 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     """One row per input row: id, n_tokens, n_byte_tokens, log_score, ids_crc32, round_trip[, ids].
 
     ``round_trip`` says that decoding the ids gives the text back. Null and empty texts have no
-    tokens. Repeated rows get a row each; an empty table gives none. ``model_path`` is a
-    SentencePiece model file; it is read once, by the driver.
+    tokens; a text of any length is encoded whole. Repeated rows get a row each; extra columns are
+    ignored; an empty table gives none. ``model_path`` is a SentencePiece model file; it is read once,
+    by the driver.
     """
     model = docs.sparkSession.sparkContext.broadcast(Pieces(model_path))
 
@@ -310,8 +311,10 @@ def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", i
     def decode(batches):
         encoder = PieceEncoder(model.value)
         for batch in batches:
-            texts = [encoder.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], names=["id", "text"])
+            for k in range(0, batch.num_rows, 500):
+                own = batch.slice(k, 500)
+                texts = [encoder.decode(np.array(x or [], "<u4").tobytes()) for x in own.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([own.column("id"), pa.array(texts, pa.string())], names=["id", "text"])
 
     rows = encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids"))
     return rows.mapInArrow(decode, f"id {rows.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)

@@ -39,16 +39,18 @@ def _running_sums(batches):
         place, offset = place + batch.num_rows, ends[-1].as_py()
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", whole_group_share: float = WHOLE_GROUP_SHARE) -> DataFrame:
     """One row per input row: id, size, text_crc32, law, shard, slot, grown_shard.
 
     ``size`` is the text's UTF-8 length plus 1 (null text: 1). Shard k takes the rows whose bytes
     start in the k-th of ``shards`` equal parts of the total, so two shards differ by less than two
     rows' sizes plus the whole-group share. Groups of equal texts of up to that share are never
     split: the cut inside one moves to its nearer end; larger ones are cut where the cut falls.
-    ``slot`` numbers a shard's rows from 0 without gaps. Rows that repeat text and id are ordered
-    arbitrarily but counted each; null ids come first in their group. An empty table gives an empty
-    result, and with fewer rows than shards some shards are empty.
+    ``whole_group_share`` is that share (0: cuts fall where they fall, between rows). ``slot`` numbers a
+    shard's rows from 0 without gaps. Rows that repeat text and id are ordered arbitrarily but counted
+    each, and dealt to ranges by their place in the input too, so a row repeated without end fills
+    several; null ids come first in their group. Extra columns are ignored. An empty table gives an
+    empty result, and with fewer rows than shards some shards are empty.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
@@ -58,8 +60,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
         F.md5(text.cast("binary")).alias("digest"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    ranged = rows.repartitionByRange("digest", "id").sortWithinPartitions("digest", "id")
+    ranged = rows.repartitionByRange("digest", "id", "row").sortWithinPartitions("digest", "id", "row").drop("row")
     kind = f"id {rows.schema['id'].dataType.simpleString()}, digest string, size long, crc long, part int, place long, before long"
     placed = shared_checkpoint(ranged.mapInArrow(_running_sums, kind))
 
@@ -70,7 +73,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
         byte, row = byte + t["bytes"], row + t["rows"]
     total = byte
     offsets = placed.sparkSession.createDataFrame(starts, "part int, part_bytes long, part_rows long")
-    cuts = _move_to_group_ends(placed, starts, [total * k // shards for k in range(1, shards)], total / shards)
+    cuts = _move_to_group_ends(placed, starts, [total * k // shards for k in range(1, shards)], total / shards * whole_group_share)
 
     at = F.col("before") + F.col("part_bytes")
     index = F.col("place") + F.col("part_rows")
@@ -90,7 +93,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     )
 
 
-def _move_to_group_ends(placed: DataFrame, starts: list, targets: list[int], shard_bytes: float) -> list[tuple[int, int]]:
+def _move_to_group_ends(placed: DataFrame, starts: list, targets: list[int], whole_bytes: float) -> list[tuple[int, int]]:
     """For each target offset: the cut, and the number of rows before it.
 
     Reads one row per cut from the data: the group of equal texts that straddles it.
@@ -123,7 +126,7 @@ def _move_to_group_ends(placed: DataFrame, starts: list, targets: list[int], sha
         hit = next(h for h in hits if byte_of[h["part"]] + h["before"] <= cut < byte_of[h["part"]] + h["before"] + h["size"])
         low, high, first, after = spans[hit["digest"]]
         start, row = byte_of[hit["part"]] + hit["before"], row_of[hit["part"]] + hit["place"]
-        if high - low <= max(hit["size"], WHOLE_GROUP_SHARE * shard_bytes):
+        if high - low <= max(hit["size"], whole_bytes):
             out.append((low, first) if cut - low <= high - cut else (high, after))
         else:
             out.append((start, row) if cut - start <= start + hit["size"] - cut else (start + hit["size"], row + 1))

@@ -141,3 +141,82 @@ def context_tree_scores(train, texts, depth):
                 total += math.log10(one if byte >> (7 - k) & 1 else 1 - one)
         out.append(total)
     return out
+
+
+def host_verdicts(rows):
+    """rows: (text, host). [(kept, host_rate)] in their order."""
+    failed, hosts = [rules(t)[5] for t, _ in rows], defaultdict(lambda: [0, 0])
+    for bad, (_, host) in zip(failed, rows):
+        hosts[host][0] += 1
+        hosts[host][1] += bad
+    mean = sum(failed) / len(rows)
+    rates = [bad / n for n, bad in hosts.values()]
+    var = sum((r - sum(rates) / len(rates)) ** 2 for r in rates) / len(rates)
+    strength = min(1e4, max(2.0, mean * (1 - mean) / var - 1)) if var > 0 else 2.0
+    verdict = {}
+    for host, (n, bad) in hosts.items():
+        rate = (bad + mean * strength) / (n + strength)
+        verdict[host] = rate, rate - 2 * math.sqrt(rate * (1 - rate) / (n + strength + 1)) > 0.6
+    return [(not bad and not verdict[host][1], verdict[host][0]) for bad, (_, host) in zip(failed, rows)]
+
+
+TOKEN = re.compile("[A-Za-z0-9+/_=-]+")
+
+
+def markov_spans(texts, drawn):
+    """All spans (start, kind, end) of each text; ``drawn`` are the random strings that join training."""
+    symbols = [*"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", None]
+
+    def steps(token):
+        return zip([None, *token], [*token, None])
+
+    ordinary, values, random = Counter(), Counter(), Counter()
+    for t in drawn:
+        random.update(steps(t))
+    for t in texts:
+        own = [x for a, _, b in base_spans(t) for x in TOKEN.findall(t or "", a, b) if len(x) >= 8]
+        for x in own:
+            values.update(steps(x))
+        for x in TOKEN.findall(t or ""):
+            if len(x) >= 4 and x not in own:
+                ordinary.update(steps(x))
+    share = min(1.0, random.total() / values.total()) if values else 0.0
+    model = [{}, {}]
+    for k, count in enumerate((lambda a, b: ordinary[a, b], lambda a, b: random[a, b] + share * values[a, b])):
+        for a in symbols:
+            row = sum(count(a, b) + 0.5 for b in symbols)
+            for b in symbols:
+                model[k][a, b] = math.log((count(a, b) + 0.5) / row)
+    out = []
+    for t in texts:
+        base = base_spans(t)
+        more = []
+        for m in TOKEN.finditer(t or ""):
+            n = len(m[0])
+            if n >= 20 and all(b <= m.start() or a >= m.end() for a, _, b in base):
+                if sum(model[1][s] - model[0][s] for s in steps(m[0])) >= max(12.0, 0.5 * n):
+                    more.append((m.start(), 3, m.end()))
+        out.append(sorted([*base, *more]))
+    return out
+
+
+def chain_means(emissions, transitions):
+    """Mean label probabilities of a linear chain by forward-backward in plain loops; a uniform start."""
+    labels, n = range(len(transitions)), len(emissions)
+    step = [[math.exp(transitions[a][b]) for b in labels] for a in labels]
+    here = [[math.exp(x - max(e)) for x in e] for e in emissions]
+    ahead, behind = [], [[1.0 for _ in labels] for _ in range(n)]
+    last = [1 / len(transitions) for _ in labels]
+    for e in here:
+        last = [sum(last[a] * step[a][b] for a in labels) * e[b] for b in labels]
+        total = sum(last)
+        last = [x / total for x in last]
+        ahead.append(last)
+    for k in range(n - 2, -1, -1):
+        own = [sum(step[a][b] * here[k + 1][b] * behind[k + 1][b] for b in labels) for a in labels]
+        behind[k] = [x / sum(own) for x in own]
+    means = [0.0 for _ in labels]
+    for f, b in zip(ahead, behind):
+        total = sum(x * y for x, y in zip(f, b))
+        means = [m + x * y / total / n for m, x, y in zip(means, f, b)]
+    return means

@@ -89,9 +89,12 @@ def test_quality_rules(docs, rows):
     want = defaultdict(list)
     for i, t, *_ in rows:
         want[i].append(brute.rules(t))
+    verdicts = defaultdict(set)
+    for (i, *_), (kept, rate) in zip(rows, brute.host_verdicts([(t, s) for _, t, _, s in rows])):
+        verdicts[i].add((kept, round(rate, 9)))
     for r in got:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) in want[r.doc_id]
-        assert not (r.kept and r.base_failed)
+        assert (r.kept, round(r.host_rate, 9)) in verdicts[r.doc_id] and not (r.kept and r.base_failed)
 
 
 def test_bad_host_is_rejected(spark):
@@ -218,6 +221,22 @@ def test_secret_scan(docs, rows):
     assert next(r for r in got if r.doc_id == 305).n_assign == 1
 
 
+def test_secret_spans_against_brute_force(spark, rows):
+    """Every span of the query, the Markov models' among them, from counts kept in dictionaries."""
+    import random
+
+    from ionlake.llm.secret_scan import synthetic_secrets
+
+    rng = random.Random(2)
+    odd = ["".join(rng.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789", k=rng.randint(18, 50))) for _ in range(30)]
+    made = [*((i, t) for i, t, *_ in rows), *((1000 + k, f"key {x} internationalization-of-the-{k} {x[:19]}") for k, x in enumerate(odd))]
+    made += [(2000 + k, "international responsibilities characterization getElementById application_configuration thequickbrownfoxjumps " * 60) for k in range(20)]
+    want = brute.markov_spans([t for _, t in made], [x.decode() for x in synthetic_secrets()])
+    texts = Counter((i, ",".join(f"{('assign', 'access', 'hex', 'markov')[k]}:{a}:{b}" for a, k, b in spans)) for (i, _), spans in zip(made, want))
+    got = secret_scan(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.spans) for r in got) == texts and sum("markov" in x for _, x in texts) > 15
+
+
 def test_markov_models_find_random_strings():
     from ionlake.llm.secret_scan import _pairs
 
@@ -246,6 +265,54 @@ def test_quality_classifier(spark, docs, rows):
     assert {r.score for r in quality_scores(docs, labels.where("false")).collect()} == {0.5}
 
 
+def test_quality_scores_against_brute_force(spark, docs, rows):
+    """The whole result from the dictionaries' and the curve's definitions, on the same deal of labelled documents."""
+    import struct
+
+    import xxhash
+    import zstandard
+
+    from ionlake.llm.quality_classifier import build_dictionary
+
+    texts = {i: (t or "").encode() for i, t, *_ in rows if i is not None and i < 200}
+    labels = {i: int(t.count(b"a") % 2) for i, t in texts.items()}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    part = lambda i: signed(xxhash.xxh64_intdigest(b"part", xxhash.xxh64_intdigest(struct.pack("<q", i), 42))) % 2
+    usable = [i for i in labels if crc(i) % 4 != 2]
+    order = sorted((i for i in usable if part(i) == 0), key=lambda i: (signed(xxhash.xxh64_intdigest(texts[i], 42)), texts[i]))
+    pair = []
+    for y in (1, 0):
+        data = build_dictionary([texts[i][k : k + 1500] for i in order if labels[i] == y for k in range(0, len(texts[i]), 1500)])
+        pair.append(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(data), write_content_size=False, write_dict_id=False))
+
+    def terms(data):
+        good, bad = (len(c.compress(data)) - len(c.compress(b"")) for c in pair)
+        difference, ratio = (bad - good) / (len(data) + 24), (min(good, bad) + 12) / (len(data) + 24)
+        return [1.0, 20 * difference, 5 * ratio, 25 * ratio**2, 100 * abs(difference) * ratio]
+
+    x = np.array([terms(texts[i]) for i in usable if part(i) == 1])
+    y = np.array([labels[i] for i in usable if part(i) == 1], float)
+    w = np.zeros(5)
+    for _ in range(200):  # the penalised likelihood's only maximum
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x.T * (p * (1 - p))) @ x / len(y) + 1e-3 * np.eye(5), x.T @ (p - y) / len(y) + 1e-3 * w)
+    own = docs.where("doc_id < 200").union(docs.where("doc_id = 303"))
+    twice = [(i, q) for i, q in labels.items()] + [(3, labels[3])] * 5
+    got = quality_scores(own, spark.createDataFrame(twice, "doc_id long, quality int")).collect()
+    texts[303] = next(t for i, t, *_ in rows if i == 303).encode()
+    assert len(got) > 70 and all(abs(r.score - 1 / (1 + math.exp(-float(np.dot(terms(texts[r.doc_id]), w))))) < 1e-6 for r in got)
+
+
+def test_training_samples_hold_their_bound(spark):
+    """Repeated rows and labels neither exceed nor fill the sample, and are dealt whole."""
+    from ionlake.llm.quality_classifier import _sample
+
+    table = spark.createDataFrame([(k % 50, f"text number {k % 50} " * 5) for k in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 50, k % 2) for k in range(900)], "doc_id long, quality int")
+    got = _sample(table, labels, "doc_id", "text", "quality", 4, 2, 10).groupBy("y").count().collect()
+    assert {r.y: r["count"] for r in got} == {0: 10, 1: 10}
+
+
 def test_language_id(spark, docs, rows):
     rng = np.random.default_rng(0)
     parts = {"aa": ["lor", "ing", "the", "ster"], "bb": ["eau", "ioux", "que", "ment"], "cc": ["sch", "ung", "keit", "ein"]}
@@ -262,6 +329,34 @@ def test_language_id(spark, docs, rows):
     assert len(own) == len(rows) and {r.lang_pred for r in own} <= {"x", "y", "und"}
 
 
+def test_language_id_against_brute_force(docs, rows):
+    """Predictions and scores of the query from the fitted weights, by loops over each chain."""
+    from ionlake.llm.language_id import train as fit
+    from ionlake.llm.language_id import word_features, words_of
+
+    learned = docs.select("doc_id", "text", "lang").where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 != 2)
+    languages, lexicon, weights, transitions = fit(learned, "text", "lang")
+    want = defaultdict(set)
+    for i, t, *_ in rows:
+        words = words_of(t or "")
+        if not words:
+            want[i].add(("und", 0.0))
+        elif len(words) < 2000:
+            means = brute.chain_means([weights[word_features(w, lexicon)].astype(float).sum(0).tolist() for w in words], transitions.tolist())
+            want[i].add((languages[int(np.argmax(means))], round(max(means), 4)))
+    for r in language_id(docs).collect():
+        assert not want[r.doc_id] or any(r.lang_pred == p and abs(r.score - s) < 2e-4 for p, s in want[r.doc_id])
+
+
+def test_long_runs_of_letters_are_read_whole():
+    from ionlake.llm.language_id import words_of
+
+    run = "".join(chr(0x4E00 + k) for k in range(1000))
+    own = words_of(f"ab {run} cd")
+    assert own[0] == "ab" and own[-1] == "cd" and max(map(len, own)) == 40
+    assert own[1] + "".join(w[2:] for w in own[2:-1]) == run
+
+
 def test_marginals_against_brute_force():
     rng = np.random.default_rng(0)
     for lengths in ([5], [1, 130, 64, 2], [65, 128]):
@@ -358,6 +453,31 @@ def test_near_dedup_compares_all_of_a_large_bucket(spark, monkeypatch):
     assert got == brute.near_classes(made)
 
 
+def test_near_dedup_finds_pairs_at_the_threshold(spark):
+    """2,400 texts on one long passage, more than a task compares, in pairs at just above 0.8: at least 99 in 100 are found."""
+    import random
+
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage, made, pairs = fresh(60), [], 1200
+    for k in range(pairs):
+        own = fresh(61)
+        changed = list(own)
+        for at in (6, 30):  # ten of 117 shingles: similarity 107 / 127
+            changed[at] = "other"
+        made += [(2 * k, " ".join(passage + own)), (2 * k + 1, " ".join(passage + changed))]
+    got = near_dedup(spark.createDataFrame(made, "doc_id long, text string")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).collect()
+    assert all(r.n == 1 or (r.n == 2 and r.last == r.class_id + 1) for r in got) and sum(r.n == 2 for r in got) >= 0.99 * pairs
+
+
+def test_near_dedup_of_rows_with_one_id(spark):
+    """Null and repeated ids with many texts: each row is judged by its own text."""
+    texts = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(40)]
+    made = [(None, t) for t in texts] + [(7, t + " and a tail") for t in texts] + [(None, None)] * 3
+    got = near_dedup(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert len(got) == 83 and Counter(r.class_size for r in got) == {2: 80, 3: 3} and sum(r.kept for r in got) == 41
+
+
 def test_near_dedup_tasks_are_bounded(spark, monkeypatch):
     """A family of near copies with an outsider: no task has more than its rows and bytes, none compares the family."""
     from ionlake.llm import near_dedup as module
