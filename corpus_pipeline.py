@@ -2,11 +2,15 @@
 
 Each stage gets what its predecessor kept and hands on the columns of ``documents``; the last one
 returns the packed pieces. Rows are told apart by id and text, so an id that occurs with two texts
-is two documents; rows that repeat both are one document once the duplicate stages have run.
+is two documents; rows that repeat both are one document once the duplicate stages have run. Texts of
+any length are taken whole, further columns are carried along whatever their names, and an empty
+table stays empty through all stages.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,47 +22,58 @@ from ionlake.llm.packing import pack_documents
 from ionlake.llm.quality_rules import quality_rules
 from ionlake.llm.secret_scan import redact_secrets
 
-ID, TEXT, ROW = "doc_id", "text", "_row"
+ID, TEXT = "doc_id", "text"
+
+
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
 
+def _hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col(TEXT), F.lit("")))
 
-def _row() -> Column:
-    return F.struct(F.col(ID).alias("id"), F.xxhash64(F.coalesce(F.col(TEXT), F.lit(""))).alias("hash"))
 
+def _kept(docs: DataFrame, judge: Callable[[DataFrame, str], DataFrame], once: bool) -> DataFrame:
+    """The rows of ``docs`` that ``judge(rows, name of their id)`` keeps, told apart by id and text.
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``kept`` (a column of id and text hash) names."""
-    wanted = kept.select(F.col(f"{ROW}.id").alias("_kept_id"), F.col(f"{ROW}.hash").alias("_kept_hash"))
-    keyed = docs.withColumn("_hash", _row()["hash"])
-    same = keyed[ID].eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash"))
-    return keyed.join(wanted, same, "left_semi")
+    With ``once`` rows that repeat both stay once. Columns are those of ``docs``, whatever their names.
+    """
+    row, text_hash, kept_id, kept_hash = (_fresh(docs, n) for n in ("row", "text_hash", "kept_id", "kept_hash"))
+    keyed = docs.withColumn(text_hash, _hash())
+    verdicts = judge(keyed.withColumn(row, F.struct(F.col(ID).alias("id"), F.col(text_hash).alias("hash"))), row).where("kept")
+    wanted = verdicts.select(F.col(f"{row}.id").alias(kept_id), F.col(f"{row}.hash").alias(kept_hash)).distinct()
+    same = F.col(ID).eqNullSafe(F.col(kept_id)) & (F.col(text_hash) == F.col(kept_hash))
+    kept = keyed.join(wanted, same, "left_semi")
+    return (kept.dropDuplicates([ID, text_hash]) if once else kept).select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules, or whose host does, go."""
-    verdicts = quality_rules(docs.withColumn(ROW, _row()), ROW).where("kept")
-    return _only(docs, verdicts.select(ROW).distinct()).select(*docs.columns)
+    """Documents that fail the rules, or whose host does, go. Null and empty texts fail; rows that repeat each other are judged alike."""
+    return _kept(docs, quality_rules, once=False)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id stays."""
-    verdicts = exact_dedup(docs.withColumn(ROW, _row()), ROW, keep="largest").where("kept")
-    return _only(docs, verdicts.select(ROW)).dropDuplicates([ID, "_hash"]).select(*docs.columns)
+    """Of equal texts the one with the largest id stays, once; null counts as the empty text, and a null id loses to any other."""
+    return _kept(docs, lambda rows, row: exact_dedup(rows, row, keep="largest"), once=True)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the one with the smallest id stays."""
-    verdicts = near_dedup(docs.withColumn(ROW, _row()), ROW).where("kept")
-    return _only(docs, verdicts.select(ROW)).dropDuplicates([ID, "_hash"]).select(*docs.columns)
+    """Of each class of near duplicates the one with the smallest id stays, once; texts without words are one class."""
+    return _kept(docs, near_dedup, once=True)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; every document stays."""
+    """Secrets are masked and ``n_chars`` follows; every document stays, and a null text stays null."""
     masked = redact_secrets(docs)
     return masked.withColumn("n_chars", F.length(TEXT).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens."""
+    """Sequences of at most 4096 tokens; a null or empty text is its separator alone."""
     # a small cache: the workers have served the stages before
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cache_chunks=250_000)
 
