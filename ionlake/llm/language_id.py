@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import fold, slices, text_or_empty
 
 #: Documented bound of the training sample: documents of each language.
-SAMPLE_DOCS = 400
+SAMPLE_DOCS = 120
 #: Words of a training sequence before splicing; a text is as many as it takes.
 RUN_WORDS = 24
 #: Letters of a chain position; a longer run of letters is several, each sharing OVERLAP with the one before.

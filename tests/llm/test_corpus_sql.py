@@ -1,6 +1,8 @@
 """The queries of the subpackage that SQL can express, against DuckDB on whole tables."""
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from ionlake.llm.queries import ORACLES, QUERIES
@@ -13,5 +15,6 @@ def test_sql(spark, sf_dir, name):
     want = con.execute(ORACLES[name]).df()
     got = QUERIES[name](spark, sf_dir).toPandas()
     columns = sorted(want.columns)
-    rows = lambda frame: sorted(tuple("" if x is None or x != x else repr(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in r) for r in frame[columns].astype(object).itertuples(index=False))
+    text = lambda x: "" if pd.isna(x) else str(x) if isinstance(x, (bool, np.bool_, str)) else repr(float(x))
+    rows = lambda frame: sorted(tuple(map(text, r)) for r in frame[columns].astype(object).itertuples(index=False))
     assert sorted(got.columns) == columns and rows(got) == rows(want)
