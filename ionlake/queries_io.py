@@ -126,13 +126,19 @@ def prediction_csv(spark, sf_dir):
     return _wide(read_prediction_csv(spark, path).withColumn("mz", F.round(F.col("mz").cast("double"), 3)).withColumn("prediction", F.round("prediction", 9)))
 
 
-@query("tic_csv_rows", "SELECT l_orderkey AS spec_id, l_linenumber AS ionnumber, count(*) AS n, round(sum(l_extendedprice) / any_value(total), 3) AS share FROM (SELECT *, sum(l_extendedprice) OVER (PARTITION BY l_orderkey) AS total FROM lineitem) GROUP BY 1, 2")
+@query(
+    "tic_csv_rows",
+    "SELECT spec_id, count(*) AS n, round(sum(share), 3) AS share, CAST(max_by(k, share * 1000000 - k) AS BIGINT) AS largest FROM (SELECT l_orderkey AS spec_id, l_partkey * 10 + l_linenumber AS k, l_extendedprice / sum(l_extendedprice) OVER (PARTITION BY l_orderkey) AS share FROM lineitem) GROUP BY 1",
+)
 def tic_csv_rows(spark, sf_dir):
-    """TIC shares as the CSV sink writes them, six digits, added up again."""
+    """TIC shares as the CSV sink writes them, six digits, added up again; the largest one keeps its place."""
     path = new_path(spark, "tic_csv_rows")
-    write_table(csv_rows(_predictions(spark, sf_dir), log_space=False).select("spec_id", "ionnumber", "prediction"), path)
+    own = _predictions(spark, sf_dir).withColumn("ionnumber", F.col("l_partkey") * 10 + F.col("l_linenumber"))
+    write_table(csv_rows(own, log_space=False).select("spec_id", "ionnumber", "prediction"), path)
     rows = read_prediction_csv(spark, path)
-    return _wide(rows.groupBy(F.col("spec_id").cast("long").alias("spec_id"), "ionnumber").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("prediction"), 3).alias("share")))
+    return _wide(
+        rows.groupBy(F.col("spec_id").cast("long").alias("spec_id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("prediction"), 3).alias("share"), F.max_by("ionnumber", F.col("prediction") * 1000000 - F.col("ionnumber")).alias("largest"))
+    )
 
 
 SHARES = "SELECT l_returnflag AS ion, log2(l_extendedprice / sum(l_extendedprice) OVER w + 0.001) AS y, log2(l_quantity / sum(l_quantity) OVER w + 0.001) AS x FROM lineitem WINDOW w AS (PARTITION BY l_returnflag)"
