@@ -22,6 +22,7 @@ from .operators.peptides import fragment_ions, in_window, is_predictable, is_try
 from .operators.ranks import quantiles, upper_medians
 from .operators.spectra import keyed_interval_max, normalise, preprocess, tic
 from .plans.pipeline import evaluate, median_correlations, predict
+from .plans.storage import new_path
 from .plans.trees import forest_expression, toy_nodes
 from .sinks.libraries import mgf, msp, spectronaut
 
@@ -679,15 +680,19 @@ def tree_score(spark, sf_dir):
     "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 )
 def stream_events(spark, sf_dir):
-    """The events as a stream, counted by hour; the windows, not the rows, are what the sink holds."""
-    from .streaming.spectra import windowed_events
+    """The events as a stream, counted by hour; each batch's changed windows are written, the last of each counts."""
+    from .streaming.spectra import windowed_events, write_batches
 
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"stream_events_{abs(hash(sf_dir)) % 10**8}"
-    q = windowed_events(stream, "1 hour", "36500 days").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    path = new_path(spark, "stream_events")
+
+    def write(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/windows/{number}")
+
+    write_batches(windowed_events(stream, "1 hour", "1 day"), write, f"{path}/progress", "update", once=True).awaitTermination()
+    rows = spark.read.parquet(f"{path}/windows/*").groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("last"))
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "last.n", F.round("last.total", 4).alias("total"))
 
 
 @query("mod_counts", f"WITH {MOD_ROWS} SELECT name, count(*) AS n, count(DISTINCT spec_id) AS n_peptides FROM mod WHERE name IS NOT NULL GROUP BY name")
@@ -740,10 +745,11 @@ def mass_check_query(spark, sf_dir):
 
 @query("matrix_triangle", "SELECT a.l_returnflag AS flag_1, b.l_returnflag AS flag_2, round(a.m - b.m, 6) AS gap FROM (SELECT l_returnflag, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1) a JOIN (SELECT l_returnflag, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1) b ON a.l_returnflag >= b.l_returnflag")
 def matrix_triangle(spark, sf_dir):
-    """Every pair of groups once, the diagonal included: three flags, so both sides are a few rows."""
+    """Every pair of groups once, the diagonal included, from one row: a matrix has as few sides as groups, three flags here."""
     means = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.avg("l_extendedprice").alias("m"))
-    one, two = means.toDF("flag_1", "m1"), means.toDF("flag_2", "m2")
-    return one.join(two, F.col("flag_1") >= F.col("flag_2")).select("flag_1", "flag_2", F.round(F.col("m1") - F.col("m2"), 6).alias("gap"))
+    gathered = means.agg(F.collect_list(F.struct(F.col("l_returnflag").alias("flag"), "m")).alias("all"))
+    pairs = F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: y["flag"] <= x["flag"]), lambda y: F.struct(x["flag"].alias("flag_1"), y["flag"].alias("flag_2"), F.round(x["m"] - y["m"], 6).alias("gap")))))
+    return gathered.select(F.explode(pairs).alias("p")).select("p.*")
 
 
 @query("scan_mgf_semi", "SELECT event_id FROM events WHERE EXISTS (SELECT 1 FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey = user_id) AND event_type = 'view'")

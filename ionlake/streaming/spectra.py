@@ -36,6 +36,10 @@ def windowed_events(stream: DataFrame, window: str = "1 hour", late: str = "10 m
     return held.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def write_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
-    """Start a query that gives each micro-batch to ``write``; its checkpoint makes restarts exact."""
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+def write_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", once: bool = False):
+    """Start a query that gives each micro-batch to ``write``; its checkpoint makes restarts exact.
+
+    ``once`` takes what is there and stops.
+    """
+    out = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if once else out).start()
