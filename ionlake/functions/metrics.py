@@ -28,6 +28,11 @@ def share_log_corr(rows: DataFrame, by: list[str], x: str, y: str, out: str = "p
     return logged.groupBy(*by).agg(safe_corr(F.col("_0"), F.col("_1")).alias(out))
 
 
+def is_compared(charge: Column, ion: Column) -> Column:
+    """Rows that published comparisons count: charges 2 to 4, without doubly charged prefix ions."""
+    return charge.between(2, 4) & (ion != "B2")
+
+
 def corr_or_zero(x: Column, y: Column) -> Column:
     return F.coalesce(safe_corr(x, y), F.lit(0.0))
 

@@ -46,13 +46,12 @@ def _running_sums(masses: Column, end: Column, single: bool) -> Column:
     ``single`` adds in single precision.
     """
     cast = "float" if single else "double"
-    start = F.struct(end.cast(cast).alias("sum"), F.array().cast(f"array<{cast}>").alias("all"))
-
-    def step(a, x):
-        more = (a["sum"] + x.cast(cast)).cast(cast)
-        return F.struct(more.alias("sum"), F.array_append(a["all"], more).alias("all"))
-
-    return F.aggregate(F.slice(masses, 1, F.greatest(F.size(masses) - 1, F.lit(0))), start, step, lambda a: a["all"])
+    sums = F.aggregate(
+        F.slice(masses, 1, F.greatest(F.size(masses) - 1, F.lit(0))),
+        F.array(end.cast(cast)),
+        lambda a, x: F.array_append(a, (F.element_at(a, -1) + x.cast(cast)).cast(cast)),
+    )
+    return F.slice(sums, 2, F.size(sums) - 1)
 
 
 def _ladder(series: str, single: bool = False) -> Column:
