@@ -9,18 +9,24 @@ import pandas as pd
 from pyspark.sql import SparkSession
 
 from .plans.config import LibraryConfig, PredictionConfig, load_config, model
-from .plans.pipeline import build_library, evaluate, match_spectra, median_correlations, predict, predict_one, with_targets
+from .plans.metrics import RunMetrics
+from .plans.models import load_model, read_nodes
+from .plans.pipeline import build_library, evaluate, label_of, match_spectra, median_correlations, predict, predict_one, with_targets
 from .plans.trees import toy_nodes
-from .sinks import write_results
+from .sinks.libraries import predictions_and_targets, write_results, write_table
 from .sources.peptides import read_fasta, read_peprec
 from .sources.spectra import read_spectra
 
 
-def _nodes(path: str | None, ions: list[str], name: str) -> pd.DataFrame:
-    if path is None:
-        return toy_nodes(tuple(ions))
-    held = pd.read_parquet(path)
-    return held[(held["model"] == name) & held["ion"].isin(ions)]
+def _nodes(spark: SparkSession, files: list[str] | None, name: str, folder: str | None) -> pd.DataFrame:
+    """A model's trees: from files, else from the model folder, else the toy forest."""
+    own = model(name)
+    if files:
+        return read_nodes(spark, files, own.name, own.ions)
+    return load_model(spark, name, folder) if folder else toy_nodes(tuple(own.ions))
+
+
+NODES = "trees: node tables (.parquet), source (.c), or boosted models of one ion type, as in B=b.json Y=y.txt; without them the configured model folder, else a toy forest"
 
 
 def parser() -> argparse.ArgumentParser:
@@ -33,20 +39,21 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-x", "--correlations", action="store_true", help="write correlations")
     p.add_argument("-m", "--match", action="store_true", help="match spectra by precursor and peaks")
     p.add_argument("-i", "--spectrum-id-pattern", default="(.*)")
-    p.add_argument("-n", "--nodes", help="Parquet table of trees; without it a toy forest")
+    p.add_argument("-n", "--nodes", nargs="*", help=NODES)
     p.add_argument("-o", "--output", required=True)
     p.add_argument("-f", "--formats", nargs="*")
     p = commands.add_parser("library", help="spectral library of a FASTA file")
     p.add_argument("fasta")
     p.add_argument("-c", "--config")
-    p.add_argument("-n", "--nodes")
+    p.add_argument("-n", "--nodes", nargs="*", help=NODES)
+    p.add_argument("--model-dir", help="folder of model files with models.json")
     p.add_argument("-o", "--output", required=True)
     p = commands.add_parser("single", help="spectrum of one peptide")
     p.add_argument("peptide")
     p.add_argument("modifications")
     p.add_argument("charge", type=int)
     p.add_argument("-c", "--config")
-    p.add_argument("-n", "--nodes")
+    p.add_argument("-n", "--nodes", nargs="*", help=NODES)
     return top
 
 
@@ -56,28 +63,30 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     try:
         if args.command == "library":
             config = LibraryConfig.load(args.config) if args.config else LibraryConfig()
-            nodes = _nodes(args.nodes, model(config.model).ions, config.model)
+            nodes = _nodes(spark, args.nodes, config.model, args.model_dir)
             build_library(read_fasta(spark, args.fasta), nodes, config, path=args.output)
             return 0
         config = load_config(args.config) if args.config else PredictionConfig()
         own = model(config.model)
-        nodes = _nodes(args.nodes, own.ions, own.name)
+        nodes = _nodes(spark, args.nodes, config.model, config.model_dir)
         if args.command == "single":
             predict_one(spark, args.peptide, args.modifications, args.charge, nodes, config.catalogue(), own.version).show(200, False)
             return 0
-        peprec = read_peprec(spark, args.peptides)
-        predictions = predict(peprec, nodes, config.catalogue(), own.version)
+        peprec, metrics = read_peprec(spark, args.peptides), RunMetrics()
+        predictions = predict(peprec, nodes, config.catalogue(), own.version, metrics=metrics)
+        metrics.check_records()
         if args.spectra:
             spectra = read_spectra(spark, args.spectra)
             if args.match:
-                match_spectra(predictions, peprec, spectra, config.catalogue(), peak_tolerance=config.frag_error).write.mode("overwrite").csv(args.output + "_matched.csv", header=True)
+                write_table(match_spectra(predictions, peprec, spectra, config.catalogue(), peak_tolerance=config.frag_error), args.output + "_matched.csv")
                 return 0
-            targets = with_targets(peprec, spectra, config.catalogue(), own.version, config.frag_error, args.spectrum_id_pattern)
-            both = predictions.join(targets.select("spec_id", "ion", "ionnumber", "target"), ["spec_id", "ion", "ionnumber"])
-            both.write.mode("overwrite").csv(args.output + "_pred_and_emp.csv", header=True)
+            targets = with_targets(peprec, metrics.watch_spectra(spectra), config.catalogue(), own.version, config.frag_error, args.spectrum_id_pattern, label_of(own.name))
+            write_table(predictions_and_targets(predictions, targets), args.output + "_pred_and_emp.csv")
+            seen = metrics.check_spectra()
+            print(f"{seen['spectra']} spectra, {seen['empty']} without peaks, {seen['spectra_per_task']:.0f} a task", file=sys.stderr)
             if args.correlations:
                 correlations = evaluate(predictions, targets)
-                correlations.write.mode("overwrite").csv(args.output + "_correlations.csv", header=True)
+                write_table(correlations, args.output + "_correlations.csv")
                 median_correlations(correlations).show()
             return 0
         write_results(predictions, peprec, args.output, args.formats or config.out, catalogue=config.catalogue())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .residues import PSEUDO
@@ -22,9 +22,15 @@ def safe_corr(x: Column, y: Column) -> Column:
 
 
 def share_log_corr(rows: DataFrame, by: list[str], x: str, y: str, out: str = "pearsonr") -> DataFrame:
-    """(by..., out): Pearson's r of log2 of both sides' shares of their group's total, plus the pseudo-count."""
-    own = Window.partitionBy(*by)
-    logged = rows.select(*by, *[to_log(F.try_divide(F.col(c), F.sum(c).over(own))).alias(f"_{k}") for k, c in enumerate((x, y))])
+    """(by..., out): Pearson's r of log2 of both sides' shares of their group's total, plus the pseudo-count.
+
+    The groups' totals are added up first and joined to the rows, so no task holds a group; null is a group too.
+    """
+    totals = rows.groupBy(*[F.col(b).alias(f"_by{k}") for k, b in enumerate(by)]).agg(F.sum(x).alias("_x"), F.sum(y).alias("_y"))
+    same = F.lit(True)
+    for k, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_by{k}"))
+    logged = rows.join(totals, same).select(*by, *[to_log(F.try_divide(F.col(c), F.col(t))).alias(f"_{k}") for k, (c, t) in enumerate(((x, "_x"), (y, "_y")))])
     return logged.groupBy(*by).agg(safe_corr(F.col("_0"), F.col("_1")).alias(out))
 
 

@@ -58,9 +58,12 @@ class Catalogue:
     def shifts(self) -> Column:
         return self._map({m.name: m.mass_shift for m in self.mods})
 
-    def slot_masses(self) -> Column:
+    def slots(self) -> dict[str, float]:
         """Mass that replaces the residue's: the configured residue plus the shift; a terminus has the shift alone."""
-        return self._map({m.name: FRAGMENT_MASS.get(m.site, 0.0) + m.mass_shift for m in self.mods})
+        return {m.name: FRAGMENT_MASS.get(m.site, 0.0) + m.mass_shift for m in self.mods}
+
+    def slot_masses(self) -> Column:
+        return self._map(self.slots())
 
     @staticmethod
     def _map(values: dict[str, float]) -> Column:

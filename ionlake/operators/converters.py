@@ -131,12 +131,63 @@ def store_fields(values: DataFrame, fields: DataFrame, wanted: list[str]) -> Dat
     return values.join(fields, "FieldID").groupBy("PeptideID").pivot("DisplayName", wanted).agg(F.first("FieldValue"))
 
 
-def store_modifications(side_chain: DataFrame, terminal: DataFrame, names: DataFrame) -> DataFrame:
-    """(PeptideID, modifications): ``pos|name`` strings in order of position; a terminal one is 0."""
-    side = side_chain.select("PeptideID", "AminoAcidModificationID", (F.col("Position") + 1).cast("int").alias("pos"))
-    ends = terminal.select("PeptideID", F.col("TerminalModificationID").alias("AminoAcidModificationID"), F.lit(0).alias("pos"))
-    named = side.unionByName(ends).join(names.select("AminoAcidModificationID", F.col("ModificationName").alias("name")), "AminoAcidModificationID")
-    return named.groupBy("PeptideID").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "name"))), lambda m: F.concat(m["pos"].cast("string"), F.lit("|"), m["name"])), "|").alias("modifications"))
+def store_modifications(side_chain: DataFrame, terminal: DataFrame, names: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., PeptideID, modifications): ``pos|name`` strings in order of position; a terminal one is 0."""
+    by = by or []
+    side = side_chain.select(*by, "PeptideID", "AminoAcidModificationID", (F.col("Position") + 1).cast("int").alias("pos"))
+    ends = terminal.select(*by, "PeptideID", F.col("TerminalModificationID").alias("AminoAcidModificationID"), F.lit(0).alias("pos"))
+    named = side.unionByName(ends).join(names.select(*by, "AminoAcidModificationID", F.col("ModificationName").alias("name")), [*by, "AminoAcidModificationID"])
+    return named.groupBy(*by, "PeptideID").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "name"))), lambda m: F.concat(m["pos"].cast("string"), F.lit("|"), m["name"])), "|").alias("modifications"))
+
+
+def store_spectra(headers: DataFrame, mass_peaks: DataFrame, files: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., SpectrumID, Charge, Mass, FirstScan, LastScan, FileName): a store's spectra with the stems of their raw files."""
+    by = by or []
+    named = mass_peaks.select(*by, "MassPeakID", "FileID").join(files.select(*by, "FileID", file_stem(F.col("FileName")).alias("FileName")), [*by, "FileID"])
+    return headers.select(*by, "SpectrumID", "Charge", "Mass", "FirstScan", "LastScan", "MassPeakID").join(named, [*by, "MassPeakID"]).drop("MassPeakID", "FileID")
+
+
+#: The tables of a search store that search_store reads.
+STORE_TABLES = ["Peptides", "PeptideScores", "Peptides_Decoy", "PeptideScores_Decoy", "AminoAcidModifications", "PeptidesAminoAcidModifications", "PeptidesTerminalModifications", "SpectrumHeaders", "MassPeaks", "FileInfos"]
+
+
+def search_store(tables: dict[str, DataFrame], cutoff: float = 0.01, percolator: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, spectra) of search stores: PEPREC rows of the non-redundant PSMs, and the spectra that they name.
+
+    ``tables`` are STORE_TABLES as read_sqlite gives them with ``file_col="store"``: ids count within their file.
+    The q-value is that of targets over decoys by score within each file or, with ``percolator``, the custom
+    field of that name (the tables CustomDataFields and CustomDataPeptides then have to be there). A PSM without
+    modifications has ``-``; of a (peptide, modifications, charge), and then of a spectrum, the best is kept.
+    """
+    by = ["store"]
+    if percolator is None:
+        join = lambda p, s: tables[p].join(tables[s].select(*by, "PeptideID", F.col("ScoreValue").alias("score")), [*by, "PeptideID"])
+        targets, decoys = join("Peptides", "PeptideScores"), join("Peptides_Decoy", "PeptideScores_Decoy")
+        columns = [*by, "PeptideID", "SpectrumID", "Sequence", "score"]
+        both = targets.select(*columns).withColumn("is_decoy", F.lit(False)).unionByName(decoys.select(*columns).withColumn("is_decoy", F.lit(True)))
+        judged = q_values(both, "score", "is_decoy", ["PeptideID"], by).where(~F.col("is_decoy")).drop("is_decoy")
+    else:
+        fields = tables["CustomDataPeptides"].join(tables["CustomDataFields"], [*by, "FieldID"]).where(F.col("DisplayName") == percolator)
+        held = fields.groupBy(*by, "PeptideID").agg(F.first("FieldValue").cast("double").alias("q_value"))
+        judged = tables["Peptides"].select(*by, "PeptideID", "SpectrumID", "Sequence").join(held, [*by, "PeptideID"]).withColumn("score", -F.col("q_value"))
+    good = judged.where(F.col("q_value") <= cutoff)
+    mods = store_modifications(tables["PeptidesAminoAcidModifications"], tables["PeptidesTerminalModifications"], tables["AminoAcidModifications"], by)
+    spectra = store_spectra(tables["SpectrumHeaders"], tables["MassPeaks"], tables["FileInfos"], by)
+    whole = good.join(mods, [*by, "PeptideID"], "left").withColumn("modifications", F.coalesce("modifications", F.lit("-"))).join(spectra, [*by, "SpectrumID"])
+    order = ["q_value", F.desc("score"), "store", "PeptideID"]
+    best = best_in_sequence(whole, [["Sequence", "modifications", "Charge"], ["SpectrumID", "FileName"]], order)
+    # one store's ids are enough; those of several are told apart by the file's stem
+    stem = F.regexp_replace(F.element_at(F.split("store", "/"), -1), r"\.[A-Za-z]+$", "")
+    named = best.withColumn("spec_id", F.concat_ws("_", stem, F.col("PeptideID").cast("string")))
+    records = named.select("spec_id", "modifications", F.col("Sequence").alias("peptide"), F.col("Charge").cast("int").alias("charge"), "q_value", is_tryptic(F.col("Sequence")).alias("tryptic"))
+    return records, named.select("spec_id", F.col("FileName").alias("source_file"), F.col("FirstScan").alias("scan"), "LastScan", "Mass")
+
+
+def spectra_of_scans(spectra: DataFrame, listed: DataFrame, pattern: str = r'scan=(\d+)') -> DataFrame:
+    """The spectra that a list (spec_id, source_file, scan) names by raw file and scan number, with spec_id as their title."""
+    own = spectra.withColumn("source_file", file_stem(F.col("source_file"))).withColumn("scan", F.regexp_extract("title", pattern, 1).try_cast("bigint"))
+    wanted = listed.select("spec_id", "source_file", F.col("scan").cast("bigint").alias("scan"))
+    return own.join(wanted, ["source_file", "scan"]).withColumn("title", F.col("spec_id")).select(*spectra.columns)
 
 
 def library_psms(psms: DataFrame, cutoff: float = 0.01, score: str = "score", run: list[str] | None = None) -> DataFrame:

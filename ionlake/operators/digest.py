@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,60 @@ CLEAVAGE_RULES = {
 }
 
 
+#: Peptides that are cut out at a time.
+_CUT_ROWS = 200_000
+
+
+def _cuts(sequence: str, rule: str) -> np.ndarray:
+    """Places where the rule cuts, with both ends."""
+    inner = {m.start() for m in re.finditer(CLEAVAGE_RULES.get(rule, rule), sequence)} - {0, len(sequence)}
+    return np.array([0, *sorted(inner), len(sequence)], np.int64)
+
+
+def _spans(sequence: str, rule: str, missed: int, low: int, high: int, semi: bool):
+    """(starts, ends) of the peptides of a fitting length, in parts; no (start, end) comes twice."""
+    n = len(sequence)
+    if rule == "unspecific":
+        for length in range(low, min(high, n) + 1):
+            for first in range(0, n - length + 1, _CUT_ROWS):
+                starts = np.arange(first, min(first + _CUT_ROWS, n - length + 1))
+                yield starts, starts + length
+        return
+    cuts = _cuts(sequence, rule)
+    step = max(1, _CUT_ROWS // (missed + 1) // (2 * high if semi else 1))
+    held = np.zeros((0, 2), np.int64)  # semi-specific spans that the next part may repeat
+    for first in range(0, len(cuts) - 1, step):
+        own = np.arange(first, min(first + step, len(cuts) - 1))
+        pairs = [(cuts[own[own + k < len(cuts)]], cuts[own[own + k < len(cuts)] + k]) for k in range(1, missed + 2)]
+        starts, ends = (np.concatenate(c) for c in zip(*pairs, strict=True))
+        if not semi:
+            fits = (ends - starts >= low) & (ends - starts <= high)
+            yield starts[fits], ends[fits]
+            continue
+        lengths = np.arange(low, high + 1)
+        fits = lengths[None, :] <= (ends - starts)[:, None]
+        row, k = np.nonzero(fits)
+        both = np.concatenate([np.stack([starts[row], starts[row] + lengths[k]], 1), np.stack([ends[row] - lengths[k], ends[row]], 1)])
+        both = np.unique(both, axis=0)
+        if len(held):
+            old = {tuple(x) for x in held.tolist()}
+            both = both[[tuple(x) not in old for x in both.tolist()]]
+        # a later part's spans begin at its first cut or, as suffixes, end beyond it
+        held = np.concatenate([held, both])
+        held = held[held[:, 1] > cuts[own[-1] + 1]] if len(held) else held
+        yield both[:, 0], both[:, 1]
+
+
+def _cut_out(sequence: str, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The pieces of a sequence; those of plain text are gathered byte by byte at once."""
+    if not sequence.isascii():
+        return pa.array([sequence[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.string())
+    lengths = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    places = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], lengths)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.frombuffer(sequence.encode(), np.uint8)[places]))
+
+
 def digest(
     proteins: DataFrame,
     rule: str = "trypsin",
@@ -36,53 +93,44 @@ def digest(
 
     ``rule`` is a name in CLEAVAGE_RULES, ``unspecific`` (every substring of a fitting length) or
     a zero-width pattern. Peptides with a residue of unknown mass are dropped. Semi-specific
-    digestion adds every prefix and suffix of a peptide and gives each (start, peptide) once.
+    digestion adds every prefix and suffix of a peptide and gives each (start, peptide) of a record once.
+    A null sequence has no peptides.
 
-    A protein is cut once and its pieces are joined to their neighbours, so the work follows the
-    length of what comes out; no substring is taken from the whole sequence.
+    A sequence is cut once, its peptides are numbers until their length fits, and they are cut out in
+    bounded parts; nothing is shuffled.
     """
-    own = proteins.select(F.col(id_col).alias("protein"), F.upper(F.col(seq_col)).alias("seq")).withColumn("n", F.char_length("seq"))
-    if rule == "unspecific":
-        pieces, reach = F.filter(F.split("seq", ""), lambda p: p != ""), max_length
-    else:
-        pieces, reach = F.filter(F.split("seq", CLEAVAGE_RULES.get(rule, rule)), lambda p: p != ""), missed_cleavages + 1
-    cut = own.select("protein", "n", pieces.alias("pieces"))
-    placed = _with_starts(cut, reach)
-    rows = placed.select(
-        "protein",
-        "n",
-        "start",
-        F.explode(F.transform(F.sequence(F.lit(1), F.size("ahead")), lambda k: F.array_join(F.slice("ahead", 1, k), ""))).alias("peptide"),
-    )
-    if semi_specific:
-        length = F.char_length("peptide")
-        ends = F.transform(F.sequence(F.lit(1), length), lambda k: F.struct(F.col("start").alias("start"), F.substring("peptide", F.lit(1), k).alias("peptide")))
-        tails = F.transform(F.sequence(F.lit(1), length), lambda k: F.struct((F.col("start") + k - 1).alias("start"), F.substring("peptide", k, length).alias("peptide")))
-        rows = rows.select("protein", "n", F.explode(F.concat(ends, tails)).alias("e")).select("protein", "n", "e.start", "e.peptide").distinct()
-    fits = F.char_length("peptide").between(min_length, max_length) & ~F.col("peptide").rlike(f"[{INVALID_RESIDUES}]")
-    return rows.where(fits).select(
-        "protein", "start", "peptide", (F.col("start") == 0).alias("is_n_term"), (F.col("start") + F.char_length("peptide") == F.col("n")).alias("is_c_term")
-    )
-
-
-#: Pieces whose starts are added up together; keeps the running sums linear in the sequence.
-_BLOCK = 512
-
-
-def _with_starts(cut: DataFrame, reach: int) -> DataFrame:
-    """(protein, n, start, ahead): each piece's place, and the pieces from it on, ``reach`` at most."""
-    grow = lambda a, x: F.array_append(a, F.element_at(a, -1) + x)
-    sized = cut.select("protein", "n", "pieces", F.transform("pieces", F.char_length).alias("sizes"))
-    sized = sized.select("protein", "n", "pieces", "sizes", F.ceil(F.size("sizes") / _BLOCK).cast("int").alias("blocks"))
-    block = lambda k: F.slice("sizes", k * _BLOCK + 1, _BLOCK)
-    numbers = F.when(F.col("blocks") > 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array().cast("array<int>"))
-    sums = F.transform(numbers, lambda k: F.aggregate(block(k), F.lit(0), lambda a, x: a + x))
-    firsts = F.aggregate(sums, F.array(F.lit(0)), grow)
-    starts = F.flatten(F.zip_with(numbers, F.slice(firsts, F.lit(1), F.col("blocks")), lambda k, s: F.slice(F.aggregate(block(k), F.array(s), grow), 1, F.size(block(k)))))
-    # arrays that a lambda captures are columns of their own, used more than once, so they are not computed anew for each element
-    ahead = F.transform("pieces", lambda p, i: F.slice("pieces", i + 1, reach))
-    rows = sized.select("protein", "n", F.explode(F.zip_with(starts, ahead, lambda s, x: F.struct(s.alias("start"), x.alias("ahead")))).alias("e"))
-    return rows.select("protein", "n", "e.start", "e.ahead")
+    if min_length < 1:
+        raise ValueError("min_length must be positive")
+    kind = proteins.schema[id_col].dataType.simpleString()
+    banned = np.frombuffer(INVALID_RESIDUES.encode("utf-32-le"), np.uint32)
+
+    def apply(batches):
+        for batch in batches:
+            held, count = [], 0
+            for k, sequence in enumerate(batch.column("seq").to_pylist()):
+                if not sequence:
+                    continue
+                codes = np.frombuffer(sequence.encode("utf-32-le"), np.uint32)
+                bad = np.concatenate([[0], np.cumsum(np.isin(codes, banned))])
+                for starts, ends in _spans(sequence, rule, missed_cleavages, min_length, max_length, semi_specific):
+                    good = bad[ends] == bad[starts]
+                    starts, ends = starts[good], ends[good]
+                    if len(starts):
+                        own = batch.column("protein").take(pa.array(np.full(len(starts), k)))
+                        held.append([own, pa.array(starts.astype(np.int32)), _cut_out(sequence, starts, ends), pa.array(starts == 0), pa.array(ends == len(sequence))])
+                        count += len(starts)
+                if count >= _CUT_ROWS:
+                    yield _one_batch(held)
+                    held, count = [], 0
+            if held:
+                yield _one_batch(held)
+
+    rows = proteins.select(F.col(id_col).alias("protein"), F.upper(F.col(seq_col)).alias("seq"))
+    return rows.mapInArrow(apply, f"protein {kind}, start int, peptide string, is_n_term boolean, is_c_term boolean")
+
+
+def _one_batch(parts: list[list[pa.Array]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts, strict=True)], names=["protein", "start", "peptide", "is_n_term", "is_c_term"])
 
 
 def with_decoys(proteins: DataFrame, id_col: str = "protein", seq_col: str = "sequence", prefix: str = "DECOY_") -> DataFrame:
@@ -94,17 +142,29 @@ def with_decoys(proteins: DataFrame, id_col: str = "protein", seq_col: str = "se
     return targets.unionByName(decoys)
 
 
+def peptide_proteins(peptides: DataFrame) -> DataFrame:
+    """(peptide, protein, first): each pair once, with the smallest start and its flags; rows, not lists."""
+    return peptides.groupBy("peptide", "protein").agg(F.min(F.struct("start", "is_n_term", "is_c_term")).alias("first"))
+
+
 def unique_peptides(peptides: DataFrame) -> DataFrame:
-    """One row per sequence: peptide, proteins (distinct, sorted) and the flags of its first place.
+    """One row per sequence: peptide, n_proteins, protein (the smallest) and the flags of its first place.
 
-    The first place is the smallest (protein, start).
+    The first place is the smallest (protein, start). Proteins are counted from distinct pairs, so a peptide
+    of all proteins is no larger than any other; with_proteins adds the list where one is written.
     """
-    at = F.struct("protein", "start")
-    return peptides.groupBy("peptide").agg(
-        F.sort_array(F.collect_set("protein")).alias("proteins"), F.min_by("is_n_term", at).alias("is_n_term"), F.min_by("is_c_term", at).alias("is_c_term")
+    at = F.struct("protein", F.col("first.start").alias("start"))
+    return peptide_proteins(peptides).groupBy("peptide").agg(
+        F.count(F.lit(1)).alias("n_proteins"), F.min("protein").alias("protein"), F.min_by("first.is_n_term", at).alias("is_n_term"), F.min_by("first.is_c_term", at).alias("is_c_term")
     )
 
 
+def with_proteins(rows: DataFrame, peptides: DataFrame, out: str = "proteins") -> DataFrame:
+    """``rows`` with the sorted list of their peptide's proteins: for sinks, whose lines hold such lists."""
+    lists = peptides.select("peptide", "protein").distinct().groupBy("peptide").agg(F.sort_array(F.collect_list("protein")).alias(out))
+    return rows.join(lists, "peptide", "left")
+
+
 @dataclass(frozen=True)
 class LibraryModification:
     """A modification of a spectral library: where it may be, and whether it always is."""

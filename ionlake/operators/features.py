@@ -1,38 +1,28 @@
-"""Feature vectors: one row per peptide, charge and cleavage site, in a fixed column order."""
+"""Feature vectors: one row per peptide, charge and cleavage site, in a fixed column order.
+
+A peptide stays one row until its sites are asked for. Peptides of one length are worked on together,
+a site at a time: the sorted residues of all prefixes grow by one residue each, and so do those of the
+suffixes from the other end, so no prefix is sorted anew.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
-from ..functions.residues import PROPERTIES, RESIDUES, residue_codes
+from ..functions.residues import PROPERTIES, RESIDUES
 
 QUANTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 N_FEATURES = {"general": 139, "ce": 140, "catboost": 143}
+#: Residue-sites of peptides that are worked on together.
+HELD_SITES = 1 << 20
 
-
-def lower_quantile(ordered: Column, q: float) -> Column:
-    """The element at int(q (n - 1)), 0-based, of a sorted array; no interpolation."""
-    return F.get(ordered, F.floor(F.lit(q) * (F.size(ordered) - 1)).cast("int"))
-
-
-def _suffix_quantiles(ordered: Column) -> list[Column]:
-    """As lower_quantile, but the inner three take the element at int(q n)."""
-    n = F.size(ordered)
-    return [F.get(ordered, F.lit(0)), *(F.get(ordered, F.floor(F.lit(q) * n).cast("int")) for q in QUANTILES[1:-1]), F.get(ordered, n - 1)]
-
-
-def _values(codes: Column, table: list[int]) -> Column:
-    held = F.array(*[F.lit(v) for v in table])
-    return F.transform(codes, lambda c: F.get(held, c))
-
-
-def _count(codes: str, code: int) -> Column:
-    return F.size(F.filter(codes, lambda c: c == code))
-
-
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+_CODES = np.full(256, -1, np.int8)
+for _k, _a in enumerate(RESIDUES):
+    _CODES[ord(_a)] = _k
+_CODES[ord("L")] = RESIDUES.index("I")
 
 
 def feature_names(version: str = "general") -> list[str]:
@@ -53,6 +43,125 @@ def feature_names(version: str = "general") -> list[str]:
     return names
 
 
+def prefix_places(m: int) -> list[int]:
+    """Where the quantiles of ``m`` sorted values stand: int(q (m - 1)), no interpolation."""
+    return [int(q * (m - 1)) for q in QUANTILES]
+
+
+def suffix_places(m: int) -> list[int]:
+    """As prefix_places, but the inner three at int(q m)."""
+    return [0, *(int(q * m) for q in QUANTILES[1:-1]), m - 1]
+
+
+def sliding_quantiles(values: np.ndarray, places) -> np.ndarray:
+    """[row, m - 1, q]: the values at ``places(m)`` of the first m values of each row in order."""
+    rows, n = values.shape
+    out = np.empty((rows, n, len(QUANTILES)), values.dtype)
+    ordered = np.empty_like(values)
+    for m in range(1, n + 1):
+        x = values[:, m - 1 : m]
+        at = (ordered[:, : m - 1] <= x).sum(axis=1)[:, None]  # the new value goes here, the larger ones move on
+        place = np.arange(m)
+        moved = np.concatenate([ordered[:, :1], ordered[:, : m - 1]], axis=1)
+        ordered[:, :m] = np.where(place < at, ordered[:, :m], np.where(place == at, x, moved))
+        out[:, m - 1] = ordered[:, places(m)]
+    return out
+
+
+def feature_matrix(codes: np.ndarray, charge: np.ndarray, version: str = "general", energy: np.ndarray | None = None, only: list[int] | None = None) -> np.ndarray:
+    """[peptide, site, feature] for peptides of one length; ``only`` lists the features wanted, in order."""
+    rows, n = codes.shape
+    names = feature_names(version)
+    wanted = {names[k]: i for i, k in enumerate(range(len(names)) if only is None else only)}
+    out = np.zeros((rows, n - 1, len(wanted)), np.int32)
+    site = np.arange(n - 1)
+
+    def put(name: str, make) -> None:
+        if name in wanted:
+            out[:, :, wanted[name]] = make()
+
+    def any_of(names_) -> bool:
+        return any(x in wanted for x in names_)
+
+    put("length", lambda: n)
+    put("charge", lambda: charge[:, None])
+    for k in range(1, 5):
+        put(f"charge_{k}", lambda k=k: (charge == k)[:, None])
+    put("charge_5plus", lambda: (charge >= 5)[:, None])
+    put("prefix_length", lambda: site + 1)
+    put("suffix_length", lambda: n - site)
+    for k, a in enumerate(RESIDUES):
+        if any_of((f"n_{a}_prefix", f"n_{a}_head")):
+            counts = np.cumsum(codes == k, axis=1)
+            put(f"n_{a}_prefix", lambda counts=counts: counts[:, site])
+            put(f"n_{a}_head", lambda counts=counts: counts[:, n - 2 - site])
+    for p, table in PROPERTIES.items():
+        own = [f"{p}_{w}" for w in ("first", "last", "before", "at", "after", "after2")]
+        sides = {s: [f"{p}_{s}_q{int(q * 100)}" for q in QUANTILES] for s in ("prefix", "suffix")}
+        whole = [f"{p}_q{int(q * 100)}" for q in QUANTILES]
+        if not any_of([*own, *whole, f"{p}_prefix_sum", f"{p}_suffix_sum", *sides["prefix"], *sides["suffix"]]):
+            continue
+        v = np.array([*table, 0], np.int32)[codes]  # an unknown residue, code -1, counts as 0
+        if any_of(whole):
+            ordered = np.sort(v, axis=1)
+            for name, place in zip(whole, prefix_places(n), strict=True):
+                put(name, lambda place=place: ordered[:, place : place + 1])
+        put(own[0], lambda: v[:, :1])
+        put(own[1], lambda: v[:, -1:])
+        if any_of(own[2:4]):
+            first = np.full((rows, 1), table[0], np.int32)
+            put(own[2], lambda: np.concatenate([np.zeros((rows, 1), np.int32), first, v[:, : max(0, n - 3)]], axis=1)[:, : n - 1])
+            put(own[3], lambda: np.concatenate([first, v[:, : n - 2]], axis=1))
+        put(own[4], lambda: v[:, :-1])
+        put(own[5], lambda: v[:, 1:])
+        sums = np.cumsum(v, axis=1)
+        put(f"{p}_prefix_sum", lambda: sums[:, :-1])
+        put(f"{p}_suffix_sum", lambda: sums[:, -1:] - sums[:, :-1])
+        if any_of(sides["prefix"]):
+            found = sliding_quantiles(v[:, :-1], prefix_places)
+            for k, name in enumerate(sides["prefix"]):
+                put(name, lambda k=k: found[:, :, k])
+        if any_of(sides["suffix"]):
+            found = sliding_quantiles(np.ascontiguousarray(v[:, :0:-1]), suffix_places)[:, ::-1]
+            for k, name in enumerate(sides["suffix"]):
+                put(name, lambda k=k: found[:, :, k])
+    put("collision_energy", lambda: energy[:, None])
+    put("residue_first", lambda: codes[:, :1])
+    put("residue_last", lambda: codes[:, -1:])
+    put("residue_at", lambda: np.concatenate([np.zeros((rows, 1), np.int8), codes[:, : n - 2]], axis=1))
+    put("residue_after", lambda: codes[:, :-1])
+    return out
+
+
+def by_length(batch: pa.RecordBatch, column: str):
+    """(rows, their bytes as a matrix) for the peptides of each length, at most HELD_SITES residues at a time."""
+    text = batch.column(column).cast(pa.binary())
+    lengths = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+    for n in np.unique(lengths):
+        same = np.flatnonzero(lengths == n)
+        step = max(1, HELD_SITES // max(1, int(n)))
+        for s in range(0, len(same), step):
+            rows = same[s : s + step]
+            yield rows, np.frombuffer(b"".join(text.take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), int(n)) if n else np.zeros((len(rows), 0), np.uint8)
+
+
+def _energy(batch: pa.RecordBatch, rows: np.ndarray, version: str) -> np.ndarray | None:
+    if version != "ce":
+        return None
+    return batch.column("ce").cast(pa.int32()).fill_null(0).to_numpy(zero_copy_only=False)[rows]
+
+
+def peptide_features(batch: pa.RecordBatch, version: str, only: list[int] | None = None):
+    """(rows, [peptide, site, feature]) of a batch with columns peptide and charge (and ce), length by length.
+
+    Peptides of fewer than two residues have no site.
+    """
+    charge = batch.column("charge").cast(pa.int32()).fill_null(0).to_numpy(zero_copy_only=False)
+    for rows, letters in by_length(batch, "peptide"):
+        if letters.shape[1] > 1:
+            yield rows, feature_matrix(_CODES[letters], charge[rows], version, _energy(batch, rows, version), only)
+
+
 def site_features(peptides: DataFrame, version: str = "general", keep: tuple[str, ...] = ("peptide", "charge"), only: set[int] | None = None) -> DataFrame:
     """(keep..., site, features array<int>), one row per site 0 to n-2.
 
@@ -60,53 +169,33 @@ def site_features(peptides: DataFrame, version: str = "general", keep: tuple[str
     ion n-1-i of the suffix series. Models depend on four habits of the layout: quantiles are single
     elements, at int(q (n - 1)) of a prefix or the peptide but at int(q n) of a suffix; the second
     count of each residue covers the first n-1-i residues; a place before the first residue reads
-    as alanine; and two places before it as 0. ``ce`` needs a column ce and appends it;
-    ``catboost`` puts four residue codes in front.
-
-    With ``only`` the other columns are 0 and cost nothing: a model's tests name what it reads.
-    Arrays shared by all sites are columns made before the sites are exploded.
+    as alanine; and two places before it as 0. L reads as I. ``ce`` needs a column ce and appends it;
+    ``catboost`` puts four residue codes in front. With ``only`` the other columns are 0 and cost nothing.
     """
     if version not in N_FEATURES:
         raise ValueError(f"unknown feature version {version!r}")
-    more = ["ce"] if version == "ce" and "ce" not in keep else []
-    coded = peptides.select(*keep, *more, residue_codes(F.col("peptide")).alias("r"))
-    shared = coded.select(
-        *keep,
-        *more,
-        "r",
-        F.size("r").alias("n"),
-        *[_values(F.col("r"), t).alias(f"v_{p}") for p, t in PROPERTIES.items()],
-        *[F.sort_array(_values(F.col("r"), t)).alias(f"o_{p}") for p, t in PROPERTIES.items()],
-    )
-    sites = shared.withColumn("site", F.explode(F.sequence(F.lit(0), F.col("n") - 2)))
-    i = F.col("site")
-    split = sites.select(
-        "*",
-        F.slice("r", F.lit(1), i + 1).alias("r_prefix"),
-        F.slice("r", F.lit(1), F.col("n") - 1 - i).alias("r_head"),
-        *[F.slice(f"v_{p}", F.lit(1), i + 1).alias(f"a_{p}") for p in PROPERTIES],
-        *[F.slice(f"v_{p}", i + 2, F.col("n") - 1 - i).alias(f"b_{p}") for p in PROPERTIES],
-    )
-    ordered = split.select("*", *[F.sort_array(f"{s}_{p}").alias(f"{s}o_{p}") for p in PROPERTIES for s in "ab"])
-    n, z = F.col("n"), F.col("charge")
-    one = lambda c: F.when(c, 1).otherwise(0)
-    out: list[Column] = [n, z, one(z == 1), one(z == 2), one(z == 3), one(z == 4), one(z >= 5)]
-    for p in PROPERTIES:
-        out += [lower_quantile(F.col(f"o_{p}"), q) for q in QUANTILES]
-    out += [i + 1, n - i]
-    for k in range(len(RESIDUES)):
-        out += [_count("r_prefix", k), _count("r_head", k)]
-    for p, table in PROPERTIES.items():
-        v = f"v_{p}"
-        before = F.when(i == 0, 0).when(i == 1, table[0]).otherwise(F.get(v, i - 2))
-        at = F.when(i == 0, table[0]).otherwise(F.get(v, i - 1))
-        out += [F.get(v, F.lit(0)), F.element_at(v, -1), before, at, F.get(v, i), F.get(v, i + 1)]
-        out += [_total(F.col(f"a_{p}")), *(lower_quantile(F.col(f"ao_{p}"), q) for q in QUANTILES)]
-        out += [_total(F.col(f"b_{p}")), *_suffix_quantiles(F.col(f"bo_{p}"))]
-    if version == "ce":
-        out.append(F.col("ce"))
-    if version == "catboost":
-        at = F.when(i == 0, 0).otherwise(F.get("r", i - 1))
-        out = [F.get("r", F.lit(0)), F.element_at("r", -1), at, F.get("r", i), *out]
-    wanted = [c if only is None or k in only else F.lit(0) for k, c in enumerate(out)]
-    return ordered.select(*keep, "site", F.array(*[c.cast("int") for c in wanted]).alias("features"))
+    width = N_FEATURES[version]
+    wanted = None if only is None else sorted(only)
+    more = [c for c in ("peptide", "charge", *(["ce"] if version == "ce" else [])) if c not in keep]
+
+    def apply(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # a charge or energy of a row's own type goes on as it came
+            for rows, x in peptide_features(batch, version, wanted):
+                if wanted is not None:
+                    full = np.zeros((*x.shape[:2], width), np.int32)
+                    full[:, :, wanted] = x
+                    x = full
+                sites = x.shape[1]
+                kept = batch.take(pa.array(np.repeat(rows, sites)))
+                features = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, width, dtype=np.int32)), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*(kept.column(k) for k in keep), pa.array(np.tile(np.arange(sites, dtype=np.int32), len(rows))), features], names=[*keep, "site", "features"])
+
+    kinds = dict(peptides.dtypes)
+    rows = peptides.select(*keep, *more)
+    return rows.mapInArrow(apply, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", site int, features array<int>")
+
+
+__all__ = ["N_FEATURES", "by_length", "feature_matrix", "feature_names", "peptide_features", "site_features", "sliding_quantiles"]

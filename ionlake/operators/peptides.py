@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.mods import Catalogue, blank_mods, modified_masses, parse_mods, shift_total
+from ..functions.mods import Catalogue, blank_mods, parse_mods, shift_total
 from ..functions.residues import FRAGMENT_MASS, HYDROGEN, INVALID_RESIDUES, ION_SERIES, PEAK_VERSIONS, PRECURSOR_MASS, SIDE_SERIES, WATER, residue_masses, total
+from .features import by_length
 
 MIN_LENGTH, MAX_LENGTH = 3, 99
 
@@ -40,28 +44,62 @@ def in_window(value: Column, low: float | None, high: float | None) -> Column:
     return F.lit(True) if low is None or high is None else value.between(low, high)
 
 
-def _running_sums(masses: Column, end: Column, single: bool) -> Column:
-    """Sums of the first 1 to n-1 masses and the terminal ``end``, one pass.
+def _series(version: str) -> dict[str, tuple[str, float]]:
+    """Ion types of a version: the series that each is made of, and what is added to its m/z."""
+    if version != "all":
+        return {s: (s, 0.0) for s in PEAK_VERSIONS[version]}
+    out = {s: (s, 0.0) for s in ("B", "Y", "B2", "Y2")}
+    for name, (base, offset) in SIDE_SERIES.items():
+        out[name], out[name + "2"] = (base, offset), (base + "2", offset / 2)
+    return out
 
-    ``single`` adds in single precision.
-    """
-    cast = "float" if single else "double"
-    sums = F.aggregate(
-        F.slice(masses, 1, F.greatest(F.size(masses) - 1, F.lit(0))),
-        F.array(end.cast(cast)),
-        lambda a, x: F.array_append(a, (F.element_at(a, -1) + x.cast(cast)).cast(cast)),
-    )
-    return F.slice(sums, 2, F.size(sums) - 1)
+
+_MASS = np.full(256, np.nan)
+for _a, _m in FRAGMENT_MASS.items():
+    _MASS[ord(_a)] = _m
 
 
-def _ladder(series: str, single: bool = False) -> Column:
-    """m/z of ions 1 to n-1 of a series, from the columns ``prefix`` and ``suffix`` of running sums."""
-    side, offset, charge = ION_SERIES[series]
-    return F.transform(F.col(side), lambda s: ((s.cast("double") + offset) / charge).cast("float" if single else "double"))
+def _placed_mods(pairs: pa.Array, slots: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, position, mass in that place) of every modification of a batch, in order; NaN for an unknown name."""
+    flat = pairs.flatten()
+    rows = np.repeat(np.arange(len(pairs)), pc.fill_null(pc.list_value_length(pairs), 0).to_numpy(zero_copy_only=False))
+    names = flat.field("name").dictionary_encode()
+    known = np.array([slots.get(n, np.nan) for n in names.dictionary.to_pylist()] or [np.nan])
+    return rows, flat.field("pos").fill_null(-9).to_numpy(zero_copy_only=False), known[names.indices.fill_null(0).to_numpy(zero_copy_only=False)]
 
 
-def _shifted(values: Column, by: float) -> Column:
-    return F.transform(values, lambda x: x + by)
+def ladders(batch: pa.RecordBatch, version: str, catalogue: Catalogue, single: bool = False) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(offsets, m/z of each ion type): the ladders of a batch's peptides one behind the other, from ``_peptide`` and ``_pairs``.
+
+    Masses are added from the terminus on, in one cumulative sum for the peptides of each length;
+    ``single`` adds in single precision. A mass that is not known is NaN from its place on.
+    """
+    lengths = pc.fill_null(pc.binary_length(batch.column("_peptide")), 0).to_numpy(zero_copy_only=False)
+    starts = np.concatenate([[0], np.cumsum(np.maximum(lengths - 1, 0))])
+    mod_row, mod_pos, mod_mass = _placed_mods(batch.column("_pairs"), catalogue.slots())
+    wanted, kind = _series(version), np.float32 if single else np.float64
+    out = {s: np.empty(starts[-1]) for s in wanted}
+    local = np.full(batch.num_rows, -1)
+    for rows, letters in by_length(batch, "_peptide"):
+        n = letters.shape[1]
+        if n < 2:
+            continue
+        masses, ends = _MASS[letters], {"prefix": np.zeros((len(rows), 1)), "suffix": np.zeros((len(rows), 1))}
+        local[rows] = np.arange(len(rows))
+        own = local[mod_row] >= 0
+        row, pos, mass = local[mod_row[own]], mod_pos[own], mod_mass[own]
+        local[rows] = -1
+        inside = (pos > 0) & (pos <= n)
+        masses[row[inside], pos[inside] - 1] = mass[inside]  # of several in a place the last stays
+        ends["prefix"][row[pos == 0], 0] = mass[pos == 0]
+        ends["suffix"][row[pos == -1], 0] = mass[pos == -1]
+        ordered = {"prefix": masses[:, :-1], "suffix": masses[:, :0:-1]}
+        sums = {s: np.cumsum(np.concatenate([ends[s], m], axis=1).astype(kind), axis=1, dtype=kind)[:, 1:].astype(np.float64) for s, m in ordered.items()}
+        to = starts[rows][:, None] + np.arange(n - 1)
+        for name, (base, shift) in wanted.items():
+            side, offset, charge = ION_SERIES[base]
+            out[name][to] = ((sums[side] + offset) / charge).astype(kind) + (np.float64(shift) if version == "all" else 0)
+    return starts, out
 
 
 def fragment_ions(
@@ -77,29 +115,35 @@ def fragment_ions(
     """Long table (keep..., ion, ionnumber, mz[, prediction][, found...]), one row per ion of each peptide.
 
     ``version`` names the ion types: general, etd, ch2 or all (with neutral losses). A null
-    modification string means none. ``values`` gives, for the ion types it names, array columns
-    with one prediction for each ion; other types are left out then. ``found`` makes further columns
-    from the m/z array of an ion type and the columns ``use``, once for each peptide. Everything is
-    computed in the row, masses in one pass for each direction; nothing is shuffled.
+    modification string means none; an ion whose mass is not known has a null m/z. ``values`` gives, for
+    the ion types it names, array columns with one prediction for each ion; other types are left out
+    then. ``found`` makes further columns from the m/z array of an ion type and the columns ``use``, once
+    for each peptide. A peptide's ladders are one row until the last step; nothing is shuffled.
     """
+    catalogue = catalogue or Catalogue()
     carried = {} if values is None else {f"_v{k}": v for k, v in enumerate(values.values())}
     pairs = parse_mods(F.col("modifications")) if "modifications" in peprec.columns else F.array().cast("array<struct<pos:int,name:string>>")
     own = [*keep, *(c for c in use if c not in keep)]
-    parsed = peprec.select(*own, residue_masses(F.col("peptide"), FRAGMENT_MASS).alias("masses"), pairs.alias("pairs"), *[v.alias(n) for n, v in carried.items()])
-    masses, n_term, c_term = modified_masses(F.col("masses"), F.col("pairs"), catalogue or Catalogue())
-    placed = parsed.select(*own, masses.alias("masses"), n_term.alias("n_term"), c_term.alias("c_term"), *carried)
-    summed = placed.select(*own, _running_sums(F.col("masses"), F.col("n_term"), single).alias("prefix"), _running_sums(F.reverse("masses"), F.col("c_term"), single).alias("suffix"), *carried)
-    names = ["B", "Y", "B2", "Y2"] if version == "all" else PEAK_VERSIONS[version]
-    made = {s: _ladder(s, single) for s in names}
-    if version == "all":
-        for name, (base, offset) in SIDE_SERIES.items():
-            made[name], made[name + "2"] = _shifted(_ladder(base, single), offset), _shifted(_ladder(base + "2", single), offset / 2)
+    rows = peprec.select(*own, F.col("peptide").alias("_peptide"), pairs.alias("_pairs"), *[v.alias(n) for n, v in carried.items()])
+    passed = [*own, *carried]
     held = {} if values is None else dict(zip(values, carried))
-    series = [
-        F.struct(F.lit(s).alias("ion"), F.arrays_zip(mz.alias("mz"), *([F.col(held[s]).alias("prediction")] if held else []), *[f(mz).alias(n) for n, f in (found or {}).items()]).alias("ions"))
-        for s, mz in made.items()
-        if values is None or s in held
-    ]
-    columns = ["mz", *(["prediction"] if held else []), *(found or {})]
-    long = summed.select(*keep, F.explode(F.array(*series)).alias("s")).select(*keep, F.col("s.ion").alias("ion"), F.posexplode("s.ions").alias("k", "own"))
-    return long.select(*keep, "ion", (F.col("k") + 1).cast("int").alias("ionnumber"), *[F.col(f"own.{c}") for c in columns])
+    names = {s: f"_m{k}" for k, s in enumerate(_series(version)) if values is None or s in held}
+    number = pa.float32() if single and version != "all" else pa.float64()
+
+    def apply(batches):
+        for batch in batches:
+            if batch.num_rows:
+                starts, mz = ladders(batch, version, catalogue, single)
+                lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(mz[s].astype(number.to_pandas_dtype()), mask=np.isnan(mz[s]))) for s in names]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), *lists], names=[*passed, *names.values()])
+
+    kinds = dict(rows.dtypes)
+    element = "float" if number == pa.float32() else "double"
+    laddered = rows.mapInArrow(apply, ", ".join([*(f"`{c}` {kinds[c]}" for c in passed), *(f"{m} array<{element}>" for m in names.values())]))
+    made = {s: {"mz": F.col(m), **({"prediction": F.col(held[s])} if held else {}), **{n: f(F.col(m)) for n, f in (found or {}).items()}} for s, m in names.items()}
+    zipped = F.arrays_zip(*[c.alias(f"{k}_{n}") for k, own_columns in enumerate(made.values()) for n, c in own_columns.items()])
+    placed = laddered.select(*keep, F.posexplode(zipped).alias("k", "own"))
+    columns = list(next(iter(made.values())))
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("ion"), *[F.col(f"own.{k}_{n}").alias(n) for n in columns]) for k, s in enumerate(made)]))
+    long = placed.select(*keep, "k", each.alias("i"))
+    return long.select(*keep, "i.ion", (F.col("k") + 1).cast("int").alias("ionnumber"), *[F.col(f"i.{c}") for c in columns])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,16 +76,93 @@ def contains_all(observed: Column, predicted: Column, tolerance: float) -> Colum
     return (F.size(observed) > 0) & F.forall(predicted, near)
 
 
-def range_match(left: DataFrame, right: DataFrame, left_mz: str, right_mz: str, tolerance: float) -> DataFrame:
-    """Pairs whose m/z are strictly less than ``tolerance`` apart, joined by buckets, not nested loops.
+#: Rows of either side, and pairs of them, that a cell of the match takes on average.
+CELL_ROWS, CELL_PAIRS = 100_000, 4_000_000
 
-    Buckets are as wide as the tolerance; each right row stands in its own and both neighbours'. A
-    bucket that holds many rows is split over tasks as a skewed join key, by the adaptive planner.
+
+def _bounds(rows: DataFrame, mz: str, ranges: int) -> np.ndarray:
+    found = rows.agg(F.percentile_approx(F.col(mz).cast("double"), [k / ranges for k in range(1, ranges)], 10_000)).first()[0] if ranges > 1 else None
+    return np.array(found or [], float)
+
+
+def range_match(left: DataFrame, right: DataFrame, left_mz: str, right_mz: str, tolerance: float, cell_rows: int = CELL_ROWS, cell_pairs: int = CELL_PAIRS) -> DataFrame:
+    """Pairs whose m/z are strictly less than ``tolerance`` apart; null m/z match nothing.
+
+    Both sides are dealt to the same ranges of m/z, and only a right row near a border stands in more than
+    one. In a range both runs are sorted and swept once. A range with more rows than a task should take,
+    such as one frequent m/z, is cut into cells: parts of the left by parts of the right. The counts that
+    decide this are one row a range.
     """
-    b = F.floor(F.col(right_mz) / tolerance)
-    near = right.withColumn("_b", F.explode(F.array(b - 1, b, b + 1)))
-    met = left.withColumn("_b", F.floor(F.col(left_mz) / tolerance)).join(near, "_b")
-    return met.where((F.col(left_mz) > F.col(right_mz) - tolerance) & (F.col(left_mz) < F.col(right_mz) + tolerance)).drop("_b")
+    left, right = left.where(F.col(left_mz).isNotNull()), right.where(F.col(right_mz).isNotNull())
+    n_left, n_right = left.count(), right.count()
+    ranges = max(1, -(-max(n_left, n_right) // cell_rows), min(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), (n_left + n_right) // 1000))
+    borders = np.unique(np.concatenate([_bounds(left, left_mz, ranges), _bounds(right, right_mz, ranges)]))
+
+    def touched(x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        return np.searchsorted(borders, x - reach, side="right"), np.searchsorted(borders, x + reach, side="right")
+
+    # a rounding error wider than the tolerance, so that the exact test decides
+    reach = tolerance * (1 + 1e-9) + 1e-9
+
+    def counted(mz: str, own_reach: float):
+        def apply(batches):
+            total = np.zeros(len(borders) + 1, np.int64)
+            for batch in batches:
+                first, last = touched(batch.column(mz).cast(pa.float64()).to_numpy(zero_copy_only=False), own_reach)
+                total += np.cumsum(np.bincount(first, minlength=len(total) + 1) - np.bincount(last + 1, minlength=len(total) + 1))[: len(total)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["range", "n"])
+
+        return apply
+
+    def totals(rows: DataFrame, mz: str, own_reach: float) -> np.ndarray:
+        out = np.zeros(len(borders) + 1, np.int64)
+        for r in rows.select(mz).mapInArrow(counted(mz, own_reach), "range int, n long").groupBy("range").agg(F.sum("n").alias("n")).collect():
+            out[r["range"]] = r["n"]
+        return out
+
+    lefts, rights = totals(left, left_mz, 0.0), totals(right, right_mz, reach)
+    a, b = np.maximum(1, -(-lefts // cell_rows)), np.maximum(1, -(-rights // cell_rows))
+    while (dense := (lefts // a + 1) * (rights // b + 1) > 2 * cell_pairs).any():
+        wide = lefts // a >= rights // b
+        a, b = np.where(dense & wide, 2 * a, a), np.where(dense & ~wide, 2 * b, b)
+    firsts = np.concatenate([[0], np.cumsum(a * b)])  # the cells of a range lie side by side
+
+    def dealt(rows: DataFrame, mz: str, is_left: bool) -> DataFrame:
+        names = rows.columns
+
+        def apply(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                first, last = touched(batch.column(mz).cast(pa.float64()).to_numpy(zero_copy_only=False), 0.0 if is_left else reach)
+                row = np.repeat(np.arange(batch.num_rows), last - first + 1)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[row]
+                copies = (b if is_left else a)[at]
+                spread = np.repeat(np.arange(len(row)), copies)
+                copy = np.arange(len(spread)) - np.repeat(np.cumsum(copies) - copies, copies)
+                row, at = row[spread], at[spread]
+                part = batch.column("_h").to_numpy()[row].astype(np.uint64) % (a if is_left else b)[at].astype(np.uint64)
+                cell = firsts[at] + (part.astype(np.int64) * b[at] + copy if is_left else copy * b[at] + part.astype(np.int64))
+                held = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*(held.column(c) for c in names), pa.array(cell)], names=[*names, "_cell"])
+
+        kinds = dict(rows.dtypes)
+        return rows.withColumn("_h", F.xxhash64(*names)).mapInArrow(apply, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", _cell long")
+
+    out, own_names, other_names = [*left.dtypes, *right.dtypes], left.columns, right.columns
+
+    def sweep(own: pa.Table, other: pa.Table) -> pa.Table:
+        other = other.sort_by(right_mz)
+        x, y = (t[c].cast(pa.float64()).to_numpy() for t, c in ((own, left_mz), (other, right_mz)))
+        low, high = np.searchsorted(y, x - reach, side="left"), np.searchsorted(y, x + reach, side="right")
+        i = np.repeat(np.arange(len(x)), high - low)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[i]
+        near = (x[i] > y[j] - tolerance) & (x[i] < y[j] + tolerance)
+        i, j = pa.array(i[near]), pa.array(j[near])
+        return pa.Table.from_arrays([*(own[c].combine_chunks().take(i) for c in own_names), *(other[c].combine_chunks().take(j) for c in other_names)], names=[*own_names, *other_names])
+
+    sides = [dealt(rows, mz, is_left).groupBy("_cell") for rows, mz, is_left in ((left, left_mz, True), (right, right_mz, False))]
+    return sides[0].cogroup(sides[1]).applyInArrow(sweep, ", ".join(f"`{c}` {k}" for c, k in out))
 
 
 def match_spectra(spectra: DataFrame, peptides: DataFrame, precursor_tolerance: float, peak_tolerance: float = 0.02) -> DataFrame:

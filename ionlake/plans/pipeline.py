@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.metrics import safe_corr, unlog
 from ..functions.mods import MOD_STRING, SEQUENCE, Catalogue, parse_mods
 from ..functions.residues import PSEUDO
-from ..operators.digest import digest, peptidoforms, unique_peptides, with_decoys
+from ..operators.digest import digest, peptidoforms, unique_peptides, with_decoys, with_proteins
 from ..operators.features import site_features
 from ..operators.peptides import clean_peptides, fragment_ions, in_window, precursor_mass, precursor_mz
 from ..operators.spectra import keyed_interval_max, normalise, preprocess, row_targets, spectrum_id
@@ -21,34 +21,32 @@ from ..operators.windows import match_spectra as match_tables
 from ..operators.windows import stable_split, top_peaks
 from ..sinks.libraries import write_results
 from .config import LABELS, LibraryConfig, model
+from .metrics import InvalidPeptide, NoValidPeptides, RunMetrics
+from .storage import stored_table
 from .trees import score_peptides
 
 #: A retention-time predictor: records in, records with a column rt out.
 RetentionPredictor = Callable[[DataFrame], DataFrame]
 
 
-class NoValidPeptides(ValueError):
-    """No record is left after filtering."""
-
-
-class InvalidPeptide(ValueError):
-    """A single peptide or its modifications cannot be predicted."""
-
-
 def _known_mods(catalogue: Catalogue) -> Column:
     names = [m.name for m in catalogue.mods]
     return F.forall(parse_mods(F.col("modifications")), lambda m: m["name"].isin(*names) if names else F.lit(False))
 
 
-def predict(peprec: DataFrame, nodes: pd.DataFrame, catalogue: Catalogue | None = None, version: str = "general", features: str = "general", strict: bool = False) -> DataFrame:
+def predict(peprec: DataFrame, nodes: pd.DataFrame, catalogue: Catalogue | None = None, version: str = "general", features: str = "general", strict: bool = False, metrics: RunMetrics | None = None) -> DataFrame:
     """(spec_id, charge, ion, ionnumber, mz, prediction) in log2 space.
 
     Intensities depend on the residues and the charge alone, so each distinct pair is scored once
     (I read for L) and joined back to its modified forms. Records with a modification that the
     catalogue lacks are left out, or an error if ``strict``. A missing collision energy is 30.
+
+    The records that remain are written once, eagerly, as both branches read them; what comes out is a
+    plan. With ``metrics`` that one pass also counts the records, and those left out by reason.
     """
     catalogue = catalogue or Catalogue()
-    rows = clean_peptides(peprec)
+    names = tuple(m.name for m in catalogue.mods)
+    rows = clean_peptides(peprec if metrics is None else metrics.watch(peprec, names))
     if strict:
         bad = F.raise_error(F.concat(F.lit("unknown modification in "), F.col("modifications"))).cast("boolean")
         rows = rows.where(F.when(_known_mods(catalogue), True).otherwise(bad))
@@ -57,12 +55,12 @@ def predict(peprec: DataFrame, nodes: pd.DataFrame, catalogue: Catalogue | None
     key = ["scored", "charge"] + ["ce"] * (features == "ce")
     if features == "ce":
         rows = rows.withColumn("ce", F.coalesce(F.col("ce"), F.lit(30)) if "ce" in rows.columns else F.lit(30))
-    rows = rows.withColumn("scored", F.translate("peptide", "L", "I"))
+    read = [c for c in ("spec_id", "peptide", "modifications", "charge", "ce") if c in rows.columns]
+    rows = stored_table(rows.select(*read).withColumn("scored", F.translate("peptide", "L", "I")), "records")
     # few bytes but much work a row: dealt to a fixed number of tasks, which small results are not merged into
     tasks = int(peprec.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = rows.select(*key).distinct().repartition(tasks, *key).withColumn("peptide", F.col("scored"))
-    read = {int(k) for k in nodes["feature"].dropna()}
-    scored = score_peptides(site_features(distinct, features, tuple(key), read), nodes, tuple(key))
+    scored = score_peptides(distinct, nodes, tuple(key), features)
     joined = rows.join(scored, key)
     ions = {c[2:]: F.col(c) for c in scored.columns if c.startswith("p_")}
     return fragment_ions(joined, version, catalogue, values=ions)
@@ -125,15 +123,22 @@ def match_spectra(predictions: DataFrame, peprec: DataFrame, spectra: DataFrame,
     return match_tables(observed, rows.select("spec_id", "prec_mz").join(tops, "spec_id"), precursor_tolerance, peak_tolerance)
 
 
-def search_space(proteins: DataFrame, config: LibraryConfig) -> DataFrame:
-    """Peptidoforms of a proteome: digestion, one row per sequence, modification versions and charges."""
+def _digested(proteins: DataFrame, config: LibraryConfig) -> DataFrame:
     held = with_decoys(proteins) if config.add_decoys else proteins
-    peptides = unique_peptides(digest(held, config.cleavage_rule, config.missed_cleavages, config.min_length, config.max_length, config.semi_specific))
+    return digest(held, config.cleavage_rule, config.missed_cleavages, config.min_length, config.max_length, config.semi_specific)
+
+
+def search_space(proteins: DataFrame, config: LibraryConfig, found: DataFrame | None = None) -> DataFrame:
+    """Peptidoforms of a proteome: digestion, one row per sequence, modification versions and charges.
+
+    Each has its peptide's number of proteins and the first of them; ``found`` is the digest, if it is at hand.
+    """
+    peptides = unique_peptides(_digested(proteins, config) if found is None else found)
     forms = peptidoforms(peptides, config.modifications, config.charges, config.max_variable_modifications)
     if config.min_precursor_mz is not None and config.max_precursor_mz is not None:
         mz = precursor_mz(precursor_mass(F.col("peptide"), parse_mods(F.col("modifications")), config.catalogue()), F.col("charge"))
         forms = forms.where(in_window(mz, config.min_precursor_mz, config.max_precursor_mz))
-    return forms.select("spec_id", "peptide", "modifications", "charge", F.col("proteins").alias("protein_list"))
+    return forms.select("spec_id", "peptide", "modifications", "charge", "n_proteins", "protein")
 
 
 def build_library(proteins: DataFrame, nodes: pd.DataFrame, config: LibraryConfig, retention: RetentionPredictor | None = None, path: str | None = None, single_file: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -141,11 +146,13 @@ def build_library(proteins: DataFrame, nodes: pd.DataFrame, config: LibraryConfi
 
     One plan from proteins to ions; partitions take the place of batches.
     """
-    records = search_space(proteins, config)
+    found = stored_table(_digested(proteins, config), "digest")
+    records = search_space(proteins, config, found)
     if retention is not None:
         records = retention(records)
     version = model(config.model).version
     predictions = predict(records, nodes, config.catalogue(), version)
+    records = with_proteins(records, found, "protein_list")
     if path is not None:
         write_results(predictions, records, path, config.output_filetypes, single_file=single_file, catalogue=config.catalogue())
     return records, predictions
@@ -168,4 +175,4 @@ def label_of(model_name: str) -> str | None:
     return LABELS.get(model_name)
 
 
-__all__ = ["PSEUDO", "build_library", "evaluate", "feature_vectors", "keyed_interval_max", "match_spectra", "median_correlations", "predict", "predict_one", "search_space", "train_test", "with_targets"]
+__all__ = ["PSEUDO", "InvalidPeptide", "NoValidPeptides", "build_library", "evaluate", "feature_vectors", "keyed_interval_max", "match_spectra", "median_correlations", "predict", "predict_one", "search_space", "train_test", "with_targets"]

@@ -28,3 +28,10 @@ def stored(df: DataFrame) -> DataFrame:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the checkpoint folder that nothing has yet."""
     return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the checkpoint folder: each reader takes the columns it needs."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,23 +9,28 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: (model, ion, tree, node, feature, threshold, yes, no, leaf, base_score); a node with a leaf value has no test.
+from ..operators.features import peptide_features
+
+#: A node with a leaf value has no test. A further column ``missing`` may name the branch of a null or NaN; without it, or where it is null, that is ``no``.
 NODE_SCHEMA = "model string, ion string, tree int, node int, feature int, threshold double, yes int, no int, leaf double, base_score double"
+NODE_COLUMNS = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
 #: Nodes up to which a forest is written out as one expression.
 EXPRESSION_NODES = 400
 
 
 @dataclass(frozen=True)
 class Forest:
-    """One ion type's trees in flat arrays: at a node, feature < threshold goes to ``yes``, else ``no``."""
+    """One ion type's trees in flat arrays: at a node, feature < threshold goes to ``yes``, NaN to ``missing``, else ``no``."""
 
     feature: np.ndarray
     threshold: np.ndarray
     yes: np.ndarray
     no: np.ndarray
+    missing: np.ndarray
     leaf: np.ndarray
     roots: np.ndarray
     base_score: float
@@ -36,18 +41,21 @@ class Forest:
         place = {(t, n): k for k, (t, n) in enumerate(zip(own["tree"], own["node"]))}
         go = lambda c: np.array([place[t, int(n)] if pd.isna(leaf) else -1 for t, n, leaf in zip(own["tree"], own[c], own["leaf"])], np.int64)
         tests = own["leaf"].isna().to_numpy()
+        own["missing"] = own["missing"].where(own["missing"].notna(), own["no"]) if "missing" in own else own["no"]
         return cls(
-            np.where(tests, own["feature"].fillna(0), -1).astype(np.int64),
-            own["threshold"].fillna(0.0).to_numpy(float),
+            np.where(tests, np.nan_to_num(own["feature"].to_numpy(float)), -1).astype(np.int64),
+            np.nan_to_num(own["threshold"].to_numpy(float)),
             go("yes"),
             go("no"),
-            own["leaf"].fillna(0.0).to_numpy(float),
+            go("missing"),
+            np.nan_to_num(own["leaf"].to_numpy(float)),
             np.array([place[t, 0] for t in sorted(set(own["tree"]))], np.int64),
             float(own["base_score"].iloc[0]) if len(own) else 0.0,
         )
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Base score plus the leaves that each row of ``x`` reaches; all rows walk a tree in step."""
+        x = x if x.dtype.kind == "f" else x.astype(np.float64)
         total = np.full(len(x), self.base_score)
         rows = np.arange(len(x))
         for root in self.roots:
@@ -57,15 +65,15 @@ class Forest:
                 if not test.any():
                     break
                 k = rows[test]
-                left = x[k, self.feature[at[k]]] < self.threshold[at[k]]
-                at[k] = np.where(left, self.yes[at[k]], self.no[at[k]])
+                value, node = x[k, self.feature[at[k]]], at[k]
+                at[k] = np.where(value < self.threshold[node], self.yes[node], np.where(np.isnan(value), self.missing[node], self.no[node]))
             total += self.leaf[at]
         return total
 
 
 def _node_rows(trees, ion: str, model: str, base_score: float) -> pd.DataFrame:
-    rows = [(model, ion, tree, *node, base_score) for tree, nodes in enumerate(trees) for node in nodes]
-    return pd.DataFrame(rows, columns=["model", "ion", "tree", "node", "feature", "threshold", "yes", "no", "leaf", "base_score"])
+    rows = [(model, ion, tree, *node[:-1], base_score, node[-1]) for tree, nodes in enumerate(trees) for node in nodes]
+    return pd.DataFrame(rows, columns=[*NODE_COLUMNS, "missing"])
 
 
 def read_boosted_json(spark: SparkSession, path: str, ion: str, model: str) -> pd.DataFrame:
@@ -73,30 +81,60 @@ def read_boosted_json(spark: SparkSession, path: str, ion: str, model: str) -> p
 
     The file is as large as the model and is read on the driver, as the forest travels with the scorer.
     """
-    learner = json.loads(spark.read.text(path, wholetext=True).first()[0])["learner"]
+    return boosted_json_nodes(spark.read.text(path, wholetext=True).first()[0], ion, model)
+
+
+def boosted_json_nodes(text: str, ion: str, model: str) -> pd.DataFrame:
+    """The node table of a boosted model's JSON; ``default_left`` says where a missing value goes."""
+    learner = json.loads(text)["learner"]
     trees = []
     for t in learner["gradient_booster"]["model"]["trees"]:
-        own = zip(t["left_children"], t["right_children"], t["split_indices"], t["split_conditions"])
-        trees.append([(k, None, None, None, None, float(c)) if yes < 0 else (k, int(f), float(c), int(yes), int(no), None) for k, (yes, no, f, c) in enumerate(own)])
+        default = t.get("default_left") or [0] * len(t["left_children"])
+        own = zip(t["left_children"], t["right_children"], t["split_indices"], t["split_conditions"], default, strict=True)
+        trees.append(
+            [(k, None, None, None, None, float(c), None) if yes < 0 else (k, int(f), float(c), int(yes), int(no), None, int(yes if left else no)) for k, (yes, no, f, c, left) in enumerate(own)]
+        )
     score = learner["learner_model_param"]["base_score"]
     return _node_rows(trees, ion, model, float(score.strip("[]") if isinstance(score, str) else score))
 
 
+def boosted_json(nodes: pd.DataFrame) -> str:
+    """One ion type's forest as the JSON of a boosted model, which boosted_json_nodes reads back."""
+    trees = []
+    for _, tree in nodes.groupby("tree"):
+        own = tree.sort_values("node")
+        number = {int(k): place for place, k in enumerate(own["node"])}  # children are named by place
+        leaf = own["leaf"].notna().tolist()
+        missing = own["missing"] if "missing" in own else own["no"]
+        trees.append({
+            "left_children": [-1 if b else number[int(y)] for b, y in zip(leaf, own["yes"])],
+            "right_children": [-1 if b else number[int(n)] for b, n in zip(leaf, own["no"])],
+            "split_indices": [0 if b else int(f) for b, f in zip(leaf, own["feature"])],
+            "split_conditions": [float(x) if b else float(t) for b, x, t in zip(leaf, own["leaf"], own["threshold"])],
+            "default_left": [0 if b or pd.isna(m) else int(int(m) == int(y)) for b, m, y in zip(leaf, missing, own["yes"])],
+        })
+    return json.dumps({"learner": {"learner_model_param": {"base_score": repr(float(nodes["base_score"].iloc[0]))}, "gradient_booster": {"model": {"trees": trees}}}})
+
+
 #: Lines of a text dump: a test, or a leaf.
-DUMP_TEST = re.compile(r"\s*(\d+):\[f?(\d+)<([^\]]+)\] yes=(\d+),no=(\d+)")
+DUMP_TEST = re.compile(r"\s*(\d+):\[f?(\d+)<([^\]]+)\] yes=(\d+),no=(\d+)(?:,missing=(\d+))?")
 DUMP_LEAF = re.compile(r"\s*(\d+):leaf=([^,\s]+)")
 
 
 def read_boosted_dump(spark: SparkSession, path: str, ion: str, model: str, base_score: float = 0.5) -> pd.DataFrame:
     """The node table of a boosted model's text dump, which does not hold its base score."""
+    return boosted_dump_nodes(spark.read.text(path, wholetext=True).first()[0], ion, model, base_score)
+
+
+def boosted_dump_nodes(text: str, ion: str, model: str, base_score: float = 0.5) -> pd.DataFrame:
     trees: list[list[tuple]] = []
-    for line in spark.read.text(path, wholetext=True).first()[0].splitlines():
+    for line in text.splitlines():
         if line.startswith("booster["):
             trees.append([])
         elif m := DUMP_TEST.match(line):
-            trees[-1].append((int(m[1]), int(m[2]), float(m[3]), int(m[4]), int(m[5]), None))
+            trees[-1].append((int(m[1]), int(m[2]), float(m[3]), int(m[4]), int(m[5]), None, int(m[6] or m[5])))
         elif m := DUMP_LEAF.match(line):
-            trees[-1].append((int(m[1]), None, None, None, None, float(m[2])))
+            trees[-1].append((int(m[1]), None, None, None, None, float(m[2]), None))
     return _node_rows(trees, ion, model, base_score)
 
 
@@ -112,7 +150,11 @@ def forest_expression(nodes: pd.DataFrame, features: Column) -> Column:
             r = by_node[k]
             if not pd.isna(r.leaf):
                 return F.lit(float(r.leaf))
-            return F.when(F.get(features, F.lit(int(r.feature))) < float(r.threshold), build(int(r.yes))).otherwise(build(int(r.no)))
+            value = F.get(features, F.lit(int(r.feature)))
+            test = value < float(r.threshold)
+            if not pd.isna(missing := getattr(r, "missing", None)) and int(missing) == int(r.yes):
+                test = F.coalesce(test, F.lit(True)) | F.isnan(value)
+            return F.when(test, build(int(r.yes))).otherwise(build(int(r.no)))
 
         total = total + build(0)
     return total
@@ -139,48 +181,39 @@ def score_sites(sites: DataFrame, nodes: pd.DataFrame, keep: tuple[str, ...]) ->
     return sites.select(*keep, "site", "features").mapInArrow(score, kind)
 
 
-def score_peptides(sites: DataFrame, nodes: pd.DataFrame, keep: tuple[str, ...]) -> DataFrame:
+def score_peptides(peptides: DataFrame, nodes: pd.DataFrame, keep: tuple[str, ...], version: str = "general") -> DataFrame:
     """(keep..., an array p_<ion> for each ion type): one row per peptide, values in ion order.
 
-    ``sites`` is what site_features gives: the sites of a peptide lie side by side, in order, so a
-    peptide's row is closed where the next one's first site comes, and nothing is shuffled. Only the
-    features that the model reads leave the JVM. Prefix ions count from the first site, suffix ions
-    from the last.
+    A peptide goes to Python as one row and comes back as one: its sites' features, those that the
+    model reads, are made, scored and folded in the same Arrow pass. Prefix ions count from the first
+    site, suffix ions from the last. A peptide without sites has empty arrays.
     """
     read = sorted({int(k) for k in nodes["feature"].dropna()})
     place = {k: i for i, k in enumerate(read)}
     own = nodes.assign(feature=[None if pd.isna(k) else place[int(k)] for k in nodes["feature"]])
     forests = {ion: Forest.from_nodes(part) for ion, part in own.groupby("ion")}
     ions = sorted(forests)
-
-    def closed(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
-        """One row for each peptide of whole peptides' sites."""
-        ends = pa.array(np.r_[starts, rows.num_rows].astype(np.int32))
-        first = rows.take(pa.array(starts))
-        lists = [pa.ListArray.from_arrays(ends, rows.column(f"p_{i}")) for i in ions]
-        return pa.RecordBatch.from_arrays([*(first.column(k) for k in keep), *lists], names=[*keep, *(f"p_{i}" for i in ions)])
+    more = [c for c in ("peptide", "charge", *(["ce"] if version == "ce" else [])) if c not in keep]
 
     def score(batches):
-        open_rows = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.zeros((batch.num_rows, 0)) if not read else batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(read))
-            rows = pa.RecordBatch.from_arrays([*(batch.column(k) for k in (*keep, "site")), *(pa.array(forests[i].score(x), pa.float64()) for i in ions)], names=[*keep, "site", *(f"p_{i}" for i in ions)])
-            if open_rows is not None:
-                rows = pa.Table.from_batches([open_rows, rows]).combine_chunks().to_batches()[0]
-            starts = np.flatnonzero(rows.column("site").to_numpy() == 0)
-            if len(starts) > 1:
-                yield closed(rows.slice(0, int(starts[-1])), starts[:-1])
-            open_rows = rows.slice(int(starts[-1]))
-        if open_rows is not None:
-            yield closed(open_rows, np.array([0]))
-
-    kinds = dict(sites.dtypes)
+            lengths = pc.fill_null(pc.binary_length(batch.column("peptide")), 0).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.cumsum(np.maximum(lengths - 1, 0))])
+            values = {i: np.empty(starts[-1]) for i in ions}
+            for rows, x in peptide_features(batch, version, read):
+                sites = x.shape[1]
+                to = starts[rows][:, None] + np.arange(sites)
+                for i in ions:
+                    got = forests[i].score(x.reshape(-1, len(read))).reshape(-1, sites)
+                    values[i][to] = got if i[0] in "ABC" else got[:, ::-1]
+            lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values[i])) for i in ions]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *lists], names=[*keep, *(f"p_{i}" for i in ions)])
+
+    kinds = dict(peptides.dtypes)
     kind = ", ".join(f"{k} {kinds[k]}" for k in keep) + "".join(f", p_{i} array<double>" for i in ions)
-    wanted = sites.select(*keep, "site", F.array(*[F.get("features", F.lit(k)) for k in read]).cast("array<int>").alias("x"))
-    scored = wanted.mapInArrow(score, kind)
-    return scored.select(*keep, *[(F.col(f"p_{i}") if i[0] in "ABC" else F.reverse(f"p_{i}")).alias(f"p_{i}") for i in ions])
+    return peptides.select(*keep, *more).mapInArrow(score, kind)
 
 
 def importance(nodes: DataFrame) -> DataFrame:
@@ -196,5 +229,4 @@ def toy_nodes(ions: tuple[str, ...] = ("B", "Y"), model: str = "toy") -> pd.Data
             rows.append((model, ion, tree, 0, feature + 0, threshold + k, 1, 2, None, -5.0 + k))
             rows.append((model, ion, tree, 1, None, None, None, None, low, -5.0 + k))
             rows.append((model, ion, tree, 2, None, None, None, None, high, -5.0 + k))
-    columns = ["model", "ion", "tree", "node", "feature", "threshold", "yes", "no", "leaf", "base_score"]
-    return pd.DataFrame(rows, columns=columns)
+    return pd.DataFrame(rows, columns=NODE_COLUMNS)

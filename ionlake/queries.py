@@ -16,7 +16,7 @@ from .functions import metrics
 from .functions.mods import Catalogue, add_fixed, bracket_ids, diff_sequence, format_mods, msp_mods, parse_mods, residue_suffix, tagged_to_mods
 from .functions.residues import BASICITY, FRAGMENT_MASS, HYDROGEN, ION_SERIES, PRECURSOR_MASS, PROPERTIES, RESIDUES, SIDE_SERIES, WATER
 from .operators import converters, windows
-from .operators.digest import LibraryModification, digest, modification_versions, unique_peptides, with_decoys
+from .operators.digest import LibraryModification, digest, modification_versions, unique_peptides, with_decoys, with_proteins
 from .operators.features import site_features
 from .operators.peptides import fragment_ions, in_window, is_predictable, is_tryptic, precursor_mass, precursor_mz
 from .operators.ranks import quantiles, upper_medians
@@ -142,8 +142,9 @@ SELECT peptide, count(DISTINCT doc_id) AS n_proteins, md5(array_to_string(list_s
 arg_min(start = 0, doc_id * 1000000 + start) AS is_n_term, arg_min(start + length(peptide) = n, doc_id * 1000000 + start) AS is_c_term FROM joined GROUP BY peptide""",
 )
 def peptide_redundancy(spark, sf_dir):
-    rows = unique_peptides(digest(proteins(spark, sf_dir), missed_cleavages=0))
-    return _wide(rows.select("peptide", F.size("proteins").alias("n_proteins"), F.md5(F.array_join(F.col("proteins").cast("array<string>"), ",")).alias("proteins"), "is_n_term", "is_c_term"))
+    found = digest(proteins(spark, sf_dir), missed_cleavages=0)
+    rows = with_proteins(unique_peptides(found), found)
+    return _wide(rows.select("peptide", "n_proteins", F.md5(F.array_join(F.col("proteins").cast("array<string>"), ",")).alias("proteins"), "is_n_term", "is_c_term"))
 
 
 PRECURSOR = f"{RESIDUE}, prec AS (SELECT spec_id, any_value(charge) AS charge, sum(CAST({_case('a', PRECURSOR_MASS)} AS DOUBLE)) + {WATER!r} AS mass FROM aa GROUP BY spec_id)"

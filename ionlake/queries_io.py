@@ -5,16 +5,15 @@ Files lie in the session's checkpoint folder, so every executor reads what anoth
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from .functions.metrics import share_log_corr
 from .plans.pipeline import median_correlations
 from .plans.storage import new_path
-from .plans.trees import forest_expression, read_boosted_json, toy_nodes
+from .plans.trees import boosted_json, forest_expression, read_boosted_json, toy_nodes
 from .queries import CATALOGUE, R_SQL, _predictions, _wide, query, table
-from .sinks.libraries import csv_rows, predictions_and_targets, read_spectrum_store, write_mgf_spectra, write_peprec, write_spectrum_store, write_table
+from .sinks.libraries import csv_rows, predictions_and_targets, write_mgf_spectra, write_peprec, write_table
+from .sinks.spectrum_store import read_spectrum_store, write_spectrum_store
 from .sources.peptides import any_case, count_fasta, read_calibration, read_fasta, read_peprec, with_spectrum_charges
 from .sources.spectra import mgf_headers, read_spectra
 from .sources.tables import masses_to_mods, read_list_table, read_mztab, read_prediction_csv, read_tsv
@@ -210,21 +209,6 @@ def mass_to_mods(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", masses_to_mods(F.lit("ACDMK"), mods, CATALOGUE).alias("modifications"))
 
 
-def _boosted_json(nodes) -> str:
-    """A forest as a boosted model's JSON holds it."""
-    trees = []
-    for _, tree in nodes.groupby("tree"):
-        own = tree.sort_values("node")
-        leaf = own["leaf"].notna()
-        trees.append({
-            "left_children": [-1 if b else int(y) for b, y in zip(leaf, own["yes"])],
-            "right_children": [-1 if b else int(n) for b, n in zip(leaf, own["no"])],
-            "split_indices": [0 if b else int(f) for b, f in zip(leaf, own["feature"])],
-            "split_conditions": [float(x) if b else float(t) for b, x, t in zip(leaf, own["leaf"], own["threshold"])],
-        })
-    return json.dumps({"learner": {"learner_model_param": {"base_score": str(float(nodes["base_score"].iloc[0]))}, "gradient_booster": {"model": {"trees": trees}}}})
-
-
 @query(
     "boosted_model",
     "SELECT vec_id, round(-5.0 + " + " + ".join(f"CASE WHEN embedding[{f + 1}] * 100 < {t} THEN {low} ELSE {high} END" for f, t, low, high in ((27, 3.0, -2.5, -0.5), (28, 4.0, -1.5, 0.25), (1, 3.0, 0.3, -0.6))) + " + 0.7, 6) AS score FROM embeddings",
@@ -233,7 +217,7 @@ def boosted_model(spark, sf_dir):
     """A saved boosted model, read back and scored; a feature beyond the vector is missing and goes to ``no``."""
     path = new_path(spark, "boosted_model")
     nodes = toy_nodes(("B",))
-    spark.createDataFrame([(_boosted_json(nodes),)], "value string").coalesce(1).write.text(path)
+    spark.createDataFrame([(boosted_json(nodes),)], "value string").coalesce(1).write.text(path)
     held = read_boosted_json(spark, path, "B", "toy")
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(forest_expression(held, F.transform("embedding", lambda x: x * 100)), 6).alias("score"))
 

@@ -283,22 +283,6 @@ def write_peprec(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     out.write.mode(mode).csv(path, sep=" ", header=True, nullValue="-")
 
 
-def write_spectrum_store(spectra: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """``specfile`` and ``spec`` Parquet tables; spectra without precursor m/z are left out, peaks sorted."""
-    held = spectra.where(F.col("precursor_mz").isNotNull()).withColumn("file_id", F.md5("source_file"))
-    held.select("file_id", F.col("source_file").alias("filename")).distinct().write.mode(mode).parquet(f"{path}/specfile")
-    sorted_mzs = F.sort_array(F.transform("peaks", lambda p: p["mz"]))
-    held.select("file_id", "title", F.col("precursor_mz").alias("pepmass"), sorted_mzs.alias("mzs")).write.mode(mode).parquet(f"{path}/spec")
-
-
-def read_spectrum_store(spark, path: str, low: float | None = None, high: float | None = None) -> DataFrame:
-    """Spectra of a store with their file names, in an inclusive precursor range; the range reaches the scan."""
-    spec = spark.read.parquet(f"{path}/spec")
-    if low is not None and high is not None:
-        spec = spec.where(F.col("pepmass").between(low, high))
-    return spec.join(spark.read.parquet(f"{path}/specfile"), "file_id").select("title", F.col("filename").alias("source_file"), F.col("pepmass").alias("precursor_mz"), "mzs")
-
-
 def predictions_and_targets(predictions: DataFrame, targets: DataFrame) -> DataFrame:
     """(spec_id, charge, ion, ionnumber, mz, target, prediction): ions that have both."""
     return predictions.join(targets.select("spec_id", "ion", "ionnumber", "target"), ["spec_id", "ion", "ionnumber"]).select("spec_id", "charge", "ion", "ionnumber", "mz", "target", "prediction")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,14 +15,17 @@ def read_peprec(spark: SparkSession, path: str, limit: int | None = None) -> Dat
     """A peptide record file: its header begins with ``spec_id``, the next character separates fields.
 
     Ids and modifications are strings, charge and ce integers, rt a double; a protein_list given
-    as a list literal becomes an array.
+    as a list literal becomes an array. A record whose collision energy is there and no number is left out.
     """
     head = spark.read.text(path).first()
     header = head[0] if head else ""
     if not header.startswith("spec_id") or len(header) < 8:
         raise ValueError(f"{path}: the header must begin with spec_id")
     rows = spark.read.csv(path, header=True, sep=header[7], quote='"', enforceSchema=False)
-    casts = {"charge": "int", "ce": "double", "rt": "double"}
+    casts = {"charge": "int", "rt": "double"}
+    if "ce" in rows.columns:
+        rows = rows.withColumn("ce", F.nullif(F.trim("ce"), F.lit(""))).where(F.col("ce").isNull() | F.col("ce").try_cast("double").isNotNull()).withColumn("ce", F.col("ce").cast("double"))
+        casts["ce"] = "double"
     rows = rows.select(*[F.col(f"`{c}`").cast(casts.get(c, "string")).alias(c) for c in rows.columns])
     if "ce" in rows.columns:
         rows = rows.withColumn("ce", F.col("ce").cast("int"))
@@ -33,14 +37,33 @@ def read_peprec(spark: SparkSession, path: str, limit: int | None = None) -> Dat
     return rows if limit is None else rows.limit(limit)
 
 
+def _fasta_blocks(batches):
+    """Records without the ``>`` of a file's first; what stands before a file's first header goes.
+
+    Rows of a file come in order, and only the first of its first split can lack the separator in front.
+    """
+    seen = None
+    for batch in batches:
+        held = []
+        for value, file, start in zip(*(batch.column(c).to_pylist() for c in ("value", "file", "start")), strict=True):
+            if start == 0 and seen != file:
+                value = value[1:] if value.startswith(">") else ""
+            seen = file
+            if value.strip():
+                held.append(value)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["value"])
+
+
 def read_fasta(spark: SparkSession, path: str, decoys: bool = False) -> DataFrame:
     """(protein, description, sequence); the protein id is the description up to its first blank.
 
-    A record begins where a line begins with ``>``; the character may stand inside a description.
+    A record begins where a line begins with ``>``, as count_fasta counts; the character may stand inside a
+    description. Text before a file's first header, such as comments, is no record.
     """
-    blocks = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", r"^(?:>|[^>]*?\n>)", "").alias("value")).where(F.length(F.trim("value")) > 0)
+    split = spark.read.text(path, lineSep="\n>").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     lines = F.split("value", r"\r?\n")
-    rows = blocks.select(F.trim(F.get(lines, F.lit(0))).alias("description"), F.array_join(F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.regexp_replace(x, r"\s", "")), "").alias("sequence"))
+    rows = split.mapInArrow(_fasta_blocks, "value string").select(F.trim(F.get(lines, F.lit(0))).alias("description"), F.array_join(F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.regexp_replace(x, r"\s", "")), "").alias("sequence"))
     rows = rows.select(F.substring_index("description", " ", 1).alias("protein"), "description", "sequence")
     return with_decoys(rows) if decoys else rows
 

@@ -6,10 +6,12 @@ import sqlite3
 import struct
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.mods import Catalogue
+from ..plans.storage import new_path
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -70,12 +72,14 @@ def _opened(data: bytes) -> sqlite3.Connection:
     return db
 
 
-def read_sqlite(spark: SparkSession, path: str, tables: list[str]) -> dict[str, DataFrame]:
+def read_sqlite(spark: SparkSession, path: str, tables: list[str], file_col: str | None = None) -> dict[str, DataFrame]:
     """Tables of SQLite files (a path or glob), typed by the first file's declarations.
 
-    The files are read as binary and opened on the executors, in memory, one file a task; rows of
-    all files are united. Only the declarations reach the driver. A file has to fit an executor's
-    memory.
+    The files are read as binary and opened on the executors, in memory, one file a task, and each only
+    once: the rows of all tables go to the checkpoint folder in one pass, a folder for each table, and the
+    tables that come back read those. Only the declarations reach the driver. A file has to fit an
+    executor's memory. A table that a file lacks has no rows there; ``file_col`` names a column for the
+    file's path, which tells the rows of several files apart.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     first = files.agg(F.min("path")).first()[0]
@@ -83,8 +87,6 @@ def read_sqlite(spark: SparkSession, path: str, tables: list[str]) -> dict[str,
         raise ValueError(f"{path}: no such file")
 
     def declared(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for data in batch.column("content").to_pylist():
                 db = _opened(data)
@@ -95,7 +97,16 @@ def read_sqlite(spark: SparkSession, path: str, tables: list[str]) -> dict[str,
 
     found = files.where(F.col("path") == first).mapInArrow(declared, "table string, k bigint, name string, kind string").collect()
     columns = {t: [(r["name"], _kind(r["kind"])) for r in sorted(found, key=lambda r: r["k"]) if r["table"] == t] for t in tables}
-    return {t: files.mapInArrow(_table_reader(t, columns[t]), ", ".join(f"`{n}` {k}" for n, k in columns[t])) for t in tables}
+    if missing := [t for t in tables if not columns[t]]:
+        raise ValueError(f"{first} has no tables {missing}")
+    folder = new_path(spark, "sqlite")
+    structs = {t: "struct<" + ",".join(f"`{n}`:{k}" for n, k in columns[t]) + ">" for t in tables}
+    kind = "`table` string, `path` string, " + ", ".join(f"`t{k}` {structs[t]}" for k, t in enumerate(tables))
+    files.mapInArrow(_tables_reader(columns), kind).write.partitionBy("table").parquet(folder)
+    schema = ", ".join(kind.split(", ")[1:]) + ", `table` string"
+    held = spark.read.schema(schema).parquet(folder)
+    path_column = [] if file_col is None else [F.col("path").alias(file_col)]
+    return {t: held.where(F.col("table") == t).select(*[F.col(f"t{k}.`{n}`").alias(n) for n, _ in columns[t]], *path_column) for k, t in enumerate(tables)}
 
 
 def _kind(declared: str) -> str:
@@ -103,19 +114,26 @@ def _kind(declared: str) -> str:
     return "bigint" if "INT" in d or "BOOL" in d else "binary" if "BLOB" in d or not d else "double" if any(x in d for x in ("REAL", "FLOA", "DOUB", "NUM", "DEC")) else "string"
 
 
-def _table_reader(table: str, columns: list[tuple[str, str]]):
-    def read(batches):
-        import pyarrow as pa
+def _tables_reader(columns: dict[str, list[tuple[str, str]]]):
+    """Rows of all tables of each file: the table's struct is filled, the others are null."""
 
+    def read(batches):
         kinds = {"bigint": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "string": pa.string()}
         casts = {"bigint": int, "double": float, "string": str, "binary": bytes}
+        structs = {t: pa.struct([(n, kinds[k]) for n, k in own]) for t, own in columns.items()}
         for batch in batches:
-            for data in batch.column("content").to_pylist():
+            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 db = _opened(data)
-                rows = db.execute("SELECT " + ", ".join(f'"{n}"' for n, _ in columns) + f' FROM "{table}"')
-                while part := rows.fetchmany(20_000):
-                    arrays = [pa.array([None if x is None else casts[k](x) for x in c], kinds[k]) for c, (_, k) in zip(zip(*part), columns)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in columns])
+                there = {r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view')")}
+                for t, own in columns.items():
+                    if t not in there:
+                        continue
+                    rows = db.execute("SELECT " + ", ".join(f'"{n}"' for n, _ in own) + f' FROM "{t}"')
+                    while part := rows.fetchmany(20_000):
+                        arrays = [pa.array([None if x is None else casts[k](x) for x in c], kinds[k]) for c, (_, k) in zip(zip(*part), own)]
+                        n = len(part)
+                        held = pa.StructArray.from_arrays(arrays, fields=list(structs[t]))
+                        yield pa.RecordBatch.from_arrays([pa.array([t] * n), pa.array([path] * n), *(held if x == t else pa.nulls(n, structs[x]) for x in columns)], names=["table", "path", *(f"t{k}" for k in range(len(columns)))])
                 db.close()
 
     return read
@@ -139,7 +157,6 @@ def blib_spectra(tables: dict[str, DataFrame]) -> DataFrame:
     ``mods`` is an array of (pos, mass), by position.
     """
     ref, mods, data = tables["RefSpectra"], tables["Modifications"], tables["RefSpectraPeaks"]
-    import pyarrow as pa
 
     def decode(batches):
         kind = pa.list_(pa.struct([("mz", pa.float32()), ("intensity", pa.float32())]))

@@ -21,7 +21,7 @@ from ionlake.functions.mods import (
     tagged_to_mods,
 )
 from ionlake.functions.residues import PROPERTIES, RESIDUES
-from ionlake.operators.digest import LibraryModification, digest, modification_versions, unique_peptides, with_decoys
+from ionlake.operators.digest import LibraryModification, digest, modification_versions, unique_peptides, with_decoys, with_proteins
 from ionlake.operators.features import N_FEATURES, feature_names, site_features
 from ionlake.operators.peptides import clean_peptides, fragment_ions, precursor_mass, precursor_mz
 
@@ -140,8 +140,47 @@ def test_long_protein(spark):
 def test_decoys_and_redundancy(spark):
     rows = spark.createDataFrame([("P1", "MAAK"), ("P2", "CKMAAK")], "protein string, sequence string")
     assert {(r.protein, r.sequence) for r in with_decoys(rows).where("is_decoy").collect()} == {("DECOY_P1", "MKAA"), ("DECOY_P2", "CKAAMK")}
-    got = {r.peptide: r for r in unique_peptides(digest(rows, missed_cleavages=0, min_length=2)).collect()}
-    assert got["MAAK"].proteins == ["P1", "P2"] and got["MAAK"].is_n_term and got["MAAK"].is_c_term
+    found = digest(rows, missed_cleavages=0, min_length=2)
+    got = {r.peptide: r for r in with_proteins(unique_peptides(found), found).collect()}
+    assert got["MAAK"].proteins == ["P1", "P2"] and got["MAAK"].n_proteins == 2 and got["MAAK"].protein == "P1" and got["MAAK"].is_n_term and got["MAAK"].is_c_term
+
+
+def test_a_peptide_of_all_proteins_is_counted_without_a_list(spark):
+    rows = spark.range(3000).select(F.col("id").alias("protein"), F.concat(F.lit("MAAAK"), F.translate(F.col("id").cast("string"), "0123456789", "ACDEFGHILM"), F.lit("CCK")).alias("sequence"))
+    unique = unique_peptides(digest(rows, missed_cleavages=0, min_length=4))
+    assert unique.where("peptide = 'MAAAK'").select("n_proteins", "protein", "is_n_term", "is_c_term").first()[:] == (3000, 0, True, False)
+    assert "collect" not in unique._jdf.queryExecution().toString() and unique.count() == 3001
+
+
+def brute_digest(seq, rule, missed, low, high, semi):
+    cuts = [0, *(i for i in range(1, len(seq)) if re.match(rule, seq[i:]) or any(m.start() == i for m in re.finditer(rule, seq))), len(seq)]
+    out = []
+    for a in range(len(cuts) - 1):
+        for b in range(a + 1, min(a + 2 + missed, len(cuts))):
+            spans = [(cuts[a], cuts[b])] if not semi else [(cuts[a], e) for e in range(cuts[a] + 1, cuts[b] + 1)] + [(s, cuts[b]) for s in range(cuts[a], cuts[b])]
+            out += [(s, seq[s:e]) for s, e in spans if low <= e - s <= high and not re.search("[BJOUXZ]", seq[s:e])]
+    return sorted(set(out) if semi else out)
+
+
+@pytest.mark.parametrize("semi", [False, True])
+def test_digestion_against_brute_force(spark, monkeypatch, semi):
+    """Parts of a long sequence repeat nothing, whatever the size of a part."""
+    import random
+
+    from ionlake.operators import digest as module
+
+    rng = random.Random(4)
+    seqs = ["".join(rng.choice("ACDEFGHIKLMNPQRSTVWYX") for _ in range(n)) for n in (0, 1, 30, 400)] + [None, "KKKKRRR", "ÄKCDEFÖR"]
+    rows = spark.createDataFrame([(k, s) for k, s in enumerate(seqs)], "protein int, sequence string")
+    rule = module.CLEAVAGE_RULES["trypsin"]
+    got = digest(rows, missed_cleavages=2, min_length=2, max_length=9, semi_specific=semi).collect()
+    for k, s in enumerate(seqs):
+        assert sorted((r.start, r.peptide) for r in got if r.protein == k) == (brute_digest(s, rule, 2, 2, 9, semi) if s else [])
+    long = seqs[3]
+    for size in (1, 50, 200_000):
+        monkeypatch.setattr(module, "_CUT_ROWS", size)
+        spans = [x for a, b in module._spans(long, "trypsin", 2, 2, 9, semi) for x in zip(a.tolist(), b.tolist())]
+        assert len(spans) == len(set(spans)) and sorted((a, long[a:b]) for a, b in spans if "X" not in long[a:b]) == brute_digest(long, rule, 2, 2, 9, semi)
 
 
 MOD_CASES = [

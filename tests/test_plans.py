@@ -18,7 +18,8 @@ from ionlake.plans import training
 from ionlake.plans.config import LibraryConfig, PredictionConfig, UnknownModel, UnsupportedConfig, check_sha1, load_config, model, write_toml
 from ionlake.plans.pipeline import InvalidPeptide, build_library, evaluate, feature_vectors, match_spectra, median_correlations, predict, predict_one, train_test, with_targets
 from ionlake.plans.trees import Forest, forest_expression, importance, score_sites, toy_nodes
-from ionlake.sinks.libraries import SINKS, bibliospec, mgf, msp, read_spectrum_store, spectronaut, write_peprec, write_results, write_spectrum_store
+from ionlake.sinks.libraries import SINKS, bibliospec, mgf, msp, spectronaut, write_peprec, write_results
+from ionlake.sinks.spectrum_store import read_spectrum_store, write_spectrum_store
 from ionlake.sources.peptides import count_fasta, irt_peptides, read_fasta, read_peprec
 from ionlake.sources.tables import blib_spectra, decode_array, encode_array, read_msp, read_mztab, read_sqlite, read_tsv
 
@@ -313,8 +314,8 @@ def test_fasta_records_begin_at_lines(spark, tmp_path):
     assert count_fasta(spark, path) == 3
 
 
-def test_scored_peptides_cross_batches(spark):
-    """Peptides whose sites lie in several Arrow batches keep their order; suffix ions run backwards."""
+def test_scored_peptides(spark):
+    """A peptide's sites are scored in one row, in small batches and of several lengths; suffix ions run backwards."""
     from ionlake.operators.features import site_features
     from ionlake.plans.trees import score_peptides
 
@@ -326,7 +327,7 @@ def test_scored_peptides_cross_batches(spark):
         want.setdefault(r.peptide, {})[r.site] = (r.p_B, r.p_Y)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
     try:
-        got = score_peptides(sites, nodes, ("peptide", "charge")).collect()
+        got = score_peptides(rows, nodes, ("peptide", "charge")).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) == 40

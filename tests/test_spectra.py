@@ -136,6 +136,22 @@ def test_range_match(spark):
     assert got == {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if y - 0.1 < x < y + 0.1}
 
 
+@pytest.mark.parametrize("limits", [{"cell_rows": 7, "cell_pairs": 50}, {"cell_rows": 300, "cell_pairs": 2000}, {}])
+def test_range_match_of_one_frequent_value(spark, limits):
+    """Half of all rows at one m/z: its cells stay small, and every pair comes once, nulls and equal bounds included."""
+    a = [2.5] * 150 + [k * 0.02 for k in range(150)] + [None]
+    b = [2.5] * 60 + [k * 0.05 for k in range(60)] + [2.6, None]
+    left = spark.createDataFrame([(i, x, [f"t{i}"]) for i, x in enumerate(a)], "i int, x double, tags array<string>").repartition(3)
+    right = spark.createDataFrame([(j, y) for j, y in enumerate(b)], "j int, y double").repartition(2)
+    met = windows.range_match(left, right, "x", "y", 0.1, **limits)
+    got = [(r.i, r.j) for r in met.collect()]
+    want = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x is not None and y is not None and x > y - 0.1 and x < y + 0.1}
+    assert len(got) == len(want) and set(got) == want
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_cell") == 2 and "Join" not in plan
+    assert windows.range_match(left.limit(0), right, "x", "y", 0.1).count() == 0
+
+
 def test_q_values_agree(spark):
     rng = np.random.default_rng(1)
     made = [(i, float(rng.integers(0, 40)), bool(rng.random() < 0.3)) for i in range(500)]
