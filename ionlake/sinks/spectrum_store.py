@@ -62,7 +62,9 @@ def read_spectrum_store(spark: SparkSession, path: str, low: float | None = None
         slices = spark.read.parquet(f"{path}/slices").collect()  # as many as the store has files
         wanted = [r["slice"] for r in slices if any(a <= r["high"] and b >= r["low"] for a, b in ranges)]
         spec = spec.where(F.col("slice").isin(wanted) & _between(ranges))
-    return spec.join(spark.read.parquet(f"{path}/specfile"), "file_id").select("title", F.col("filename").alias("source_file"), F.col("pepmass").alias("precursor_mz"), "mzs")
+    # a file that was added twice is listed twice
+    files = spark.read.parquet(f"{path}/specfile").dropDuplicates(["file_id"])
+    return spec.join(files, "file_id").select("title", F.col("filename").alias("source_file"), F.col("pepmass").alias("precursor_mz"), "mzs")
 
 
 def scan_ranges(peptides: DataFrame, tolerance: float, most: int = SCAN_RANGES) -> list[tuple[float, float]]:
