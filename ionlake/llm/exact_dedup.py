@@ -1,8 +1,8 @@
 """Exact duplicates by sorting the content itself.
 
 Texts are normalised (A-Z lower-cased, nothing else) and dealt to ranges by sampled splitters on
-the order (first bytes of the text, hash of the text, hash of the id); the sample that reaches the
-driver holds such short keys, never texts. Each range is sorted by Spark's external sorter, so
+the order (first bytes of the text, hash of the text, hash of the row's id and position); the sample
+that reaches the driver holds such short keys, never texts. Each range is sorted by Spark's external sorter, so
 equal texts lie side by side, and every row is compared in full with the row before it: where two
 neighbours differ in a byte a new run begins. A text that many rows share fills several ranges,
 and becomes a run in each.
@@ -30,10 +30,10 @@ def _binary(number: Column) -> Column:
     return F.unhex(F.lpad(F.hex(number.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
 
 
-def _order_keys(norm: Column, id_hash: Column) -> tuple[Column, Column]:
-    """(key, place): the key is equal for equal texts; the place orders rows of a key by id hash."""
+def _order_keys(norm: Column, row_hash: Column) -> tuple[Column, Column]:
+    """(key, place): the key is equal for equal texts; the place orders rows of a key by their hash, which rows that repeat each other do not share."""
     key = F.concat(F.rpad(F.substring(norm, 1, PREFIX), PREFIX, b"\0"), _binary(F.xxhash64(norm)))
-    return key, F.concat(key, _binary(id_hash))
+    return key, F.concat(key, _binary(row_hash))
 
 
 def splitters(rows: DataFrame, ranges: int) -> list[bytes]:
@@ -43,7 +43,7 @@ def splitters(rows: DataFrame, ranges: int) -> list[bytes]:
         return []
     share = min(1.0, SAMPLED * ranges / count)
     sample = rows if share == 1.0 else rows.sample(share, seed=7)
-    _, place = _order_keys(F.col("norm"), F.xxhash64("id"))
+    _, place = _order_keys(F.col("norm"), F.col("row_hash"))
     got = sorted((bytes(r["place"]), r["size"]) for r in sample.select(place.alias("place"), (F.octet_length("norm") + 64).alias("size")).collect())
     total, held, out = sum(n for _, n in got), 0, []
     for own, n in got:
@@ -69,7 +69,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null text counts as the empty text, so all null and empty rows are one group. ``keep`` names
     the identifier that stays (``smallest`` or ``largest``); a null id loses to any other, and of
     rows that repeat both text and id exactly one is kept. Texts of any length are compared whole;
-    a task holds about ``range_bytes`` of them and spills beyond its memory. An empty table gives
+    a task holds about ``range_bytes`` of them, also of a row that repeats without end, and spills beyond its memory. An empty table gives
     an empty result. Other columns of ``docs`` are ignored, whatever their names.
     """
     if keep not in ("smallest", "largest"):
@@ -78,12 +78,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ranked = (lambda c: F.col(c).desc_nulls_last()) if keep == "largest" else (lambda c: F.col(c).asc_nulls_last())
     spark = docs.sparkSession
 
-    rows = docs.select(docs[id_col].alias("id"), ascii_lower(text_or_empty(docs[text_col])).cast("binary").alias("norm"))
+    norm = ascii_lower(text_or_empty(docs[text_col])).cast("binary")
+    rows = docs.select(docs[id_col].alias("id"), norm.alias("norm"), F.xxhash64(docs[id_col], F.monotonically_increasing_id()).alias("row_hash"))
     size = docs.agg(F.sum(F.octet_length(text_or_empty(docs[text_col])).cast("long"))).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
     cuts = splitters(rows, ranges)
-    key, place = _order_keys(F.col("norm"), F.xxhash64("id"))
-    dealt = rows.withColumn("key", key).withColumn("range", _range_of(place, cuts)).repartitionById(len(cuts) + 1, "range")
+    key, place = _order_keys(F.col("norm"), F.col("row_hash"))
+    dealt = rows.withColumn("key", key).withColumn("range", _range_of(place, cuts)).drop("row_hash").repartitionById(len(cuts) + 1, "range")
 
     order = Window.partitionBy("range").orderBy("key", "norm", ranked("id"))
     before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
