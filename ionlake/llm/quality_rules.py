@@ -3,7 +3,8 @@
 Every document is measured by built-in column functions in one pass without a shuffle; its rule
 failures are added up by host (partial sums first, so a host with a third of all rows is no
 hotter than any other); each host's failure rate is shrunk towards a beta prior fitted to all
-hosts by moments; and hosts whose shrunken rate is surely too high reject their documents.
+hosts by moments; and hosts whose shrunken rate is surely too high, measured by the corpus' own,
+reject their documents.
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ from .common import shared_checkpoint
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
-#: A host is rejected when its shrunken failure rate, less this many posterior deviations, is above HOST_RATE.
+#: A host is rejected when its shrunken failure rate, less DEVIATIONS posterior deviations, is above so many times
+#: the corpus' rate; a host of at most HOST_FLOOR never is, one above HOST_RATE always.
+HOST_MULTIPLE = 4.0
+HOST_FLOOR = 0.2
 HOST_RATE = 0.6
 DEVIATIONS = 2.0
 #: Weight of the beta prior, in documents.
@@ -85,8 +89,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A document fails by itself when it has under ``MIN_WORDS`` words or when repeated five-word
     windows cover more than ``MAX_REPEAT_PERCENT`` % of them. ``host_rate`` is the host's failure
-    rate under the beta prior; a lone host, or hosts that do not differ, get the weakest prior. A
-    document is kept when it passes by itself and its host is not rejected. Null texts fail, null
+    rate under the beta prior; a lone host, or hosts that do not differ, get the weakest prior. A host is
+    rejected when that rate is surely above HOST_MULTIPLE times the corpus' rate, which HOST_FLOOR and
+    HOST_RATE bound. A document is kept when it passes by itself and its host is not rejected. Null texts fail, null
     hosts are judged together, a text of any length is measured whole, repeated rows are judged each,
     other columns are ignored, an empty table gives no rows.
     """
@@ -100,10 +105,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.coalesce(F.var_pop(F.col("bad") / F.col("n")), F.lit(0.0)).alias("var"),
     ).first()
     mean, var = moments["mean"] or 0.0, moments["var"]
+    limit = min(HOST_RATE, max(HOST_FLOOR, HOST_MULTIPLE * mean))
     strength = min(MAX_PRIOR, max(MIN_PRIOR, mean * (1 - mean) / var - 1)) if var > 0 else MIN_PRIOR
     verdicts = (
         hosts.select("host", ((F.col("bad") + mean * strength) / (F.col("n") + strength)).alias("host_rate"), (F.col("n") + strength + 1).alias("weight"))
-        .withColumn("rejected", F.col("host_rate") - DEVIATIONS * F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / F.col("weight")) > HOST_RATE)
+        .withColumn("rejected", F.col("host_rate") - DEVIATIONS * F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / F.col("weight")) > limit)
         .withColumnRenamed("host", "its_host")
     )
     return judged.join(verdicts, F.col("host").eqNullSafe(F.col("its_host"))).select(

@@ -150,8 +150,8 @@ moments AS (SELECT sum(bad) / sum(n) AS mean, var_pop(bad / n) AS var FROM hosts
 prior AS (SELECT mean, CASE WHEN var > 0 THEN least(10000.0, greatest(2.0, mean * (1 - mean) / var - 1)) ELSE 2.0 END AS strength FROM moments),
 rates AS (SELECT source, (bad + mean * strength) / (n + strength) AS host_rate, n + strength + 1 AS weight FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (host_rate - 2 * sqrt(host_rate * (1 - host_rate) / weight) > 0.6) AS kept, round(host_rate, 9) AS host_rate
-FROM judged JOIN rates ON judged.source IS NOT DISTINCT FROM rates.source""",
+  NOT base_failed AND NOT (host_rate - 2 * sqrt(host_rate * (1 - host_rate) / weight) > least(0.6, greatest(0.2, 4 * mean))) AS kept, round(host_rate, 9) AS host_rate
+FROM judged JOIN rates ON judged.source IS NOT DISTINCT FROM rates.source, moments""",
     "op8_sharding": f"""WITH {CRC_STEPS},
 own AS (SELECT doc_id, md5(coalesce(text, '')) AS digest, strlen(coalesce(text, '')) + 1 AS size, {_crc32("coalesce(text, '')")} AS text_crc32 FROM documents, crc),
 placed AS (SELECT *, coalesce(sum(size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER o - 1 AS place FROM own WINDOW o AS (ORDER BY digest, doc_id NULLS FIRST)),

@@ -156,7 +156,7 @@ def host_verdicts(rows):
     verdict = {}
     for host, (n, bad) in hosts.items():
         rate = (bad + mean * strength) / (n + strength)
-        verdict[host] = rate, rate - 2 * math.sqrt(rate * (1 - rate) / (n + strength + 1)) > 0.6
+        verdict[host] = rate, rate - 2 * math.sqrt(rate * (1 - rate) / (n + strength + 1)) > min(0.6, max(0.2, 4 * mean))
     return [(not bad and not verdict[host][1], verdict[host][0]) for bad, (_, host) in zip(failed, rows)]
 
 

@@ -104,6 +104,33 @@ def test_bad_host_is_rejected(spark):
     assert got.where("kept").count() == 200 and got.where("kept and doc_id >= 1000").count() == 0
 
 
+def test_middling_host_is_rejected_by_the_corpus_rate(spark):
+    """45 % of a host's documents fail where others fail in 2 %: its good ones go too; a small host of the same rate is left in doubt."""
+    good = "one two three four five six seven eight nine ten eleven"
+    rows = [(1000 * h + i, good + f" {h} {i}" if i >= 4 else "short", f"h{h}") for h in range(30) for i in range(200)]
+    rows += [(90_000 + i, good + f" x {i}" if i >= 90 else "short", "odd") for i in range(200)] + [(95_000 + i, good + f" y {i}" if i >= 1 else "short", "tiny") for i in range(3)]
+    got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    kept = Counter((r.doc_id // 1000, r.kept) for r in got)
+    assert kept[90, True] == 0 and kept[95, True] == 2 and all(kept[h, True] == 196 for h in range(30))
+    want = brute.host_verdicts([(t, h) for _, t, h in rows])
+    assert Counter((r.kept, round(r.host_rate, 9)) for r in got) == Counter((k, round(rate, 9)) for k, rate in want)
+
+
+def test_exact_dedup_deals_a_repeated_row_to_ranges(spark):
+    """Half of the table is one row, id and all: no range takes over twice the median."""
+    from ionlake.llm import exact_dedup as ed
+
+    repeated = F.col("id") % 2 == 0
+    table = spark.range(40_000).select(F.when(repeated, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.when(repeated, F.lit("one row")).otherwise(F.concat(F.lit("row "), F.col("id").cast("string"))).alias("text"))
+    rows = table.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("norm"), F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("row_hash"))
+    cuts = ed.splitters(rows, 12)
+    _, place = ed._order_keys(F.col("norm"), F.col("row_hash"))
+    sizes = sorted(r["count"] for r in rows.groupBy(ed._range_of(place, cuts).alias("range")).count().collect())
+    assert len(sizes) >= 11 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    got = exact_dedup(table, range_bytes=50_000)
+    assert got.where("kept").count() == 20_001 and got.where("doc_id = 7 and group_size = 20000").count() == 20_000
+
+
 def test_packing(docs, rows):
     got = pack_documents(docs, BPE).collect()
     from tokenizers import Tokenizer
