@@ -251,7 +251,7 @@ def test_relaxed_pruning_looks_at_less_and_keeps_recall(spark):
     true = np.argsort(-scores, axis=1)[:, :20]
     recall = {f: np.mean([len(set(best.row[k]) & set(true[k])) / 20 for k in range(len(q))]) for f, (best, _) in found.items()}
     assert recall[1.0] == 1.0 and recall[0.5] >= 0.9
-    assert found[0.5][1] < found[1.0][1] < 0.8 * len(q) * 6000  # exact search leaves out what the triangle inequality rules out
+    assert found[0.5][1] < 0.7 * found[1.0][1] and found[1.0][1] < len(q) * 6000  # exact search leaves out what the triangle inequality rules out
 
 
 def test_tree_leaves_hold_every_row_and_routing_agrees():
