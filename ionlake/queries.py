@@ -52,9 +52,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table for each core under which it is dealt to all cores.
+SPREAD_BYTES = 32 << 20
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; a small file, which one task would read alone, is dealt to all cores. Large tables stay as they lie."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * SPREAD_BYTES else rows
+
+
 def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("protein"), F.regexp_replace(letters, "[BJOUXZ]", "").alias("sequence"))
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("protein"), F.regexp_replace(letters, "[BJOUXZ]", "").alias("sequence"))
 
 
 def peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +111,7 @@ WHERE NOT regexp_matches(w, '[BJOUXZ]') AND length(w) BETWEEN 3 AND 99 GROUP BY
 @query("peptide_filter", WORDS_SQL)
 def peptide_filter(spark, sf_dir):
     text = F.upper(F.regexp_replace("text", r"[^A-Za-z \n]", ""))
-    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(text, F.lit("[A-Z]+"), F.lit(0))).alias("w"))
+    words = documents(spark, sf_dir).select(F.explode(F.regexp_extract_all(text, F.lit("[A-Z]+"), F.lit(0))).alias("w"))
     kept = words.where(is_predictable(F.col("w")))
     return kept.groupBy(F.translate("w", "L", "I").alias("peptide"), is_tryptic(F.col("w")).alias("tryptic")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -799,5 +811,5 @@ def store_modifications_query(spark, sf_dir):
     return converters.store_modifications(side, ends, names)
 
 
-# sources and sinks register theirs when this module is complete
-from . import queries_io  # noqa: E402, F401
+# sources, sinks and models register theirs when this module is complete
+from . import queries_io, queries_models  # noqa: E402, F401

@@ -416,3 +416,30 @@ def test_search_store_to_records(spark, tmp_path):
     assert {r.title: r.source_file for r in converters.spectra_of_scans(spectra, listed).collect()} == {"a_1": "run0", "a_3": "run0"}
     with pytest.raises(ValueError):
         read_sqlite(spark, str(tmp_path / "a.msf"), ["Nothing"])
+
+
+@pytest.mark.parametrize("file_format", ["parquet", "csv", "json"])
+def test_vector_tables(spark, tmp_path, file_format):
+    from ionlake.operators.features import feature_names, site_features
+    from ionlake.plans.vectors import InvalidVectors, read_vectors, write_vectors
+
+    peptides = spark.createDataFrame([("a", "ACDEK", 2), ("b", "MNPQRST", 3), ("c", "GGK", 3)], "psmid string, peptide string, charge int")
+    targets = F.when(F.col("psmid") == "c", F.create_map(F.lit("B"), F.lit(0.5))).otherwise(F.create_map(F.lit("B"), F.col("site") * 1.0, F.lit("Y"), F.col("site") + 0.25))
+    vectors = site_features(peptides, keep=("psmid", "peptide", "charge")).withColumn("targets", targets).select("psmid", "charge", "site", "features", "targets")
+    path = str(tmp_path / "v")
+    write_vectors(vectors, path, ["B", "Y"], file_format=file_format)
+    rows = lambda df: sorted((r.psmid, r.charge, r.site, tuple(r.features), tuple(sorted(r.targets.items()))) for r in df.collect())
+    assert rows(read_vectors(spark, path, file_format=file_format)) == rows(vectors)
+    three = read_vectors(spark, path, ions=["Y"], charges=[3], only={0, 27}, file_format=file_format)
+    want = [(p, c, s, tuple(v if k in (0, 27) else 0 for k, v in enumerate(f)), tuple((i, y) for i, y in t if i == "Y")) for p, c, s, f, t in rows(vectors) if c == 3]
+    assert rows(three) == want
+    if file_format == "parquet":
+        scan = next(x for x in three._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x)
+        schema = scan.split("ReadSchema: struct<")[1]
+        assert feature_names()[27] in schema and feature_names()[30] not in schema and "targets_B" not in schema and "charge" in scan.split("PartitionFilters")[1].split("]")[0]
+    with pytest.raises(InvalidVectors):
+        read_vectors(spark, path, ions=["Z"], file_format=file_format)
+    with pytest.raises(InvalidVectors):
+        read_vectors(spark, path, version="ce", file_format=file_format)
+    with pytest.raises(ValueError):
+        write_vectors(vectors, path, ["B"], file_format="xlsx")
