@@ -43,14 +43,6 @@ def corr_or_zero(x: Column, y: Column) -> Column:
     return F.coalesce(safe_corr(x, y), F.lit(0.0))
 
 
-def upper_median(x: Column) -> Column:
-    """The element at n div 2 (0-based) of the sorted values, as an aggregate over small groups.
-
-    It holds a group's values; operators.ranks.upper_medians does not.
-    """
-    return F.element_at(F.sort_array(F.collect_list(x)), (F.floor(F.count(x) / 2) + 1).cast("int"))
-
-
 def spectral_angle(x: Column, y: Column, epsilon: float = 1e-7) -> Column:
     """1 - 2 acos(cosine) / pi as an aggregate; norms are floored at ``epsilon``."""
     norm = lambda v: F.greatest(F.sqrt(F.sum(v * v)), F.lit(epsilon))

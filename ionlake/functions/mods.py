@@ -97,6 +97,11 @@ def format_mods(pairs: Column) -> Column:
     return F.when(F.size(pairs) == 0, "-").otherwise(joined)
 
 
+def named_count(pairs: Column, name: str) -> Column:
+    """How many of the pairs have this name, such as the alkylated residues of a peptide."""
+    return F.size(F.filter(pairs, lambda m: m["name"] == name))
+
+
 def shift_total(pairs: Column, catalogue: Catalogue) -> Column:
     shifts = catalogue.shifts()
     return F.aggregate(pairs, F.lit(0.0), lambda a, m: a + F.try_element_at(shifts, m["name"]))

@@ -188,6 +188,12 @@ class LibraryModification:
         return next((t for t in ("peptide_n_term", "peptide_c_term", "protein_n_term", "protein_c_term") if getattr(self, t)), None)
 
 
+def modified_residues(peptide: Column, mods: list[LibraryModification]) -> Column:
+    """The residues, each once, that occur in the peptide and take a modification of the list."""
+    taken = [F.lit(a) for a in sorted({m.amino_acid for m in mods if m.terminus is None and m.amino_acid})]
+    return F.array_intersect(F.filter(F.split(peptide, ""), lambda c: c != ""), F.array(*taken).cast("array<string>"))
+
+
 def modification_versions(peptide: Column, is_n_term: Column, is_c_term: Column, mods: list[LibraryModification], max_variable: int = 3) -> Column:
     """array<string>: every modification string a peptide can have; ``-`` is the bare one.
 

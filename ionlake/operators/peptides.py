@@ -35,6 +35,15 @@ def precursor_mass(peptide: Column, pairs: Column | None = None, catalogue: Cata
     return mass if pairs is None else mass + shift_total(pairs, catalogue or Catalogue())
 
 
+#: Mass of water and of one alkylation in the masses that library samplers compare.
+COUNTED_WATER, COUNTED_SHIFT = 18.010601, 57.02146
+
+
+def counted_mass(peptide: Column, count: Column, shift: float = COUNTED_SHIFT) -> Column:
+    """The mass of a peptide with ``count`` modifications of one kind, whatever their places."""
+    return total(residue_masses(peptide, PRECURSOR_MASS)) + COUNTED_WATER + count * shift
+
+
 def precursor_mz(mass: Column, charge: Column) -> Column:
     return (mass + charge * HYDROGEN) / charge
 

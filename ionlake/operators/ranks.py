@@ -10,17 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import stored
+from ..plans.storage import stored_table
 
 
 def running_totals(rows: DataFrame, order: list[Column | str], amounts: dict[str, Column], by: list[str] | None = None) -> DataFrame:
     """``rows`` with a column for each amount: its sum over the row and those before it in its group.
 
-    ``order`` has to be total for one answer only; groups of nulls are groups as others.
+    ``order`` has to be total for one answer only; groups of nulls are groups as others. The dealt rows are
+    written once, eagerly, as sampled ranges need not be the same when they are computed again; the ranges'
+    totals read only the groups and amounts of them.
     """
     by, names = by or [], list(amounts)
-    # stored, as sampled ranges need not be the same when they are computed again
-    ranged = stored(rows.withColumns(amounts).repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    ranged = stored_table(rows.withColumns(amounts).repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     own = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("_part", *by).agg(*[F.sum(n).alias(n) for n in names])

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import stored
+from ..plans.storage import stored_table
 from .ranks import quantiles, running_totals
 
 
@@ -39,7 +39,7 @@ def gap_islands(rows: DataFrame, value: str, gap: float, partition: list[str], t
 
     Neighbours are found by number, so a group may hold any share of the rows.
     """
-    numbered = stored(running_totals(rows, [value, *ties], {"_place": F.lit(1).cast("long")}, partition))
+    numbered = stored_table(running_totals(rows, [value, *ties], {"_place": F.lit(1).cast("long")}, partition), "places")
     before = numbered.select(*[F.col(p).alias(f"_before{k}") for k, p in enumerate(partition)], (F.col("_place") + 1).alias("_next"), F.col(value).alias("_value"))
     met = F.col("_place") == F.col("_next")
     for k, p in enumerate(partition):
@@ -181,6 +181,14 @@ def stable_split(rows: DataFrame, key: str, fraction: float, salt: str = "split"
     return rows.where(~held), rows.where(held)
 
 
+def renamed_values(rows: DataFrame, column: str, names: dict[str, str], where: Column | None = None) -> DataFrame:
+    """``rows`` with values of ``column`` renamed, such as a model's label in a figure; only rows that fit ``where``, if given, and names that are listed."""
+    own = F.col(column)
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else F.create_map().cast("map<string,string>")
+    renamed = F.coalesce(F.try_element_at(table, own), own)
+    return rows.withColumn(column, renamed if where is None else F.when(where, renamed).otherwise(own))
+
+
 def global_numbers(rows: DataFrame, order: list[str], start: int = 0, out: str = "scan") -> DataFrame:
     """Consecutive numbers in a total order."""
     return running_totals(rows, order, {out: F.lit(1).cast("long")}).withColumn(out, F.col(out) - 1 + start)

@@ -6,6 +6,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from .operators.converters import search_store
 from .operators.features import site_features
 from .plans.boosting import BoostParams, fit_leafwise, score_vectors
 from .plans.forest_code import forest_sql, read_forest_source, write_forest_source
@@ -183,6 +184,43 @@ def ssl_rows(spark, sf_dir):
     return _wide(ssl.select("file", "scan", "sequence").join(blocks, "scan"))
 
 
+#: Search stores made of orders: two files of PSMs; finished orders are the decoys.
+STORE_SQL = """p AS (SELECT 'run' || (o_custkey % 2) || '.msf' AS store, o_orderkey AS id, o_custkey AS spectrum, CASE o_orderkey % 3 WHEN 0 THEN 'ACDMK' WHEN 1 THEN 'MNPQR' ELSE 'GGMA' END AS seq, o_totalprice AS score, o_orderstatus = 'F' AS decoy FROM orders),
+judged AS (SELECT *, CAST(sum(CAST(decoy AS INT)) OVER w AS DOUBLE) / nullif(sum(CAST(NOT decoy AS INT)) OVER w, 0) AS q FROM p WINDOW w AS (PARTITION BY store ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING)),
+mods AS (SELECT l_orderkey AS id, string_agg(pos || '|' || name, '|' ORDER BY pos, name) AS mods FROM (SELECT DISTINCT l_orderkey, CASE WHEN l_linenumber = 7 THEN 0 ELSE l_linenumber END AS pos, CASE WHEN l_linenumber = 7 THEN 'Acetyl' ELSE 'Oxidation' END AS name FROM lineitem WHERE l_linenumber IN (5, 7)) GROUP BY 1),
+good AS (SELECT j.*, coalesce(mods, '-') AS mods, 2 + spectrum % 2 AS charge, 'raw' || (spectrum % 5) AS file FROM judged j LEFT JOIN mods USING (id) WHERE NOT decoy AND q <= 0.9)"""
+
+
+@query(
+    "search_store_records",
+    f"""WITH {STORE_SQL}, first AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY seq, mods, charge ORDER BY q, score DESC, store, id) = 1),
+best AS (SELECT * FROM first QUALIFY row_number() OVER (PARTITION BY spectrum, file ORDER BY q, score DESC, store, id) = 1)
+SELECT replace(store, '.msf', '') || '_' || id AS spec_id, mods AS modifications, seq AS peptide, CAST(charge AS BIGINT) AS charge, regexp_matches(seq, '[KR]$') AS tryptic, file AS source_file, CAST(spectrum + 100 AS BIGINT) AS scan FROM best""",
+)
+def search_store_records(spark, sf_dir):
+    """The star of two search stores: q-values by store, modifications, headers, mass peaks and raw files."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    store = lambda key: F.concat(F.lit("run"), F.col(key) % 2, F.lit(".msf"))
+    sequence = F.when(F.col("o_orderkey") % 3 == 0, "ACDMK").when(F.col("o_orderkey") % 3 == 1, "MNPQR").otherwise("GGMA")
+    psms = orders.select(store("o_custkey").alias("store"), F.col("o_orderkey").alias("PeptideID"), F.col("o_custkey").alias("SpectrumID"), sequence.alias("Sequence"), F.col("o_totalprice").alias("ScoreValue"), "o_orderstatus")
+    marked = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), store("o_custkey").alias("store")), "l_orderkey")
+    stores = orders.select(store("o_custkey").alias("store"), F.col("o_custkey").alias("SpectrumID")).distinct()
+    names = stores.select("store").distinct()
+    tables = {
+        "PeptidesAminoAcidModifications": marked.where("l_linenumber = 5").select("store", F.col("l_orderkey").alias("PeptideID"), F.lit(1).alias("AminoAcidModificationID"), (F.col("l_linenumber") - 1).alias("Position")).distinct(),
+        "PeptidesTerminalModifications": marked.where("l_linenumber = 7").select("store", F.col("l_orderkey").alias("PeptideID"), F.lit(2).alias("TerminalModificationID")).distinct(),
+        "AminoAcidModifications": names.select("store", F.explode(F.expr("map(1, 'Oxidation', 2, 'Acetyl')")).alias("AminoAcidModificationID", "ModificationName")),
+        "SpectrumHeaders": stores.select("store", "SpectrumID", (2 + F.col("SpectrumID") % 2).alias("Charge"), F.lit(500.5).alias("Mass"), (F.col("SpectrumID") + 100).alias("FirstScan"), (F.col("SpectrumID") + 100).alias("LastScan"), (F.col("SpectrumID") + 7).alias("MassPeakID")),
+        "MassPeaks": stores.select("store", (F.col("SpectrumID") + 7).alias("MassPeakID"), (F.col("SpectrumID") % 5).alias("FileID")),
+        "FileInfos": names.select("store", F.explode(F.expr("sequence(0L, 4L)")).alias("FileID")).withColumn("FileName", F.concat(F.lit("D:\\data\\raw"), "FileID", F.lit(".raw"))),
+    }
+    for suffix, test in (("", "o_orderstatus <> 'F'"), ("_Decoy", "o_orderstatus = 'F'")):
+        own = psms.where(test)
+        tables["Peptides" + suffix], tables["PeptideScores" + suffix] = own.select("store", "PeptideID", "SpectrumID", "Sequence"), own.select("store", "PeptideID", "ScoreValue")
+    records, listed = search_store(tables, 0.9)
+    return _wide(records.join(listed, "spec_id").select("spec_id", "modifications", "peptide", "charge", "tryptic", "source_file", "scan"))
+
+
 def _observed(spark, sf_dir):
     """A spectrum for every order: peaks on and beside the b and y ions of ACDMK, by the order's lines."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct((F.col("l_linenumber") * 72.044).cast("float").alias("mz"), F.col("l_quantity").cast("float").alias("intensity")))).alias("peaks"))

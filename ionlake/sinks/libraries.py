@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.mods import Catalogue, diff_sequence, msp_mods, parse_mods
 from ..operators.peptides import precursor_mass, precursor_mz
 from ..operators.spectra import normalise
-from ..operators.windows import global_numbers
+from ..operators.windows import global_numbers, stable_split
 from ..sources.tables import encode_array
 
 MODES = ("overwrite", "append", "error")
@@ -305,3 +305,15 @@ def mgf_spectra(spectra: DataFrame) -> DataFrame:
 def write_mgf_spectra(spectra: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Selected observed spectra, such as those of a PSM list or of one side of a split, as an MGF folder."""
     mgf_spectra(spectra).select("value").write.mode(mode).text(path)
+
+
+def write_split(peprec: DataFrame, spectra: DataFrame, path: str, test_fraction: float = 0.1, mode: str = "overwrite") -> None:
+    """Records and their observed spectra as two pairs of files: ``<path>_train`` and ``<path>_test``, .peprec and .mgf.
+
+    A spectrum goes with the record of its title; a record is on the same side in every run. Spectra that no
+    record names are in neither.
+    """
+    for side, rows in zip(("train", "test"), stable_split(peprec, "spec_id", test_fraction), strict=True):
+        write_peprec(rows, f"{path}_{side}.peprec", mode)
+        own = rows.select(F.col("spec_id").alias("title"))
+        write_mgf_spectra(spectra.join(own, "title", "left_semi").select(*spectra.columns), f"{path}_{side}.mgf", mode)

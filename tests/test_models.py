@@ -443,3 +443,25 @@ def test_vector_tables(spark, tmp_path, file_format):
         read_vectors(spark, path, version="ce", file_format=file_format)
     with pytest.raises(ValueError):
         write_vectors(vectors, path, ["B"], file_format="xlsx")
+
+
+def test_small_operators(spark, tmp_path):
+    from ionlake.functions.mods import named_count, parse_mods
+    from ionlake.operators.digest import LibraryModification, modified_residues
+    from ionlake.operators.peptides import counted_mass, precursor_mass
+    from ionlake.operators.windows import renamed_values
+    from ionlake.sinks.libraries import write_split
+    from ionlake.sources.spectra import read_mgf
+
+    rows = spark.createDataFrame([("a", "CCMK", "1|CAM|2|CAM|3|Oxidation", "HCD"), ("b", "GGK", "-", "old"), ("c", "GMK", "-", None)], "spec_id string, peptide string, modifications string, label string")
+    count = named_count(parse_mods(F.col("modifications")), "CAM")
+    got = {r.spec_id: r for r in rows.select("spec_id", count.alias("n"), counted_mass(F.col("peptide"), count).alias("m"), precursor_mass(F.col("peptide")).alias("p"), modified_residues(F.col("peptide"), [LibraryModification("Oxidation", 1.0, "M"), LibraryModification("CAM", 1.0, "C"), LibraryModification("Ac", 1.0, peptide_n_term=True)]).alias("r")).collect()}
+    assert [got[k].n for k in "abc"] == [2, 0, 0] and got["a"].m == pytest.approx(got["a"].p + 2 * 57.02146, abs=1e-3) and sorted(got["a"].r) == ["C", "M"] and got["b"].r == []
+    assert [r.label for r in renamed_values(rows, "label", {"old": "new", "HCD": "x"}, F.col("spec_id") != "a").orderBy("spec_id").collect()] == ["HCD", "new", None]
+    assert [r.label for r in renamed_values(rows, "label", {}).orderBy("spec_id").collect()] == ["HCD", "old", None]
+    records = spark.createDataFrame([(f"s{k}", "-", "ACDEK", 2) for k in range(60)], "spec_id string, modifications string, peptide string, charge int")
+    peaks = F.array(F.struct(F.lit(100.0).cast("float").alias("mz"), F.lit(5.0).cast("float").alias("intensity")))
+    spectra = spark.range(70).select(F.concat(F.lit("s"), F.col("id")).alias("title"), F.lit(400.5).alias("precursor_mz"), F.lit(2).alias("precursor_charge"), peaks.alias("peaks"), F.lit("f").alias("source_file"))
+    write_split(records, spectra, str(tmp_path / "x"), 0.3)
+    sides = {s: ({r.spec_id for r in read_peprec(spark, str(tmp_path / f"x_{s}.peprec")).collect()}, {r.title for r in read_mgf(spark, str(tmp_path / f"x_{s}.mgf")).collect()}) for s in ("train", "test")}
+    assert all(a == b and a for a, b in sides.values()) and sides["train"][0].isdisjoint(sides["test"][0]) and len(sides["train"][0] | sides["test"][0]) == 60
