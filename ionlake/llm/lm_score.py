@@ -43,6 +43,8 @@ CHUNK = 1 << 20
 UNIT_BYTES, MAX_UNITS = 4 << 20, 1 << 14
 #: Sampled positions a unit, for the borders of units alone; borders lie within BORDER bytes of context.
 SAMPLED, BORDER = 400, 6
+#: Positions that a text of the sample gives at least.
+TOGETHER = 16
 END_TOKEN = b" "  # holds white space, so no word is equal to it
 LN2, LN_PI = np.log(2.0), np.log(np.pi)
 BITS = 8
@@ -656,11 +658,19 @@ def _scores(texts: list[bytes], depth: int, value: np.ndarray) -> np.ndarray:
 
 
 def _sample_borders(depth: int, width: int):
+    """The borders at ``times`` random positions of each text, whatever its length."""
+
     def sample(batches):
         for batch in batches:
-            texts = [t.lower() for t in batch.column("text").to_pylist()]
-            for _, words in _chunks(texts, depth):
-                yield pa.RecordBatch.from_arrays([pa.array(border_number(words, depth, width))], names=["border"])
+            for text, times, salt in zip(batch.column("text"), batch.column("times").to_pylist(), batch.column("salt").to_pylist(), strict=True):
+                t, at = text.as_py().lower(), 0
+                places = np.sort(np.random.default_rng(salt).integers(0, len(t) + 1, times))
+                for _, words in _chunks([t], depth):
+                    n = len(words[0])
+                    own = places[np.searchsorted(places, at) : np.searchsorted(places, at + n)] - at
+                    if len(own):
+                        yield pa.RecordBatch.from_arrays([pa.array(border_number([w[own] for w in words], depth, width))], names=["border"])
+                    at += n
 
     return sample
 
@@ -683,9 +693,12 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     size, count, held = rows.agg(F.sum(F.octet_length("text") + F.lit(1)).cast("long"), F.count(F.lit(1)), F.sum(F.col("held_out").cast("long"))).first()
     wanted = int(min(MAX_UNITS, max(1, -(-(size or 0) // unit_bytes))))
     width = min(BORDER, depth)
-    # the sample settles borders of units only: the result is the same for any borders
-    share = min(1.0, SAMPLED * wanted / max(1, size or 0))
-    sample = rows.where(F.pmod(F.xxhash64("text", "id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))) if share < 1 else rows
+    # the sample settles borders of units only: the result is the same for any borders. A text gives its share of
+    # SAMPLED positions a unit, and rows that repeat each other are drawn apart
+    rate = min(1.0, SAMPLED * wanted / max(1, size or 0))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(1 << 30)))
+    drawn = F.floor(rate * (F.octet_length("text") + 1) / TOGETHER + F.col("salt") / F.lit(float(1 << 30)))
+    sample = salted.withColumn("times", drawn.cast("int") * TOGETHER).where("times > 0").select("text", "times", "salt")
     borders = sample.mapInArrow(_sample_borders(depth, width), "border long").toArrow().column("border").to_numpy() if wanted > 1 else np.zeros(0, np.int64)
     units = Units.plan(borders, wanted, width)
     groups = max(1, wanted // 4)

@@ -556,3 +556,19 @@ def test_empty_tables(empty, spark):
         near_dedup(empty),
     ):
         assert made.count() == 0
+
+
+def test_lm_borders_of_one_long_text_and_repeated_rows(spark):
+    """One text of 6 MB among short ones, and a row that repeats: so many borders as are wanted, drawn from all texts by length."""
+    words = "the long text of many words goes on and on "
+    table = spark.createDataFrame([(0, words * 140_000)] + [(k % 50, f"short text {k % 50}") for k in range(3000)], "doc_id long, text string")
+    held = []
+    real = lm.Units.plan
+    lm.Units.plan = lambda borders, wanted, width: held.append((len(borders), wanted)) or real(borders, wanted, width)
+    try:
+        got = lm_score(table, depth=2, unit_bytes=1 << 20)
+    finally:
+        lm.Units.plan = real
+    (drawn, wanted), = held
+    assert wanted == 6 and 0.8 * lm.SAMPLED * wanted < drawn < 1.2 * lm.SAMPLED * wanted
+    assert got.count() == 3001 and got.where("doc_id = 7").select(F.round("score", 6)).distinct().count() == 1
