@@ -226,11 +226,11 @@ def train(docs: DataFrame, text_col: str, lang_col: str, sample_docs: int = SAMP
     return languages, lexicon, weights.astype(np.float32), transitions
 
 
-def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = FOLDS, held_fold: int = HELD_OUT) -> DataFrame:
+def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = FOLDS, held_fold: int = HELD_OUT, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """One row per input row: id, held_out, lang_pred, score, n_words, n_switches.
 
-    Learns from rows whose crc32(id as text) mod ``folds`` is not ``held_fold`` and whose language
-    is not null. ``score`` is the mean probability of the predicted language over the words;
+    Learns from at most ``sample_docs`` rows a language, whose crc32(id as text) mod ``folds`` is not
+    ``held_fold`` and whose language is not null. ``score`` is the mean probability of the predicted language over the words;
     ``n_words`` counts the chain's positions: a run of over ``LONGEST`` letters is several.
     ``n_switches`` counts neighbouring words whose likeliest languages differ. A null text, or one
     without a letter, is ``und`` with score 0, and so is every text where nothing could be learned.
@@ -238,7 +238,7 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table gives none.
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).withColumn("held_out", fold("id", folds) == held_fold)
-    languages, lexicon, weights, transitions = train(rows.where(~F.col("held_out")), "text", "lang")
+    languages, lexicon, weights, transitions = train(rows.where(~F.col("held_out")), "text", "lang", sample_docs)
     model = docs.sparkSession.sparkContext.broadcast((languages, lexicon, weights, transitions))
 
     def predict(batches):

@@ -38,14 +38,17 @@ def _chunks(data: bytes) -> list[bytes]:
 
 
 def build_dictionary(chunks: list[bytes]) -> bytes:
-    """A trained dictionary; where the text is too little to train even a small one, all of the text itself."""
+    """A trained dictionary of at most DICTIONARY_BYTES; where none can be trained, content of that size, from all over the text."""
     size = min(DICTIONARY_BYTES, sum(map(len, chunks)) // 4)
     while size >= 512 and len(chunks) >= 8:
         try:
             return zstandard.train_dictionary(size, chunks).as_bytes()
         except zstandard.ZstdError:
             size //= 2
-    return b"".join(chunks)
+    if len(chunks) * CHUNK_BYTES <= DICTIONARY_BYTES:
+        return b"".join(chunks)
+    count = DICTIONARY_BYTES // CHUNK_BYTES
+    return b"".join(chunks[k * len(chunks) // count] for k in range(count))
 
 
 class Compressors:
@@ -126,17 +129,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 
 
 def quality_scores(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = FOLDS, held_fold: int = HELD_OUT, threshold: float = THRESHOLD
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = FOLDS, held_fold: int = HELD_OUT, threshold: float = THRESHOLD, sample_docs: int = SAMPLE_DOCS
 ) -> DataFrame:
     """One row per input row: id, held_out, score, predicted.
 
-    Learns from labelled rows whose crc32(id as text) mod ``folds`` is not ``held_fold``; an id that
-    is labelled or stands in the table twice counts once a label. Null text is empty and gets the
+    Learns from at most ``sample_docs`` labelled rows a class, whose crc32(id as text) mod ``folds`` is not
+    ``held_fold``; an id that is labelled or stands in the table twice counts once a label. Null text is empty and gets the
     score of no evidence. A text of any length is compressed whole; rows that repeat each other are
     scored each. Without any labels every score is 0.5. An empty table gives an empty result; extra
     columns of either table are ignored.
     """
-    good, bad, weights = train(docs, labels, id_col, text_col, label_col, folds, held_fold)
+    good, bad, weights = train(docs, labels, id_col, text_col, label_col, folds, held_fold, sample_docs)
 
     def score(batches):
         pair = Compressors(good, bad)

@@ -572,3 +572,14 @@ def test_lm_borders_of_one_long_text_and_repeated_rows(spark):
     (drawn, wanted), = held
     assert wanted == 6 and 0.8 * lm.SAMPLED * wanted < drawn < 1.2 * lm.SAMPLED * wanted
     assert got.count() == 3001 and got.where("doc_id = 7").select(F.round("score", 6)).distinct().count() == 1
+
+
+def test_dictionary_is_bounded_where_none_can_be_trained(spark):
+    from ionlake.llm import quality_classifier as qc
+
+    assert qc.build_dictionary(qc._chunks(b"few words")) == b"few words"  # one chunk trains nothing
+    same = qc.build_dictionary(qc._chunks(b"a" * 400_000))
+    assert len(same) <= qc.DICTIONARY_BYTES
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(k, f"text {k % 2} number {k} " * 5) for k in range(60)], "doc_id long, text string")
+    assert quality_scores(docs, labels, sample_docs=6).count() == 60 and language_id(docs.withColumn("lang", F.lit("x")), sample_docs=3).count() == 60
