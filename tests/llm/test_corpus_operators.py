@@ -583,3 +583,67 @@ def test_dictionary_is_bounded_where_none_can_be_trained(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
     docs = spark.createDataFrame([(k, f"text {k % 2} number {k} " * 5) for k in range(60)], "doc_id long, text string")
     assert quality_scores(docs, labels, sample_docs=6).count() == 60 and language_id(docs.withColumn("lang", F.lit("x")), sample_docs=3).count() == 60
+
+
+def test_packing_in_many_groups_keeps_pieces_and_offsets(docs, rows):
+    """Pieces, places and capacity hold when groups exchange what they hold; the counts lie between bound and one bin a piece."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(BPE)
+    want = Counter()
+    for i, t, *_ in rows:
+        ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
+        for k, at in enumerate(range(0, len(ids), 300)):
+            want[(i, k, at, len(ids[at : at + 300]), zlib.crc32(ids[at : at + 300].tobytes()))] += 1
+    for group in (7, 20, 100):
+        got = pack_documents(docs, BPE, capacity=300, group_pieces=group).collect()
+        assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+        by = defaultdict(list)
+        for r in got:
+            by[r.sequence_id].append((r.offset, r.length))
+        for own in by.values():
+            ends = np.cumsum([n for _, n in sorted(own)])
+            assert [o for o, _ in sorted(own)] == [0, *ends[:-1]] and ends[-1] <= 300
+        assert got[0].lower_bound <= len(by) == got[0].sequences
+
+
+def test_sentence_pieces_whole_result_against_a_plain_search(docs, rows):
+    """Scores, byte tokens and ids of every row, by dynamic programming over the whole text with the model file's own pieces."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=SP)
+    n = model.get_piece_size()
+    byte = {int(model.id_to_piece(k)[3:5], 16): k for k in range(n) if model.is_byte(k)}
+    usable = [k for k in range(n) if not (model.is_byte(k) or model.is_control(k) or model.is_unknown(k) or model.is_unused(k))]
+    law = [math.log(r + 2.7) for r in range(len(usable))]
+    norm = math.log(sum(math.exp(-x) for x in law))
+    score = {model.id_to_piece(k): (-law[r] - norm, k) for r, k in enumerate(usable)}
+    value = {k: s for s, k in score.values()}
+    fallback, longest = min(value.values()) - 10.0, max(map(len, score))
+    cache = {}
+
+    def plain(text):
+        if text in cache:
+            return cache[text]
+        t = MARK + text.replace(MARK, "\ue000").replace(" ", MARK)  # a marker in the text itself goes by its bytes
+        best = [0.0] + [-math.inf] * len(t)
+        for i, c in enumerate(t):
+            if best[i] + fallback > best[i + 1] and c not in score:
+                best[i + 1] = best[i] + fallback  # a character that no piece covers: its bytes, at one cost
+            for j in range(i + 1, min(i + longest, len(t)) + 1):
+                hit = score.get(t[i:j])
+                if hit and best[i] + hit[0] > best[j]:
+                    best[j] = best[i] + hit[0]
+        cache[text] = best[-1]
+        return best[-1]
+
+    texts = defaultdict(set)
+    for i, t, *_ in rows:
+        texts[i].add(t or "")
+    byte_ids = set(byte.values())
+    for r in encode_pieces(docs, SP).collect():
+        decoded = b"".join(bytes([next(b for b, k in byte.items() if k == x)]) if x in byte_ids else model.id_to_piece(x).replace(MARK, " ").encode() for x in r.ids)[1:].decode()
+        assert decoded in texts[r.doc_id]
+        assert r.n_byte_tokens == sum(x in byte_ids for x in r.ids)
+        if decoded:
+            assert abs(r.log_score - plain(decoded)) < 1e-6 * max(1, len(decoded)), (r.doc_id, r.log_score, plain(decoded))
