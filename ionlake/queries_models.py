@@ -6,8 +6,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .operators.converters import search_store
+from .functions.metrics import is_compared
+from .functions.mods import MOD_STRING, SEQUENCE
+from .operators.converters import maxquant_peprec, only_common_mods, search_store
+from .operators.digest import LibraryModification, peptidoforms
 from .operators.features import site_features
+from .operators.spectra import remove_precursor, remove_reporters
+from .operators.windows import renamed_values
 from .plans.boosting import BoostParams, fit_leafwise, score_vectors
 from .plans.forest_code import forest_sql, read_forest_source, write_forest_source
 from .plans.pipeline import with_targets
@@ -16,10 +21,10 @@ from .plans.trees import NODE_COLUMNS, score_sites
 from .plans.vectors import read_vectors, write_vectors
 from .queries import CATALOGUE, LIBRARY, _library, _wide, query, table
 from .queries_io import _residues, _spectra
-from .sinks.libraries import bibliospec, msp
+from .sinks.libraries import bibliospec, msp, protein_string, write_mgf_spectra
 from .sinks.spectrum_store import match_store, write_spectrum_store
-from .sources.spectra import read_mzml
-from .sources.tables import read_msp
+from .sources.spectra import read_mzml, spectra_in_folder
+from .sources.tables import blib_spectra, encode_array, read_msp, read_tsv
 
 #: The columns of lineitem that trees are fitted to, as whole numbers.
 TREE_FEATURES = {"quantity": "l_quantity", "discount": "l_discount * 100", "tax": "l_tax * 100", "line": "l_linenumber"}
@@ -241,3 +246,125 @@ def spectrum_targets(spark, sf_dir):
     return _wide(found.where("ion = 'B' AND ionnumber = 1").select("spec_id", "ion", "ionnumber", F.round(F.col("target").cast("double"), 3).alias("target")))
 
 
+
+
+@query(
+    "evidence_records",
+    """WITH e AS (SELECT o_orderkey AS id, CASE o_custkey % 3 WHEN 0 THEN 'ACDMK' WHEN 1 THEN 'MNPQR' ELSE 'GGMA' END AS seq, CASE o_custkey % 3 WHEN 0 THEN '4|Oxidation' WHEN 1 THEN '0|Acetyl' ELSE '-' END AS own, o_custkey % 4 + 1 AS charge, o_totalprice AS score, o_orderkey * 2 AS scan FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority <> '5-LOW'),
+best AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY seq, charge ORDER BY score DESC, id) = 1)
+SELECT CAST(id AS VARCHAR) AS spec_id, seq AS peptide, CASE WHEN seq = 'ACDMK' THEN '2|Carbamidomethyl|4|Oxidation' ELSE own END AS modifications, CAST(charge AS BIGINT) AS charge, 'P' || charge || '/Q' AS proteins, CAST(scan AS BIGINT) AS scan, round(score, 2) AS score FROM best""",
+)
+def evidence_records(spark, sf_dir):
+    """Search-engine tables written as text, read back and joined: decoys and contaminants go, the best of each form stays."""
+    own = table(spark, sf_dir, "orders")
+    sequence = F.when(F.col("o_custkey") % 3 == 0, "ACDMK").when(F.col("o_custkey") % 3 == 1, "MNPQR").otherwise("GGMA")
+    tagged = F.when(F.col("o_custkey") % 3 == 0, "_ACDM(ox)K_").when(F.col("o_custkey") % 3 == 1, "_(ac)MNPQR_").otherwise("_GGMA_")
+    charge = F.col("o_custkey") % 4 + 1
+    plus = lambda test: F.when(F.expr(test), "+").otherwise("")
+    evidence = own.select(
+        F.col("o_orderkey").alias("Best MS/MS"), sequence.alias("Sequence"), tagged.alias("Modified sequence"), charge.alias("Charge"), F.concat(F.lit("P"), charge, F.lit(";Q")).alias("Proteins"),
+        F.lit(12.5).alias("Retention time"), F.lit("run").alias("Raw file"), F.col("o_totalprice").alias("Score"), F.lit(0.01).alias("PEP"), plus("o_orderstatus = 'F'").alias("Reverse"), plus("o_orderpriority = '5-LOW'").alias("Potential contaminant"),
+    )
+    msms = own.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 2).alias("Scan number"), F.lit(0).alias("Scan index"))
+    paths = [new_path(spark, n) for n in ("evidence", "msms")]
+    for rows, path in zip((evidence, msms), paths):
+        rows.write.csv(path, sep="\t", header=True)
+    records = maxquant_peprec(*(read_tsv(spark, p) for p in paths), {"ox": "Oxidation", "ac": "Acetyl"}, {"C": "Carbamidomethyl"})
+    return _wide(records.select("spec_id", "peptide", "modifications", "charge", protein_string(F.col("protein_list")).alias("proteins"), "scan", F.round("score", 2).alias("score")))
+
+
+@query(
+    "spectra_of_folder",
+    "SELECT CAST(user_id AS VARCHAR) AS title, user_id % 3 + 1 AS precursor_charge, count(*) AS n_peaks FROM events WHERE value > 0 GROUP BY user_id",
+)
+def spectra_of_folder(spark, sf_dir):
+    """A folder of spectrum files, read as one table."""
+    folder, spectra = new_path(spark, "folder"), _spectra(spark, sf_dir)
+    for k in range(2):
+        write_mgf_spectra(spectra.where(F.col("title").cast("long") % 2 == k), f"{folder}/part{k}.mgf")
+    return _wide(spectra_in_folder(spark, folder).select("title", "precursor_charge", F.size("peaks").alias("n_peaks")).where("n_peaks > 0"))
+
+
+@query(
+    "precursor_removed",
+    """WITH p AS (SELECT user_id, CAST(CAST(event_id AS FLOAT) AS DOUBLE) AS mz, CAST(value AS FLOAT) AS it FROM events)
+SELECT CAST(user_id AS VARCHAR) AS title, count(*) AS n_peaks, count(*) FILTER (WHERE mz BETWEEN user_id * 3 + 0.5 - 2.0 AND user_id * 3 + 0.5 + 2.0 OR mz BETWEEN 125 AND 132) AS n_zero FROM p GROUP BY user_id""",
+)
+def precursor_removed(spark, sf_dir):
+    """Peaks around the precursor and in the reporter range keep their place and lose their intensity."""
+    spectra = _spectra(spark, sf_dir).withColumn("peaks", F.transform("peaks", lambda p: F.struct(p["mz"].alias("mz"), F.lit(1.0).cast("float").alias("intensity"))))
+    cleared = remove_reporters(remove_precursor(F.col("peaks"), F.col("title").cast("long") * 3 + 0.5, 2.0), "TMT")
+    return _wide(spectra.select("title", F.size("peaks").alias("n_peaks"), F.size(F.filter(cleared, lambda p: p["intensity"] == 0)).alias("n_zero")))
+
+
+@query(
+    "library_forms",
+    """WITH p AS (SELECT DISTINCT regexp_replace(upper(regexp_replace(p_type, '[^A-Za-z]', '', 'g')), '[BJOUXZ]', '', 'g') AS seq FROM part WHERE p_type IS NOT NULL),
+n AS (SELECT seq, len(regexp_extract_all(seq, 'M')) AS m, len(regexp_extract_all(seq, 'S')) AS s, seq[1] = 'S' AS start FROM p),
+v AS (SELECT *, m + s AS k FROM n)
+SELECT seq AS peptide, 2 * CAST((1 + k + k * (k - 1) // 2) + (1 + k) AS BIGINT) AS n_forms FROM v""",
+)
+def library_forms(spark, sf_dir):
+    """Modification versions and charges of each peptide: at most two variable ones among M, S and the N-terminus of the protein."""
+    mods = [LibraryModification("Oxidation", 15.994915, "M"), LibraryModification("Phospho", 79.966331, "S"), LibraryModification("Acetyl", 42.010565, protein_n_term=True), LibraryModification("Carbamidomethyl", 57.021464, "C", fixed=True)]
+    rows = table(spark, sf_dir, "part").select(F.regexp_replace(_residues(), "[BJOUXZ]", "").alias("peptide")).distinct().withColumns({"is_n_term": F.lit(True), "is_c_term": F.lit(False)})
+    return peptidoforms(rows, mods, [2, 3], 2).groupBy("peptide").agg(F.countDistinct("spec_id").alias("n_forms"))
+
+
+@query(
+    "feature_variants",
+    """WITH p AS (SELECT p_partkey, regexp_replace(translate(upper(regexp_replace(p_type, '[^A-Za-z]', '', 'g')), 'L', 'I'), '[BJOUXZ]', '', 'g') AS seq, p_size AS ce FROM part),
+c AS (SELECT *, list_transform(string_split(seq, ''), lambda a: strpos('ACDEFGHIKMNPQRSTVWY', a) - 1) AS r FROM p),
+s AS (SELECT *, unnest(range(len(r) - 1)) AS i FROM c)
+SELECT p_partkey, CAST(sum(ce) AS BIGINT) AS energies, CAST(sum(r[1]) AS BIGINT) AS firsts, CAST(sum(r[len(r)]) AS BIGINT) AS lasts, CAST(sum(CASE WHEN i = 0 THEN 0 ELSE r[i] END) AS BIGINT) AS befores, CAST(sum(r[i + 1]) AS BIGINT) AS ats FROM s GROUP BY p_partkey""",
+)
+def feature_variants(spark, sf_dir):
+    """The layouts with a collision energy behind and with residue codes in front."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(_residues(), "[BJOUXZ]", "").alias("peptide"), F.lit(2).alias("charge"), F.col("p_size").alias("ce"))
+    at = lambda k: F.sum(F.get("features", F.lit(k)))
+    energies = site_features(rows, "ce", ("p_partkey", "peptide", "charge", "ce"), {139}).groupBy("p_partkey").agg(at(139).alias("energies"))
+    coded = site_features(rows, "catboost", ("p_partkey", "peptide", "charge"), {0, 1, 2, 3}).groupBy("p_partkey").agg(at(0).alias("firsts"), at(1).alias("lasts"), at(2).alias("befores"), at(3).alias("ats"))
+    return energies.join(coded, "p_partkey")
+
+
+@query(
+    "compared_ions",
+    "SELECT CAST(l_linenumber AS BIGINT) AS charge, count(*) AS n FROM lineitem WHERE l_linenumber BETWEEN 2 AND 4 AND l_returnflag || CASE WHEN l_linestatus = 'O' THEN '2' ELSE '' END <> 'A2' GROUP BY 1",
+)
+def compared_ions(spark, sf_dir):
+    """The ions that published comparisons count, after labels were renamed."""
+    ion = F.concat("l_returnflag", F.when(F.col("l_linestatus") == "O", "2").otherwise(""))
+    rows = renamed_values(table(spark, sf_dir, "lineitem").withColumn("ion", ion), "ion", {"A2": "B2"})
+    return _wide(rows.where(is_compared(F.col("l_linenumber"), F.col("ion"))).groupBy(F.col("l_linenumber").alias("charge")).agg(F.count(F.lit(1)).alias("n")))
+
+
+@query(
+    "valid_strings",
+    """WITH p AS (SELECT p_partkey, upper(regexp_replace(p_type, '[^A-Za-z]', '', 'g')) AS seq, CASE p_size % 6 WHEN 0 THEN '-' WHEN 1 THEN '' WHEN 2 THEN '3|Oxidation' WHEN 3 THEN '0|Acetyl|-1|Amide|' WHEN 4 THEN '3|' ELSE '123|Oxidation' END AS mods FROM part)
+SELECT p_partkey, NOT regexp_matches(seq, '[^ACDEFGHIKLMNPQRSTVWY]') AND length(seq) BETWEEN 3 AND 99 AS good_sequence, p_size % 6 < 4 AS good_mods, p_size % 6 < 2 OR p_size % 6 = 2 AS only_common FROM p JOIN part USING (p_partkey)""",
+)
+def valid_strings(spark, sf_dir):
+    """Sequences and modification strings against their grammars."""
+    mods = F.when(F.col("p_size") % 6 == 0, "-").when(F.col("p_size") % 6 == 1, "").when(F.col("p_size") % 6 == 2, "3|Oxidation").when(F.col("p_size") % 6 == 3, "0|Acetyl|-1|Amide|").when(F.col("p_size") % 6 == 4, "3|").otherwise("123|Oxidation")
+    common = only_common_mods(F.when(F.col("p_size") % 6 <= 3, mods).otherwise("0|Other"))
+    return table(spark, sf_dir, "part").select("p_partkey", _residues().rlike(SEQUENCE).alias("good_sequence"), mods.rlike(MOD_STRING).alias("good_mods"), common.alias("only_common"))
+
+
+@query(
+    "packed_arrays",
+    "SELECT user_id, count(*) AS n, CAST(sum(event_id) AS DOUBLE) AS mzs, round(sum(CAST(CAST(value AS FLOAT) AS DOUBLE)), 3) AS intensity FROM events GROUP BY user_id",
+)
+def packed_arrays(spark, sf_dir):
+    """Peak arrays packed as library stores hold them, and unpacked again."""
+    def pack(batches):
+        for batch in batches:
+            peaks = batch.column("peaks").to_pylist()
+            held = [pa.array([encode_array([float(p[c]) for p in own], code, "<") for own in peaks], pa.binary()) for c, code in (("mz", "d"), ("intensity", "f"))]
+            yield pa.RecordBatch.from_arrays([batch.column("user_id"), *held], names=["user_id", "peakMZ", "peakIntensity"])
+
+    rows = _spectra(spark, sf_dir).select(F.col("title").cast("long").alias("user_id"), "peaks").mapInArrow(pack, "user_id long, peakMZ binary, peakIntensity binary")
+    ref = rows.select(F.col("user_id").alias("id"), F.lit("ACDMK").alias("peptideSeq"), F.lit(2).alias("precursorCharge"), F.lit(500.5).alias("precursorMZ"))
+    none = spark.createDataFrame([], "RefSpectraID long, position int, mass double")
+    held = blib_spectra({"RefSpectra": ref, "Modifications": none, "RefSpectraPeaks": rows.withColumnRenamed("user_id", "RefSpectraID")})
+    total = lambda c: F.aggregate(F.col(f"peaks.{c}"), F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return _wide(held.select(F.col("id").alias("user_id"), F.size("peaks").alias("n"), total("mz").alias("mzs"), F.round(total("intensity"), 3).alias("intensity")))
