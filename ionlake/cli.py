@@ -1,4 +1,4 @@
-"""Command line: ``python -m ionlake.cli predict|library|single ...``."""
+"""Command line: ``python -m ionlake.cli predict|library|single|vectors|train ...``."""
 
 from __future__ import annotations
 
@@ -9,10 +9,13 @@ import pandas as pd
 from pyspark.sql import SparkSession
 
 from .plans.config import LibraryConfig, PredictionConfig, load_config, model
+from .plans.boosting import BoostParams
 from .plans.metrics import RunMetrics
-from .plans.models import load_model, read_nodes
-from .plans.pipeline import build_library, evaluate, label_of, match_spectra, median_correlations, predict, predict_one, with_targets
+from .plans.models import load_model, read_nodes, save_model
+from .plans.pipeline import build_library, evaluate, feature_vectors, label_of, match_spectra, median_correlations, predict, predict_one, with_targets
+from .plans.training import SEARCHED, train_model, write_training
 from .plans.trees import toy_nodes
+from .plans.vectors import read_vectors, write_vectors
 from .sinks.libraries import predictions_and_targets, write_results, write_table
 from .sources.peptides import read_fasta, read_peprec
 from .sources.spectra import read_spectra
@@ -54,6 +57,22 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("charge", type=int)
     p.add_argument("-c", "--config")
     p.add_argument("-n", "--nodes", nargs="*", help=NODES)
+    p = commands.add_parser("vectors", help="feature vectors with observed targets, as a table by charge")
+    p.add_argument("peptides")
+    p.add_argument("spectra")
+    p.add_argument("-c", "--config")
+    p.add_argument("-i", "--spectrum-id-pattern", default="(.*)")
+    p.add_argument("-o", "--output", required=True)
+    p = commands.add_parser("train", help="forests of a model from a vector table")
+    p.add_argument("vectors")
+    p.add_argument("model")
+    p.add_argument("-i", "--ions", nargs="*", help="ion types; the model's own without")
+    p.add_argument("-t", "--trees", type=int, default=30)
+    p.add_argument("-e", "--evaluate", nargs="*", default=[], help="further vector tables, as name=path")
+    p.add_argument("-g", "--search", action="store_true", help="take the parameters from a cross-validated search")
+    p.add_argument("--min-rows", type=int, default=50, help="rows of a leaf")
+    p.add_argument("--model-dir", help="model folder that gets the forests")
+    p.add_argument("-o", "--output", required=True)
     return top
 
 
@@ -66,8 +85,22 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
             nodes = _nodes(spark, args.nodes, config.model, args.model_dir)
             build_library(read_fasta(spark, args.fasta), nodes, config, path=args.output)
             return 0
+        if args.command == "train":
+            own = model(args.model)
+            evals = {name: read_vectors(spark, path) for name, _, path in (e.partition("=") for e in args.evaluate)}
+            params = BoostParams(trees=args.trees, min_rows=args.min_rows)
+            trained = train_model(read_vectors(spark, args.vectors), args.ions or own.ions, own.name, params, evals, search=SEARCHED if args.search else None)
+            write_training(trained, args.output)
+            if args.model_dir:
+                save_model(spark, pd.concat([t.fitted.nodes for t in trained], ignore_index=True), own.name, args.model_dir)
+            return 0
         config = load_config(args.config) if args.config else PredictionConfig()
         own = model(config.model)
+        if args.command == "vectors":
+            peprec, spectra = read_peprec(spark, args.peptides), read_spectra(spark, args.spectra)
+            targets = with_targets(peprec, spectra, config.catalogue(), own.version, config.frag_error, args.spectrum_id_pattern, label_of(own.name))
+            write_vectors(feature_vectors(peprec, targets), args.output, own.ions)
+            return 0
         nodes = _nodes(spark, args.nodes, config.model, config.model_dir)
         if args.command == "single":
             predict_one(spark, args.peptide, args.modifications, args.charge, nodes, config.catalogue(), own.version).show(200, False)

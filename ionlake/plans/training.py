@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
 from itertools import product
 
 import pandas as pd
@@ -9,7 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import safe_corr
+from ..operators.features import feature_names
 from ..operators.ranks import quantiles
+from ..operators.windows import stable_split
+from .boosting import Boosted, BoostParams, best_combination, cross_validated, fit_leafwise, score_vectors
+from .forest_code import write_forest_source
+from .storage import stored_table
+from .trees import importance
 
 
 def grid(values: dict[str, list]) -> list[dict]:
@@ -76,3 +83,62 @@ def psm_percentiles(predictions: DataFrame, by: list[str], points: tuple[float,
     """Percentiles, by group, of the correlation of each psmid; undefined ones are left out."""
     each = predictions.groupBy(*by, "psmid").agg(safe_corr(F.col("target"), F.col("prediction")).alias("r")).where("r is not null")
     return quantiles(each, "r", by, list(points)).select(*by, F.col("quantiles").alias("percentiles"))
+
+
+#: The combinations that a search goes through, unless others are given.
+SEARCHED = {"max_depth": [7, 8, 9], "min_rows": [300, 350, 400], "gamma": [0.0, 1.0]}
+
+
+@dataclass
+class Trained:
+    """One ion type's forest with the parameters it was fitted with, its errors, and the sets it was judged on."""
+
+    ion: str
+    fitted: Boosted
+    params: BoostParams
+    sets: dict[str, DataFrame]
+    searched: pd.DataFrame | None = None
+
+
+def train_model(vectors: DataFrame, ions: list[str], name: str, params: BoostParams | None = None, evals: dict[str, DataFrame] | None = None, test_fraction: float = 0.2, search: dict[str, list] | None = None, folds: int = 5) -> list[Trained]:
+    """A forest for each ion type: psmids are split, the held-out part decides when to stop.
+
+    With ``search`` the parameters come from the combination of least cross-validated error first. ``evals``
+    are further tables to report errors on. An ion type without targets is an error.
+    """
+    params = params or BoostParams()
+    train, test = (stored_table(side, "vectors") for side in stable_split(vectors, "psmid", test_fraction))
+    out = []
+    for ion in ions:
+        if train.where(F.try_element_at("targets", F.lit(ion)).isNotNull()).isEmpty():
+            raise ValueError(f"no targets of ion type {ion}")
+        own, searched = params, None
+        if search:
+            searched = cross_validated(train, ion, grid(search), params, folds)
+            own = replace(params, **best_combination(searched, list(search)))
+        sets = {"test": test, **(evals or {})}
+        out.append(Trained(ion, fit_leafwise(train, ion, name, own, sets), own, sets, searched))
+    return out
+
+
+def write_training(trained: list[Trained], path: str, version: str = "general", mode: str = "overwrite") -> None:
+    """Folders beside ``path``: source text, feature importance, errors by round, predictions of each set, and the search."""
+    spark = next(iter(trained[0].sets.values())).sparkSession
+    names = dict(enumerate(feature_names(version)))
+    nodes = pd.concat([t.fitted.nodes for t in trained], ignore_index=True)
+    write_forest_source(spark, nodes, f"{path}.c")
+    labelled = spark.createDataFrame([(k, n) for k, n in names.items()], "feature int, name string")
+    table = spark.createDataFrame(nodes).withColumn("feature", F.col("feature").cast("int"))
+    counts = importance(table).join(labelled, "feature", "left").select("model", "ion", F.coalesce("name", F.col("feature").cast("string")).alias("name"), "n_tests")
+    counts.coalesce(1).orderBy("ion", F.desc("n_tests"), "name").write.mode(mode).csv(f"{path}_importance.csv", header=True)
+    history = pd.concat([t.fitted.history.assign(ion=t.ion, best_round=t.fitted.best_round) for t in trained], ignore_index=True)
+    spark.createDataFrame(history).coalesce(1).write.mode(mode).csv(f"{path}_history.csv", header=True)
+    found = None
+    for t in trained:
+        for name, rows in t.sets.items():
+            own = score_vectors(rows, t.fitted.nodes, t.ion).select(F.lit(t.ion).alias("ion"), F.lit(name).alias("set"), "psmid", "target", "prediction")
+            found = own if found is None else found.unionByName(own)
+    found.write.mode(mode).csv(f"{path}_predictions.csv", header=True)
+    searched = [t.searched.assign(ion=t.ion) for t in trained if t.searched is not None]
+    if searched:
+        spark.createDataFrame(pd.concat(searched, ignore_index=True)).coalesce(1).write.mode(mode).csv(f"{path}_search.csv", header=True)

@@ -465,3 +465,40 @@ def test_small_operators(spark, tmp_path):
     write_split(records, spectra, str(tmp_path / "x"), 0.3)
     sides = {s: ({r.spec_id for r in read_peprec(spark, str(tmp_path / f"x_{s}.peprec")).collect()}, {r.title for r in read_mgf(spark, str(tmp_path / f"x_{s}.mgf")).collect()}) for s in ("train", "test")}
     assert all(a == b and a for a, b in sides.values()) and sides["train"][0].isdisjoint(sides["test"][0]) and len(sides["train"][0] | sides["test"][0]) == 60
+
+
+def test_command_line_from_spectra_to_a_trained_model(spark, tmp_path, capsys):
+    """Vectors of observed spectra, forests trained on them, saved by registry name and used for prediction."""
+    from ionlake.operators.peptides import fragment_ions
+    from ionlake.plans.vectors import read_vectors
+
+    rng = np.random.default_rng(3)
+    rows = [(f"s{k}", "-", "".join(rng.choice(list("ACDEFGHIKLMNPQRSTVWY"), rng.integers(6, 12))) + "K", 2 + k % 2) for k in range(80)]
+    (tmp_path / "p.peprec").write_text("spec_id modifications peptide charge\n" + "".join(" ".join(map(str, r)) + "\n" for r in rows))
+    records = spark.createDataFrame(rows, "spec_id string, modifications string, peptide string, charge int")
+    peaks = {}
+    for r in fragment_ions(records).collect():
+        peaks.setdefault(r.spec_id, []).append((r.mz, 2000.0 if r.ion == "Y" else 100.0 * (1 + r.ionnumber)))
+    (tmp_path / "s.mgf").write_text("".join(f"BEGIN IONS\nTITLE={k}\nPEPMASS=400\n" + "".join(f"{m:.4f} {i}\n" for m, i in sorted(own)) + "END IONS\n" for k, own in peaks.items()))
+    vectors, out, folder = str(tmp_path / "v"), str(tmp_path / "t"), str(tmp_path / "models")
+    assert cli.main(["vectors", str(tmp_path / "p.peprec"), str(tmp_path / "s.mgf"), "-o", vectors], spark) == 0
+    held = read_vectors(spark, vectors)
+    assert held.count() == sum(len(r[2]) - 1 for r in rows) and set(held.first().targets) == {"B", "Y"}
+    assert cli.main(["train", vectors, "HCD", "-t", "3", "--min-rows", "5", "-e", f"again={vectors}", "--model-dir", folder, "-o", out], spark) == 0
+    history = spark.read.csv(out + "_history.csv", header=True, inferSchema=True).toPandas()
+    first, last = (history[(history["ion"] == "B") & (history["set"] == "test") & (history["round"] == k)]["mae"].item() for k in (0, history[history["ion"] == "B"]["best_round"].iloc[0]))
+    assert last < first and set(history["set"]) == {"train", "test", "again"}
+    scored = spark.read.csv(out + "_predictions.csv", header=True, inferSchema=True)
+    assert {tuple(r) for r in scored.select("ion", "set").distinct().collect()} == {(i, s) for i in "BY" for s in ("test", "again")}
+    assert spark.read.csv(out + "_importance.csv", header=True).where("name = 'prefix_length'").count() >= 1
+    assert "score_HCD2021_B" in spark.read.text(out + ".c", wholetext=True).first()[0]
+    assert cli.main(["predict", str(tmp_path / "p.peprec"), "-o", str(tmp_path / "pred"), "-f", "parquet", "-n", f"B={folder}/HCD2021_B.json", f"Y={folder}/HCD2021_Y.json"], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "pred.parquet")).count() == 2 * held.count()
+    assert cli.main(["train", vectors, "HCDch2", "-o", out], spark) == 1 and "no targets of ion type B2" in capsys.readouterr().err
+
+
+def test_search_picks_the_better_combination(vectors):
+    from ionlake.plans.training import train_model
+
+    (found,) = train_model(vectors, ["B"], "m", BoostParams(trees=3, min_rows=10, bins=16), search={"max_depth": [1, 4]}, folds=2)
+    assert found.params.max_depth == 4 and set(found.searched["max_depth"]) == {1, 4} and found.fitted.nodes["leaf"].notna().any()
