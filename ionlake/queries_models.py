@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .functions.metrics import is_compared
 from .functions.mods import MOD_STRING, SEQUENCE
 from .operators.converters import maxquant_peprec, only_common_mods, search_store
-from .operators.digest import LibraryModification, peptidoforms
+from .operators.digest import LibraryModification, digest, peptidoforms
 from .operators.features import site_features
 from .operators.spectra import remove_precursor, remove_reporters
 from .operators.windows import renamed_values
@@ -368,3 +368,19 @@ def packed_arrays(spark, sf_dir):
     held = blib_spectra({"RefSpectra": ref, "Modifications": none, "RefSpectraPeaks": rows.withColumnRenamed("user_id", "RefSpectraID")})
     total = lambda c: F.aggregate(F.col(f"peaks.{c}"), F.lit(0.0), lambda a, x: a + x.cast("double"))
     return _wide(held.select(F.col("id").alias("user_id"), F.size("peaks").alias("n"), total("mz").alias("mzs"), F.round(total("intensity"), 3).alias("intensity")))
+
+
+@query(
+    "digest_semi",
+    """WITH p AS (SELECT p_partkey AS protein, upper(regexp_replace(p_type, '[^A-Za-z]', '', 'g')) AS seq FROM part),
+c AS (SELECT *, string_split(regexp_replace(regexp_replace(seq, '(E)([^,])', '\\1,\\2', 'g'), '(E)([^,])', '\\1,\\2', 'g'), ',') AS cut FROM p),
+piece AS (SELECT protein, seq, unnest(cut) AS piece, generate_subscripts(cut, 1) AS i FROM c),
+placed AS (SELECT *, lead(piece) OVER w AS next, CAST(coalesce(sum(length(piece)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a FROM piece WINDOW w AS (PARTITION BY protein ORDER BY i)),
+spans AS (SELECT protein, seq, a, a + length(piece) AS b FROM placed UNION ALL SELECT protein, seq, a, a + length(piece) + length(next) FROM placed WHERE next IS NOT NULL),
+ends AS (SELECT protein, seq, a AS s, a + k AS e FROM spans, range(5, 9) AS r(k) WHERE a + k <= b UNION SELECT protein, seq, b - k, b FROM spans, range(5, 9) AS r(k) WHERE b - k >= a)
+SELECT protein, s AS start, substr(seq, s + 1, e - s) AS peptide, s = 0 AS is_n_term, e = length(seq) AS is_c_term FROM ends WHERE NOT regexp_matches(substr(seq, s + 1, e - s), '[BJOUXZ]')""",
+)
+def digest_semi(spark, sf_dir):
+    """Every prefix and suffix of the peptides of another enzyme, each place once."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("protein"), _residues().alias("sequence"))
+    return _wide(digest(rows, "gluc", missed_cleavages=1, min_length=5, max_length=8, semi_specific=True))
