@@ -66,6 +66,7 @@ class _Node:
     gain: float = -np.inf
     feature: int = -1
     bin: int = -1
+    sides: tuple = ()  # (gradient, rows) of its children
     children: tuple[_Node, _Node] | None = field(default=None, repr=False)
 
 
@@ -144,6 +145,8 @@ def _binned(rows: DataFrame, edges: list[np.ndarray]) -> DataFrame:
 
     def apply(batches):
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = _matrix(batch.column("x"))
             out = np.empty(x.shape, np.uint8)
             for k, own in enumerate(edges):

@@ -46,16 +46,17 @@ def own_rows(vectors):
     return np.array([x for x, _ in rows], float), np.array([y for _, y in rows])
 
 
-def brute_tree(x, g, edges, p):
-    """Best gain first, one split at a time, over the same edges."""
+def brute_tree(x, g, edges, p, train=None):
+    """Best gain first, one split at a time, over the same edges; the values of all rows, learned from those of ``train``."""
+    train = np.ones(len(x), bool) if train is None else train
     leaves, splits = [(np.ones(len(x), bool), 0)], []
 
     def best(rows, depth):
         found = (0.0, None)
-        total, n = g[rows].sum(), rows.sum()
+        total, n = g[rows & train].sum(), (rows & train).sum()
         for f in range(x.shape[1]) if depth < p.max_depth else ():
             for e in edges[f]:
-                low = rows & (x[:, f] < e)
+                low = rows & train & (x[:, f] < e)
                 a, h = g[low].sum(), low.sum()
                 if h < p.min_rows or n - h < p.min_rows:
                     continue
@@ -75,7 +76,7 @@ def brute_tree(x, g, edges, p):
         leaves += [(rows & (x[:, f] < e), depth + 1), (rows & ~(x[:, f] < e), depth + 1)]
     out = np.zeros(len(x))
     for rows, _ in leaves:
-        out[rows] = -p.step * g[rows].sum() / (rows.sum() + p.l2)
+        out[rows] = -p.step * g[rows & train].sum() / ((rows & train).sum() + p.l2)
     return out, splits
 
 
@@ -502,3 +503,23 @@ def test_search_picks_the_better_combination(vectors):
 
     (found,) = train_model(vectors, ["B"], "m", BoostParams(trees=3, min_rows=10, bins=16), search={"max_depth": [1, 4]}, folds=2)
     assert found.params.max_depth == 4 and set(found.searched["max_depth"]) == {1, 4} and found.fitted.nodes["leaf"].notna().any()
+
+
+def test_query_of_held_out_errors_against_brute_force(spark, sf_dir):
+    from ionlake import queries
+
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("held", F.pmod(F.xxhash64(F.col("l_orderkey").cast("string")), F.lit(5)) == 0).toPandas()
+    x = np.stack([lines["l_quantity"], (lines["l_discount"] * 100).round(), (lines["l_tax"] * 100).round(), lines["l_linenumber"]], 1).astype(int)
+    y, train = lines["l_extendedprice"].to_numpy() / 1000, ~lines["held"].to_numpy()
+    params = BoostParams(trees=8, max_leaves=12, patience=2)
+    edges = [sorted(set(x[train, k]))[1:] for k in range(4)]
+    margins, errors = [np.full(len(y), y[train].mean())], []
+    for _ in range(params.trees):
+        margins.append(margins[-1] + brute_tree(x, margins[-1] - y, edges, params, train)[0])
+        errors.append(np.abs(margins[-1] - y)[~train].mean())
+        if len(errors) - 1 - int(np.argmin(errors)) >= params.patience:
+            break
+    best = np.abs(margins[int(np.argmin(errors)) + 1] - y)
+    want = {line: (len(own), own.mean()) for line, own in ((k, best[x[:, 3] == k]) for k in sorted(set(x[:, 3])))}
+    got = {r.line: (r.n, r.mae) for r in queries.QUERIES["leafwise_errors"](spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], rel=1e-9) for k in want)
