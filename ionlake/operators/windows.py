@@ -76,8 +76,17 @@ def contains_all(observed: Column, predicted: Column, tolerance: float) -> Colum
     return (F.size(observed) > 0) & F.forall(predicted, near)
 
 
-#: Rows of either side, and pairs of them, that a cell of the match takes on average.
-CELL_ROWS, CELL_PAIRS = 100_000, 4_000_000
+#: Rows of either side, pairs of them, and bytes of these pairs that a cell of the match takes on average.
+CELL_ROWS, CELL_PAIRS, CELL_BYTES = 100_000, 4_000_000, 256 << 20
+
+
+def _count_and_width(rows: DataFrame) -> tuple[int, float]:
+    """How many rows there are, and the bytes of one on average: 8 for each number, text and lists by their length."""
+    lists = [F.coalesce(F.size(c), F.lit(0)) * 8 for c, k in rows.dtypes if k.startswith("array")]
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, k in rows.dtypes if k in ("string", "binary")]
+    wide = sum([*lists, *texts], F.lit(8 * len(rows.columns)))
+    got = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(wide).alias("width")).first()
+    return got["n"], got["width"] or 8.0
 
 
 def _bounds(rows: DataFrame, mz: str, ranges: int) -> np.ndarray:
@@ -89,12 +98,13 @@ def range_match(left: DataFrame, right: DataFrame, left_mz: str, right_mz: str,
     """Pairs whose m/z are strictly less than ``tolerance`` apart; null m/z match nothing.
 
     Both sides are dealt to the same ranges of m/z, and only a right row near a border stands in more than
-    one. In a range both runs are sorted and swept once. A range with more rows than a task should take,
-    such as one frequent m/z, is cut into cells: parts of the left by parts of the right. The counts that
-    decide this are one row a range.
+    one. In a range both runs are sorted and swept once. A range with more rows than a task should take, or
+    more pairs, such as one frequent m/z, is cut into cells: parts of the left by parts of the right. Pairs
+    are bounded from counts in buckets of the tolerance; what decides is one row a range.
     """
     left, right = left.where(F.col(left_mz).isNotNull()), right.where(F.col(right_mz).isNotNull())
-    n_left, n_right = left.count(), right.count()
+    (n_left, left_width), (n_right, right_width) = _count_and_width(left), _count_and_width(right)
+    cell_pairs = max(1, min(cell_pairs, int(CELL_BYTES / (left_width + right_width))))
     ranges = max(1, -(-max(n_left, n_right) // cell_rows), min(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), (n_left + n_right) // 1000))
     borders = np.unique(np.concatenate([_bounds(left, left_mz, ranges), _bounds(right, right_mz, ranges)]))
 
@@ -120,10 +130,31 @@ def range_match(left: DataFrame, right: DataFrame, left_mz: str, right_mz: str,
             out[r["range"]] = r["n"]
         return out
 
+    def bounded() -> np.ndarray:
+        """At least the pairs of each range: rows of a bucket by those of it and its neighbours."""
+        bucket = lambda mz: F.floor(F.col(mz).cast("double") / reach)
+        ours = left.groupBy(bucket(left_mz).alias("b")).agg(F.count(F.lit(1)).alias("l"))
+        near = F.explode(F.array(*[bucket(right_mz) + k for k in (-1, 0, 1)]))
+        theirs = right.select(near.alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("r"))
+        both = ours.join(theirs, "b").select((F.col("b") * F.lit(reach)).alias("x"), (F.col("l") * F.col("r")).cast("double").alias("pairs"))
+
+        def placed(batches):
+            total = np.zeros(len(borders) + 1)
+            for batch in batches:
+                x, pairs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("x", "pairs"))
+                total += np.bincount(np.searchsorted(borders, x, side="right"), pairs, len(total))
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["range", "pairs"])
+
+        out = np.zeros(len(borders) + 1)
+        for r in both.mapInArrow(placed, "range int, pairs double").groupBy("range").agg(F.sum("pairs").alias("pairs")).collect():
+            out[r["range"]] = r["pairs"]
+        # a bucket that begins before a border may lie beyond it
+        return out + np.concatenate([[0.0], out[:-1]]) if len(out) > 1 else out
+
     lefts, rights = totals(left, left_mz, 0.0), totals(right, right_mz, reach)
-    a, b = np.maximum(1, -(-lefts // cell_rows)), np.maximum(1, -(-rights // cell_rows))
-    while (dense := (lefts // a + 1) * (rights // b + 1) > 2 * cell_pairs).any():
-        wide = lefts // a >= rights // b
+    a, b, pairs = np.maximum(1, -(-lefts // cell_rows)), np.maximum(1, -(-rights // cell_rows)), bounded()
+    while (dense := (pairs > cell_pairs * a * b) & ((lefts > a) | (rights > b))).any():
+        wide = (lefts // a >= rights // b) & (lefts > a) | (rights <= b)
         a, b = np.where(dense & wide, 2 * a, a), np.where(dense & ~wide, 2 * b, b)
     firsts = np.concatenate([[0], np.cumsum(a * b)])  # the cells of a range lie side by side
 
