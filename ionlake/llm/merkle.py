@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
