@@ -4,7 +4,8 @@ White space becomes a marker, a marker is put in front, and the text is cut into
 log scores add up highest: Viterbi's algorithm over a double-array trie of the pieces' UTF-8
 bytes. A character that no piece covers falls back to its bytes. As no piece holds a marker or a
 line feed after another character, the best path passes every such place, so the text is cut
-there first and each distinct chunk of a batch is segmented once, all of them in step.
+there first and each distinct chunk of a batch is segmented once, all of them in step: first
+every piece that lies in a chunk is found, then the paths grow start by start.
 
 The vocabulary file orders its pieces by merge rank and has no probabilities. Log scores are
 derived from the rank by a Zipf-Mandelbrot law; they are never trained.
@@ -26,8 +27,8 @@ MARK = "▁"
 #: Shift of the rank law, and what an uncovered character costs below the worst piece.
 SHIFT, FALLBACK_COST = 2.7, 10.0
 CACHE_CHUNKS = 300_000
-#: Chunks of up to these bytes are segmented in step; longer ones one by one.
-WIDTHS = (12, 24, 48, 96)
+#: Chunks of up to LONG characters are segmented in step, about TOGETHER characters at a time; longer ones one by one.
+LONG, TOGETHER = 96, 150_000
 CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 
 
@@ -121,60 +122,74 @@ class Pieces:
         self.usable = usable
 
 
-def _char_lengths(first: np.ndarray) -> np.ndarray:
-    return np.where(first < 0x80, 1, np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, 4)))
+def viterbi(chunks: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best ids of all chunks, one after the other, where each chunk's ids end, and its score.
 
-
-def viterbi(chunks: list[bytes], pieces: Pieces) -> list[tuple[list[int], float]]:
-    """Best ids and score of each chunk; of equal scores the path found from the earliest start stays."""
-    n, width = len(chunks), max(map(len, chunks))
-    data = np.zeros((n, width + 1), np.int32)
-    for k, c in enumerate(chunks):
-        data[k, : len(c)] = np.frombuffer(c, np.uint8)
-    length = np.array([len(c) for c in chunks])
-    best = np.full((n, width + 1), -np.inf)
-    best[:, 0] = 0
-    back = np.zeros((n, width + 1), np.int32)
-    piece = np.full((n, width + 1), -1, np.int32)
+    Of equal scores the path found from the earliest start stays. A chunk takes a cell for each byte
+    and one for its end; no piece leads beyond an end.
+    """
+    held = pa.array(chunks, pa.string())
+    at = np.frombuffer(held.buffers()[1], np.int32, len(chunks) + 1)
+    length = np.diff(at)
+    last = at[1:] + np.arange(len(chunks))  # the cells of the chunks' ends
+    first = last - length
+    data = np.full(last[-1] + 1, 256, np.int32)
+    inside = np.ones(len(data), bool)
+    inside[last] = False
+    data[inside] = np.frombuffer(held.buffers()[2], np.uint8, at[-1])
+    # every piece that lies in a chunk, by start and end; what a character without a piece of its own falls back to
     trie, score = pieces.trie, pieces.score
-    for s in range(width):
-        rows = np.flatnonzero((best[:, s] > -np.inf) & (length > s))
-        if not len(rows):
-            continue
-        one = s + _char_lengths(data[rows, s])
-        start = best[rows, s]
-        single = np.zeros(len(rows), bool)
-        live, state = np.arange(len(rows)), np.zeros(len(rows), np.int32)
-        for e in range(s, width):
-            inside = length[rows[live]] > e
-            live, state = live[inside], state[inside]
-            state = trie.step(state, data[rows[live], e])
-            ok = state >= 0
-            live, state = live[ok], state[ok]
-            if not len(live):
-                break
-            found = trie.value[state]
-            hit = found >= 0
-            k, p = live[hit], found[hit]
-            single[k[one[k] == e + 1]] = True
-            value = start[k] + score[p]
-            better = value > best[rows[k], e + 1]
-            k, p, value = k[better], p[better], value[better]
-            best[rows[k], e + 1], back[rows[k], e + 1], piece[rows[k], e + 1] = value, s, p
-        k = np.flatnonzero(~single)
-        end, value = one[k], start[k] + pieces.fallback
-        better = value > best[rows[k], end]
-        k, end, value = k[better], end[better], value[better]
-        best[rows[k], end], back[rows[k], end], piece[rows[k], end] = value, s, -1
-    out = []
-    for k, c in enumerate(chunks):
-        at, ids = len(c), []
-        while at:
-            s = int(back[k, at])
-            ids += [int(piece[k, at])] if piece[k, at] >= 0 else [int(pieces.byte_ids[b]) for b in reversed(c[s:at])]
-            at = s
-        out.append((ids[::-1], float(best[k, len(c)])))
-    return out
+    starts = np.flatnonzero(inside & ((data & 0xC0) != 0x80))
+    lead = data[starts]
+    one = starts + np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
+    alone = np.zeros(len(starts), bool)
+    live, cell, state = np.arange(len(starts)), starts, np.zeros(len(starts), np.int32)
+    found = []
+    while len(live):
+        state = trie.step(state, data[cell])
+        ok = np.flatnonzero(state >= 0)
+        live, cell, state = live[ok], cell[ok] + 1, state[ok]
+        value = trie.value[state]
+        hit = np.flatnonzero(value >= 0)
+        own = live[hit]
+        found.append((own, cell[hit], value[hit]))
+        alone[own[one[own] == cell[hit]]] = True
+    own = np.flatnonzero(~alone)
+    found.append((own, one[own], np.full(len(own), -1, np.int32)))
+    own, end, piece = (np.concatenate(x) for x in zip(*found))
+    begin = starts[own]
+    worth = np.where(piece >= 0, score[piece], pieces.fallback)
+    # start by start in all chunks at once: from one start, no two pieces end at the same cell
+    place = (np.arange(len(data)) - np.repeat(first, length + 1))[begin].astype(np.uint16)
+    order = np.argsort(place, kind="stable")
+    begin, end, piece, worth = begin[order], end[order], piece[order], worth[order]
+    best, back, taken = np.full(len(data), -np.inf), np.zeros(len(data), np.int64), np.full(len(data), -1, np.int32)
+    best[first] = 0
+    cuts = np.r_[0, np.cumsum(np.bincount(place))]
+    for x, y in zip(cuts[:-1], cuts[1:]):
+        s, e, value = begin[x:y], end[x:y], worth[x:y]
+        value = best[s] + value
+        better = np.flatnonzero(value > best[e])
+        e = e[better]
+        best[e], back[e], taken[e] = value[better], s[better], piece[x:y][better]
+    # the cells where a token of the best path ends
+    path = np.zeros(len(data), bool)
+    now, floor = last[length > 0], first[length > 0]
+    while len(now):
+        path[now] = True
+        now = back[now]
+        more = np.flatnonzero(now > floor)
+        now, floor = now[more], floor[more]
+    cells = np.flatnonzero(path)
+    ids, size = taken[cells], np.ones(len(cells), np.int64)
+    bare = ids < 0
+    size[bare] = (cells - back[cells])[bare]
+    stops = np.r_[0, np.cumsum(size)]
+    if bare.any():
+        ids, spread = np.repeat(ids, size), np.repeat(bare, size)
+        source = np.arange(len(ids)) + np.repeat(back[cells] - stops[:-1], size)
+        ids[spread] = pieces.byte_ids[data[source[spread]]]
+    return ids, stops[np.searchsorted(cells, last, side="right")], best[last]
 
 
 def viterbi_long(chunk: bytes, pieces: Pieces) -> tuple[list[int], float]:
@@ -217,16 +232,21 @@ class PieceEncoder:
         self._mark_bytes = np.array([pieces.byte_ids[b] for b in mark], "<u4").tobytes()
 
     def _fill(self, chunks: list[str]) -> None:
-        by_width: dict[int, list[str]] = {}
+        parts, size = [[]], 0
         for c in chunks:
-            n = len(c.encode())
-            by_width.setdefault(next((w for w in WIDTHS if n <= w), 0), []).append(c)
-        for width, own in by_width.items():
-            for k in range(0, len(own), 20_000):
-                part = own[k : k + 20_000]
-                data = [c.encode() for c in part]
-                got = viterbi(data, self.pieces) if width else [viterbi_long(d, self.pieces) for d in data]
-                self.cache.update((c, (np.array(ids, "<u4").tobytes(), score)) for c, (ids, score) in zip(part, got))
+            if len(c) > LONG:
+                ids, value = viterbi_long(c.encode(), self.pieces)
+                self.cache[c] = (np.array(ids, "<u4").tobytes(), value)
+                continue
+            if size > TOGETHER:
+                parts.append([])
+                size = 0
+            parts[-1].append(c)
+            size += len(c)
+        for part in filter(None, parts):
+            ids, ends, score = viterbi(part, self.pieces)
+            data, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+            self.cache.update(zip(part, zip([data[x:y] for x, y in zip([0, *ends], ends)], score.tolist())))
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, float]]:
         """Little-endian uint32 ids and log score of each text. A marker character in the text itself is written as bytes."""
@@ -244,10 +264,11 @@ class PieceEncoder:
             else:
                 cut.append(CHUNK.findall(MARK + t.replace(" ", MARK)))
         self.cache[""] = (self._mark_bytes, self.pieces.fallback)
-        missing = list(set().union(*cut) - self.cache.keys())
-        if len(self.cache) + len(missing) > CACHE_CHUNKS:
-            self.cache = {"": (self._mark_bytes, self.pieces.fallback)}
-            missing = list(set().union(*cut) - {""})
+        present = set().union(*cut)
+        missing = list(present - self.cache.keys())
+        if len(self.cache) + len(missing) > CACHE_CHUNKS:  # what these texts use stays
+            present.add("")
+            self.cache = {c: self.cache[c] for c in present & self.cache.keys()}
         self._fill(missing)
         get, out = self.cache.__getitem__, []
         for chunks in cut:

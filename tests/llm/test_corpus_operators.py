@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from ionlake.llm.exact_dedup import exact_dedup
 from ionlake.llm.language_id import language_id, marginals
 from ionlake.llm import lm_score as lm
+from ionlake.llm import sentence_pieces
 from ionlake.llm.lm_score import lm_score
 from ionlake.llm.near_dedup import bag_min_hash, connected_components, near_dedup, shingle_multisets
 from ionlake.llm.packing import ChunkEncoder, best_fit_decreasing, bin_lower_bound, pack_documents
 from ionlake.llm.quality_classifier import quality_scores
 from ionlake.llm.quality_rules import quality_rules
 from ionlake.llm.secret_scan import find_secrets, log_ratio_table, ratio, secret_scan
-from ionlake.llm.sentence_pieces import MARK, PieceEncoder, Pieces, decode_pieces, encode_pieces, viterbi_long
+from ionlake.llm.sentence_pieces import MARK, PieceEncoder, Pieces, decode_pieces, encode_pieces, viterbi, viterbi_long
 from ionlake.llm.sharding import shard_by_bytes
 
 BPE, SP = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -441,6 +442,33 @@ def test_viterbi_is_optimal():
         assert abs(viterbi_long(data, pieces)[1] - best[-1]) < 1e-9
 
 
+def test_viterbi_of_many_chunks_is_that_of_each():
+    import random
+
+    pieces, rng = Pieces(SP), random.Random(2)
+    chunks = sorted({"".join(rng.choice([*"aeh1 éß漢😀\0", "the", "ing", MARK]) for _ in range(rng.randint(1, 60))) for _ in range(400)})
+    ids, ends, score = viterbi(chunks, pieces)
+    for c, a, b, value in zip(chunks, [0, *ends.tolist()[:-1]], ends.tolist(), score.tolist(), strict=True):
+        assert (ids[a:b].tolist(), value) == viterbi_long(c.encode(), pieces)
+
+
+def test_sentence_pieces_segment_frequent_words_once(monkeypatch):
+    segmented = Counter()
+
+    class Counted(PieceEncoder):
+        def _fill(self, chunks):
+            segmented.update(chunks)
+            super()._fill(chunks)
+
+    monkeypatch.setattr(sentence_pieces, "CACHE_CHUNKS", 300)
+    encoder, pieces = Counted(Pieces(SP)), PieceEncoder(Pieces(SP))
+    for k in range(20):  # each text brings 90 words that never come again, so the cache overflows
+        text = " ".join(["often", "again"] + [f"rare{k}x{j}" for j in range(90)])
+        assert encoder.encode([text]) == pieces.encode([text])
+    assert segmented[MARK + "often"] == segmented[MARK + "again"] == 1
+    assert len(encoder.cache) <= 300
+
+
 def test_near_dedup(docs, rows):
     got = near_dedup(docs).collect()
     assert len(got) == len(rows)
