@@ -20,8 +20,9 @@ distinct words. Nothing holds more than a unit or a block, and all counts grow w
 from __future__ import annotations
 
 import io
+import itertools
 import zlib
-from collections import Counter
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -473,23 +474,34 @@ def _word_group(word: bytes, groups: int) -> int:
     return zlib.crc32(word) % groups
 
 
-def _block_words(texts: list[bytes], held: list[bool], groups: int) -> dict[int, dict[bytes, int]]:
-    """The block's distinct words by group, with their training counts."""
-    counts: dict[bytes, int] = Counter()
-    unseen: set[bytes] = set()
-    for t, h in zip(texts, held):
-        if h:
-            unseen.update(t.split())
-        else:
-            counts.update(t.split())
-    counts[END_TOKEN] = len(held) - sum(held)
-    for w in unseen:
-        if w not in counts:
-            counts[w] = 0
-    out: dict[int, dict[bytes, int]] = {}
-    for w in sorted(counts):
-        out.setdefault(_word_group(w, groups), {})[w] = counts[w]
-    return out
+def _numbered_words(texts: list[bytes]) -> tuple[dict[bytes, int], list[np.ndarray]]:
+    """The distinct words in the order they come, the end first, and the numbers of each text's words."""
+    index: dict[bytes, int] = defaultdict(itertools.count().__next__)
+    index[END_TOKEN]
+    number = index.__getitem__
+    found = []
+    for t in texts:
+        words = t.split()
+        found.append(np.fromiter(map(number, words), np.int32, len(words)))
+    return index, found
+
+
+def _word_groups(words, groups: int) -> dict[int, np.ndarray]:
+    """The places of the words of each group, groups and places ascending."""
+    group = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % np.uint32(groups)
+    order = np.argsort(group, kind="stable")
+    cuts = np.r_[0, np.cumsum(np.bincount(group))]
+    return {g: order[a:b] for g, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a}
+
+
+def _block_words(texts: list[bytes], held: list[bool], groups: int):
+    """The block's distinct words by group, with their training counts: (group, words, counts)."""
+    index, found = _numbered_words(texts)
+    own = [x for x, h in zip(found, held) if not h]
+    counts = np.bincount(np.concatenate([np.zeros(len(own), np.int32), *own]), minlength=len(index))
+    words = list(index)
+    for g, places in _word_groups(words, groups).items():
+        yield g, list(map(words.__getitem__, places.tolist())), counts[places]
 
 
 def _ask(units: Units, groups: int, depth: int):
@@ -500,9 +512,9 @@ def _ask(units: Units, groups: int, depth: int):
             words, n = _block_pairs(texts, held, depth)
             cut = units.cut(words, depth)
             rows = [(k, pack_pairs([w[a:b] for w in words], n[a:b], depth)) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-            for g, own in _block_words(texts, held, groups).items():
-                names = b"\n".join(own)
-                rows.append((-1 - g, zstandard.ZstdCompressor(level=1).compress(np.array([len(own), *own.values()], "<u8").tobytes() + names)))
+            for g, own, counts in _block_words(texts, held, groups):
+                data = np.r_[len(own), counts].astype("<u8").tobytes() + b"\n".join(own)
+                rows.append((-1 - g, zstandard.ZstdCompressor(level=1).compress(data)))
             for k in range(0, len(rows), 64):
                 unit, data = zip(*rows[k : k + 64])
                 yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int32()), pa.array([block] * len(unit), pa.int64()), pa.array(data, pa.binary())], names=["unit", "block", "data"])
@@ -535,15 +547,18 @@ def _unit_rows(data: list[bytes], depth: int):
     return (*merged(parts), [len(p[1]) for p in parts])
 
 
-def _counted_words(data: list[bytes]):
-    counts: dict[bytes, int] = {}
-    asked = []
+def _counted_words(data: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The counts of the distinct words of all blocks, and the places of each block's words among them."""
+    index: dict[bytes, int] = defaultdict(itertools.count().__next__)
+    counts, asked = np.zeros(0, np.int64), []
     for d in data:
         names, n = _asked_words(d)
-        asked.append(names)
-        for w, k in zip(names, n.tolist()):
-            counts[w] = counts.get(w, 0) + k
-    return counts, asked
+        places = np.fromiter(map(index.__getitem__, names), np.int64, len(names))
+        if len(index) > len(counts):
+            counts = np.r_[counts, np.zeros(max(len(index), 2 * len(counts)) - len(counts), np.int64)]
+        counts[places] += n  # a block's words are distinct
+        asked.append(places)
+    return counts[: len(index)], asked
 
 
 def _sum_up(units: Units, depth: int):
@@ -552,7 +567,7 @@ def _sum_up(units: Units, depth: int):
     def sum_up(batches):
         for unit, (data,) in _groups(batches, ["unit", "data"]):
             if unit < 0:
-                n = np.array(list(_counted_words(data)[0].values()))
+                n, _ = _counted_words(data)
                 tokens, known, out = int(n.sum()), int((n > 0).sum()), b""
             else:
                 words, n, _, _ = _unit_rows(data, depth)
@@ -570,7 +585,7 @@ def _answer(units: Units, depth: int):
         for unit, (block, data, state) in _groups(batches, ["unit", "block", "data", "state"]):
             if unit < 0:
                 counts, asked = _counted_words(data)
-                out = [pack_numbers(np.array([counts[w] for w in own], np.int64)) for own in asked]
+                out = [pack_numbers(counts[own]) for own in asked]
             else:
                 above = np.frombuffer(state[0], np.float64).reshape(DECISIONS, 3).T
                 words, n, place, sizes = _unit_rows(data, depth)
@@ -609,19 +624,14 @@ def _add_up(units: Units, groups: int, depth: int, tokens: int, distinct_words:
             answers = dict(zip(unit[1:], data[1:]))
             value = np.concatenate([unpack_numbers(answers[k], np.float32) for k in sorted(answers) if k >= 0])
             score = _scores(texts, depth, value)
-            index: dict[bytes, int] = {}
-            counts = []
-            for g, own in _block_words(texts, held, groups).items():
-                index.update(zip(own, range(len(index), len(index) + len(own))))
-                counts.append(unpack_numbers(answers[-1 - g], np.int64))
-            count = np.concatenate(counts)
+            index, words = _numbered_words(texts)
+            count, end = np.zeros(len(index), np.int64), index[END_TOKEN]
+            for g, places in _word_groups(index, groups).items():
+                count[places] = unpack_numbers(answers[-1 - g], np.int64)
             worth, found = np.log10(count + 0.5) - total, count > 0
-            end = index[END_TOKEN]
             lengths, known, base = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            for k, t in enumerate(texts):
-                own = t.split()
-                ids = np.fromiter(map(index.__getitem__, own), np.int64, len(own))
-                lengths[k], known[k], base[k] = len(own), found[ids].sum() + found[end], worth[ids].sum() + worth[end]
+            for k, ids in enumerate(words):
+                lengths[k], known[k], base[k] = len(ids), found[ids].sum() + found[end], worth[ids].sum() + worth[end]
             yield from pa.Table.from_arrays(
                 [rows.column("id"), rows.column("held_out"), pa.array(lengths + 1), pa.array(known), pa.array(base), pa.array(score)], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"]
             ).to_batches(max_chunksize=10_000)

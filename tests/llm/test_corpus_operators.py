@@ -202,6 +202,30 @@ def test_lm_score(docs, rows):
         assert r.score < 0
 
 
+def test_lm_score_words_are_numbered_once_and_counted_by_group():
+    texts, held = [b"a bb a\x0bccc", b"", b"bb dd\xc3\xa9 \xc2\xa0", b"a a ccc"], [False, False, True, False]
+    words = [t.split() for t in texts]
+    index, found = lm._numbered_words(texts)
+    assert list(index) == [lm.END_TOKEN, b"a", b"bb", b"ccc", b"dd\xc3\xa9", b"\xc2\xa0"]
+    assert [[list(index)[k] for k in own] for own in found] == words
+    want = Counter(w for own, h in zip(words, held) if not h for w in [*own, lm.END_TOKEN])
+    for groups in (1, 3, 1000):
+        blocks = []
+        for own, kept in ((texts, held), (texts[1:], held[1:]), ([b"new a"], [True])):
+            blocks.append({g: (names, n) for g, names, n in lm._block_words(own, kept, groups)})
+            assert all(zlib.crc32(w) % groups == g for g, (names, _) in blocks[-1].items() for w in names)
+        got = {w: n for names, values in blocks[0].values() for w, n in zip(names, values.tolist(), strict=True)}
+        assert got == {w: want[w] for w in index}
+        for g in {g for b in blocks for g in b}:
+            asked = [b[g] for b in blocks if g in b]
+            data = [lm.zstandard.compress(np.r_[len(names), n].astype("<u8").tobytes() + b"\n".join(names)) for names, n in asked]
+            total = Counter()
+            for names, n in asked:
+                total.update(dict(zip(names, n.tolist())))
+            counts, places = lm._counted_words(data)
+            assert [counts[x].tolist() for x in places] == [[total[w] for w in names] for names, _ in asked]
+
+
 def test_lm_score_against_recursion(spark):
     """The query's scores, through blocks, units and trunk, and the definition, for several depths."""
     import random
