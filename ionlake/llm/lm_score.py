@@ -38,8 +38,8 @@ DEPTH = 7
 FOLDS, HELD_OUT = 5, 1
 #: Text of a block; a longer text is a block alone.
 BLOCK_BYTES = 8 << 20
-#: Positions whose pairs are sorted at once.
-CHUNK = 1 << 20
+#: Positions whose pairs are made at once, and about how many are sorted at once.
+CHUNK, SORTED = 1 << 20, 9 << 20
 #: Training text behind a unit; from MAX_UNITS units on they grow instead.
 UNIT_BYTES, MAX_UNITS = 8 << 20, 1 << 14
 #: Sampled positions a unit, for the borders of units alone; borders lie within BORDER bytes of context.
@@ -275,7 +275,7 @@ def subtree_sums(levels: list[Level]) -> np.ndarray:
 
 def log_probabilities(levels: list[Level], state: np.ndarray) -> np.ndarray:
     """log10 P(byte | context) of the deepest level's rows; ``state`` (3, DECISIONS) is that of the parent."""
-    out = np.zeros(len(levels[0].n))
+    out = np.ones(len(levels[0].n))
     for bit in range(BITS):
         own = _weights(levels, bit)
         decision = (1 << bit) - 1 + (levels[-1].byte[own[-1][0]].astype(np.int64) >> (BITS - bit))
@@ -287,8 +287,8 @@ def log_probabilities(levels: list[Level], state: np.ndarray) -> np.ndarray:
             now = visit(now, total, ones, np.exp(np.minimum(0.0, kt - LN2 - pw)) if k else 1.0)
         one = (now[0] + now[1] * now[2])[node]
         is_one = ((levels[0].byte >> np.uint8(BITS - 1 - bit)) & np.uint8(1)).astype(bool)
-        out += np.log(np.where(is_one, one, 1.0 - one))
-    return out / np.log(10.0)
+        out *= np.where(is_one, one, 1.0 - one)
+    return np.log10(out)
 
 
 # Units and the trunk above them.
@@ -455,19 +455,42 @@ def _chunks(texts: list[bytes], depth: int):
         yield made()
 
 
+def _runs(texts: list[bytes], depth: int):
+    """Distinct pairs and how often each occurs, of about SORTED positions at a time."""
+    held, size = [], 0
+    for _, words in _chunks(texts, depth):
+        held.append(words)
+        size += len(words[0])
+        if size >= SORTED:
+            yield distinct(_joined(held))
+            held, size = [], 0
+    if held:
+        yield distinct(_joined(held))
+
+
+def _joined(parts: list) -> list[np.ndarray]:
+    """Each word of all parts, one part after the other; empties ``parts``."""
+    columns = list(zip(*parts))
+    parts.clear()
+    return [np.concatenate(columns.pop(0)) for _ in range(len(columns))]
+
+
 def _block_pairs(texts: list[bytes], held: list[bool], depth: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The block's distinct pairs, sorted, with their training counts."""
-    found = []
-    for own, wanted in (([t for t, h in zip(texts, held) if not h], 1), ([t for t, h in zip(texts, held) if h], 0)):
-        for _, words in _chunks(own, depth):
-            rows, n = distinct(words)
-            found.append((rows, (n * wanted).astype(np.int32)))
+    learned, asked = ([(words, n.astype(np.int32)) for words, n in _runs([t for t, h in zip(texts, held) if h == out], depth)] for out in (False, True))
+    if len(learned) == len(asked) == 1 and depth <= 7:  # what only the held-out texts ask goes between, with no counts
+        ((rows,), n), ((other,), _) = learned.pop(), asked.pop()
+        place = np.searchsorted(rows, other)
+        fresh = np.flatnonzero(rows[np.minimum(place, len(rows) - 1)] != other)
+        return [np.insert(rows, place[fresh], other[fresh])], np.insert(n, place[fresh], 0)
+    found = learned + [(words, np.zeros_like(n)) for words, n in asked]
+    del learned, asked
+    if len(found) == 1:
+        return found[0]
     made = [(words, n) for words, n, _, _ in _by_first_byte(found, depth)]
     found.clear()
     n = np.concatenate([n for _, n in made])
-    columns = list(zip(*(words for words, _ in made)))
-    del made
-    return [np.concatenate(columns.pop(0)) for _ in range(len(columns))], n
+    return _joined([made.pop(0)[0] for _ in range(len(made))]), n
 
 
 def _word_group(word: bytes, groups: int) -> int:

@@ -226,6 +226,32 @@ def test_lm_score_words_are_numbered_once_and_counted_by_group():
             assert [counts[x].tolist() for x in places] == [[total[w] for w in names] for names, _ in asked]
 
 
+def test_lm_score_sorts_a_block_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [rng.choice(np.frombuffer(b"aab \xff\x00", np.uint8), n).tobytes() for n in (40, 0, 3000, 700, 1, 900)]
+    real = lm.merged
+    for held in ([False, True, False, True, False, True], [False] * 6, [True] * 6, [True, False, True, True, True, True]):
+        for depth in (1, 3, 7, 8, 9):
+            want = Counter()
+            for t, h in zip(texts, held):
+                for k, b in enumerate(t + b"\0"):
+                    want[(b"\0" * depth + t)[k : k + depth][::-1] + bytes([b])] += not h
+            merges = []
+            monkeypatch.setattr(lm, "merged", lambda parts: merges.append(len(parts)) or real(parts))
+            words, n = lm._block_pairs(texts, held, depth)
+            monkeypatch.setattr(lm, "merged", real)
+            rows = [bytes(x) for x in zip(*(lm._byte(words, depth, j).tolist() for j in range(depth + 1)))]
+            assert rows == sorted(want) and n.tolist() == [want[x] for x in rows]
+            assert depth > 7 or not merges
+        for limit in (1, 1000):  # several runs of positions are added up
+            monkeypatch.setattr(lm, "SORTED", limit)
+            monkeypatch.setattr(lm, "CHUNK", 500)
+            parts = lm._block_pairs(texts, held, 7)
+            monkeypatch.undo()
+            whole = lm._block_pairs(texts, held, 7)
+            assert (parts[0][0] == whole[0][0]).all() and (parts[1] == whole[1]).all() and len(parts[1]) == len(whole[1])
+
+
 def test_lm_score_against_recursion(spark):
     """The query's scores, through blocks, units and trunk, and the definition, for several depths."""
     import random
