@@ -160,7 +160,7 @@ def viterbi(chunks: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray,
     begin = starts[own]
     worth = np.where(piece >= 0, score[piece], pieces.fallback)
     # start by start in all chunks at once: from one start, no two pieces end at the same cell
-    place = (np.arange(len(data)) - np.repeat(first, length + 1))[begin].astype(np.uint16)
+    place = (np.arange(len(data)) - np.repeat(first, length + 1))[begin].astype(np.min_scalar_type(length.max()))
     order = np.argsort(place, kind="stable")
     begin, end, piece, worth = begin[order], end[order], piece[order], worth[order]
     best, back, taken = np.full(len(data), -np.inf), np.zeros(len(data), np.int64), np.full(len(data), -1, np.int32)
