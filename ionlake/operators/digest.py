@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mods import format_mods
 from ..functions.residues import INVALID_RESIDUES
+from ..plans.storage import stored_table
 
 #: Where a sequence is cut, as zero-width patterns.
 CLEAVAGE_RULES = {
@@ -27,6 +28,7 @@ CLEAVAGE_RULES = {
 
 #: Peptides that are cut out at a time.
 _CUT_ROWS = 200_000
+_BANNED = np.frombuffer(INVALID_RESIDUES.encode("utf-32-le"), np.uint32)
 
 
 def _cuts(sequence: str, rule: str) -> np.ndarray:
@@ -79,6 +81,35 @@ def _cut_out(sequence: str, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.frombuffer(sequence.encode(), np.uint8)[places]))
 
 
+def _bad_before(sequence: str) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, how many residues of unknown mass stand before each place)."""
+    codes = np.frombuffer(sequence.encode("utf-32-le"), np.uint32)
+    return codes, np.concatenate([[0], np.cumsum(np.isin(codes, _BANNED))])
+
+
+def _windows(codes: np.ndarray, length: int) -> np.ndarray:
+    """A number for each window of ``length`` codes: equal for equal windows and no others.
+
+    Windows grow by joining two that overlap; where the next would not fit 63 bits, they are numbered anew.
+    """
+    keys = codes.astype(np.int64) - int(codes.min())
+    bits, width = max(1, int(keys.max()).bit_length()), 1
+    numbered = 0  # how many different windows there are, once they are numbers without places
+    while width < length:
+        more = min(width, length - width)
+        if not numbered and bits * (width + more) > 63:
+            found, keys = np.unique(keys, return_inverse=True)
+            numbered = len(found)
+        ahead, behind = keys[: len(keys) - more], keys[more:]
+        if numbered:
+            found, keys = np.unique(ahead * numbered + behind, return_inverse=True)
+            numbered = len(found)
+        else:
+            keys = (ahead >> bits * (width - more)) << bits * width | behind
+        width += more
+    return keys
+
+
 def digest(
     proteins: DataFrame,
     rule: str = "trypsin",
@@ -102,7 +133,6 @@ def digest(
     if min_length < 1:
         raise ValueError("min_length must be positive")
     kind = proteins.schema[id_col].dataType.simpleString()
-    banned = np.frombuffer(INVALID_RESIDUES.encode("utf-32-le"), np.uint32)
 
     def apply(batches):
         for batch in batches:
@@ -110,8 +140,7 @@ def digest(
             for k, sequence in enumerate(batch.column("seq").to_pylist()):
                 if not sequence:
                     continue
-                codes = np.frombuffer(sequence.encode("utf-32-le"), np.uint32)
-                bad = np.concatenate([[0], np.cumsum(np.isin(codes, banned))])
+                bad = _bad_before(sequence)[1]
                 for starts, ends in _spans(sequence, rule, missed_cleavages, min_length, max_length, semi_specific):
                     good = bad[ends] == bad[starts]
                     starts, ends = starts[good], ends[good]
@@ -133,6 +162,65 @@ def _one_batch(parts: list[list[pa.Array]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts, strict=True)], names=["protein", "start", "peptide", "is_n_term", "is_c_term"])
 
 
+def by_repeats(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """(rows whose ``key`` occurs once, the others or None); null is a key too. Keys are counted eagerly."""
+    again = stored_table(rows.groupBy(F.col(key).alias("_again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_again"), "repeated")
+    if again.isEmpty():
+        return rows, None
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    return rows.join(again, same, "left_anti"), rows.join(again, same, "left_semi")
+
+
+def peptide_counts(
+    proteins: DataFrame,
+    rule: str = "trypsin",
+    missed_cleavages: int = 2,
+    min_length: int = 8,
+    max_length: int = 30,
+    semi_specific: bool = False,
+    id_col: str = "protein",
+    seq_col: str = "sequence",
+) -> DataFrame:
+    """(protein, n, n_distinct, sum_start) of each protein's ``digest``; a protein without peptides has no row.
+
+    Peptides are counted where their sequence lies, as numbers, and never leave it. Only proteins that stand
+    in several rows are digested to peptides, as these may be the same in two rows.
+    """
+    if min_length < 1:
+        raise ValueError("min_length must be positive")
+    kind = proteins.schema[id_col].dataType.simpleString()
+
+    def counts(sequence: str) -> tuple[int, int, int]:
+        codes, bad = _bad_before(sequence)
+        held: dict[int, list[np.ndarray]] = {}
+        for starts, ends in _spans(sequence, rule, missed_cleavages, min_length, max_length, semi_specific):
+            good = bad[ends] == bad[starts]
+            starts, lengths = starts[good], (ends - starts)[good]
+            for length in np.unique(lengths).tolist():
+                held.setdefault(length, []).append(starts[lengths == length])
+        n = distinct = total = 0
+        for length, parts in held.items():
+            starts = np.concatenate(parts)
+            keys = np.sort(_windows(codes, length)[starts])
+            n, distinct, total = n + len(starts), distinct + 1 + int(np.count_nonzero(keys[1:] != keys[:-1])), total + int(starts.sum())
+        return n, distinct, total
+
+    def apply(batches):
+        for batch in batches:
+            found = np.array([counts(x) if x else (0, 0, 0) for x in batch.column("seq").to_pylist()], np.int64).reshape(-1, 3)
+            some = np.flatnonzero(found[:, 0])
+            own = batch.column("protein").take(pa.array(some))
+            yield pa.RecordBatch.from_arrays([own, *(pa.array(found[some, k]) for k in range(3))], names=["protein", "n", "n_distinct", "sum_start"])
+
+    once, repeated = by_repeats(proteins, id_col)
+    rows = once.select(F.col(id_col).alias("protein"), F.upper(F.col(seq_col)).alias("seq"))
+    counted = rows.mapInArrow(apply, f"protein {kind}, n long, n_distinct long, sum_start long")
+    if repeated is None:
+        return counted
+    found = digest(repeated, rule, missed_cleavages, min_length, max_length, semi_specific, id_col, seq_col)
+    return counted.unionByName(found.groupBy("protein").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("peptide").alias("n_distinct"), F.sum("start").alias("sum_start")))
+
+
 def with_decoys(proteins: DataFrame, id_col: str = "protein", seq_col: str = "sequence", prefix: str = "DECOY_") -> DataFrame:
     """Targets, and each one reversed behind its first residue; ``is_decoy`` tells them apart."""
     seq = F.col(seq_col)
