@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -192,6 +195,38 @@ def add_fixed(peptide: Column, pairs: Column, fixed: dict[str, str], n_term: str
     return F.array_distinct(found.cast(kind))
 
 
+def _fixed_strings(peptides: pa.Array, fixed: dict[str, str]) -> pa.Array:
+    text = peptides.cast(pa.string())
+    lengths = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+    data = np.frombuffer(b"".join(text.drop_null().cast(pa.binary()).to_pylist()), np.uint8)
+    kind = np.full(256, -1, np.int16)
+    for k, residue in enumerate(fixed):
+        kind[ord(residue)] = k
+    at = np.flatnonzero(kind[data] >= 0)
+    ends = np.cumsum(lengths)
+    row = np.searchsorted(ends, at, side="right")
+    place = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # characters before each byte
+    pos = place[at] - place[(ends - lengths)[row]] + 1
+    names = pa.array(list(fixed.values()), pa.string()).take(pa.array(kind[data[at]]))
+    each = pc.binary_join_element_wise(pa.array(pos).cast(pa.string()), names, "|")
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(text) + 1)), pa.int32()), each)
+    joined = pc.binary_join(lists, "|")
+    return pc.if_else(text.is_null(), pa.scalar(None, pa.string()), pc.if_else(pc.equal(joined, ""), "-", joined))
+
+
+def fixed_mods(peptide: Column, fixed: dict[str, str]) -> Column:
+    """``format_mods(add_fixed(peptide, none, fixed))`` in Arrow batches, for residues of one ASCII letter.
+
+    Not deterministic to the planner, so that a filter on the string does not make it a second time.
+    """
+
+    @F.arrow_udf("string")
+    def make(peptides: pa.Array) -> pa.Array:
+        return _fixed_strings(peptides, fixed)
+
+    return make.asNondeterministic()(peptide)
+
+
 def residue_suffix(peptide: Column, pairs: Column, name: str, residues: str = "STY") -> Column:
     """``name`` becomes ``nameS``, ``nameT``, ... by the residue at its position."""
     def rename(m):

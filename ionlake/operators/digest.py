@@ -163,8 +163,8 @@ def _one_batch(parts: list[list[pa.Array]]) -> pa.RecordBatch:
 
 
 def by_repeats(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
-    """(rows whose ``key`` occurs once, the others or None); null is a key too. Keys are counted eagerly."""
-    again = stored_table(rows.groupBy(F.col(key).alias("_again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_again"), "repeated")
+    """(rows whose ``key`` occurs once, the others or None); null counts as repeated. Keys are counted eagerly."""
+    again = stored_table(rows.groupBy(F.col(key).alias("_again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or _again is null").select("_again"), "repeated")
     if again.isEmpty():
         return rows, None
     same = F.col(key).eqNullSafe(F.col("_again"))

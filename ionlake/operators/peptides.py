@@ -77,17 +77,14 @@ def _placed_mods(pairs: pa.Array, slots: dict[str, float]) -> tuple[np.ndarray,
     return rows, flat.field("pos").fill_null(-9).to_numpy(zero_copy_only=False), known[names.indices.fill_null(0).to_numpy(zero_copy_only=False)]
 
 
-def ladders(batch: pa.RecordBatch, version: str, catalogue: Catalogue, single: bool = False) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """(offsets, m/z of each ion type): the ladders of a batch's peptides one behind the other, from ``_peptide`` and ``_pairs``.
+def _ladders_by_length(batch: pa.RecordBatch, version: str, catalogue: Catalogue, single: bool):
+    """(rows, m/z matrix of each ion type) for the peptides of each length, from ``_peptide`` and ``_pairs``.
 
     Masses are added from the terminus on, in one cumulative sum for the peptides of each length;
     ``single`` adds in single precision. A mass that is not known is NaN from its place on.
     """
-    lengths = pc.fill_null(pc.binary_length(batch.column("_peptide")), 0).to_numpy(zero_copy_only=False)
-    starts = np.concatenate([[0], np.cumsum(np.maximum(lengths - 1, 0))])
     mod_row, mod_pos, mod_mass = _placed_mods(batch.column("_pairs"), catalogue.slots())
     wanted, kind = _series(version), np.float32 if single else np.float64
-    out = {s: np.empty(starts[-1]) for s in wanted}
     local = np.full(batch.num_rows, -1)
     for rows, letters in by_length(batch, "_peptide"):
         n = letters.shape[1]
@@ -104,13 +101,62 @@ def ladders(batch: pa.RecordBatch, version: str, catalogue: Catalogue, single: b
         ends["suffix"][row[pos == -1], 0] = mass[pos == -1]
         ordered = {"prefix": masses[:, :-1], "suffix": masses[:, :0:-1]}
         sums = {s: np.cumsum(np.concatenate([ends[s], m], axis=1).astype(kind), axis=1, dtype=kind)[:, 1:].astype(np.float64) for s, m in ordered.items()}
-        to = starts[rows][:, None] + np.arange(n - 1)
+        made = {}
         for name, (base, shift) in wanted.items():
             side, offset, charge = ION_SERIES[base]
-            out[name][to] = ((sums[side] + offset) / charge).astype(kind) + (np.float64(shift) if version == "all" else 0)
+            made[name] = ((sums[side] + offset) / charge).astype(kind) + (np.float64(shift) if version == "all" else 0)
+        yield rows, made
+
+
+def ladders(batch: pa.RecordBatch, version: str, catalogue: Catalogue, single: bool = False) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(offsets, m/z of each ion type): the ladders of a batch's peptides one behind the other, from ``_peptide`` and ``_pairs``."""
+    lengths = pc.fill_null(pc.binary_length(batch.column("_peptide")), 0).to_numpy(zero_copy_only=False)
+    starts = np.concatenate([[0], np.cumsum(np.maximum(lengths - 1, 0))])
+    out = {s: np.empty(starts[-1]) for s in _series(version)}
+    for rows, made in _ladders_by_length(batch, version, catalogue, single):
+        for name, mz in made.items():
+            out[name][starts[rows][:, None] + np.arange(mz.shape[1])] = mz
     return starts, out
 
 
+def _pairs_of(peprec: DataFrame) -> Column:
+    return parse_mods(F.col("modifications")) if "modifications" in peprec.columns else F.array().cast("array<struct<pos:int,name:string>>")
+
+
+def ladder_totals(peprec: DataFrame, version: str = "general", catalogue: Catalogue | None = None, keep: tuple[str, ...] = ("spec_id",), digits: int = 9) -> DataFrame:
+    """(keep..., ion, n_ions, first_mz, last_mz, sum_mz): one row for each peptide and ion type, m/z rounded to ``digits`` places.
+
+    A ladder is summed up where it is made; its ions are no rows, and nothing is shuffled. An unknown mass counts
+    as in ``fragment_ions``: such an m/z is null and left out of the sum. Halves are rounded away from zero.
+    """
+    catalogue = catalogue or Catalogue()
+    names, kinds = list(_series(version)), dict(peprec.dtypes)
+    rows = peprec.select(*keep, F.col("peptide").alias("_peptide"), _pairs_of(peprec).alias("_pairs"))
+
+    def apply(batches):
+        for batch in batches:
+            n, found = np.zeros(batch.num_rows, np.int64), np.full((3, batch.num_rows, len(names)), np.nan)
+            for own, made in _ladders_by_length(batch, version, catalogue, False):
+                n[own] = next(iter(made.values())).shape[1]
+                for k, mz in enumerate(made.values()):
+                    known = ~np.isnan(mz)
+                    total = mz.sum(axis=1) if known.all() else np.where(known.any(axis=1), np.nansum(mz, axis=1), np.nan)
+                    found[0, own, k], found[1, own, k], found[2, own, k] = mz[:, 0], mz[:, -1], total
+            found *= 10.0**digits
+            found = np.trunc(found + np.copysign(0.5, found)) / 10.0**digits
+            some = np.flatnonzero(n)
+            offsets = pa.array(np.arange(len(some) + 1, dtype=np.int32) * len(names))
+            lists = []
+            for values in found:
+                flat = values[some].ravel()
+                lists.append(pa.ListArray.from_arrays(offsets, pa.array(flat, mask=np.isnan(flat))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(some)) for c in keep), pa.array(n[some]), *lists], names=[*keep, "n_ions", "_first", "_last", "_sum"])
+
+    laddered = rows.mapInArrow(apply, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_ions long, _first array<double>, _last array<double>, _sum array<double>")
+    each = [F.struct(F.lit(s).alias("ion"), *[F.col(f"_{c}")[k].alias(f"{c}_mz") for c in ("first", "last", "sum")]) for k, s in enumerate(names)]
+    return laddered.select(*keep, "n_ions", F.explode(F.array(*each)).alias("_i")).select(*keep, "_i.ion", "n_ions", "_i.first_mz", "_i.last_mz", "_i.sum_mz")
+
+
 def fragment_ions(
     peprec: DataFrame,
     version: str = "general",
@@ -131,7 +177,7 @@ def fragment_ions(
     """
     catalogue = catalogue or Catalogue()
     carried = {} if values is None else {f"_v{k}": v for k, v in enumerate(values.values())}
-    pairs = parse_mods(F.col("modifications")) if "modifications" in peprec.columns else F.array().cast("array<struct<pos:int,name:string>>")
+    pairs = _pairs_of(peprec)
     own = [*keep, *(c for c in use if c not in keep)]
     rows = peprec.select(*own, F.col("peptide").alias("_peptide"), pairs.alias("_pairs"), *[v.alias(n) for n, v in carried.items()])
     passed = [*own, *carried]

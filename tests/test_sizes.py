@@ -1,9 +1,12 @@
 """Work that stays where the rows lie: the same results as the plain plans, without their shuffles."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from ionlake.functions.mods import add_fixed, fixed_mods, format_mods
 from ionlake.operators.digest import digest, peptide_counts
-from ionlake.queries import QUERIES
+from ionlake.operators.peptides import fragment_ions, ladder_totals
+from ionlake.queries import CATALOGUE, QUERIES, _folded, peptides
 
 
 def shuffles_by_key(df):
@@ -21,3 +24,38 @@ def test_peptide_counts(spark, sf_dir):
             got = sorted(peptide_counts(rows, **options).collect(), key=str)
             assert got == sorted(found.collect(), key=str) and len(got) >= 5
     assert not shuffles_by_key(QUERIES["digest_unspecific"](spark, sf_dir))  # no peptide is written to disk
+
+
+def test_fixed_modification_strings(spark):
+    fixed = {"C": "Carbamidomethyl", "M": "Oxidation"}
+    rows = spark.createDataFrame([("ACDMMC",), ("ADEK",), ("",), (None,), ("ÄCöM" * 30,), ("C" * 120,)], "peptide string").repartition(2)
+    none = F.array().cast("array<struct<pos:int,name:string>>")
+    got = rows.select(fixed_mods(F.col("peptide"), fixed).alias("got"), format_mods(add_fixed(F.col("peptide"), none, fixed)).alias("want")).collect()
+    assert len(got) == 6 and all(r.got == r.want for r in got) and {r.got for r in got} >= {"2|Carbamidomethyl|4|Oxidation|5|Oxidation|6|Carbamidomethyl", "-", None}
+
+
+def test_ladder_totals(spark, sf_dir):
+    """A ladder summed up where it is made is the sum over its ions' rows."""
+    records = [("a", "ACDEK", "2|Carbamidomethyl", 2), ("b", "MMAC", "-1|Oxidation|1|Oxidation", 2), ("c", "A", "-", 2), ("d", "AXBK", "2|Nothing", 3), ("e", "ACXK", None, 3), ("f", None, "-", 2), ("g", "BBB", "-", 2)]
+    rows = spark.createDataFrame(records, "spec_id string, peptide string, modifications string, charge int").repartition(2)
+    for version in ("general", "etd", "ch2", "all"):
+        own = sorted(ladder_totals(rows, version, CATALOGUE).collect(), key=str)
+        assert own == sorted(_folded(fragment_ions(rows, version, CATALOGUE)).collect(), key=str) and len(own) >= 10
+    for name in ("fragment_ladder_by", "neutral_loss_series"):
+        assert not shuffles_by_key(QUERIES[name](spark, sf_dir))  # no ion is a row that is written to disk
+
+
+@pytest.fixture
+def repeating(spark, tmp_path):
+    """Documents of which two share an id and two have none."""
+    texts = ["A peptide MKACDEFGHIKLLCMM", "Some other text, RACDEFGHICKLM that ends", "A peptide MKACDEFGHIKLLCMM", "null id PEPTIDEKACDEFGH", "none either KACDEFGHIKPEPTIDE", "alone WKPEPTIDECMSTRAAAAAAAAK"]
+    spark.createDataFrame(list(zip([1, 1, 2, None, None, 3], texts, strict=True)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_ladders_of_repeated_ids(spark, repeating):
+    """One row for each spec_id and ion type, whatever documents the ions come from."""
+    got = sorted(QUERIES["fragment_ladder_by"](spark, repeating).collect(), key=str)
+    want = sorted(_folded(fragment_ions(peptides(spark, repeating), "general", CATALOGUE)).select("spec_id", "ion", "n_ions").collect(), key=str)
+    assert sorted([(r.spec_id, r.ion, r.n_ions) for r in got], key=str) == sorted(map(tuple, want), key=str)
+    assert len({(r.spec_id, r.ion) for r in got}) == len(got) >= 8 and any(r.spec_id is None for r in got)
