@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,18 @@ CLEAVAGE_RULES = {
     "chymotrypsin": r"(?<=[FY])(?!P|$)|(?<=W)(?![MP]|$)",
 }
 
+#: The same rules by the residues around a cut: the last but one before it, the last, the next; ``^``: any but these, blank: any.
+CLEAVAGE_SITES = {
+    "trypsin": (("", "KR", "^P"), ("W", "K", "P"), ("M", "R", "P")),
+    "trypsin_simple": (("", "KR", ""),),
+    "lysc": (("", "K", ""),),
+    "argc": (("", "R", ""),),
+    "gluc": (("", "E", ""),),
+    "aspn": (("", "", "D"),),
+    "chymotrypsin": (("", "FY", "^P"), ("", "W", "^MP")),
+}
+#: Bytes of short sequences that are cut together.
+_RUN_BYTES = 1 << 20
 
 #: Peptides that are cut out at a time.
 _CUT_ROWS = 200_000
@@ -71,14 +84,73 @@ def _spans(sequence: str, rule: str, missed: int, low: int, high: int, semi: boo
         yield both[:, 0], both[:, 1]
 
 
+def _members(letters: str) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[[ord(c) for c in letters.lstrip("^")]] = True
+    return table if letters and letters[0] != "^" else ~table
+
+
+def _cut_before(data: np.ndarray, first: np.ndarray, rule: str) -> np.ndarray:
+    """Whether a piece begins at each residue of sequences that lie one behind the other; ``first`` marks their own beginnings."""
+    cut = first.copy()
+    for earlier, last, ahead in CLEAVAGE_SITES[rule]:
+        found = _members(last)[data[:-1]] & _members(ahead)[data[1:]]
+        if earlier:  # of the same sequence
+            found[:1] = False
+            found[1:] &= _members(earlier)[data[:-2]] & ~first[1:-1]
+        cut[1:] |= found
+    return cut
+
+
+def _short_runs(sequences: pa.Array):
+    """(first, last) of runs of sequences that together have at most _RUN_BYTES bytes; a longer one is alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(sequences), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _RUN_BYTES, side="right")))
+        yield a, b
+        a = b
+
+
+def _run_pieces(sequences: pa.Array, rule: str, missed: int, low: int, high: int) -> tuple[np.ndarray, ...] | None:
+    """(row, start, pieces, is_n_term, is_c_term) of many sequences at once by a named rule; None if they are not plain text."""
+    lengths = pc.fill_null(pc.binary_length(sequences), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = np.frombuffer(b"".join(sequences.drop_null().cast(pa.binary()).to_pylist()), np.uint8)
+    if not len(data) or data.max() > 126 or data.min() < 32:
+        return None
+    ends = np.cumsum(lengths)
+    first = np.zeros(len(data), bool)
+    first[(ends - lengths)[lengths > 0]] = True
+    bounds = np.append(np.flatnonzero(_cut_before(data, first, rule)), len(data))
+    bad = _members(INVALID_RESIDUES)[data]
+    held = []
+    for k in range(1, missed + 2):
+        starts, stops = bounds[:-k], bounds[k:]
+        fits = (stops - starts >= low) & (stops - starts <= high)
+        starts, stops = starts[fits], stops[fits]
+        row = np.searchsorted(ends, starts, side="right")
+        held.append(np.stack([row, starts, stops])[:, stops <= ends[row]])
+    row, starts, stops = np.concatenate(held, axis=1)
+    if bad.any():
+        before = np.concatenate([[0], np.cumsum(bad)])
+        good = before[stops] == before[starts]
+        row, starts, stops = row[good], starts[good], stops[good]
+    begin = starts - (ends - lengths)[row]
+    return row, begin, _gather(data, starts, stops), begin == 0, stops == ends[row]
+
+
 def _cut_out(sequence: str, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The pieces of a sequence; those of plain text are gathered byte by byte at once."""
     if not sequence.isascii():
         return pa.array([sequence[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.string())
+    return _gather(np.frombuffer(sequence.encode(), np.uint8), starts, ends)
+
+
+def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     lengths = ends - starts
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
     places = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], lengths)
-    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.frombuffer(sequence.encode(), np.uint8)[places]))
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[places]))
 
 
 def _bad_before(sequence: str) -> tuple[np.ndarray, np.ndarray]:
@@ -128,31 +200,42 @@ def digest(
     A null sequence has no peptides.
 
     A sequence is cut once, its peptides are numbers until their length fits, and they are cut out in
-    bounded parts; nothing is shuffled.
+    bounded parts; nothing is shuffled. Short sequences are cut together by a named rule.
     """
     if min_length < 1:
         raise ValueError("min_length must be positive")
     kind = proteins.schema[id_col].dataType.simpleString()
 
+    def one_by_one(batch):
+        held, count = [], 0
+        for k, sequence in enumerate(batch.column("seq").to_pylist()):
+            if not sequence:
+                continue
+            bad = _bad_before(sequence)[1]
+            for starts, ends in _spans(sequence, rule, missed_cleavages, min_length, max_length, semi_specific):
+                good = bad[ends] == bad[starts]
+                starts, ends = starts[good], ends[good]
+                if len(starts):
+                    own = batch.column("protein").take(pa.array(np.full(len(starts), k)))
+                    held.append([own, pa.array(starts.astype(np.int32)), _cut_out(sequence, starts, ends), pa.array(starts == 0), pa.array(ends == len(sequence))])
+                    count += len(starts)
+            if count >= _CUT_ROWS:
+                yield _one_batch(held)
+                held, count = [], 0
+        if held:
+            yield _one_batch(held)
+
     def apply(batches):
         for batch in batches:
-            held, count = [], 0
-            for k, sequence in enumerate(batch.column("seq").to_pylist()):
-                if not sequence:
-                    continue
-                bad = _bad_before(sequence)[1]
-                for starts, ends in _spans(sequence, rule, missed_cleavages, min_length, max_length, semi_specific):
-                    good = bad[ends] == bad[starts]
-                    starts, ends = starts[good], ends[good]
-                    if len(starts):
-                        own = batch.column("protein").take(pa.array(np.full(len(starts), k)))
-                        held.append([own, pa.array(starts.astype(np.int32)), _cut_out(sequence, starts, ends), pa.array(starts == 0), pa.array(ends == len(sequence))])
-                        count += len(starts)
-                if count >= _CUT_ROWS:
-                    yield _one_batch(held)
-                    held, count = [], 0
-            if held:
-                yield _one_batch(held)
+            for first, last in _short_runs(batch.column("seq")):
+                own, pieces = batch.slice(first, last - first), None
+                if rule in CLEAVAGE_SITES and not semi_specific and (last - first > 1 or len(own.column("seq")[0].as_py() or "") <= _RUN_BYTES):
+                    pieces = _run_pieces(own.column("seq"), rule, missed_cleavages, min_length, max_length)
+                if pieces is None:
+                    yield from one_by_one(own)
+                elif len(pieces[0]):
+                    row, start, peptide, is_n, is_c = pieces
+                    yield _one_batch([[own.column("protein").take(pa.array(row)), pa.array(start.astype(np.int32)), peptide, pa.array(is_n), pa.array(is_c)]])
 
     rows = proteins.select(F.col(id_col).alias("protein"), F.upper(F.col(seq_col)).alias("seq"))
     return rows.mapInArrow(apply, f"protein {kind}, start int, peptide string, is_n_term boolean, is_c_term boolean")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mods import Catalogue, blank_mods, parse_mods, shift_total
 from ..functions.residues import FRAGMENT_MASS, HYDROGEN, INVALID_RESIDUES, ION_SERIES, PEAK_VERSIONS, PRECURSOR_MASS, SIDE_SERIES, WATER, residue_masses, total
-from .features import by_length
+from .features import by_length, merged
 
 MIN_LENGTH, MAX_LENGTH = 3, 99
 
@@ -134,7 +134,7 @@ def ladder_totals(peprec: DataFrame, version: str = "general", catalogue: Catalo
     rows = peprec.select(*keep, F.col("peptide").alias("_peptide"), _pairs_of(peprec).alias("_pairs"))
 
     def apply(batches):
-        for batch in batches:
+        for batch in merged(batches):
             n, found = np.zeros(batch.num_rows, np.int64), np.full((3, batch.num_rows, len(names)), np.nan)
             for own, made in _ladders_by_length(batch, version, catalogue, False):
                 n[own] = next(iter(made.values())).shape[1]

@@ -1,12 +1,15 @@
 """Work that stays where the rows lie: the same results as the plain plans, without their shuffles."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from ionlake.functions.mods import add_fixed, fixed_mods, format_mods
-from ionlake.operators.digest import digest, peptide_counts
+from ionlake.operators.digest import CLEAVAGE_RULES, CLEAVAGE_SITES, digest, peptide_counts
+from ionlake.operators.features import N_FEATURES, site_features, site_sums
 from ionlake.operators.peptides import fragment_ions, ladder_totals
-from ionlake.queries import CATALOGUE, QUERIES, _folded, peptides
+from ionlake.queries import CATALOGUE, QUERIES, _folded, _grouped_features, peptides
 
 
 def shuffles_by_key(df):
@@ -59,3 +62,28 @@ def test_ladders_of_repeated_ids(spark, repeating):
     want = sorted(_folded(fragment_ions(peptides(spark, repeating), "general", CATALOGUE)).select("spec_id", "ion", "n_ions").collect(), key=str)
     assert sorted([(r.spec_id, r.ion, r.n_ions) for r in got], key=str) == sorted(map(tuple, want), key=str)
     assert len({(r.spec_id, r.ion) for r in got}) == len(got) >= 8 and any(r.spec_id is None for r in got)
+
+
+@pytest.mark.parametrize("rule", sorted(CLEAVAGE_SITES))
+def test_short_sequences_are_cut_together(spark, rule):
+    """Sequences cut together give the pieces that the rule's pattern gives one by one, and no piece crosses two of them."""
+    draw = random.Random(rule)
+    texts = ["".join(draw.choices("KRPWMDEFYAX", k=draw.randint(0, 60))) for _ in range(300)] + ["", "K", "P", "KP", "WK", "PKP", "WKPMRP", "ÄKRPDEF", "AK\n"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(-1, None)], "protein long, sequence string").repartition(3)
+    for missed, low in ((0, 1), (2, 3)):
+        got = sorted(map(tuple, digest(rows, rule, missed, low, 30).collect()))
+        assert got == sorted(map(tuple, digest(rows, f"(?:{CLEAVAGE_RULES[rule]})", missed, low, 30).collect())) and len(got) > 300
+
+
+def test_site_sums(spark, sf_dir, repeating):
+    """Features added up where they are made are the sums over their sites' rows."""
+    made = ["ACDE", "LYKMAVGFMLAHPYGFTRVMSSYR", "WWK", "AK", "K", "", None, "AXBK", "PEPTIDE" * 13]
+    rows = spark.createDataFrame([(p, 1 + k % 6, 25 + k) for k, p in enumerate(made * 3)], "peptide string, charge int, ce int").repartition(2)
+    for version, n in N_FEATURES.items():
+        weights = {"all": list(range(1, n + 1)), "some": [k % 7 == 3 for k in range(n)]}
+        own = [F.aggregate(F.zip_with("features", F.array(*[F.lit(int(x)) for x in w]), lambda x, y: (x * y).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x) for w in weights.values()]
+        want = site_features(rows, version, ("peptide", "charge", "ce")).groupBy("peptide", "charge", "ce").agg(F.count(F.lit(1)).alias("n_sites"), *[F.sum(x) for x in own])
+        got = sorted(map(tuple, site_sums(rows, weights, version, ("peptide", "charge", "ce")).collect()))
+        assert got == sorted(map(tuple, want.collect())) and len(got) == 18
+    assert not shuffles_by_key(QUERIES["site_features"](spark, sf_dir))  # no site is a row
+    assert sorted(QUERIES["site_features"](spark, repeating).collect(), key=str) == sorted(_grouped_features(peptides(spark, repeating)).collect(), key=str)
