@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +59,12 @@ def array_angle(x: Column, y: Column, epsilon: float = 1e-7) -> Column:
     return 1 - 2 * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))) / F.pi()
 
 
+def rounded(values: np.ndarray, digits: int) -> np.ndarray:
+    """``values`` to ``digits`` places, halves away from zero."""
+    scaled = values * 10.0**digits
+    return np.trunc(scaled + np.copysign(0.5, scaled)) / 10.0**digits
+
+
 def unlog(x: Column, clip: bool = True) -> Column:
     """2^x less the pseudo-count; at least 0 if ``clip``."""
     value = F.pow(F.lit(2.0), x) - PSEUDO

@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.metrics import rounded
 from ..functions.mods import Catalogue, blank_mods, parse_mods, shift_total
 from ..functions.residues import FRAGMENT_MASS, HYDROGEN, INVALID_RESIDUES, ION_SERIES, PEAK_VERSIONS, PRECURSOR_MASS, SIDE_SERIES, WATER, residue_masses, total
 from .features import by_length, merged
@@ -142,8 +143,7 @@ def ladder_totals(peprec: DataFrame, version: str = "general", catalogue: Catalo
                     known = ~np.isnan(mz)
                     total = mz.sum(axis=1) if known.all() else np.where(known.any(axis=1), np.nansum(mz, axis=1), np.nan)
                     found[0, own, k], found[1, own, k], found[2, own, k] = mz[:, 0], mz[:, -1], total
-            found *= 10.0**digits
-            found = np.trunc(found + np.copysign(0.5, found)) / 10.0**digits
+            found = rounded(found, digits)
             some = np.flatnonzero(n)
             offsets = pa.array(np.arange(len(some) + 1, dtype=np.int32) * len(names))
             lists = []

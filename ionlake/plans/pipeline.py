@@ -23,7 +23,7 @@ from ..sinks.libraries import write_results
 from .config import LABELS, LibraryConfig, model
 from .metrics import InvalidPeptide, NoValidPeptides, RunMetrics
 from .storage import stored_table
-from .trees import score_peptides
+from .trees import score_peptides, score_totals
 
 #: A retention-time predictor: records in, records with a column rt out.
 RetentionPredictor = Callable[[DataFrame], DataFrame]
@@ -34,6 +34,27 @@ def _known_mods(catalogue: Catalogue) -> Column:
     return F.forall(parse_mods(F.col("modifications")), lambda m: m["name"].isin(*names) if names else F.lit(False))
 
 
+def _predictable(peprec: DataFrame, catalogue: Catalogue, features: str, strict: bool, metrics: RunMetrics | None) -> DataFrame:
+    rows = clean_peptides(peprec if metrics is None else metrics.watch(peprec, tuple(m.name for m in catalogue.mods)))
+    if strict:
+        bad = F.raise_error(F.concat(F.lit("unknown modification in "), F.col("modifications"))).cast("boolean")
+        rows = rows.where(F.when(_known_mods(catalogue), True).otherwise(bad))
+    else:
+        rows = rows.where(_known_mods(catalogue))
+    if features == "ce":
+        rows = rows.withColumn("ce", F.coalesce(F.col("ce"), F.lit(30)) if "ce" in rows.columns else F.lit(30))
+    return rows
+
+
+def predict_totals(peprec: DataFrame, nodes: pd.DataFrame, catalogue: Catalogue | None = None, features: str = "general", strict: bool = False, keep: tuple[str, ...] = ("spec_id",)) -> DataFrame:
+    """(keep..., ion, n_ions, top_ion, sum_log2, intensity): what the rows of ``predict`` add up to for each record and ion type.
+
+    Each record is scored where it lies, without m/z: nothing is stored or shuffled, and a pair of residues and
+    charge that comes again is scored again.
+    """
+    return score_totals(_predictable(peprec, catalogue or Catalogue(), features, strict, None), nodes, keep, features)
+
+
 def predict(peprec: DataFrame, nodes: pd.DataFrame, catalogue: Catalogue | None = None, version: str = "general", features: str = "general", strict: bool = False, metrics: RunMetrics | None = None) -> DataFrame:
     """(spec_id, charge, ion, ionnumber, mz, prediction) in log2 space.
 
@@ -45,16 +66,8 @@ def predict(peprec: DataFrame, nodes: pd.DataFrame, catalogue: Catalogue | None
     plan. With ``metrics`` that one pass also counts the records, and those left out by reason.
     """
     catalogue = catalogue or Catalogue()
-    names = tuple(m.name for m in catalogue.mods)
-    rows = clean_peptides(peprec if metrics is None else metrics.watch(peprec, names))
-    if strict:
-        bad = F.raise_error(F.concat(F.lit("unknown modification in "), F.col("modifications"))).cast("boolean")
-        rows = rows.where(F.when(_known_mods(catalogue), True).otherwise(bad))
-    else:
-        rows = rows.where(_known_mods(catalogue))
+    rows = _predictable(peprec, catalogue, features, strict, metrics)
     key = ["scored", "charge"] + ["ce"] * (features == "ce")
-    if features == "ce":
-        rows = rows.withColumn("ce", F.coalesce(F.col("ce"), F.lit(30)) if "ce" in rows.columns else F.lit(30))
     read = [c for c in ("spec_id", "peptide", "modifications", "charge", "ce") if c in rows.columns]
     rows = stored_table(rows.select(*read).withColumn("scored", F.translate("peptide", "L", "I")), "records")
     # few bytes but much work a row: dealt to a fixed number of tasks, which small results are not merged into

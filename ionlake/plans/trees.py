@@ -13,7 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.features import peptide_features
+from ..functions.metrics import rounded
+from ..functions.residues import PSEUDO
+from ..operators.features import merged, peptide_features
 
 #: A node with a leaf value has no test. A further column ``missing`` may name the branch of a null or NaN; without it, or where it is null, that is ``no``.
 NODE_SCHEMA = "model string, ion string, tree int, node int, feature int, threshold double, yes int, no int, leaf double, base_score double"
@@ -59,7 +61,11 @@ class Forest:
         total = np.full(len(x), self.base_score)
         rows = np.arange(len(x))
         for root in self.roots:
-            at = np.full(len(x), root)
+            if self.feature[root] < 0:
+                total += self.leaf[root]
+                continue
+            value = x[:, self.feature[root]]  # all rows are at the root
+            at = np.where(value < self.threshold[root], self.yes[root], np.where(np.isnan(value), self.missing[root], self.no[root]))
             while True:
                 test = self.feature[at] >= 0
                 if not test.any():
@@ -181,6 +187,53 @@ def score_sites(sites: DataFrame, nodes: pd.DataFrame, keep: tuple[str, ...]) ->
     return sites.select(*keep, "site", "features").mapInArrow(score, kind)
 
 
+def _forests(nodes: pd.DataFrame) -> tuple[list[int], dict[str, Forest]]:
+    """(the features that are read, the forest of each ion type over those alone)."""
+    read = sorted({int(k) for k in nodes["feature"].dropna()})
+    place = {k: i for i, k in enumerate(read)}
+    own = nodes.assign(feature=[None if pd.isna(k) else place[int(k)] for k in nodes["feature"]])
+    return read, {ion: Forest.from_nodes(part) for ion, part in own.groupby("ion")}
+
+
+def _scores(batch: pa.RecordBatch, version: str, read: list[int], forests: dict[str, Forest]):
+    """(rows, [peptide, ion number - 1] of each ion type) for the peptides of each length."""
+    for rows, x in peptide_features(batch, version, read):
+        found = {i: forest.score(x.reshape(-1, len(read))).reshape(-1, x.shape[1]) for i, forest in sorted(forests.items())}
+        yield rows, {i: got if i[0] in "ABC" else got[:, ::-1] for i, got in found.items()}
+
+
+def score_totals(peptides: DataFrame, nodes: pd.DataFrame, keep: tuple[str, ...], version: str = "general") -> DataFrame:
+    """(keep..., ion, n_ions, top_ion, sum_log2, intensity): one row for each peptide and ion type.
+
+    Values are added up where they are made, in log2 space (6 places) and as intensities (8 places); a value is no
+    row. ``top_ion`` has the highest value, each ion number counting a thousandth less. A peptide without sites has no row.
+    """
+    read, forests = _forests(nodes)
+    ions, names = sorted(forests), ("top", "sum", "intensity")
+    more = [c for c in ("peptide", "charge", *(["ce"] if version == "ce" else [])) if c not in keep]
+
+    def score(batches):
+        for batch in merged(batches):
+            n = np.zeros(batch.num_rows, np.int64)
+            out = {(i, c): np.zeros(batch.num_rows, np.int64 if c == "top" else np.float64) for i in ions for c in names}
+            for rows, found in _scores(batch, version, read, forests):
+                for i, p in found.items():
+                    n[rows] = p.shape[1]
+                    out[i, "top"][rows] = np.argmax(p * 1000 - np.arange(1, p.shape[1] + 1), axis=1) + 1
+                    out[i, "sum"][rows] = rounded(p.sum(axis=1), 6)
+                    out[i, "intensity"][rows] = rounded(np.maximum(np.power(2.0, p) - PSEUDO, 0).sum(axis=1), 8)
+            some = np.flatnonzero(n)
+            kept = batch.take(pa.array(some))
+            yield pa.RecordBatch.from_arrays([*(kept.column(k) for k in keep), pa.array(n[some]), *(pa.array(x[some]) for x in out.values())], names=[*keep, "n_ions", *columns.values()])
+
+    columns = {(i, c): f"_{c}{k}" for k, i in enumerate(ions) for c in names}
+    kinds = dict(peptides.dtypes)
+    kind = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", n_ions long" + "".join(f", {c} {'long' if k[1] == 'top' else 'double'}" for k, c in columns.items())
+    rows = peptides.select(*keep, *more).mapInArrow(score, kind)
+    each = [F.struct(F.lit(i).alias("ion"), *[F.col(columns[i, c]).alias(n) for c, n in zip(names, ("top_ion", "sum_log2", "intensity"), strict=True)]) for i in ions]
+    return rows.select(*keep, "n_ions", F.explode(F.array(*each)).alias("_i")).select(*keep, "_i.ion", "n_ions", "_i.top_ion", "_i.sum_log2", "_i.intensity")
+
+
 def score_peptides(peptides: DataFrame, nodes: pd.DataFrame, keep: tuple[str, ...], version: str = "general") -> DataFrame:
     """(keep..., an array p_<ion> for each ion type): one row per peptide, values in ion order.
 
@@ -188,10 +241,7 @@ def score_peptides(peptides: DataFrame, nodes: pd.DataFrame, keep: tuple[str, ..
     model reads, are made, scored and folded in the same Arrow pass. Prefix ions count from the first
     site, suffix ions from the last. A peptide without sites has empty arrays.
     """
-    read = sorted({int(k) for k in nodes["feature"].dropna()})
-    place = {k: i for i, k in enumerate(read)}
-    own = nodes.assign(feature=[None if pd.isna(k) else place[int(k)] for k in nodes["feature"]])
-    forests = {ion: Forest.from_nodes(part) for ion, part in own.groupby("ion")}
+    read, forests = _forests(nodes)
     ions = sorted(forests)
     more = [c for c in ("peptide", "charge", *(["ce"] if version == "ce" else [])) if c not in keep]
 
@@ -202,12 +252,9 @@ def score_peptides(peptides: DataFrame, nodes: pd.DataFrame, keep: tuple[str, ..
             lengths = pc.fill_null(pc.binary_length(batch.column("peptide")), 0).to_numpy(zero_copy_only=False)
             starts = np.concatenate([[0], np.cumsum(np.maximum(lengths - 1, 0))])
             values = {i: np.empty(starts[-1]) for i in ions}
-            for rows, x in peptide_features(batch, version, read):
-                sites = x.shape[1]
-                to = starts[rows][:, None] + np.arange(sites)
-                for i in ions:
-                    got = forests[i].score(x.reshape(-1, len(read))).reshape(-1, sites)
-                    values[i][to] = got if i[0] in "ABC" else got[:, ::-1]
+            for rows, found in _scores(batch, version, read, forests):
+                for i, got in found.items():
+                    values[i][starts[rows][:, None] + np.arange(got.shape[1])] = got
             lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values[i])) for i in ions]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *lists], names=[*keep, *(f"p_{i}" for i in ions)])
 

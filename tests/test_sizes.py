@@ -9,7 +9,9 @@ from ionlake.functions.mods import add_fixed, fixed_mods, format_mods
 from ionlake.operators.digest import CLEAVAGE_RULES, CLEAVAGE_SITES, digest, peptide_counts
 from ionlake.operators.features import N_FEATURES, site_features, site_sums
 from ionlake.operators.peptides import fragment_ions, ladder_totals
-from ionlake.queries import CATALOGUE, QUERIES, _folded, _grouped_features, peptides
+from ionlake.plans.pipeline import predict_totals
+from ionlake.plans.trees import toy_nodes
+from ionlake.queries import CATALOGUE, QUERIES, _folded, _grouped_features, _grouped_predictions, peptides
 
 
 def shuffles_by_key(df):
@@ -64,6 +66,20 @@ def test_ladders_of_repeated_ids(spark, repeating):
     assert len({(r.spec_id, r.ion) for r in got}) == len(got) >= 8 and any(r.spec_id is None for r in got)
 
 
+def test_predict_totals(spark, sf_dir, repeating):
+    """Predictions added up where they are made are the sums over the ions' rows; unknown modifications are left out."""
+    records = [("a", "ACDEK", "2|Carbamidomethyl", 2), ("b", "MMACLL", "1|Oxidation", 3), ("c", "AC", "-", 2), ("d", "ACDK", "2|Nothing", 3), ("e", "AIXK", None, 3), ("f", None, "-", 2), ("g", "PEPTIDE" * 14, None, 5)]
+    rows = spark.createDataFrame(records, "spec_id string, peptide string, modifications string, charge int").repartition(2)
+    got = sorted(map(tuple, predict_totals(rows, toy_nodes(), CATALOGUE).collect()))
+    assert got == sorted(map(tuple, _grouped_predictions(rows).collect())) and [r[:3] for r in got[:2]] == [("a", "B", 4), ("a", "Y", 4)] and len(got) == 6
+    with pytest.raises(Exception, match="unknown modification"):
+        predict_totals(rows, toy_nodes(), CATALOGUE, strict=True).collect()
+    assert not shuffles_by_key(QUERIES["predict_spectra"](spark, sf_dir))  # no value is a row
+    # records that share an id make one row for each ion type
+    got = sorted(map(tuple, QUERIES["predict_spectra"](spark, repeating).collect()), key=str)
+    assert got == sorted(map(tuple, _grouped_predictions(peptides(spark, repeating)).collect()), key=str)
+
+
 @pytest.mark.parametrize("rule", sorted(CLEAVAGE_SITES))
 def test_short_sequences_are_cut_together(spark, rule):
     """Sequences cut together give the pieces that the rule's pattern gives one by one, and no piece crosses two of them."""
