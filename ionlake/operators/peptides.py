@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.metrics import rounded
 from ..functions.mods import Catalogue, blank_mods, parse_mods, shift_total
 from ..functions.residues import FRAGMENT_MASS, HYDROGEN, INVALID_RESIDUES, ION_SERIES, PEAK_VERSIONS, PRECURSOR_MASS, SIDE_SERIES, WATER, residue_masses, total
-from .features import by_length, merged
+from .features import by_length
 
 MIN_LENGTH, MAX_LENGTH = 3, 99
 
@@ -69,22 +69,38 @@ for _a, _m in FRAGMENT_MASS.items():
     _MASS[ord(_a)] = _m
 
 
+def _slot_masses(names: pa.Array, slots: dict[str, float]) -> np.ndarray:
+    coded = names.dictionary_encode()
+    known = np.array([slots.get(n, np.nan) for n in coded.dictionary.to_pylist()] or [np.nan])
+    return known[coded.indices.fill_null(0).to_numpy(zero_copy_only=False)]
+
+
 def _placed_mods(pairs: pa.Array, slots: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, position, mass in that place) of every modification of a batch, in order; NaN for an unknown name."""
     flat = pairs.flatten()
     rows = np.repeat(np.arange(len(pairs)), pc.fill_null(pc.list_value_length(pairs), 0).to_numpy(zero_copy_only=False))
-    names = flat.field("name").dictionary_encode()
-    known = np.array([slots.get(n, np.nan) for n in names.dictionary.to_pylist()] or [np.nan])
-    return rows, flat.field("pos").fill_null(-9).to_numpy(zero_copy_only=False), known[names.indices.fill_null(0).to_numpy(zero_copy_only=False)]
+    return rows, flat.field("pos").fill_null(-9).to_numpy(zero_copy_only=False), _slot_masses(flat.field("name"), slots)
+
+
+def _placed_strings(mods: pa.Array, slots: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same from modification strings, which are read as ``parse_mods`` does."""
+    some = np.flatnonzero(~pc.is_in(mods, value_set=pa.array(["-", "", None], pa.string())).to_numpy(zero_copy_only=False))
+    fields = pc.split_pattern(mods.take(pa.array(some)), "|")
+    sizes = pc.list_value_length(fields).to_numpy(zero_copy_only=False).astype(np.int64)
+    if (sizes % 2).any():
+        raise ValueError(f"modification string has an odd number of fields: {mods[int(some[np.argmax(sizes % 2)])]}")
+    flat, places = fields.flatten(), np.arange(0, sizes.sum(), 2)
+    pos = pc.utf8_trim_whitespace(flat.take(pa.array(places))).cast(pa.int32())
+    return np.repeat(some, sizes // 2), pos.to_numpy(zero_copy_only=False), _slot_masses(flat.take(pa.array(places + 1)), slots)
 
 
-def _ladders_by_length(batch: pa.RecordBatch, version: str, catalogue: Catalogue, single: bool):
-    """(rows, m/z matrix of each ion type) for the peptides of each length, from ``_peptide`` and ``_pairs``.
+def _ladders_by_length(batch: pa.RecordBatch, placed: tuple[np.ndarray, np.ndarray, np.ndarray], version: str, single: bool):
+    """(rows, m/z matrix of each ion type) for the peptides of each length, from ``_peptide`` and the placed modifications.
 
     Masses are added from the terminus on, in one cumulative sum for the peptides of each length;
     ``single`` adds in single precision. A mass that is not known is NaN from its place on.
     """
-    mod_row, mod_pos, mod_mass = _placed_mods(batch.column("_pairs"), catalogue.slots())
+    mod_row, mod_pos, mod_mass = placed
     wanted, kind = _series(version), np.float32 if single else np.float64
     local = np.full(batch.num_rows, -1)
     for rows, letters in by_length(batch, "_peptide"):
@@ -114,35 +130,38 @@ def ladders(batch: pa.RecordBatch, version: str, catalogue: Catalogue, single: b
     lengths = pc.fill_null(pc.binary_length(batch.column("_peptide")), 0).to_numpy(zero_copy_only=False)
     starts = np.concatenate([[0], np.cumsum(np.maximum(lengths - 1, 0))])
     out = {s: np.empty(starts[-1]) for s in _series(version)}
-    for rows, made in _ladders_by_length(batch, version, catalogue, single):
+    for rows, made in _ladders_by_length(batch, _placed_mods(batch.column("_pairs"), catalogue.slots()), version, single):
         for name, mz in made.items():
             out[name][starts[rows][:, None] + np.arange(mz.shape[1])] = mz
     return starts, out
 
 
-def _pairs_of(peprec: DataFrame) -> Column:
-    return parse_mods(F.col("modifications")) if "modifications" in peprec.columns else F.array().cast("array<struct<pos:int,name:string>>")
-
-
 def ladder_totals(peprec: DataFrame, version: str = "general", catalogue: Catalogue | None = None, keep: tuple[str, ...] = ("spec_id",), digits: int = 9) -> DataFrame:
     """(keep..., ion, n_ions, first_mz, last_mz, sum_mz): one row for each peptide and ion type, m/z rounded to ``digits`` places.
 
     A ladder is summed up where it is made; its ions are no rows, and nothing is shuffled. An unknown mass counts
     as in ``fragment_ions``: such an m/z is null and left out of the sum. Halves are rounded away from zero.
     """
-    catalogue = catalogue or Catalogue()
-    names, kinds = list(_series(version)), dict(peprec.dtypes)
-    rows = peprec.select(*keep, F.col("peptide").alias("_peptide"), _pairs_of(peprec).alias("_pairs"))
+    slots = (catalogue or Catalogue()).slots()
+    series, kinds = _series(version), dict(peprec.dtypes)
+    names = list(series)
+    mods = F.col("modifications") if "modifications" in peprec.columns else F.lit("-")
+    rows = peprec.select(*keep, F.col("peptide").alias("_peptide"), mods.alias("_mods"))
 
     def apply(batches):
-        for batch in merged(batches):
+        for batch in batches:
             n, found = np.zeros(batch.num_rows, np.int64), np.full((3, batch.num_rows, len(names)), np.nan)
-            for own, made in _ladders_by_length(batch, version, catalogue, False):
+            placed = _placed_strings(batch.column("_mods"), slots)
+            for own, made in _ladders_by_length(batch, placed, "ch2" if version == "all" else version, False):
                 n[own] = next(iter(made.values())).shape[1]
-                for k, mz in enumerate(made.values()):
+                sums = {}
+                for base, mz in made.items():
                     known = ~np.isnan(mz)
-                    total = mz.sum(axis=1) if known.all() else np.where(known.any(axis=1), np.nansum(mz, axis=1), np.nan)
-                    found[0, own, k], found[1, own, k], found[2, own, k] = mz[:, 0], mz[:, -1], total
+                    count = known.sum(axis=1)
+                    sums[base] = count, mz.sum(axis=1) if known.all() else np.where(count > 0, np.nansum(mz, axis=1), np.nan)
+                for k, (base, shift) in enumerate(series.values()):  # a series is its base, moved
+                    mz, (count, total) = made[base], sums[base]
+                    found[0, own, k], found[1, own, k], found[2, own, k] = mz[:, 0] + shift, mz[:, -1] + shift, total + count * shift
             found = rounded(found, digits)
             some = np.flatnonzero(n)
             offsets = pa.array(np.arange(len(some) + 1, dtype=np.int32) * len(names))
@@ -177,7 +196,7 @@ def fragment_ions(
     """
     catalogue = catalogue or Catalogue()
     carried = {} if values is None else {f"_v{k}": v for k, v in enumerate(values.values())}
-    pairs = _pairs_of(peprec)
+    pairs = parse_mods(F.col("modifications")) if "modifications" in peprec.columns else F.array().cast("array<struct<pos:int,name:string>>")
     own = [*keep, *(c for c in use if c not in keep)]
     rows = peprec.select(*own, F.col("peptide").alias("_peptide"), pairs.alias("_pairs"), *[v.alias(n) for n, v in carried.items()])
     passed = [*own, *carried]

@@ -46,6 +46,9 @@ def test_ladder_totals(spark, sf_dir):
     for version in ("general", "etd", "ch2", "all"):
         own = sorted(ladder_totals(rows, version, CATALOGUE).collect(), key=str)
         assert own == sorted(_folded(fragment_ions(rows, version, CATALOGUE)).collect(), key=str) and len(own) >= 10
+    assert ladder_totals(rows.drop("modifications"), "ch2").count() == 4 * 5
+    with pytest.raises(Exception, match="odd number"):
+        ladder_totals(rows.withColumn("modifications", F.lit("1|Oxidation|2")), "general", CATALOGUE).collect()
     for name in ("fragment_ladder_by", "neutral_loss_series"):
         assert not shuffles_by_key(QUERIES[name](spark, sf_dir))  # no ion is a row that is written to disk
 
